@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 OPERATORS = {
     "op3_mix_sources": ("mixing", "oracle"),
     "op4_shard_by_links": ("sharding", None),
+    "op5_jaccard_join": ("similarity", None),
     "op6_warc_archive": ("warc", "oracle"),
     "op7_pack_best_fit": ("packing", None),
+    "op8_personal_data": ("pii", None),
+    "op9_nearest_neighbours": ("neighbours", None),
     "op10_sniff_media": ("media", None),
 }
 
