@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name: (module, name of its oracle there or None).
 OPERATORS = {
+    "op1_quality": ("quality", None),
+    "op2_dedup_spans": ("spans", None),
     "op3_mix_sources": ("mixing", "oracle"),
     "op4_shard_by_links": ("sharding", None),
     "op5_jaccard_join": ("similarity", None),
