@@ -20,6 +20,7 @@ BREAKS = (
     (r"(\p{Nd})([^\p{Nd} ])", "$1 $2"),
     (r"([^\p{Nd} ])(\p{Nd})", "$1 $2"),
 )
+BREAK = r"\p{Ll}\p{Lu}|\p{Lu}\p{Lu}\p{Ll}|\p{Nd}[^\p{Nd}]|[^\p{Nd}]\p{Nd}"
 
 
 def pieces(word: Column) -> Column:
@@ -27,7 +28,8 @@ def pieces(word: Column) -> Column:
     broken = word
     for pattern, by in BREAKS:
         broken = F.regexp_replace(broken, pattern, by)
-    return F.array_distinct(F.concat(F.array(F.lower(word)), F.transform(F.split(broken, " "), F.lower)))
+    parts = F.array_distinct(F.concat(F.array(F.lower(word)), F.transform(F.split(broken, " "), F.lower)))
+    return F.when(word.rlike(BREAK), parts).otherwise(F.array(F.lower(word)))
 
 
 def tokens(text: Column) -> Column:

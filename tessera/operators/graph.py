@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def neighbourhood(edges: DataFrame, seeds: list, depth: int = 2, most: int = 40) -> DataFrame:
@@ -69,7 +70,7 @@ def greedy_budget(rows: DataFrame, request: str, budget: int, most: int) -> Data
     A row that doesn't fit is passed over and uses nothing; targets always enter. The fold runs
     over each request's rows, which a request bounds, in its own group.
     """
-    schema = rows.schema.add("accepted", "boolean")
+    schema = StructType([*rows.schema.fields, StructField("accepted", BooleanType())])
 
     def fold(pdf):
         pdf = pdf.sort_values("rank", ignore_index=True)

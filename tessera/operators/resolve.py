@@ -16,8 +16,8 @@ def resolve_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     each (name, path), (name, directory) and name meet the edges in three equi-joins, and a
     common name never multiplies. Confidence is 0.95 for a sole candidate, else 0.7 at least.
     """
-    s = symbols.withColumn("dir", directory(F.col("path"))).withColumn("rank", F.struct((5 * (~F.col("is_file")).cast("int")).alias("kind"), F.col("id")))
-    best = F.max_by("rank", F.struct(F.col("rank.kind"), -F.col("rank.id")))
+    s = symbols.withColumn("dir", directory(F.col("path"))).withColumn("rank", F.struct(F.col("is_file"), F.col("id")))
+    best = F.min("rank")
     e = edges.withColumn("dir", directory(F.col("path")))
     file_ = s.groupBy("name", "path").agg(best.alias("in_file"))
     dir_ = s.groupBy("name", "dir").agg(best.alias("in_dir"))

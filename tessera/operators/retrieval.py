@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +31,21 @@ def bm25(index: DataFrame, query: list[str]) -> DataFrame:
     """(id, score) of documents with a query term.
 
     Only the query's terms leave the scan: frequencies are counted inside each row, so that the
-    sole shuffles are two aggregates of one row each.
+    sole shuffle is an aggregate of one row, whose few numbers become literals.
     """
-    counted = index.select("id", F.size("terms").alias("len"), *[F.size(F.filter("terms", lambda t, q=q: t == q)).alias(f"tf{i}") for i, q in enumerate(query)])
-    stats = counted.agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(query))])
-    one = counted.crossJoin(F.broadcast(stats))  # the right side is one row
+    def frequencies(terms: Column) -> Column:
+        times = lambda q: F.size(F.filter(terms, lambda t: t == F.lit(q)))
+        return F.struct(F.size(terms).alias("len"), *[times(q).alias(f"tf{i}") for i, q in enumerate(query)])
+
+    # a generator, so that Catalyst does not tokenize anew for each frequency
+    counted = index.select("id", F.inline(F.transform(F.array("terms"), frequencies)))
+    s = counted.agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(query))]).first()
     score = F.lit(0.0)
     for i in range(len(query)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))).otherwise(0.0)
-    return one.where(" OR ".join(f"tf{i} > 0" for i in range(len(query)))).select("id", score.alias("score"))
+        tf, df = F.col(f"tf{i}"), s[f"df{i}"] or 0
+        idf = math.log(1 + (s.n - df + 0.5) / (df + 0.5))
+        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / s.avg))).otherwise(0.0)
+    return counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(query)))).select("id", score.alias("score"))
 
 
 def boosted(name: Column, qualified: Column, query: str) -> Column:
