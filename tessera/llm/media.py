@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import stage, table
 
@@ -157,7 +158,8 @@ def sniff_media(media: DataFrame, *, media_col="media", declared_col="declared")
     carved lists further media inside as struct(kind, start, end). Null and empty bytes keep the
     declared type and carve nothing.
     """
-    schema = media.schema.add("media_type", "string").add("carved", "array<struct<kind:string,start:long,end:long>>")
+    more = StructType.fromDDL("media_type string, carved array<struct<kind:string,start:long,end:long>>")
+    schema = StructType([*media.schema.fields, *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = automaton()
