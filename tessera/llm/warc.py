@@ -67,13 +67,11 @@ def write_archive(pages: DataFrame, *, id_col="page_id", url_col="url", body_col
         line("Content-Length", F.when(first, F.col("bytes")).otherwise(0).cast("string")), F.lit(CRLF),
     )
     headers = stage(marked.select("row", "page_id", "digest", F.encode(header, "UTF-8").alias("header")), "warc-headers")
-    kept = marked.where(F.col("row") == F.col("top_row")).select(F.col("page_id").alias("top_id"), F.col("digest").alias("top_digest"))
-    bodies = pages.select(F.col(id_col).cast("long").alias("page_id"), body.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"tessera_payloads_{uuid.uuid4().hex}"
     (
-        bodies.join(kept, (F.col("digest") == F.col("top_digest")) & F.col("page_id").eqNullSafe(F.col("top_id")))
-        .select("digest", "payload").repartition(buckets, "digest").dropDuplicates(["digest"])
+        # equal digests are equal bytes: each task passes a payload on once, and one shuffle by digest deals the buckets
+        pages.select(body.alias("payload")).select(F.sha2("payload", 256).alias("digest"), "payload").dropDuplicates(["digest"])
         .write.bucketBy(buckets, "digest").option("compression", "zstd")
         .option("path", f"{shared_folder(spark)}/tessera/{name}").saveAsTable(name)
     )
