@@ -136,8 +136,10 @@ def mix_sources(
     sources = stage(source_targets(sizes, weights, share, cap, block), "sources")
     total = sources.agg(F.sum("n_slots")).first()[0] or 0
     counts = draw_slots(spark, sources, max(1, total), per_shard, seed)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slots = (
         counts.join(sources.select("sid", "n_blocks"), "sid")
+        .repartition(parts, "shard", "sid")  # the counts are few, the slots they stand for are not
         .withColumn("i", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
         .select("shard", "sid", permuted(F.col("i") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid")).alias("block"))
     )
