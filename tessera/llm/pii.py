@@ -232,10 +232,18 @@ def all_spans(text: str, base: list[Span], model: Model) -> list[Span]:
     return sorted(base + more)
 
 
-def train_model(docs: DataFrame, text_col="text", most=TRAIN_DOCS) -> Model:
-    """Fit on at most `most` documents that look like they hold matches, by a hash of the text."""
-    likely = docs.where(F.col(text_col).rlike("@[A-Za-z0-9]|[0-9]{3}")).select(F.col(text_col).alias("text"))
-    return train([r.text[:100_000] for r in likely.orderBy(F.xxhash64("text"), "text").limit(most).collect()])
+def train_model(docs: DataFrame, text_col="text", most=TRAIN_DOCS, looked_at=8, longest=100_000) -> Model:
+    """Fit on at most `most` documents that look like they hold matches.
+
+    They are sought among about `looked_at` times as many documents of at most `longest`
+    characters, a share that a hash of the text picks, so that what reaches the driver does not
+    grow with the input.
+    """
+    share = min(1.0, looked_at * most / max(1, docs.count()))
+    text = F.col(text_col)
+    picked = docs.select(text.alias("text")).where((F.length(text) <= longest) & (F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30))))
+    likely = picked.where(F.col("text").rlike("@[A-Za-z0-9]|[0-9]{3}"))
+    return train([r.text for r in likely.orderBy(F.xxhash64("text"), "text").limit(most).collect()])
 
 
 FIELDS = ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
