@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stage, table
+from .shared import shared_folder, stage, table
 from .textgrams import word_hashes
 
 #: Words that have ids of their own; a document's start is 0, every other word 1.
@@ -78,7 +79,9 @@ def count_trigrams(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
     def run(batches):
         yield from _counted(_trigram_keys(w, d, vocabulary) for batch in batches for _, _, w, d in word_hashes(batch.column(0)) if len(w))
 
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = texts.mapInArrow(run, "key long, n long").withColumn("tail", F.col("key").bitwiseAND(0xFFFFFFFF))
+    return found.repartition(parts, "tail").groupBy("tail", "key").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -108,6 +111,16 @@ def _kept(counts: DataFrame, entries: int) -> DataFrame:
     return counts.where(F.col("n") >= cut)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """A table in the shared folder of rows that already lie by `key`, which later aggregates need not shuffle."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"tessera_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tessera/{name}"
+    df.write.bucketBy(parts, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def train(texts: DataFrame, vocabulary=VOCABULARY, entries=ENTRIES) -> Model:
     """Fit the model on every text.
 
@@ -120,9 +133,8 @@ def train(texts: DataFrame, vocabulary=VOCABULARY, entries=ENTRIES) -> Model:
     types = vocab.count()
     top = vocab.orderBy(F.desc("n"), "key").limit(vocabulary).toPandas()
     words = np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
-    c3 = stage(count_trigrams(texts, words), "trigrams")
-    last, mid = F.col("key").bitwiseAND(0xFFFF), F.shiftright("key", 16)
-    c2 = stage(c3.groupBy(mid.bitwiseAND(0xFFFF).alias("b"), last.alias("c")).agg(F.count("*").alias("n")).withColumn("key", F.shiftleft("b", 16) + F.col("c")), "bigrams")
+    c3 = bucketed(count_trigrams(texts, words), "tail", "trigrams")
+    c2 = stage(c3.groupBy(F.col("tail").alias("key")).agg(F.count("*").alias("n")).withColumn("c", F.col("key").bitwiseAND(0xFFFF)), "bigrams")
     c1 = c2.groupBy("c").agg(F.count("*").alias("n")).toPandas()  # a row for each id
     n1 = np.zeros(len(words) + 2)
     n1[c1["c"]] = c1["n"]
@@ -130,22 +142,27 @@ def train(texts: DataFrame, vocabulary=VOCABULARY, entries=ENTRIES) -> Model:
     taken = np.minimum(n1, 0.75)
     unigrams = np.log((n1 - taken) / total + (taken.sum() / total or 1.0) / len(n1))
     spark = texts.sparkSession
-    p1 = spark.createDataFrame(list(enumerate(np.exp(unigrams).tolist())), "c long, lower double")
+    p1 = F.broadcast(spark.createDataFrame(list(enumerate(np.exp(unigrams).tolist())), "c long, lower double"))  # a row for each id
 
-    def order(counts: DataFrame, context: Column, lower: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    def order(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Kept n-grams with their own share p and what is left of their contexts."""
         d = _discounts(counts)
-        kept = _kept(counts, entries).withColumn("context", context)
-        sums = counts.withColumn("context", context).groupBy("context").agg(F.sum("n").alias("total"))
-        rows = kept.join(sums, "context").withColumn("p", (F.col("n") - _less(d)) / F.col("total"))
-        rest = rows.groupBy("context").agg((1 - F.sum("p")).alias("rest"))
-        full = rows.join(rest, "context").join(lower, on).select("key", (F.col("p") + F.col("rest") * F.col("lower")).alias("p"))
-        return stage(full, "order"), rest
-
-    full2, rest2 = order(c2, F.shiftright("key", 16), p1, "c")
-    lower1 = c2.select("b", "c").join(p1, "c")
-    lower1 = lower1.join(rest2.withColumnRenamed("context", "b"), "b", "left").select((F.shiftleft("b", 16) + F.col("c")).alias("tail"), (F.coalesce("rest", F.lit(1.0)) * F.col("lower")).alias("low"))
-    lower2 = lower1.join(full2.select(F.col("key").alias("tail"), "p"), "tail", "left").select("tail", F.coalesce("p", "low").alias("lower"))
-    full3, rest3 = order(c3.withColumn("tail", F.col("key").bitwiseAND(0xFFFFFFFF)), F.shiftright("key", 16), lower2, "tail")
+        kept = stage(_kept(counts, entries).withColumn("context", F.shiftright("key", 16)), "kept")
+        contexts = F.broadcast(kept.select("context").distinct())  # 8 bytes each, `entries` at most
+        sums = counts.withColumn("context", F.shiftright("key", 16)).join(contexts, "context").groupBy("context").agg(F.sum("n").alias("total"))
+        rows = stage(kept.join(sums, "context").withColumn("p", (F.col("n") - _less(d)) / F.col("total")), "shares")
+        return rows, stage(rows.groupBy("context").agg((1 - F.sum("p")).alias("rest")), "rests")
+
+    def whole(rows: DataFrame, rest: DataFrame, lower: DataFrame, on: str) -> DataFrame:
+        return stage(rows.join(rest, "context").join(lower, on).select("key", (F.col("p") + F.col("rest") * F.col("lower")).alias("p")), "order")
+
+    rows2, rest2 = order(c2)
+    full2 = whole(rows2, rest2, p1, "c")
+    rows3, rest3 = order(c3)
+    tails = rows3.select("tail").distinct().withColumn("c", F.col("tail").bitwiseAND(0xFFFF)).withColumn("context", F.shiftright("tail", 16))
+    lower = tails.join(full2.select(F.col("key").alias("tail"), "p"), "tail", "left").join(p1, "c").join(F.broadcast(rest2), "context", "left")
+    lower = lower.select("tail", F.coalesce("p", F.coalesce("rest", F.lit(1.0)) * F.col("lower")).alias("lower"))
+    full3 = whole(rows3, rest3, lower, "tail")
 
     def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         t = df.toArrow()
