@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, stage, table
-from .textgrams import word_hashes
+from .shared import stage, table
+from .textgrams import mixed, word_hashes
 
 #: Words that have ids of their own; a document's start is 0, every other word 1.
 VOCABULARY = 65_000
-#: N-grams of an order that scoring looks up at most, 12 bytes each: those of the highest counts.
-ENTRIES = 1_000_000
+#: N-grams that scoring looks up in place, 12 bytes each: those of the highest counts. The others are joined.
+ENTRIES = 4_000_000
+#: N-grams of a lower count than this are left to the order below, as is usual; all statistics count them.
+CUTOFF = 2
+#: Bits of the filter that spares requests for n-grams that the model doesn't hold; a fuller one only spares fewer.
+FILTER_BITS = 1 << 28
 #: Trusted ids that are broadcast (8 bytes each); beyond, the rows are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Distinct keys that a task gathers before it passes their counts on.
-GATHER = 1 << 20
+GATHER = 1 << 21
+#: Log probabilities are kept in whole millionths, so that sums don't depend on their order.
+SCALE = 1_000_000
+#: Marks of the keys of bigrams and of trigrams' contexts; a trigram's is id << 32 | id << 16 | id.
+BIGRAM, CONTEXT = 1 << 48, 1 << 49
+#: Kinds of rows of the counts.
+TRIGRAMS, BIGRAMS, TRIGRAM_LEVELS, BIGRAM_LEVELS, STARTS, ENDS, CONTEXTS = range(7)
 
 
 class Model(NamedTuple):
     words: np.ndarray  # sorted hashes of the vocabulary, ids from 2
-    log_types: float  # of words outside it
-    unigrams: np.ndarray  # log p by id
-    grams: dict[str, tuple[np.ndarray, np.ndarray]]  # bigram, trigram: log p; context1, context2: log of what is left
+    log_types: int  # of words outside it
+    ends: np.ndarray  # log p of a word, by id
+    rests: np.ndarray  # log of what a one-word context leaves to that, by id
+    heavy: tuple[np.ndarray, np.ndarray]  # sorted keys and their values, ENTRIES at most
+    filter: np.ndarray  # of the keys of light
+    light: DataFrame  # key, value: all others
 
 
 def _ids(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -38,25 +51,66 @@ def _ids(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.where(words[at] == hashes, at + 2, 1)
 
 
-def _counted(keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(key, n) of long keys, added up within the task as far as memory allows."""
-    held, waiting = [], 0
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
 
-    def flush() -> pa.RecordBatch:
-        k, n = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.bincount(n, np.concatenate([h[1] for h in held])).astype(np.int64))], ["key", "n"])
 
-    for part in keys:
-        held.append(np.unique(part, return_counts=True))
-        waiting += len(held[-1][0])
-        if waiting > GATHER:
-            full = flush()
-            held, waiting = [(full.column(0).to_numpy(), full.column(1).to_numpy())], full.num_rows
-            if waiting > GATHER // 2:
-                yield full
-                held, waiting = [], 0
-    if held:
-        yield flush()
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys as differences, then counts, byte by byte."""
+    both = np.concatenate((np.diff(keys, prepend=np.uint64(0)), n.astype(np.uint64)))
+    return zstandard.compress(both.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+    return np.cumsum(both[: len(both) // 2], dtype=np.uint64), both[len(both) // 2 :].astype(np.int64)
+
+
+def sharded_counts(texts: DataFrame, keys_of: Callable, derived: Callable, finish: Callable, schema: str) -> DataFrame:
+    """Count keys over all texts in shards by their low 32 bits.
+
+    keys_of(word hashes, documents) gives keys; derived(keys, n) what a task passes on for them;
+    finish(keys, n) turns a shard's counts into columns. Tasks add up before they send.
+    """
+    shards = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def sent(held: list) -> pa.RecordBatch:
+        keys, n = derived(*_summed(held))
+        shard = (mixed(keys & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=shards))
+        picked = [order[i:j] for i, j in zip(edges[:-1], edges[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([shard[p[0]] for p in picked], pa.int32()), pa.array([_packed(keys[p], n[p]) for p in picked], pa.binary())], ["shard", "counts"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            for _, _, words, doc in word_hashes(batch.column(0)):
+                held.append(np.unique(keys_of(words, doc).astype(np.uint64, copy=False), return_counts=True))
+                waiting += len(held[-1][0])
+                if waiting > GATHER:
+                    held = [_summed(held)]
+                    waiting = len(held[0][0])
+                    if waiting > GATHER // 2:
+                        yield sent(held)
+                        held, waiting = [], 0
+        if waiting:
+            yield sent(held)
+
+    def finished(rows: pa.Table) -> pa.Table:
+        return finish(*_summed([_unpacked(data.as_py()) for data in rows.column("counts")]))
+
+    return texts.mapInArrow(gather, "shard int, counts binary").groupBy("shard").applyInArrow(finished, schema)
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    def columns(keys, n):
+        return pa.table({"key": keys.view(np.int64), "n": n})
+
+    return sharded_counts(texts, lambda words, doc: words, lambda keys, n: (keys, n), columns, "key long, n long")
 
 
 def _trigram_keys(words: np.ndarray, doc: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
@@ -68,26 +122,45 @@ def _trigram_keys(words: np.ndarray, doc: np.ndarray, vocabulary: np.ndarray) ->
     return a << 32 | b << 16 | c
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    def run(batches):
-        yield from _counted(w.view(np.int64) for batch in batches for _, _, w, _ in word_hashes(batch.column(0)) if len(w))
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def count_trigrams(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    def run(batches):
-        yield from _counted(_trigram_keys(w, d, vocabulary) for batch in batches for _, _, w, d in word_hashes(batch.column(0)) if len(w))
-
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.mapInArrow(run, "key long, n long").withColumn("tail", F.col("key").bitwiseAND(0xFFFFFFFF))
-    return found.repartition(parts, "tail").groupBy("tail", "key").agg(F.sum("n").alias("n"))
+def count_ngrams(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(kind, key, n, below): trigrams with their bigram's count, bigrams and single words by
+    distinct left neighbours, contexts by occurrences, and how many n-grams have the counts 1 to 4.
 
+    A shard holds all trigrams of a bigram, and so knows its distinct left neighbours.
+    """
 
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
+    def derived(keys, n):
+        contexts, back = np.unique(keys >> np.uint64(16), return_inverse=True)
+        return np.concatenate((keys, contexts | np.uint64(CONTEXT))), np.concatenate((n, np.bincount(back, n, len(contexts)).astype(np.int64)))
+
+    def columns(keys, n):
+        keys = keys.astype(np.int64)
+        of, total = keys[keys >= CONTEXT], n[keys >= CONTEXT]
+        keys, n = keys[keys < CONTEXT], n[keys < CONTEXT]
+        tails, back, left = np.unique(keys & 0xFFFFFFFF, return_inverse=True, return_counts=True)
+        starts, at = np.unique(tails >> 16, return_inverse=True)
+        ends, ends_n = np.unique(tails & 0xFFFF, return_counts=True)
+        levels = np.arange(1, 5)
+        parts = [
+            (TRIGRAMS, keys[n >= CUTOFF], n[n >= CUTOFF], left[back][n >= CUTOFF]),
+            (BIGRAMS, tails[left >= CUTOFF], left[left >= CUTOFF], None),
+            (TRIGRAM_LEVELS, levels, (n[:, None] == levels).sum(0), None),
+            (BIGRAM_LEVELS, levels, (left[:, None] == levels).sum(0), None),
+            (STARTS, starts, np.bincount(at, left, len(starts)), None),
+            (ENDS, ends, ends_n, None),
+            (CONTEXTS, of[total >= CUTOFF] - CONTEXT, total[total >= CUTOFF], None),
+        ]
+        kind = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
+        below = [np.zeros(len(p[1])) if p[3] is None else p[3] for p in parts]
+        whole = [np.concatenate(x).astype(np.int64) for x in ([p[1] for p in parts], [p[2] for p in parts], below)]
+        return pa.table(dict(zip(("kind", "key", "n", "below"), (kind, *whole))))
+
+    return sharded_counts(texts, lambda words, doc: _trigram_keys(words, doc, vocabulary), derived, columns, "kind int, key long, n long, below long")
+
+
+def _discounts(levels: dict[int, int]) -> tuple[float, float, float]:
     """D1, D2 and D3+ from how many n-grams have the counts 1 to 4."""
-    n = counts.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (float(x or 0) for x in n)
+    n1, n2, n3, n4 = (float(levels.get(k, 0)) for k in (1, 2, 3, 4))
     if not (n1 and n2 and n3):
         return 0.5, 0.5, 0.5
     y = n1 / (n1 + 2 * n2)
@@ -95,12 +168,12 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
 
 
-def _less(d: tuple[float, float, float]) -> Column:
-    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+def _less(n: str, d: tuple[float, float, float]) -> Column:
+    return F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
 
 
-def _kept(counts: DataFrame, entries: int) -> DataFrame:
-    """Those of the highest counts, `entries` at most: a cut that all of a count fall on one side of."""
+def _level(counts: DataFrame, entries: int) -> int:
+    """A count that `entries` n-grams at most have or exceed."""
     level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
     seen, cut = 0, 2**62
     for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("of")).collect(), reverse=True):
@@ -108,109 +181,141 @@ def _kept(counts: DataFrame, entries: int) -> DataFrame:
         if seen > entries:
             break
         cut = row.level
-    return counts.where(F.col("n") >= cut)
+    return cut
+
+
+def _bit(keys: np.ndarray) -> np.ndarray:
+    return mixed(keys.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """A table in the shared folder of rows that already lie by `key`, which later aggregates need not shuffle."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"tessera_{name}_{uuid.uuid4().hex}"
-    path = f"{shared_folder(spark)}/tessera/{name}"
-    df.write.bucketBy(parts, key).sortBy(key).option("compression", "zstd").option("path", path).saveAsTable(name)
-    return spark.table(name)
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A bit for each key, FILTER_BITS at any number of keys."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.unique(_bit(batch.column(0).to_numpy()))
+            word, back = np.unique(bit >> np.uint64(6), return_inverse=True)
+            held = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(held, back, np.uint64(1) << (bit & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(held.view(np.int64))], ["word", "bits"])
+
+    found = keys.mapInArrow(bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out.view(np.uint64)
 
 
 def train(texts: DataFrame, vocabulary=VOCABULARY, entries=ENTRIES) -> Model:
     """Fit the model on every text.
 
-    N-gram counts lie in shards by hash; the discounted counts of an order meet their context's
-    total and the order below in joins on these shards. Lower orders count distinct left
-    neighbours. What discounts and n-grams beyond `entries` leave of a context goes to the order
-    below, so that probabilities add up to one.
+    N-gram counts lie in shards; the discounted counts of trigrams meet their context's total in
+    a join. What discounts and n-grams under CUTOFF leave of a context goes to the order below, so
+    that probabilities add up to one. A word's log probability is a sum: that of its one-word
+    back-off, and what its bigram, its trigram's context and its trigram change if the model holds them.
     """
+    spark = texts.sparkSession
     vocab = stage(count_words(texts), "words")
     types = vocab.count()
-    top = vocab.orderBy(F.desc("n"), "key").limit(vocabulary).toPandas()
-    words = np.sort(top["key"].to_numpy(np.int64).view(np.uint64))
-    c3 = bucketed(count_trigrams(texts, words), "tail", "trigrams")
-    c2 = stage(c3.groupBy(F.col("tail").alias("key")).agg(F.count("*").alias("n")).withColumn("c", F.col("key").bitwiseAND(0xFFFF)), "bigrams")
-    c1 = c2.groupBy("c").agg(F.count("*").alias("n")).toPandas()  # a row for each id
-    n1 = np.zeros(len(words) + 2)
-    n1[c1["c"]] = c1["n"]
-    total = max(1.0, n1.sum())
-    taken = np.minimum(n1, 0.75)
-    unigrams = np.log((n1 - taken) / total + (taken.sum() / total or 1.0) / len(n1))
-    spark = texts.sparkSession
-    p1 = F.broadcast(spark.createDataFrame(list(enumerate(np.exp(unigrams).tolist())), "c long, lower double"))  # a row for each id
-
-    def order(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Kept n-grams with their own share p and what is left of their contexts."""
-        d = _discounts(counts)
-        kept = stage(_kept(counts, entries).withColumn("context", F.shiftright("key", 16)), "kept")
-        contexts = F.broadcast(kept.select("context").distinct())  # 8 bytes each, `entries` at most
-        sums = counts.withColumn("context", F.shiftright("key", 16)).join(contexts, "context").groupBy("context").agg(F.sum("n").alias("total"))
-        rows = stage(kept.join(sums, "context").withColumn("p", (F.col("n") - _less(d)) / F.col("total")), "shares")
-        return rows, stage(rows.groupBy("context").agg((1 - F.sum("p")).alias("rest")), "rests")
-
-    def whole(rows: DataFrame, rest: DataFrame, lower: DataFrame, on: str) -> DataFrame:
-        return stage(rows.join(rest, "context").join(lower, on).select("key", (F.col("p") + F.col("rest") * F.col("lower")).alias("p")), "order")
-
-    rows2, rest2 = order(c2)
-    full2 = whole(rows2, rest2, p1, "c")
-    rows3, rest3 = order(c3)
-    tails = rows3.select("tail").distinct().withColumn("c", F.col("tail").bitwiseAND(0xFFFF)).withColumn("context", F.shiftright("tail", 16))
-    lower = tails.join(full2.select(F.col("key").alias("tail"), "p"), "tail", "left").join(p1, "c").join(F.broadcast(rest2), "context", "left")
-    lower = lower.select("tail", F.coalesce("p", F.coalesce("rest", F.lit(1.0)) * F.col("lower")).alias("lower"))
-    full3 = whole(rows3, rest3, lower, "tail")
-
-    def arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        t = df.toArrow()
-        key, value = t.column(0).to_numpy(), t.column(1).to_numpy()
-        o = np.argsort(key)
-        return key[o], np.log(np.maximum(value[o], 1e-12)).astype(np.float32)
-
-    grams = {"bigram": arrays(full2), "trigram": arrays(full3), "context1": arrays(rest2), "context2": arrays(rest3)}
-    return Model(words, float(np.log(max(1, types - len(words)))), unigrams, grams)
-
-
-def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table[0]):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    return table[0][at] == keys, table[1][at].astype(np.float64)
-
-
-def log_probabilities(keys: np.ndarray, model: Model) -> np.ndarray:
-    """log p of each trigram key's last word; an unknown word shares its id's mass with its kind."""
-    keys, back = np.unique(keys, return_inverse=True)
-    hit3, p3 = _find(model.grams["trigram"], keys)
-    has2, left2 = _find(model.grams["context2"], keys >> 16)
-    hit2, p2 = _find(model.grams["bigram"], keys & 0xFFFFFFFF)
-    has1, left1 = _find(model.grams["context1"], keys >> 16 & 0xFFFF)
-    c = keys & 0xFFFF
-    low = np.where(hit2, p2, np.where(has1, left1, 0) + model.unigrams[c])
-    p = np.where(hit3, p3, np.where(has2, left2, 0) + low)
-    return (p - np.where(c == 1, model.log_types, 0))[back]
+    words = np.sort(vocab.orderBy(F.desc("n"), "key").limit(vocabulary).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+    counts = stage(count_ngrams(texts, words), "counts")
+    of = lambda kind: counts.where(F.col("kind") == kind)
+    few = counts.where(F.col("kind").between(TRIGRAM_LEVELS, ENDS)).groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()  # two rows for each id
+    by = {kind: {r.key: r.n for r in few if r.kind == kind} for kind in range(TRIGRAM_LEVELS, CONTEXTS)}
+    d3, d2 = _discounts(by[TRIGRAM_LEVELS]), _discounts(by[BIGRAM_LEVELS])
+    ends, starts, shares = np.zeros(len(words) + 2), np.ones(len(words) + 2), np.zeros(len(words) + 2)
+    for name, array in ((ENDS, ends), (STARTS, starts)):
+        for k, n in by[name].items():
+            array[k] = n
+    for r in of(BIGRAMS).groupBy(F.shiftright("key", 16).alias("b")).agg(F.sum(F.col("n") - _less("n", d2)).alias("share")).collect():  # a row for each id
+        shares[r.b] = r.share
+    total = max(1.0, ends.sum())
+    taken = np.minimum(ends, 0.75)
+    ends = (ends - taken) / total + (taken.sum() / total or 1.0) / len(ends)
+    rests = 1 - shares / starts
+    per_id = spark.createDataFrame(list(zip(range(len(ends)), ends.tolist(), rests.tolist(), starts.tolist())), "id long, end double, rest1 double, start double")
+    last = F.broadcast(per_id.select(F.col("id").alias("c"), "end"))
+    first = F.broadcast(per_id.select(F.col("id").alias("b"), "rest1", "start"))
+
+    def lower(rows: DataFrame, n: str) -> DataFrame:
+        """Adds low, the one-word back-off, and p2, the bigram's probability."""
+        ids = rows.withColumn("c", F.col("key").bitwiseAND(0xFFFF)).withColumn("b", F.shiftright("key", 16).bitwiseAND(0xFFFF))
+        share = F.when(F.col(n) >= CUTOFF, (F.col(n) - _less(n, d2)) / F.col("start")).otherwise(0.0)
+        return ids.join(last, "c").join(first, "b").withColumn("low", F.col("rest1") * F.col("end")).withColumn("p2", share + F.col("low"))
+
+    def whole(x: Column) -> Column:
+        return F.round(F.log(x) * SCALE).cast("int")
+
+    pairs = lower(of(BIGRAMS), "n").select((F.col("key") + BIGRAM).alias("key"), "n", whole(F.col("p2") / F.col("low")).alias("value"))
+    contexts = of(CONTEXTS).select(F.col("key").alias("context"), F.col("n").alias("total"))
+    triples = of(TRIGRAMS).select("key", "n", "below", F.shiftright("key", 16).alias("context")).join(contexts, "context")
+    mine = Window.partitionBy("context")
+    triples = triples.withColumn("share", (F.col("n") - _less("n", d3)) / F.col("total")).withColumn("rest", 1 - F.sum("share").over(mine))
+    triples = lower(triples.withColumn("first", F.row_number().over(mine.orderBy("key")) == 1), "below")
+    change = whole((F.col("share") + F.col("rest") * F.col("p2")) / (F.col("rest") * F.col("p2")))
+    both = F.array(
+        F.struct("key", "n", change.alias("value")),
+        F.struct(F.when(F.col("first"), F.col("context") + CONTEXT).alias("key"), F.col("total").alias("n"), whole(F.col("rest")).alias("value")),
+    )
+    values = stage(pairs.unionByName(triples.select(F.inline(both)).where("key IS NOT NULL")), "values")
+    cut = _level(values, entries)
+    top = values.where(F.col("n") >= cut).select("key", "value").toArrow()  # `entries` at most
+    keys, value = top.column(0).to_numpy(), top.column(1).to_numpy()
+    order = np.argsort(keys)
+    light = values.where(F.col("n") < cut).select("key", "value")
+    logs = [np.round(np.log(x) * SCALE) for x in (ends, rests)]
+    return Model(words, round(float(np.log(max(1, types - len(words)))) * SCALE), *logs, (keys[order], value[order]), key_filter(light.select("key")), light)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, lang, trusted: held out, text) with n_words and log_perplexity (null without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # under 12 bytes * 4 * ENTRIES and the vocabulary
+    """docs (doc_id, lang, trusted: held out, text) with n_words and log_perplexity (null without words).
+
+    A document's heavy n-grams are looked up in place; the others go as (document, key) requests to
+    the shards of the model and come back as one sum for each document.
+    """
+    small = model._replace(light=None)
+    shared = docs.sparkSession.sparkContext.broadcast(small)  # 12 * ENTRIES + FILTER_BITS / 8 bytes and the vocabulary at most
+
+    def look_up(keys: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Values of keys, and which of them to ask for."""
+        own, back = np.unique(keys, return_inverse=True)
+        value, hit = np.zeros(len(own)), np.zeros(len(own), bool)
+        if len(m.heavy[0]):
+            at = np.minimum(np.searchsorted(m.heavy[0], own), len(m.heavy[0]) - 1)
+            hit = m.heavy[0][at] == own
+            value = np.where(hit, m.heavy[1][at], 0)
+        bit = _bit(own)
+        ask = ~hit & (m.filter[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return value[back], ask[back]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for _, _, words, doc in word_hashes(batch.column(3)):
-                if len(words):
-                    p = log_probabilities(_trigram_keys(words, doc, m.words), m)
-                    n += np.bincount(doc, minlength=batch.num_rows)
-                    total += np.bincount(doc, p, batch.num_rows)
-            ppl = pa.array(np.where(n > 0, -total / np.maximum(n, 1), 0), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), ppl], ["doc_id", "lang", "trusted", "n_words", "log_perplexity"])
-
-    return docs.mapInArrow(run, "doc_id long, lang string, trusted boolean, n_words long, log_perplexity double")
+            rows = batch.num_rows
+            n, total, asked = np.zeros(rows, np.int64), np.zeros(rows), []
+            for _, _, words, doc in word_hashes(batch.column(4)):
+                if not len(words):
+                    continue
+                keys = _trigram_keys(words, doc, m.words)
+                b, c = keys >> 16 & 0xFFFF, keys & 0xFFFF
+                logs = m.ends[c] + m.rests[b] - np.where(c == 1, m.log_types, 0)
+                for kind in (keys, keys & 0xFFFFFFFF | BIGRAM, keys >> 16 | CONTEXT):
+                    value, ask = look_up(kind, m)
+                    logs += value
+                    asked.append((doc[ask], kind[ask]))
+                n += np.bincount(doc, minlength=rows)
+                total += np.bincount(doc, logs, rows)
+            of = np.concatenate([a[0] for a in asked]) if asked else np.zeros(0, np.int64)
+            order = np.argsort(of, kind="stable")
+            edges = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=rows)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([a[1] for a in asked])[order] if asked else of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n), pa.array(total.astype(np.int64)), lists], ["rid", "doc_id", "lang", "trusted", "n_words", "total", "asked"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "lang", "trusted", "text")
+    rows = stage(rows.mapInArrow(run, "rid long, doc_id long, lang string, trusted boolean, n_words long, total long, asked array<long>"), "asked")
+    requests = rows.select("rid", F.explode("asked").alias("key"))
+    found = requests.join(model.light, "key").groupBy("rid").agg(F.sum("value").alias("found"))
+    mean = -(F.col("total") + F.coalesce("found", F.lit(0))) / SCALE / F.col("n_words")
+    return rows.drop("asked").join(found, "rid", "left").select("doc_id", "lang", "trusted", "n_words", F.when(F.col("n_words") > 0, mean).alias("log_perplexity"))
 
 
 def quantile_by_language(scored: DataFrame, level: float) -> DataFrame:

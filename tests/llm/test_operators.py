@@ -275,13 +275,54 @@ def test_quality(spark, none):
     assert quality.classify(table, labels.limit(0)).where("keep").count() == 126
 
 
-def test_quality_probabilities_sum_to_one(spark):
-    model = quality.train(spark.createDataFrame([(prose(i % 5, 60),) for i in range(9)], "text string"), vocabulary=30, entries=60)
-    for a, b in ((0, 0), (0, 3), (2, 3), (1, 1)):
-        keys = np.array([a << 32 | b << 16 | c for c in range(1, len(model.words) + 2)])
-        p = np.exp(quality.log_probabilities(keys, model._replace(log_types=0.0))).sum()
-        start = np.exp(quality.log_probabilities(np.array([a << 32 | b << 16]), model))[0]
-        assert abs(p + start - 1) < 1e-3
+def perplexities(texts, scored):
+    """Log perplexity under an interpolated modified Kneser-Ney model, from plain dictionaries."""
+    from collections import Counter
+
+    def grams(text):
+        ids = [names.get(w, 1) for w in text.lower().split()]
+        return list(zip([0, 0, *ids], [0, *ids], ids))
+
+    seen = Counter(w for t in texts for w in t.lower().split())
+    names = {w: k for k, w in enumerate(seen, 2)}
+    c3 = Counter(g for t in texts for g in grams(t))
+    c2, c1 = Counter(g[1:] for g in c3), Counter()
+    for _, c in c2:
+        c1[c] += 1
+
+    def level(counts, d, n_of):
+        total, share = Counter(), Counter()
+        for g, n in n_of.items():
+            total[g[:-1]] += n
+            share[g[:-1]] += n - d[min(n, 3) - 1] if n >= quality.CUTOFF else 0
+        return total, share
+
+    d3, d2 = (quality._discounts({k: list(c.values()).count(k) for k in (1, 2, 3, 4)}) for c in (c3, c2))
+    (t3, s3), (t2, s2) = level(c3, d3, c3), level(c2, d2, c2)
+    size, total = len(names) + 2, sum(c1.values())
+
+    def p(a, b, c):
+        low = (c1[c] - min(c1[c], 0.75)) / total + sum(min(n, 0.75) for n in c1.values()) / total / size
+        for n, d, t, s in ((c2[b, c], d2, t2[b,], s2[b,]), (c3[a, b, c], d3, t3[a, b], s3[a, b])):
+            low = ((n - d[min(n, 3) - 1]) / t if n >= quality.CUTOFF else 0) + (1 - s / t if t else 1) * low
+        return low
+
+    for a, b in ((0, 0), (0, 3), (2, 3)):
+        assert abs(sum(p(a, b, c) for c in range(size)) - 1) < 1e-9
+    return [-np.mean([np.log(p(*g)) for g in grams(t)]) if t and t.split() else None for t in scored]
+
+
+@pytest.mark.parametrize("entries", [0, 60, 10**6])
+def test_quality_scores_equal_brute_force(spark, entries):
+    texts = [prose(i % 5, 60 + i) for i in range(9)]
+    scored = [*texts, prose(77, 300), "never seen words", None, "", prose(3, 50), prose(3, 50)]
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"), entries=entries)
+    rows = [(k, "en", False, t) for k, t in enumerate(scored)]
+    got = quality.score(spark.createDataFrame(rows, "doc_id long, lang string, trusted boolean, text string"), model).collect()
+    got = {r.doc_id: r.log_perplexity for r in got}
+    assert len(got) == len(scored)
+    for k, want in enumerate(perplexities(texts, scored)):
+        assert got[k] is None if want is None else abs(got[k] - want) < 1e-4
 
 
 def test_shingles_do_not_depend_on_segments():
