@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from .shared import stage, table
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
-#: Words that a worker keeps the ids of; the cache starts anew beyond it.
-CACHED_WORDS = 250_000
+#: Words that a worker keeps the ids of, about 200 bytes each; the cache starts anew beyond it.
+CACHED_WORDS = 1_000_000
 
 
 def tokenizer_path() -> str:
@@ -45,11 +46,17 @@ class WordCoder:
             fresh = list(set(words))
         for at in range(0, len(fresh), 10_000):
             part = fresh[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 known[w] = np.asarray(e.ids, "<u4").tobytes()
         return b"".join(map(known.__getitem__, words))
 
 
+@functools.lru_cache(1)
+def worker_coder(path: str) -> WordCoder:
+    """One for all tasks of a worker, so that they share the known words."""
+    return WordCoder(path)
+
+
 def tokenize_pieces(docs: DataFrame, *, id_col="doc_id", text_col="text", path: str | None = None, most=2048, end_id=0) -> DataFrame:
     """Each document's ids and the end id, in pieces of at most `most`: PIECE columns."""
     path, last = path or tokenizer_path(), np.asarray([end_id], "<u4").tobytes()
@@ -58,7 +65,7 @@ def tokenize_pieces(docs: DataFrame, *, id_col="doc_id", text_col="text", path:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = WordCoder(path)
+        coder = worker_coder(path)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for doc_id, text in zip(ids, batch.column(1)):
