@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -52,20 +53,20 @@ class WordCoder:
 
 
 @functools.lru_cache(1)
-def worker_coder(path: str) -> WordCoder:
-    """One for all tasks of a worker, so that they share the known words."""
+def worker_coder(path: str, job: str) -> WordCoder:
+    """One for all of a job's tasks in a worker, so that they share the known words; each job begins anew."""
     return WordCoder(path)
 
 
 def tokenize_pieces(docs: DataFrame, *, id_col="doc_id", text_col="text", path: str | None = None, most=2048, end_id=0) -> DataFrame:
     """Each document's ids and the end id, in pieces of at most `most`: PIECE columns."""
-    path, last = path or tokenizer_path(), np.asarray([end_id], "<u4").tobytes()
+    path, job, last = path or tokenizer_path(), uuid.uuid4().hex, np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = worker_coder(path)
+        coder = worker_coder(path, job)
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), []
             for doc_id, text in zip(ids, batch.column(1)):
