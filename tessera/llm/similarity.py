@@ -1,10 +1,9 @@
-"""N-gram Jaccard join: T-occurrence search with DivideSkip over rare-first candidate clusters."""
+"""N-gram Jaccard join: T-occurrence search with DivideSkip over clusters of sets that share a partition key."""
 
 from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,58 +13,59 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import stage, table
-from .textgrams import shingle_sets
+from .textgrams import mixed, shingle_sets
 
-#: Counters that estimate how common a shingle is (4 bytes each), and in how many parts they travel.
-COUNTERS, CHUNKS = 1 << 20, 64
+#: Each level of sizes reaches this much further than the one below it; classes of a level, to the differences it allows.
+LEVEL, CLASSES = 1.3, 1.25
 #: Shingles in one block of a candidate cluster; larger clusters are joined block by block.
 BLOCK_SHINGLES = 2_000_000
 
 
-def common_counts(docs: DataFrame, n: int) -> bytes:
-    """How often shingles fall on each counter, over all documents: COUNTERS int32, a fixed size."""
-    width = COUNTERS // CHUNKS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(COUNTERS, np.int32)
-        for batch in batches:
-            for grams in shingle_sets(batch.column(0), n):
-                np.add.at(seen, grams & np.uint64(COUNTERS - 1), 1)
-        parts = [(k, zlib.compress(seen[k * width : (k + 1) * width].tobytes(), 1)) for k in range(CHUNKS) if seen[k * width : (k + 1) * width].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["chunk", "counts"])
-
-    def add(key, rows):
-        total = np.zeros(width, np.int64)
-        for data in rows["counts"]:
-            total += np.frombuffer(zlib.decompress(data), np.int32)
-        return rows.iloc[:1].assign(counts=[np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()])
-
-    schema = "chunk int, counts binary"
-    sums = docs.select("text").mapInArrow(count, schema).groupBy("chunk").applyInPandas(add, schema).collect()
-    whole = np.zeros((CHUNKS, width), np.int32)
-    for row in sums:
-        whole[row.chunk] = np.frombuffer(row.counts, np.int32)
-    return whole.tobytes()
-
-
 def needed(n: int, percent: int) -> int:
     """The least overlap with a set of n shingles that the similarity allows."""
     return -(-percent * n // 100)
 
 
-def signatures(docs: DataFrame, n: int, percent: int, counts: bytes) -> DataFrame:
-    """doc_id, size, key (of the whole set) and the short lists' shingles: n - T + 1, rarest first."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 4 MiB, always
+def partition_keys(grams: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of which two sets of at least this similarity share one, by the pigeonhole principle.
+
+    Sizes fall into levels that overlap, so that any two similar sets are in one of them. A level
+    deals shingles to more classes than its pairs can have differences; some classes of a pair
+    are then equal as a whole. The content of a class and its level make a key. Classes of few
+    shingles, which unlike sets share by chance, are left out as far as the surplus allows: a set
+    keeps those of `least` or more; of two sets, the greater `least` holds for both.
+    """
+    n, keys = len(grams), []
+    ratio = (100 - percent) / (100 + percent)
+    level = max(0, math.floor(math.log(max(1, n) * percent / 100, LEVEL)) - 1)
+    while n and LEVEL**level <= n:
+        high = math.floor(LEVEL ** (level + 1) * 100 / percent + 1e-6)
+        if n <= high:
+            classes = math.ceil(2 * high * ratio * CLASSES) + 1
+            apart = math.floor((n + min(high, n * 100 / percent)) * ratio + 1e-6)
+            at = (mixed(grams ^ np.uint64(level + 1)) % np.uint64(classes)).astype(np.int64)
+            order, counts = np.argsort(at, kind="stable"), np.bincount(at, minlength=classes)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(grams[order]))))
+            ends = np.cumsum(counts)
+            content = sums[ends] - sums[ends - counts]
+            fewer = np.concatenate(([0], np.cumsum(np.bincount(counts))))
+            least = int(np.flatnonzero(fewer <= classes - apart - 1)[-1])
+            kept = np.flatnonzero(counts >= least)
+            keys.append(mixed(mixed(content[kept] + kept.astype(np.uint64)) + np.uint64(level)))
+        level += 1
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+
+
+def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, size, key (of the whole set) and head: the set's partition keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(shared.value, np.int32)
         for batch in batches:
             sizes, keys, heads = [], [], []
             for grams in shingle_sets(batch.column(1), n):
-                order = np.lexsort((grams, seen[grams & np.uint64(COUNTERS - 1)]))
                 sizes.append(len(grams))
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                heads.append(grams[order[: len(grams) - needed(len(grams), percent) + 1 if len(grams) else 0]].view(np.int64))
+                heads.append(partition_keys(grams, percent).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
                 ["doc_id", "size", "key", "head"],
@@ -131,7 +131,7 @@ def divide_skip(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> tupl
 def _clusters(signed: DataFrame, percent: int) -> DataFrame:
     """(rid, cluster, task, side) of the sets that may have links.
 
-    Linked sets share a shingle of their short lists. Within a list by size, a set more than the
+    Linked sets share a partition key. Within a list by size, a set more than the
     similarity allows above the one before it begins a new run; members of a run go to the run's
     first. Clusters of that graph hold every link; large ones are cut into blocks by size.
     """
@@ -170,8 +170,7 @@ def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text", wor
     null; repeated rows are copies; an empty table gives no rows; other columns don't matter.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = common_counts(docs, words)
-    signed = stage(signatures(docs, words, percent, counts).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    signed = stage(signatures(docs, words, percent).withColumn("rid", F.monotonically_increasing_id()), "signatures")
     members = stage(_clusters(signed, percent), "members")
     texts = docs.join(members, docs.doc_id.eqNullSafe(members.doc_id)).select("task", "side", "rid", "key", "cluster", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
