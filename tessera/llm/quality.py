@@ -267,7 +267,7 @@ def train(texts: DataFrame, vocabulary=VOCABULARY, entries=ENTRIES) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, lang, trusted: held out, text) with n_words and log_perplexity (null without words).
+    """docs (doc_id, lang, trusted: the label of those held out, text) with n_words and log_perplexity (null without words).
 
     A document's heavy n-grams are looked up in place; the others go as (document, key) requests to
     the shards of the model and come back as one sum for each document.
@@ -318,44 +318,58 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.drop("asked").join(found, "rid", "left").select("doc_id", "lang", "trusted", "n_words", F.when(F.col("n_words") > 0, mean).alias("log_perplexity"))
 
 
-def quantile_by_language(scored: DataFrame, level: float) -> DataFrame:
-    """(lang, bar): the level's quantile of held-out documents' log perplexity, and of all languages under null.
+def bars_by_language(scored: DataFrame, level: float, least: int) -> DataFrame:
+    """(lang, bar): the log perplexity that best parts held-out documents by label, and of all languages under null.
 
-    Counts by bins of 0.001 stand for the values, so that any number of rows gives one answer.
+    Of the bars between two values, that with the largest share of rejected documents of quality 0
+    (trusted false) less the share of rejected good ones (trusted true). Where none is better than
+    chance, or without quality 0, the `level` quantile of the good ones. A language with fewer than
+    `least` documents of either quality has no bar of its own. Counts by bins of 0.001 stand for
+    the values, so that any number of rows gives one answer.
     """
-    rows = scored.where("trusted AND log_perplexity IS NOT NULL").withColumn("bin", F.ceil(F.col("log_perplexity") * 1000))
-    both = rows.select("lang", "bin").where("lang IS NOT NULL").unionByName(rows.select(F.lit(None).cast("string").alias("lang"), "bin"))
-    counts = both.groupBy("lang", "bin").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("bin"))
-    share = upto / F.sum("n").over(Window.partitionBy("lang"))
-    return counts.withColumn("share", share).where(F.col("share") >= level).groupBy("lang").agg((F.min("bin") / 1000).alias("bar"))
-
-
-def classify(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", level=0.998, margin=0.25, held=10) -> DataFrame:
+    rows = scored.where("trusted IS NOT NULL AND log_perplexity IS NOT NULL").select("lang", "trusted", F.ceil(F.col("log_perplexity") * 1000).alias("bin"))
+    both = rows.where("lang IS NOT NULL").unionByName(rows.withColumn("lang", F.lit(None).cast("string")))
+    counts = both.groupBy("lang", "bin").agg(F.count_if("trusted").alias("good"), F.count_if(~F.col("trusted")).alias("bad"))
+    mine = Window.partitionBy("lang")
+    upto, ahead = mine.orderBy("bin"), F.lead("bin").over(mine.orderBy("bin"))
+    for kind in ("good", "bad"):
+        counts = counts.withColumn(f"{kind}s", F.sum(kind).over(mine)).withColumn(f"{kind}_kept", F.sum(kind).over(upto))
+    counts = counts.withColumn("ahead", F.coalesce(ahead, "bin"))
+    counts = counts.where(F.col("goods") > 0).where(F.col("lang").isNull() | (F.least("goods", "bads") >= least))
+    parted = F.col("good_kept") * F.col("bads") - F.col("bad_kept") * F.col("goods")
+    best = F.max(F.struct(parted.alias("parted"), (-F.col("bin")).alias("lower"), "ahead"))
+    quantile = F.min(F.when(F.col("good_kept") >= level * F.col("goods"), F.col("bin")))
+    found = counts.groupBy("lang").agg(best.alias("best"), quantile.alias("quantile"))
+    middle = (F.col("best.ahead") - F.col("best.lower")) / 2
+    return found.select("lang", (F.when(F.col("best.parted") > 0, middle).otherwise(F.col("quantile")) / 1000).alias("bar"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", level=0.95, least=10, held=10) -> DataFrame:
     """Judge documents by their perplexity under a model of trusted text (labels of quality 1).
 
-    One trusted document in `held`, by a hash of its id, is held out of training. A document is
-    kept while its log perplexity is at most `margin` above the `level` quantile of the held-out
-    documents of its language; a language without any, or null, takes the quantile of all.
-    Without any held-out document everything with words is kept.
+    One trusted document in `held`, by a hash of its id, is held out of training; those labelled
+    0 are never in it. A document is kept while its log perplexity is at most the bar that best
+    parts the held-out good from the bad of its language (see bars_by_language); a language with
+    few of either, or null, takes the bar of all. Without any good held-out document everything
+    with words is kept.
 
     Returns doc_id, n_words, log_perplexity, bar, keep. Null or wordless text has no perplexity
-    and is not kept; labels of null quality or id don't count, an id labelled both ways is not
-    trusted; rows that repeat are judged alike; an empty table gives no rows.
+    and is not kept; labels of null quality or id don't count, an id labelled both ways is
+    neither; rows that repeat are judged alike; an empty table gives no rows.
     """
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"))
-    good = stage(good.where("q = 1").select("doc_id", F.lit(True).alias("trusted")), "trusted")
-    if good.count() <= BROADCAST_IDS:
-        good = F.broadcast(good)
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("quality").alias("most"))
+    known = stage(known.where("q = most AND q IN (0, 1)").select("doc_id", (F.col("q") == 1).alias("trusted")), "known")
+    if known.count() <= BROADCAST_IDS:
+        known = F.broadcast(known)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(held)) == 0
-    model = train(rows.join(good, "doc_id").where(~aside).select("text"))
-    marked = rows.join(good.where(aside), "doc_id", "left")
-    scored = stage(score(marked.select("doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), "text"), model), "scored")
-    bars = quantile_by_language(scored, level)
+    model = train(rows.join(known.where("trusted"), "doc_id").where(~aside).select("text"))
+    marked = rows.join(known.where(aside | ~F.col("trusted")), "doc_id", "left")
+    scored = stage(score(marked.select("doc_id", "lang", "trusted", "text"), model), "scored")
+    bars = stage(bars_by_language(scored, level, least), "bars")
     whole = bars.where("lang IS NULL").select(F.col("bar").alias("any"), F.lit(1).alias("one"))
-    judged = scored.join(bars.where("lang IS NOT NULL"), "lang", "left").withColumn("one", F.lit(1)).join(whole, "one", "left")
-    bar = F.coalesce("bar", "any", F.lit(float("inf"))) + margin
+    judged = scored.join(F.broadcast(bars.where("lang IS NOT NULL")), "lang", "left").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one", "left")
+    bar = F.coalesce("bar", "any", F.lit(float("inf")))
     return judged.select("doc_id", "n_words", "log_perplexity", bar.alias("bar"), F.coalesce(F.col("log_perplexity") <= bar, F.lit(False)).alias("keep"))
 
 

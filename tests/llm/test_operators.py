@@ -275,6 +275,21 @@ def test_quality(spark, none):
     assert quality.classify(table, labels.limit(0)).where("keep").count() == 126
 
 
+def test_quality_rejects_junk_of_ordinary_words(spark):
+    def order(i):
+        """Sentences of fixed phrases; junk has the same words, out of order."""
+        rng = np.random.default_rng(i)
+        return [w for k in rng.integers(0, 20, 30) for w in prose(1000 + k, 4).split()]
+
+    good = [(i, " ".join(order(i)), "en") for i in range(300)]
+    junk = [(1000 + i, " ".join(np.random.default_rng(i).permutation(order(i))), "en") for i in range(60)]
+    odd = [(2000 + i, " ".join(f"{w}{i}q" for w in prose(i, 60).split()), "en") for i in range(40)]
+    table = spark.createDataFrame(good + junk + odd, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)] + [(1000 + i, 0) for i in range(30)] + [(2000 + i, 1) for i in range(40)], "doc_id long, quality int")
+    got = {r.doc_id: r.keep for r in quality.classify(table, labels).collect()}
+    assert sum(not got[1000 + i] for i in range(30, 60)) >= 28 and sum(got[i] for i in range(200, 300)) >= 97
+
+
 def perplexities(texts, scored):
     """Log perplexity under an interpolated modified Kneser-Ney model, from plain dictionaries."""
     from collections import Counter
