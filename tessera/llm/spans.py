@@ -1,4 +1,4 @@
-"""Substring dedup: runs of consecutive sentences, hashed, joined over all documents."""
+"""Substring dedup: runs of consecutive sentences and pieces of them, hashed, joined over all documents."""
 
 from __future__ import annotations
 
@@ -17,15 +17,16 @@ STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?"]] = True
 CLOSERS = np.zeros(256, bool)
 CLOSERS[[ord(c) for c in "\"')]"]] = True
-#: A longer sentence is cut after words whose hash says so, one in CUT, wherever it stands.
-LONG, CUT = 40, 8
+#: Every sentence is cut into pieces after words whose hash says so, one in CUT, wherever it stands.
+CUT = 8
 
 
-def sentences(strings: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each document: its row, byte offsets where sentences begin, words' prefix hashes there, word counts.
+def sentences(strings: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each document: its row, byte offsets where pieces begin, words' prefix hashes there, word counts, and the pieces with which sentences begin.
 
-    A sentence ends with a word that ends in . ! or ? (and closing marks), or at a line break; one
-    of over LONG words is cut after words picked by their hash, so that equal passages are cut alike.
+    A sentence ends with a word that ends in . ! or ? (and closing marks), or at a line break.
+    Within it, pieces end after words picked by their hash alone, so that equal passages are cut
+    alike. Prefixes, counts and sentences have the end of the document too.
     """
     data, at = binary_view(strings)
     for i, j, words, doc in word_hashes(strings):
@@ -37,7 +38,7 @@ def sentences(strings: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         ends = np.flatnonzero(ink & (edge[1:] | ~np.concatenate((ink[1:], [False])))) + 1
         if len(words) == 0:
             for d in range(i, j):
-                yield d, np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
+                yield d, np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(1, np.int64)
             continue
         last = part[ends - 1]
         stop = STOPS[last] | (CLOSERS[last] & STOPS[part[np.maximum(ends - 2, 0)]] & (ends - starts > 1))
@@ -46,12 +47,10 @@ def sentences(strings: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         stop |= lines[following] > lines[ends]
         stop[:-1] |= doc[1:] != doc[:-1]
         stop[-1] = True
+        opens = np.concatenate(([True], stop[:-1]))
+        stop |= mixed(words) % _U(CUT) == 0
         begin = np.concatenate(([0], np.flatnonzero(stop[:-1]) + 1))
         size = np.diff(np.concatenate((begin, [len(words)])))
-        if (size > LONG).any():
-            stop |= (np.repeat(size, size) > LONG) & (mixed(words) % _U(CUT) == 0)
-            begin = np.concatenate(([0], np.flatnonzero(stop[:-1]) + 1))
-            size = np.diff(np.concatenate((begin, [len(words)])))
         power, inverse = _tables(len(words))
         rolled = np.concatenate((np.zeros(1, _U), np.cumsum(words * power[: len(words)])))
         bounds = np.searchsorted(doc[begin], np.arange(i, j + 1))
@@ -62,27 +61,49 @@ def sentences(strings: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
             whole = np.concatenate((first, [begin[b] if b < len(begin) else len(words)])) if b > a else np.zeros(0, np.int64)
             base = whole[0] if b > a else 0
             prefix = (rolled[whole] - rolled[base]) * inverse[base] if b > a else np.zeros(0, _U)
-            yield d, starts[first] + at[i] - at[d], prefix, np.concatenate(([0], np.cumsum(size[a:b]))) if b > a else np.zeros(0, np.int64)
+            yield d, starts[first] + at[i] - at[d], prefix, np.concatenate(([0], np.cumsum(size[a:b]))) if b > a else np.zeros(0, np.int64), np.concatenate((np.flatnonzero(opens[first]), [b - a]))
 
 
-def run_hashes(prefix: np.ndarray, counts: np.ndarray, run: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of `run` sentences (fewer if the document has fewer), and their first sentences."""
-    n = len(counts) - 1
+def runs_of(counts: np.ndarray, heads: np.ndarray, run: int, least_words: int, alone: int) -> tuple[np.ndarray, np.ndarray]:
+    """First pieces of the runs of a document, and the pieces after their last.
+
+    A run has `run` whole sentences, or more until it has `least_words` words, or fewer sentences
+    or pieces that have `alone` words by themselves. From each piece on goes the shortest run, and
+    up to each the shortest, so that a repeated passage is covered from its first run to its last.
+    A document of fewer than `run` sentences is a run if it has `least_words` words.
+    """
+    n, far = len(counts) - 1, len(counts)
     if n < 1:
-        return np.zeros(0, _U), np.zeros(0, np.int32)
-    k = min(run, n)
-    words = counts[k:] - counts[:-k]
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    at = counts[heads]
+    k = len(heads) - 1
+    ends = np.searchsorted(counts, counts[:-1] + alone)  # far if there are not so many words
+    begins = np.searchsorted(counts, counts[1:] - alone, "right") - 1  # -1 if there are not so many words
+    if k >= run:
+        last = np.maximum(np.searchsorted(at, at[:-1] + least_words), np.arange(k) + run)
+        ends[heads[:-1]] = np.minimum(ends[heads[:-1]], np.where(last <= k, heads[np.minimum(last, k)], far))
+        first = np.minimum(np.searchsorted(at, at[1:] - least_words, "right") - 1, np.arange(1, k + 1) - run)
+        begins[heads[1:] - 1] = np.maximum(begins[heads[1:] - 1], np.where(first >= 0, heads[np.maximum(first, 0)], -1))
+    elif counts[-1] >= least_words:
+        ends[0] = min(ends[0], n)
+        begins[-1] = max(begins[-1], 0)
+    on, up = np.flatnonzero(ends <= n), np.flatnonzero(begins >= 0)
+    both = np.unique(np.concatenate((on * far + ends[on], begins[up] * far + up + 1)))
+    return (both // far).astype(np.int32), (both % far).astype(np.int32)
+
+
+def run_hashes(prefix: np.ndarray, counts: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words of runs."""
+    words = counts[end] - counts[begin]
     if len(counts) and counts[-1] < SEGMENT:
-        inverse = _tables(int(counts[-1]) + 1)[1][counts[:-k]]
+        inverse = _tables(int(counts[-1]) + 1)[1][counts[begin]]
     else:
-        inverse = np.array([pow(pow(BASE, -1, 2**64), int(c), 2**64) for c in counts[:-k]], _U)
-    h = mixed((prefix[k:] - prefix[:-k]) * inverse + words.astype(_U) * _U(0xC2B2AE3D27D4EB4F))
-    keep = np.flatnonzero(words >= least_words)
-    return h[keep], keep.astype(np.int32)
+        inverse = np.array([pow(pow(BASE, -1, 2**64), int(c), 2**64) for c in counts[begin]], _U)
+    return mixed((prefix[end] - prefix[begin]) * inverse + words.astype(_U) * _U(0xC2B2AE3D27D4EB4F))
 
 
-def repeated_starts(docs: DataFrame, run: int, least_words: int) -> DataFrame:
-    """(key, starts): for each document, first sentences of the runs that are not their first occurrence.
+def repeated_runs(docs: DataFrame, run: int, least_words: int, alone: int) -> DataFrame:
+    """(key, runs): for each document, the runs (pos, end) that are not their first occurrence.
 
     docs: doc_id, key, text. The first occurrence is that of the smallest doc_id (null last), key
     and place. Counts are pre-aggregated; hashes that occur once are gone before the join.
@@ -91,51 +112,53 @@ def repeated_starts(docs: DataFrame, run: int, least_words: int) -> DataFrame:
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[list] = [[], [], [], []]
-            for d, _, prefix, counts in sentences(batch.column(2)):
-                h, pos = run_hashes(prefix, counts, run, least_words)
-                for col, part in zip(out, (h.view(np.int64), np.full(len(h), 2**63 - 1 if ids[d] is None else ids[d]), np.full(len(h), keys[d]), pos)):
+            out: list[list] = [[], [], [], [], []]
+            for d, _, prefix, counts, heads in sentences(batch.column(2)):
+                pos, end = runs_of(counts, heads, run, least_words, alone)
+                h = run_hashes(prefix, counts, pos, end)
+                for col, part in zip(out, (h.view(np.int64), np.full(len(h), 2**63 - 1 if ids[d] is None else ids[d]), np.full(len(h), keys[d]), pos, end)):
                     col.append(part)
-            kinds = (np.int64, np.int64, np.int64, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t) if c else np.zeros(0, t)) for c, t in zip(out, kinds)], ["hash", "doc_id", "key", "pos"])
+            kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t) if c else np.zeros(0, t)) for c, t in zip(out, kinds)], ["hash", "doc_id", "key", "pos", "end"])
 
-    runs = stage(docs.select("doc_id", "key", "text").mapInArrow(hashes, "hash long, doc_id long, key long, pos int"), "runs")
+    runs = stage(docs.select("doc_id", "key", "text").mapInArrow(hashes, "hash long, doc_id long, key long, pos int, end int"), "runs")
     first = runs.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "pos")).alias("first")).where("n > 1")
     again = runs.join(first, "hash").where(F.struct("doc_id", "key", "pos") != F.col("first"))
-    return again.groupBy("key").agg(F.collect_set("pos").alias("starts"))
+    return again.groupBy("key").agg(F.collect_set(F.struct("pos", "end")).alias("runs"))
 
 
-def dedup_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", run=3, least_words=12) -> DataFrame:
-    """Remove sentences that a repeated run of `run` consecutive sentences covers, but for its first occurrence.
+def dedup_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", run=3, least_words=12, alone=24) -> DataFrame:
+    """Remove the pieces of sentences that a repeated run covers, but for its first occurrence.
 
-    Runs are compared by their words, A-Z lower-cased, whatever the white space between; runs of
-    fewer than `least_words` words are too short to count. A document of fewer than `run`
-    sentences is one run. What is left of a text keeps its bytes.
+    A run has `run` consecutive sentences and goes on until it has `least_words` words; pieces of
+    a sentence or two that have `alone` words are a run too. Runs are compared by their words,
+    A-Z lower-cased, whatever the white space between. A document of fewer than `run` sentences
+    is one run. What is left of a text keeps its bytes.
 
-    Returns doc_id, n_sentences, n_removed, text. Null text stays null with no sentences; null
+    Returns doc_id, n_sentences, n_removed (sentences that lose words), text. Null text stays null with no sentences; null
     ids come last in the order of occurrence; rows equal in id and text are one document, which
     all keep or lose the same; an empty table gives no rows; other columns don't matter.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    marked = docs.join(repeated_starts(docs, run, least_words), "key", "left").select("doc_id", "text", "starts")
+    marked = docs.join(repeated_runs(docs, run, least_words, alone), "key", "left").select("doc_id", "text", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, starts = batch.column(1), batch.column(2).to_pylist()
+            texts, runs = batch.column(1), batch.column(2).to_pylist()
             total, removed, out = [], [], []
-            for d, begin, _, counts in sentences(texts):
+            for d, begin, _, _, heads in sentences(texts):
                 n, text = len(begin), texts[d].as_py()
                 hit = np.zeros(n + 1, np.int64)
-                for s in starts[d] or ():
-                    hit[s] += 1
-                    hit[min(s + run, n)] -= 1
+                for r in runs[d] or ():
+                    hit[r["pos"]] += 1
+                    hit[r["end"]] -= 1
                 gone = np.cumsum(hit[:-1]) > 0 if n else np.zeros(0, bool)
                 if gone.any():
                     raw = text.encode()
                     stops = [*begin[1:].tolist(), len(raw)]
                     text = (raw[: begin[0]] + b"".join(raw[a:b] for a, b, g in zip(begin.tolist(), stops, gone) if not g)).decode()
-                total.append(n)
-                removed.append(int(gone.sum()))
+                total.append(len(heads) - 1)
+                removed.append(int(np.logical_or.reduceat(gone, heads[:-1]).sum()) if n else 0)
                 out.append(text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())],

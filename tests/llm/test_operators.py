@@ -229,6 +229,18 @@ def test_span_dedup(spark, none):
     assert not spans.dedup_spans(none).collect()
 
 
+def test_span_dedup_finds_long_and_short_sentences(spark):
+    inside = prose(70, 60).replace(".", "")
+    two = prose(71, 31).replace(".", "") + ". " + prose(72, 31).replace(".", "") + "."
+    bits = ". ".join(prose(73, 40).replace(".", "").split()) + "."
+    data = [(1, f"Head {inside} tail."), (2, f"another begin {inside} other end."), (3, f"A start here. {two} Then this."), (4, f"Yet more words. {two} And that."), (5, f"Left. {bits} Right."), (6, f"Up. {bits} Down."), (7, "word!! " * 150), (8, "word!! " * 150)]
+    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    left = {k: len(r.text.split()) for k, r in got.items()}
+    assert [got[k].text for k in (1, 3, 5)] == [data[k - 1][1] for k in (1, 3, 5)]
+    assert left[2] <= 4 + 30 and got[4].text == "Yet more words. And that." and got[6].text == "Up. Down." and left[8] == 0
+    assert got[2].text.startswith("another begin ") and got[2].text.endswith(" other end.") and got[2].n_sentences == got[2].n_removed == 1
+
+
 def test_media(spark, docs, none):
     got = media.media_features(media.store_payloads(docs)).collect()
     texts = rows()
