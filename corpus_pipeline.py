@@ -9,11 +9,20 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
 from tessera.llm.pii import redact, train_model
 from tessera.llm.quality import classify
-from tessera.llm.shared import stage, table
+from tessera.llm.shared import exclusive_sums, spread, stage, table
 from tessera.llm.similarity import jaccard_components
 
 #: SQL has neither the language model nor the tokenizer.
 ORACLE_SQL = None
+#: A whole copy of a document, in units of shares.
+ONE = 1 << 32
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, unique to each row and the same whenever it is read: a file and a place in it, hashed."""
+    if not docs.inputFiles():
+        docs = stage(docs, "rows")
+    return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row_key"))
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -39,12 +48,26 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
+def _copies(documents: DataFrame) -> DataFrame:
+    """(row, times): whole copies of each document, for the words that the mix takes of its source.
+
+    Shares of taken words add up along a pseudorandom order of the documents of a source and of
+    one power of two of sizes; a document comes once for each whole number that the sum passes.
+    So documents of like size stand for each other, and a source's words come near its target.
+    """
+    shares = documents.where("taken > 0").withColumn("share", F.expr(f"taken * {ONE} div size"))
+    shares = shares.withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).withColumn("scale", F.floor(F.log2("size"))).withColumn("h", spread(F.col("doc_id")))
+    placed = exclusive_sums(shares, ["of", "scale"], ["h", "doc_id", "size", "row"], F.col("share"), "before")
+    passed = lambda x: F.floor((x + ONE // 2) / F.lit(ONE))
+    return placed.select("row", (passed(F.col("before") + F.col("share")) - passed(F.col("before"))).cast("int").alias("times")).where("times > 0")
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes its words, rounded: not at all, once or twice."""
-    taken = mix_sources(docs).documents.groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("times"))
-    taken = taken.select(F.col("doc_id").alias("mixed_id"), F.floor(F.col("times") + 0.5).cast("int").alias("times")).where("times > 0")
-    mixed = docs.join(taken, docs.doc_id.eqNullSafe(taken.mixed_id)).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return mixed.select(*[docs[c] for c in docs.columns])
+    """Each document comes in whole copies, none to two or three, so that each source's words come near its target."""
+    rows = _keyed(docs)
+    copies = _copies(mix_sources(rows, row_col="row_key").documents)
+    mixed = rows.join(copies, rows.row_key == copies.row).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return mixed.select(*[rows[c] for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def draw_slots(spark: SparkSession, sources: DataFrame, total: int, per_shard: i
 
 
 def mix_sources(
-    docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source",
+    docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", row_col=None,
     weights=(3, 1, 2), share=1.5, cap=2, block=64, per_shard=8192, seed="mix",
 ) -> Mix:
     """Mix documents so that each source's words come near its target.
@@ -125,12 +125,15 @@ def mix_sources(
     Returns documents (doc_id, size, source_size, target, taken) and slots (shard, sid, block).
     Null text has size 0, and documents of size 0 take 0; a null source is a source of its own,
     the last; rows that repeat are documents of their own; an empty table gives no rows. Other
-    columns of `docs` are not looked at.
+    columns of `docs` are not looked at. With `row_col`, a column unique to each row, documents
+    has it as `row`, and source besides.
     """
     spark = docs.sparkSession
+    row = ["row", "source"] if row_col else []
     sizes = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        *([F.col(row_col).alias("row")] if row_col else []),
     )
     sizes = stage(sizes, "sizes")
     sources = stage(source_targets(sizes, weights, share, cap, block), "sources")
@@ -143,22 +146,22 @@ def mix_sources(
         .withColumn("i", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)))
         .select("shard", "sid", permuted(F.col("i") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid")).alias("block"))
     )
-    known = sizes.join(sources.select("sid", "source", "source_size", "target"), sizes.source.eqNullSafe(sources.source))
-    known = known.select("doc_id", "size", "sid", "source_size", "target", spread(F.col("doc_id")).alias("h"))
-    placed = exclusive_sums(known.where("size > 0"), ["sid"], ["h", "doc_id", "size"], F.col("size"), "start")
+    known = sizes.join(sources.select("sid", "source", "source_size", "target"), sizes.source.eqNullSafe(sources.source)).drop(sources.source)
+    known = known.select(*row, "doc_id", "size", "sid", "source_size", "target", spread(F.col("doc_id")).alias("h"))
+    placed = exclusive_sums(known.where("size > 0"), ["sid"], ["h", "doc_id", "size", *row[:1]], F.col("size"), "start")
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)
     pieces = placed.withColumn("block", F.explode(F.sequence(first, last))).withColumn(
         "words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     )
     times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
     taken = (
-        pieces.select("sid", "block", "start", "doc_id", "size", "words")
+        pieces.select(*row, "sid", "block", "start", "doc_id", "size", "words")
         .join(times, ["sid", "block"], "left")
-        .groupBy("sid", "start", "doc_id", "size")
+        .groupBy("sid", "start", "doc_id", "size", *row)
         .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
         .join(sources.select("sid", "source_size", "target"), "sid")
     )
-    out = ["doc_id", "size", "source_size", "target", "taken"]
+    out = ["doc_id", "size", "source_size", "target", "taken", *row]
     empty = known.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return Mix(taken.select(*out).unionByName(empty.select(*out)), slots)
 

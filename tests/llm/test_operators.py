@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm import graph, media, mixing, neighbours, packing, pii, quality, sharding, similarity, spans, textgrams, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, rid long"
@@ -54,6 +55,17 @@ def test_mix(docs, none):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs, block=8).documents.collect()))
 
 
+def test_mixture_delivers_each_sources_words(spark, tmp_path):
+    data = [(i % 700 if i % 9 else None, "w " * (40 + 997 * i % 2600), "en", "abc"[(i % 50 > 18) + (i % 50 > 36)]) for i in range(900)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/d")
+    table = spark.read.parquet(f"{tmp_path}/d")
+    count = lambda d: {r.source: r.n for r in d.groupBy("source").agg(F.sum(F.length("text") / 2).alias("n")).collect()}
+    size, got = count(table), count(corpus_pipeline.mixture(spark, table, ""))
+    target = {r.source: r.target for r in mixing.source_targets(table.select("source", (F.length("text") / 2).cast("long").alias("size"))).collect()}
+    assert min(target[s] / size[s] for s in size) < 0.8
+    assert all(abs(got[s] - target[s]) <= 0.03 * target[s] + 1000 for s in size), (size, target, got)
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100):
         x = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3).cast("long")).alias("x"))
