@@ -1,166 +1,172 @@
-"""Quality classifier: an interpolated modified Kneser-Ney trigram model and perplexity quantiles by language."""
+"""Quality classifier: an interpolated modified Kneser-Ney trigram model and perplexity bars by language.
+
+Words are 64-bit hashes, so the vocabulary has no limit; every n-gram of the trusted text is in the
+model. Counts lie in shards, and so do the scores' lookups: blocks of documents ask the shards for
+their distinct n-grams in sorted, packed lists, and the answers come back in the same order.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stage, table
-from .textgrams import mixed, word_hashes
+from .shared import release, stage, table
+from .textgrams import mixed, packed, pair, unpacked, word_hashes
 
-#: Words that have ids of their own; a document's start is 0, every other word 1.
-VOCABULARY = 65_000
-#: N-grams that scoring looks up in place, 12 bytes each: those of the highest counts. The others are joined.
-ENTRIES = 4_000_000
-#: N-grams of a lower count than this are left to the order below, as is usual; all statistics count them.
-CUTOFF = 2
+_U = np.uint64
 #: Bits of the filter that spares requests for n-grams that the model doesn't hold; a fuller one only spares fewer.
 FILTER_BITS = 1 << 28
-#: Trusted ids that are broadcast (8 bytes each); beyond, the rows are joined by a shuffle.
+#: Labelled ids that are broadcast (9 bytes each); beyond, the rows are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Distinct keys that a task gathers before it passes their counts on.
-GATHER = 1 << 21
-#: Log probabilities are kept in whole millionths, so that sums don't depend on their order.
-SCALE = 1_000_000
-#: Marks of the keys of bigrams and of trigrams' contexts; a trigram's is id << 32 | id << 16 | id.
-BIGRAM, CONTEXT = 1 << 48, 1 << 49
-#: Kinds of rows of the counts.
-TRIGRAMS, BIGRAMS, TRIGRAM_LEVELS, BIGRAM_LEVELS, STARTS, ENDS, CONTEXTS = range(7)
+#: Distinct trigrams that a task gathers before it passes their counts on, and words in a block of documents.
+GATHER, BLOCK = 1 << 20, 1 << 21
+#: Low bits of a key that choose its shard; the others tell the keys of a shard apart.
+SHARD_BITS = _U(20)
+#: Kinds of rows of the counts: tables of the model, parts of counts on their way to a shard, counts of counts.
+TRIGRAMS, CONTEXTS, BIGRAMS, WORDS, PARTS, LEVELS = range(6)
+ROWS = "shard int, kind int, vocabulary binary, data binary"
 
 
 class Model(NamedTuple):
-    words: np.ndarray  # sorted hashes of the vocabulary, ids from 2
-    log_types: int  # of words outside it
-    ends: np.ndarray  # log p of a word, by id
-    rests: np.ndarray  # log of what a one-word context leaves to that, by id
-    heavy: tuple[np.ndarray, np.ndarray]  # sorted keys and their values, ENTRIES at most
-    filter: np.ndarray  # of the keys of light
-    light: DataFrame  # key, value: all others
+    shards: int
+    discounts: tuple[tuple[float, float, float], ...]  # of single words, bigrams and trigrams
+    ends: float  # distinct bigrams
+    spare: float  # p of a word that was never seen
+    filter: np.ndarray | None
+    parts: tuple[DataFrame, ...]  # staged ROWS of the tables
 
 
-def _ids(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.ones(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at + 2, 1)
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys & ((_U(1) << SHARD_BITS) - _U(1))) % _U(shards)).astype(np.int32)
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+def _cut(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by shard, and where each shard begins in it."""
+    return np.argsort(shard, kind="stable"), np.searchsorted(np.sort(shard), np.arange(shards + 1))
 
 
-def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted keys as differences, then counts, byte by byte."""
-    both = np.concatenate((np.diff(keys, prepend=np.uint64(0)), n.astype(np.uint64)))
-    return zstandard.compress(both.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+def _before(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's predecessor but one and predecessor in its document; 0 before its start."""
+    b, a = np.zeros_like(words), np.zeros_like(words)
+    b[1:] = np.where(doc[1:] == doc[:-1], words[:-1], _U(0))
+    a[2:] = np.where(doc[2:] == doc[:-2], words[:-2], _U(0))
+    return a, b
 
 
-def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
-    return np.cumsum(both[: len(both) // 2], dtype=np.uint64), both[len(both) // 2 :].astype(np.int64)
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sums of n, and a place of each."""
+    own, at, back = np.unique(keys, return_index=True, return_inverse=True)
+    return own, np.bincount(back, n, len(own)).astype(np.int64), at
 
 
-def sharded_counts(texts: DataFrame, keys_of: Callable, derived: Callable, finish: Callable, schema: str) -> DataFrame:
-    """Count keys over all texts in shards by their low 32 bits.
+def _coded(*cols: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
+    """Columns of word hashes as places in their own sorted vocabulary, with counts."""
+    words, at = np.unique(np.concatenate(cols), return_inverse=True)
+    cols = at.reshape(len(cols), -1)
+    order = np.lexsort(cols[::-1])
+    return packed(words), packed(*cols[:, order], n[order])
 
-    keys_of(word hashes, documents) gives keys; derived(keys, n) what a task passes on for them;
-    finish(keys, n) turns a shard's counts into columns. Tasks add up before they send.
-    """
-    shards = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def sent(held: list) -> pa.RecordBatch:
-        keys, n = derived(*_summed(held))
-        shard = (mixed(keys & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int32)
-        order = np.argsort(shard, kind="stable")
-        edges = np.flatnonzero(np.diff(shard[order], prepend=-1, append=shards))
-        picked = [order[i:j] for i, j in zip(edges[:-1], edges[1:])]
-        return pa.RecordBatch.from_arrays([pa.array([shard[p[0]] for p in picked], pa.int32()), pa.array([_packed(keys[p], n[p]) for p in picked], pa.binary())], ["shard", "counts"])
+def _decoded(rows: pa.Table) -> list[np.ndarray]:
+    parts = []
+    for words, data in zip(rows.column("vocabulary"), rows.column("data")):
+        words, cols = unpacked(words.as_py())[0], unpacked(data.as_py())
+        parts.append([*(words[c.astype(np.int64)] for c in cols[:-1]), cols[-1].astype(np.int64)])
+    return [np.concatenate(c) for c in zip(*parts)]
+
+
+def _levels(n: np.ndarray) -> bytes:
+    """How many have the counts 1 to 4, how many there are, and their sum."""
+    return packed(np.arange(1, 7), np.concatenate(((n[:, None] == np.arange(1, 5)).sum(0), [len(n), n.sum()])))
+
+
+def _parts(of: np.ndarray, n: np.ndarray, back: np.ndarray, size: int) -> list[np.ndarray]:
+    """By group: the sum of n, and how many have n of 1, 2 and more."""
+    return [np.bincount(back, n, size).astype(np.int64), *(np.bincount(back[x], minlength=size) for x in (n == 1, n == 2, n > 2))]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    cols = list(zip(*rows)) or [[]] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], ["shard", "kind", "vocabulary", "data"])
+
+
+def _count_trigrams(texts: DataFrame, shards: int) -> DataFrame:
+    """Trigrams and contexts by the context's shard, with bigrams' distinct left neighbours on their way to their own."""
+
+    def sent(a, b, c, n) -> list[tuple]:
+        order, at = _cut(_shard(pair(a, b), shards), shards)
+        return [(s, PARTS, *_coded(a[p], b[p], c[p], n=n[p])) for s in range(shards) if len(p := order[at[s] : at[s + 1]])]
+
+    def merged(held: list) -> list:
+        k, a, b, c, n = (np.concatenate(x) for x in zip(*held))
+        k, n, at = _summed(k, n)
+        return [k, a[at], b[at], c[at], n]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
         for batch in batches:
-            for _, _, words, doc in word_hashes(batch.column(0)):
-                held.append(np.unique(keys_of(words, doc).astype(np.uint64, copy=False), return_counts=True))
+            for _, _, c, doc in word_hashes(batch.column(0)):
+                a, b = _before(c, doc)
+                held.append(merged([[pair(pair(a, b), c), a, b, c, np.ones(len(c), np.int64)]]))
                 waiting += len(held[-1][0])
                 if waiting > GATHER:
-                    held = [_summed(held)]
+                    held = [merged(held)]
                     waiting = len(held[0][0])
                     if waiting > GATHER // 2:
-                        yield sent(held)
+                        yield from _table(sent(*held[0][1:])).to_batches()
                         held, waiting = [], 0
         if waiting:
-            yield sent(held)
+            yield from _table(sent(*merged(held)[1:])).to_batches()
 
-    def finished(rows: pa.Table) -> pa.Table:
-        return finish(*_summed([_unpacked(data.as_py()) for data in rows.column("counts")]))
+    def finish(key: tuple, rows: pa.Table) -> pa.Table:
+        a, b, c, n = _decoded(rows)
+        context = pair(a, b)
+        k, n, at = _summed(pair(context, c), n)
+        own, back = np.unique(context[at], return_inverse=True)
+        b, c = b[at], c[at]
+        out = [(key[0].as_py(), TRIGRAMS, None, packed(k >> SHARD_BITS, n)), (key[0].as_py(), CONTEXTS, None, packed(own >> SHARD_BITS, *_parts(own, n, back, len(own)))), (0, LEVELS, None, _levels(n))]
+        tail, left, at = _summed(pair(b, c), np.ones(len(b), np.int64))
+        order, edges = _cut(_shard(tail, shards), shards)
+        return _table(out + [(s, PARTS, *_coded(b[at][p], c[at][p], n=left[p])) for s in range(shards) if len(p := order[edges[s] : edges[s + 1]])])
 
-    return texts.mapInArrow(gather, "shard int, counts binary").groupBy("shard").applyInArrow(finished, schema)
+    return texts.mapInArrow(gather, ROWS).groupBy("shard").applyInArrow(finish, ROWS)
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    def columns(keys, n):
-        return pa.table({"key": keys.view(np.int64), "n": n})
+def _count_bigrams(counts: DataFrame, shards: int) -> DataFrame:
+    """Bigrams by distinct left neighbours, with what words begin and end on its way to the words' shards."""
 
-    return sharded_counts(texts, lambda words, doc: words, lambda keys, n: (keys, n), columns, "key long, n long")
+    def finish(key: tuple, rows: pa.Table) -> pa.Table:
+        b, c, n = _decoded(rows)
+        k, n, at = _summed(pair(b, c), n)
+        words, back = np.unique(np.concatenate((b[at], c[at])), return_inverse=True)
+        cols = [np.bincount(back[len(k) :], minlength=len(words)), *_parts(words, n, back[: len(k)], len(words))]
+        order, edges = _cut(_shard(words, shards), shards)
+        sent = [(s, PARTS, None, packed(words[p], *(x[p] for x in cols))) for s in range(shards) if len(p := order[edges[s] : edges[s + 1]])]
+        return _table([(key[0].as_py(), BIGRAMS, None, packed(k >> SHARD_BITS, n)), (0, LEVELS, None, _levels(n)), *sent])
 
+    return counts.where(F.col("kind") == PARTS).groupBy("shard").applyInArrow(finish, ROWS)
 
-def _trigram_keys(words: np.ndarray, doc: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """id << 32 | id << 16 | id of each word and the two before it in its document."""
-    c = _ids(words, vocabulary)
-    b, a = np.zeros_like(c), np.zeros_like(c)
-    same1, same2 = doc[1:] == doc[:-1], doc[2:] == doc[:-2]
-    b[1:], a[2:] = np.where(same1, c[:-1], 0), np.where(same2, c[:-2], 0)
-    return a << 32 | b << 16 | c
 
+def _count_words(counts: DataFrame) -> DataFrame:
+    def finish(key: tuple, rows: pa.Table) -> pa.Table:
+        parts = np.concatenate([unpacked(x.as_py()) for x in rows.column("data")], 1)
+        words, back = np.unique(parts[0], return_inverse=True)
+        cols = [np.bincount(back, x.astype(np.int64), len(words)).astype(np.int64) for x in parts[1:]]
+        ends = cols[0][cols[0] > 0]
+        return _table([(key[0].as_py(), WORDS, None, packed(words >> SHARD_BITS, *cols)), (0, LEVELS, None, _levels(ends))])
 
-def count_ngrams(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(kind, key, n, below): trigrams with their bigram's count, bigrams and single words by
-    distinct left neighbours, contexts by occurrences, and how many n-grams have the counts 1 to 4.
+    return counts.where(F.col("kind") == PARTS).groupBy("shard").applyInArrow(finish, ROWS)
 
-    A shard holds all trigrams of a bigram, and so knows its distinct left neighbours.
-    """
 
-    def derived(keys, n):
-        contexts, back = np.unique(keys >> np.uint64(16), return_inverse=True)
-        return np.concatenate((keys, contexts | np.uint64(CONTEXT))), np.concatenate((n, np.bincount(back, n, len(contexts)).astype(np.int64)))
-
-    def columns(keys, n):
-        keys = keys.astype(np.int64)
-        of, total = keys[keys >= CONTEXT], n[keys >= CONTEXT]
-        keys, n = keys[keys < CONTEXT], n[keys < CONTEXT]
-        tails, back, left = np.unique(keys & 0xFFFFFFFF, return_inverse=True, return_counts=True)
-        starts, at = np.unique(tails >> 16, return_inverse=True)
-        ends, ends_n = np.unique(tails & 0xFFFF, return_counts=True)
-        levels = np.arange(1, 5)
-        parts = [
-            (TRIGRAMS, keys[n >= CUTOFF], n[n >= CUTOFF], left[back][n >= CUTOFF]),
-            (BIGRAMS, tails[left >= CUTOFF], left[left >= CUTOFF], None),
-            (TRIGRAM_LEVELS, levels, (n[:, None] == levels).sum(0), None),
-            (BIGRAM_LEVELS, levels, (left[:, None] == levels).sum(0), None),
-            (STARTS, starts, np.bincount(at, left, len(starts)), None),
-            (ENDS, ends, ends_n, None),
-            (CONTEXTS, of[total >= CUTOFF] - CONTEXT, total[total >= CUTOFF], None),
-        ]
-        kind = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts])
-        below = [np.zeros(len(p[1])) if p[3] is None else p[3] for p in parts]
-        whole = [np.concatenate(x).astype(np.int64) for x in ([p[1] for p in parts], [p[2] for p in parts], below)]
-        return pa.table(dict(zip(("kind", "key", "n", "below"), (kind, *whole))))
-
-    return sharded_counts(texts, lambda words, doc: _trigram_keys(words, doc, vocabulary), derived, columns, "kind int, key long, n long, below long")
-
-
-def _discounts(levels: dict[int, int]) -> tuple[float, float, float]:
+def _discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
     """D1, D2 and D3+ from how many n-grams have the counts 1 to 4."""
-    n1, n2, n3, n4 = (float(levels.get(k, 0)) for k in (1, 2, 3, 4))
     if not (n1 and n2 and n3):
         return 0.5, 0.5, 0.5
     y = n1 / (n1 + 2 * n2)
@@ -168,154 +174,205 @@ def _discounts(levels: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1))
 
 
-def _less(n: str, d: tuple[float, float, float]) -> Column:
-    return F.when(F.col(n) == 1, d[0]).when(F.col(n) == 2, d[1]).otherwise(d[2])
-
-
-def _level(counts: DataFrame, entries: int) -> int:
-    """A count that `entries` n-grams at most have or exceed."""
-    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
-    seen, cut = 0, 2**62
-    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("of")).collect(), reverse=True):
-        seen += row.of
-        if seen > entries:
-            break
-        cut = row.level
-    return cut
+def _slot(keys: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
+    """Bits of a filter in which every shard has a stretch of its own."""
+    each = FILTER_BITS // shards // 8 * 8
+    return shard.astype(np.int64) * each + (mixed(keys >> SHARD_BITS) % _U(each)).astype(np.int64)
 
 
-def _bit(keys: np.ndarray) -> np.ndarray:
-    return mixed(keys.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)
+def _filter(parts: tuple[DataFrame, ...], shards: int) -> np.ndarray:
+    """FILTER_BITS bits at any number of keys; each row of the tables makes its shard's stretch."""
+    each = FILTER_BITS // shards // 8 * 8
 
-
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for each key, FILTER_BITS at any number of keys."""
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = np.unique(_bit(batch.column(0).to_numpy()))
-            word, back = np.unique(bit >> np.uint64(6), return_inverse=True)
-            held = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(held, back, np.uint64(1) << (bit & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(held.view(np.int64))], ["word", "bits"])
-
-    found = keys.mapInArrow(bits, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return out.view(np.uint64)
-
-
-def train(texts: DataFrame, vocabulary=VOCABULARY, entries=ENTRIES) -> Model:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                bit = np.zeros(each, bool)
+                bit[(mixed(unpacked(data.as_py())[0]) % _U(each)).astype(np.int64)] = True
+                word = np.packbits(bit)
+                at = np.flatnonzero(word)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed(at, word[at])], pa.binary())], ["shard", "data"])
+
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for part in parts:
+        rows = part.where(F.col("kind").between(TRIGRAMS, WORDS)).select("shard", "data").mapInArrow(marked, "shard int, data binary")
+        for row in rows.toLocalIterator():
+            at, word = unpacked(bytes(row.data))
+            out[row.shard * each // 8 + at.astype(np.int64)] |= word.astype(np.uint8)
+    return out
+
+
+def train(texts: DataFrame) -> Model:
     """Fit the model on every text.
 
-    N-gram counts lie in shards; the discounted counts of trigrams meet their context's total in
-    a join. What discounts and n-grams under CUTOFF leave of a context goes to the order below, so
-    that probabilities add up to one. A word's log probability is a sum: that of its one-word
-    back-off, and what its bigram, its trigram's context and its trigram change if the model holds them.
+    Discounts are those of modified Kneser-Ney at all three orders; what they leave of a context
+    goes to the order below, and of single words evenly to all words and one unseen.
     """
-    spark = texts.sparkSession
-    vocab = stage(count_words(texts), "words")
-    types = vocab.count()
-    words = np.sort(vocab.orderBy(F.desc("n"), "key").limit(vocabulary).toPandas()["key"].to_numpy(np.int64).view(np.uint64))
-    counts = stage(count_ngrams(texts, words), "counts")
-    of = lambda kind: counts.where(F.col("kind") == kind)
-    few = counts.where(F.col("kind").between(TRIGRAM_LEVELS, ENDS)).groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()  # two rows for each id
-    by = {kind: {r.key: r.n for r in few if r.kind == kind} for kind in range(TRIGRAM_LEVELS, CONTEXTS)}
-    d3, d2 = _discounts(by[TRIGRAM_LEVELS]), _discounts(by[BIGRAM_LEVELS])
-    ends, starts, shares = np.zeros(len(words) + 2), np.ones(len(words) + 2), np.zeros(len(words) + 2)
-    for name, array in ((ENDS, ends), (STARTS, starts)):
-        for k, n in by[name].items():
-            array[k] = n
-    for r in of(BIGRAMS).groupBy(F.shiftright("key", 16).alias("b")).agg(F.sum(F.col("n") - _less("n", d2)).alias("share")).collect():  # a row for each id
-        shares[r.b] = r.share
-    total = max(1.0, ends.sum())
-    taken = np.minimum(ends, 0.75)
-    ends = (ends - taken) / total + (taken.sum() / total or 1.0) / len(ends)
-    rests = 1 - shares / starts
-    per_id = spark.createDataFrame(list(zip(range(len(ends)), ends.tolist(), rests.tolist(), starts.tolist())), "id long, end double, rest1 double, start double")
-    last = F.broadcast(per_id.select(F.col("id").alias("c"), "end"))
-    first = F.broadcast(per_id.select(F.col("id").alias("b"), "rest1", "start"))
-
-    def lower(rows: DataFrame, n: str) -> DataFrame:
-        """Adds low, the one-word back-off, and p2, the bigram's probability."""
-        ids = rows.withColumn("c", F.col("key").bitwiseAND(0xFFFF)).withColumn("b", F.shiftright("key", 16).bitwiseAND(0xFFFF))
-        share = F.when(F.col(n) >= CUTOFF, (F.col(n) - _less(n, d2)) / F.col("start")).otherwise(0.0)
-        return ids.join(last, "c").join(first, "b").withColumn("low", F.col("rest1") * F.col("end")).withColumn("p2", share + F.col("low"))
-
-    def whole(x: Column) -> Column:
-        return F.round(F.log(x) * SCALE).cast("int")
-
-    pairs = lower(of(BIGRAMS), "n").select((F.col("key") + BIGRAM).alias("key"), "n", whole(F.col("p2") / F.col("low")).alias("value"))
-    contexts = of(CONTEXTS).select(F.col("key").alias("context"), F.col("n").alias("total"))
-    triples = of(TRIGRAMS).select("key", "n", "below", F.shiftright("key", 16).alias("context")).join(contexts, "context")
-    mine = Window.partitionBy("context")
-    triples = triples.withColumn("share", (F.col("n") - _less("n", d3)) / F.col("total")).withColumn("rest", 1 - F.sum("share").over(mine))
-    triples = lower(triples.withColumn("first", F.row_number().over(mine.orderBy("key")) == 1), "below")
-    change = whole((F.col("share") + F.col("rest") * F.col("p2")) / (F.col("rest") * F.col("p2")))
-    both = F.array(
-        F.struct("key", "n", change.alias("value")),
-        F.struct(F.when(F.col("first"), F.col("context") + CONTEXT).alias("key"), F.col("total").alias("n"), whole(F.col("rest")).alias("value")),
-    )
-    values = stage(pairs.unionByName(triples.select(F.inline(both)).where("key IS NOT NULL")), "values")
-    cut = _level(values, entries)
-    top = values.where(F.col("n") >= cut).select("key", "value").toArrow()  # `entries` at most
-    keys, value = top.column(0).to_numpy(), top.column(1).to_numpy()
-    order = np.argsort(keys)
-    light = values.where(F.col("n") < cut).select("key", "value")
-    logs = [np.round(np.log(x) * SCALE) for x in (ends, rests)]
-    return Model(words, round(float(np.log(max(1, types - len(words)))) * SCALE), *logs, (keys[order], value[order]), key_filter(light.select("key")), light)
+    shards = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    three = stage(_count_trigrams(texts, shards), "trigrams")
+    two = stage(_count_bigrams(three, shards), "bigrams")
+    one = stage(_count_words(two), "words")
+    discounts, totals = [], []
+    for part in (one, two, three):
+        rows = part.where(F.col("kind") == LEVELS).select("data").collect()  # a row of six numbers for each shard
+        n = sum((unpacked(bytes(r.data))[1].astype(np.int64) for r in rows), np.zeros(6, np.int64))
+        discounts.append(_discounts(*n[:4].astype(float)))
+        totals.append(n)
+    n = totals[0]
+    d = discounts[0]
+    left = d[0] * n[0] + d[1] * n[1] + d[2] * (n[4] - n[0] - n[1])
+    spare = left / max(1, n[5]) / (n[4] + 1) if n[5] else 1.0
+    return Model(shards, tuple(discounts), float(n[5]), float(spare), _filter((one, two, three), shards), (one, two, three))
+
+
+class Asked(NamedTuple):
+    back: np.ndarray  # each n-gram's place among the distinct ones
+    size: int
+    place: np.ndarray  # places that are asked for, by shard and key
+    keys: np.ndarray  # their keys, without the bits of the shard
+    at: np.ndarray  # where each shard begins
+
+
+def _ask(keys: np.ndarray, route: np.ndarray, m: Model) -> Asked:
+    own, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    shard = _shard(route[first], m.shards)
+    bit = _slot(own, shard, m.shards)
+    wanted = np.flatnonzero(m.filter[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+    order, at = _cut(shard[wanted], m.shards)
+    return Asked(back, len(own), wanted[order], own[wanted[order]] >> SHARD_BITS, at)
+
+
+def _asks(words: np.ndarray, doc: np.ndarray, m: Model) -> tuple[Asked, Asked, Asked]:
+    """What a block of documents asks for: words with the start, bigrams with contexts, trigrams."""
+    a, b = _before(words, doc)
+    left, right = pair(a, b), pair(b, words)
+    both = np.concatenate((right, left))
+    ends = np.concatenate((words, b))
+    three = pair(left, words)
+    return _ask(ends, ends, m), _ask(both, both, m), _ask(three, left, m)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, np.ndarray, np.ndarray]]:
+    """(number, ids, languages, words, documents) of blocks of rows (doc_id, lang, text)."""
+    base, seen = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, 0
+    ids, langs, words, doc, held = [], [], [], [], 0
+    for batch in batches:
+        every, tongues = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i, j, w, d in word_hashes(batch.column(2)):
+            words.append(w)
+            doc.append(d - i + len(ids))
+            ids += every[i:j]
+            langs += tongues[i:j]
+            held += len(w)
+            if held >= BLOCK:
+                yield base + seen, ids, langs, np.concatenate(words), np.concatenate(doc)
+                ids, langs, words, doc, held, seen = [], [], [], [], 0, seen + 1
+    if ids:
+        yield base + seen, ids, langs, np.concatenate(words), np.concatenate(doc)
+
+
+def _mark(words: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mixed(words + np.arange(len(words), dtype=_U)))) >> 1
+
+
+def _found(tables: dict[int, np.ndarray], kind: int, keys: np.ndarray) -> list[np.ndarray]:
+    """Counts of keys in one table of a shard, 0 where it doesn't hold them."""
+    width = {TRIGRAMS: 1, CONTEXTS: 4, BIGRAMS: 1, WORDS: 5}[kind]
+    if kind not in tables or not tables[kind].shape[1]:
+        return [np.zeros(len(keys), np.int64)] * width
+    own = tables[kind]
+    at = np.minimum(np.searchsorted(own[0], keys), own.shape[1] - 1)
+    return [np.where(own[0][at] == keys, x[at], _U(0)) for x in own[1:]]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, lang, trusted: the label of those held out, text) with n_words and log_perplexity (null without words).
+    """(doc_id, lang, n_words, log_perplexity) of docs (doc_id, lang, text); null without words.
 
-    A document's heavy n-grams are looked up in place; the others go as (document, key) requests to
-    the shards of the model and come back as one sum for each document.
+    docs are read twice, once to ask and once to score, and must be dealt out alike both times, as
+    files are; a block that isn't makes the job fail.
     """
-    small = model._replace(light=None)
-    shared = docs.sparkSession.sparkContext.broadcast(small)  # 12 * ENTRIES + FILTER_BITS / 8 bytes and the vocabulary at most
-
-    def look_up(keys: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
-        """Values of keys, and which of them to ask for."""
-        own, back = np.unique(keys, return_inverse=True)
-        value, hit = np.zeros(len(own)), np.zeros(len(own), bool)
-        if len(m.heavy[0]):
-            at = np.minimum(np.searchsorted(m.heavy[0], own), len(m.heavy[0]) - 1)
-            hit = m.heavy[0][at] == own
-            value = np.where(hit, m.heavy[1][at], 0)
-        bit = _bit(own)
-        ask = ~hit & (m.filter[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return value[back], ask[back]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tables = model.parts
+    shared = docs.sparkSession.sparkContext.broadcast(model._replace(parts=()))  # FILTER_BITS / 8 bytes
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            rows = batch.num_rows
-            n, total, asked = np.zeros(rows, np.int64), np.zeros(rows), []
-            for _, _, words, doc in word_hashes(batch.column(4)):
-                if not len(words):
-                    continue
-                keys = _trigram_keys(words, doc, m.words)
-                b, c = keys >> 16 & 0xFFFF, keys & 0xFFFF
-                logs = m.ends[c] + m.rests[b] - np.where(c == 1, m.log_types, 0)
-                for kind in (keys, keys & 0xFFFFFFFF | BIGRAM, keys >> 16 | CONTEXT):
-                    value, ask = look_up(kind, m)
-                    logs += value
-                    asked.append((doc[ask], kind[ask]))
-                n += np.bincount(doc, minlength=rows)
-                total += np.bincount(doc, logs, rows)
-            of = np.concatenate([a[0] for a in asked]) if asked else np.zeros(0, np.int64)
-            order = np.argsort(of, kind="stable")
-            edges = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=rows)))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate([a[1] for a in asked])[order] if asked else of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n), pa.array(total.astype(np.int64)), lists], ["rid", "doc_id", "lang", "trusted", "n_words", "total", "asked"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "lang", "trusted", "text")
-    rows = stage(rows.mapInArrow(run, "rid long, doc_id long, lang string, trusted boolean, n_words long, total long, asked array<long>"), "asked")
-    requests = rows.select("rid", F.explode("asked").alias("key"))
-    found = requests.join(model.light, "key").groupBy("rid").agg(F.sum("value").alias("found"))
-    mean = -(F.col("total") + F.coalesce("found", F.lit(0))) / SCALE / F.col("n_words")
-    return rows.drop("asked").join(found, "rid", "left").select("doc_id", "lang", "trusted", "n_words", F.when(F.col("n_words") > 0, mean).alias("log_perplexity"))
+        for block, _, _, words, doc in _blocks(batches):
+            mark, asks, rows = _mark(words), _asks(words, doc, m), []
+            for s in range(m.shards):
+                keys = [x.keys[x.at[s] : x.at[s + 1]] for x in asks]
+                if any(map(len, keys)):
+                    rows.append((s, block, mark, *map(packed, keys)))
+            cols = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["shard", "block", "mark", "words", "pairs", "triples"])
+
+    def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        held = {kind: unpacked(data.as_py()) for kind, data in zip(known.column("kind").to_pylist(), known.column("data"))}
+        blocks, marks, out = asked.column("block").to_pylist(), asked.column("mark").to_pylist(), []
+        for i in range(asked.num_rows):
+            words, pairs, triples = (unpacked(asked.column(c)[i].as_py())[0] for c in ("words", "pairs", "triples"))
+            told = [np.stack(x) for x in (_found(held, WORDS, words), _found(held, BIGRAMS, pairs) + _found(held, CONTEXTS, pairs), _found(held, TRIGRAMS, triples))]
+            out.append((blocks[i], key[0].as_py(), marks[i], *(packed(np.zeros(x.shape[1]), *x) for x in told)))
+        cols = list(zip(*out)) or [[]] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], ["block", "shard", "mark", "words", "pairs", "triples"])
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, langs, words, doc in _blocks(batches):
+            own, at, n = np.unique(words, return_inverse=True, return_counts=True)
+            rank = np.argsort(-n, kind="stable")  # frequent words have small numbers
+            number = np.empty(len(own), np.int64)
+            number[rank] = np.arange(len(own))
+            row = (block, _mark(words), ids, langs, packed(np.zeros(len(ids)), np.bincount(doc, minlength=len(ids))), packed(own, number), packed(np.zeros(len(words)), number[at]))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], ["block", "mark", "ids", "langs", "sizes", "vocabulary", "tokens"])
+
+    def judge(texts: pa.Table, told: pa.Table) -> pa.Table:
+        m = shared.value
+        if not texts.num_rows:
+            raise RuntimeError("a block of documents was dealt out in another way")
+        ids, langs = texts.column("ids")[0].as_py(), texts.column("langs")[0].as_py()
+        size = unpacked(texts.column("sizes")[0].as_py())[1].astype(np.int64)
+        own, number = unpacked(texts.column("vocabulary")[0].as_py())
+        back = np.empty(len(own), np.int64)
+        back[number.astype(np.int64)] = np.arange(len(own))
+        words = own[back[unpacked(texts.column("tokens")[0].as_py())[1].astype(np.int64)]]
+        doc = np.repeat(np.arange(len(ids)), size)
+        if any(mark != texts.column("mark")[0].as_py() for mark in told.column("mark").to_pylist()):
+            raise RuntimeError("a block of documents was dealt out in another way")
+        order = np.argsort(told.column("shard").to_numpy())
+        values = []
+        for kind, x, width in zip(("words", "pairs", "triples"), _asks(words, doc, m), (5, 5, 1)):
+            got = [unpacked(told.column(kind)[int(i)].as_py())[1:] for i in order]
+            full = np.zeros((width, x.size))
+            full[:, x.place] = np.concatenate(got, 1) if got else 0
+            values.append(full[:, x.back])
+        n = len(words)
+        (ends, *_), (_, starts, *by) = values[0][:, :n], values[0][:, n:]
+        tail, (total, *mine) = values[1][0, :n], values[1][1:, n:]
+        seen = values[2][0]
+        less = lambda c, d: np.maximum(c - np.choose(np.minimum(c, 3).astype(np.int64), (0.0, *d)), 0)
+        kept = lambda parts, d: sum(x * y for x, y in zip(parts, d))
+        d1, d2, d3 = m.discounts
+        p = less(ends, d1) / max(1.0, m.ends) + m.spare
+        p = np.where(starts > 0, (less(tail, d2) + kept(by, d2) * p) / np.maximum(starts, 1), p)
+        p = np.where(total > 0, (less(seen, d3) + kept(mine, d3) * p) / np.maximum(total, 1), p)
+        mean = -np.bincount(doc, np.log(p), len(ids)) / np.maximum(size, 1)
+        cols = (pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(size, pa.int64()), pa.array(mean, pa.float64(), mask=size == 0))
+        return pa.table(list(cols), ["doc_id", "lang", "n_words", "log_perplexity"])
+
+    answers = "block long, shard int, mark long, words binary, pairs binary, triples binary"
+    known = None
+    for part in tables:
+        rows = part.where(F.col("kind").between(TRIGRAMS, WORDS)).select("shard", "kind", "data")
+        known = rows if known is None else known.unionByName(rows)
+    asked = docs.mapInArrow(ask, "shard int, block long, mark long, words binary, pairs binary, triples binary")
+    told = stage(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, answers), "answers")
+    release(*tables)
+    coded = docs.mapInArrow(code, "block long, mark long, ids array<long>, langs array<string>, sizes binary, vocabulary binary, tokens binary")
+    scored = stage(coded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, "doc_id long, lang string, n_words long, log_perplexity double"), "scored")
+    release(told)
+    return scored
 
 
 def bars_by_language(scored: DataFrame, level: float, least: int) -> DataFrame:
@@ -357,15 +414,16 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="t
     and is not kept; labels of null quality or id don't count, an id labelled both ways is
     neither; rows that repeat are judged alike; an empty table gives no rows.
     """
+    if not docs.inputFiles():
+        docs = stage(docs, "documents")
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("quality").alias("most"))
     known = stage(known.where("q = most AND q IN (0, 1)").select("doc_id", (F.col("q") == 1).alias("trusted")), "known")
     if known.count() <= BROADCAST_IDS:
         known = F.broadcast(known)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(held)) == 0
     model = train(rows.join(known.where("trusted"), "doc_id").where(~aside).select("text"))
-    marked = rows.join(known.where(aside | ~F.col("trusted")), "doc_id", "left")
-    scored = stage(score(marked.select("doc_id", "lang", "trusted", "text"), model), "scored")
+    scored = score(rows, model).join(known.where(aside | ~F.col("trusted")), "doc_id", "left")
     bars = stage(bars_by_language(scored, level, least), "bars")
     whole = bars.where("lang IS NULL").select(F.col("bar").alias("any"), F.lit(1).alias("one"))
     judged = scored.join(F.broadcast(bars.where("lang IS NOT NULL")), "lang", "left").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one", "left")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import math
+import tempfile
 import uuid
+from pathlib import Path
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where all run on one machine."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return (folder or "file:///tmp/tessera-shared").rstrip("/")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (folder or Path(tempfile.gettempdir(), "tessera-shared").as_uri()).rstrip("/")
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files that no plan refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -26,7 +40,49 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    sweep(spark)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*staged: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def key_filter(keys: DataFrame, bits: int = 1 << 27) -> np.ndarray:
+    """One bit for each long in the only column of `keys`, in an array of fixed size.
+
+    Rows whose key isn't in it are told apart without a shuffle; a full one only spares fewer.
+    """
+
+    def mark(batches):
+        held = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) % np.uint64(bits)
+            np.bitwise_or.at(held, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        word = np.flatnonzero(held.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int32)), pa.array(held.view(np.int64)[word])], ["word", "bits"])
+
+    found = keys.mapInArrow(mark, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return out.view(np.uint8)
+
+
+def maybe_in(key: str, spark: SparkSession, found: np.ndarray) -> Column:
+    """Whether the filter has the key's bit."""
+    shared, bits = spark.sparkContext.broadcast(found), 8 * len(found)
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        at = keys.to_numpy(np.int64).view(np.uint64) % np.uint64(bits)
+        return pd.Series((shared.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    return test(F.col(key))
 
 
 def spread(value: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 _U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -25,6 +26,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of ordered pairs of hashes."""
+    return mixed(a * _U(0xC2B2AE3D27D4EB4F) + mixed(b))
+
+
+def packed(*cols: np.ndarray) -> bytes:
+    """Columns of whole numbers of one length, the first in rising order, as bytes: differences, then byte by byte."""
+    rows = np.stack([np.asarray(c).astype(_U) for c in cols])
+    rows[0] = np.diff(rows[0], prepend=_U(0))
+    return len(cols).to_bytes(1, "little") + zstandard.compress(rows.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The columns again, as rows of an array."""
+    rows = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(8, -1).T.copy().view(_U).reshape(data[0], -1)
+    rows[0] = np.cumsum(rows[0], dtype=_U)
+    return rows
+
+
 _powers: tuple[np.ndarray, np.ndarray] = (np.zeros(0, _U), np.zeros(0, _U))
 
 

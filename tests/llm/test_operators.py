@@ -319,49 +319,49 @@ def perplexities(texts, scored):
     from collections import Counter
 
     def grams(text):
-        ids = [names.get(w, 1) for w in text.lower().split()]
-        return list(zip([0, 0, *ids], [0, *ids], ids))
+        w = text.lower().split()
+        return list(zip(["", "", *w], ["", *w], w))
 
-    seen = Counter(w for t in texts for w in t.lower().split())
-    names = {w: k for k, w in enumerate(seen, 2)}
     c3 = Counter(g for t in texts for g in grams(t))
-    c2, c1 = Counter(g[1:] for g in c3), Counter()
-    for _, c in c2:
-        c1[c] += 1
+    c2 = Counter(g[1:] for g in c3)
+    c1 = Counter(g[1:] for g in c2)
+    d1, d2, d3 = (quality._discounts(*[list(c.values()).count(k) for k in (1, 2, 3, 4)]) for c in (c1, c2, c3))
 
-    def level(counts, d, n_of):
-        total, share = Counter(), Counter()
-        for g, n in n_of.items():
+    def less(n, d):
+        return n - d[min(n, 3) - 1] if n else 0
+
+    def level(counts, d):
+        total, left = Counter(), Counter()
+        for g, n in counts.items():
             total[g[:-1]] += n
-            share[g[:-1]] += n - d[min(n, 3) - 1] if n >= quality.CUTOFF else 0
-        return total, share
+            left[g[:-1]] += d[min(n, 3) - 1]
+        return total, left
 
-    d3, d2 = (quality._discounts({k: list(c.values()).count(k) for k in (1, 2, 3, 4)}) for c in (c3, c2))
-    (t3, s3), (t2, s2) = level(c3, d3, c3), level(c2, d2, c2)
-    size, total = len(names) + 2, sum(c1.values())
+    (t1, l1), (t2, l2), (t3, l3) = level(c1, d1), level(c2, d2), level(c3, d3)
 
     def p(a, b, c):
-        low = (c1[c] - min(c1[c], 0.75)) / total + sum(min(n, 0.75) for n in c1.values()) / total / size
-        for n, d, t, s in ((c2[b, c], d2, t2[b,], s2[b,]), (c3[a, b, c], d3, t3[a, b], s3[a, b])):
-            low = ((n - d[min(n, 3) - 1]) / t if n >= quality.CUTOFF else 0) + (1 - s / t if t else 1) * low
-        return low
+        low = less(c1[c,], d1) / t1[()] + l1[()] / t1[()] / (len(c1) + 1)
+        low = (less(c2[b, c], d2) + l2[b,] * low) / t2[b,] if t2[b,] else low
+        return (less(c3[a, b, c], d3) + l3[a, b] * low) / t3[a, b] if t3[a, b] else low
 
-    for a, b in ((0, 0), (0, 3), (2, 3)):
-        assert abs(sum(p(a, b, c) for c in range(size)) - 1) < 1e-9
+    words = [w for (w,) in c1] + ["no such word"]
+    for a, b in (("", ""), ("", texts[0].split()[0].lower()), tuple(texts[0].lower().split()[:2])):
+        assert abs(sum(p(a, b, c) for c in words) - 1) < 1e-9
     return [-np.mean([np.log(p(*g)) for g in grams(t)]) if t and t.split() else None for t in scored]
 
 
-@pytest.mark.parametrize("entries", [0, 60, 10**6])
-def test_quality_scores_equal_brute_force(spark, entries):
+@pytest.mark.parametrize("gather, block", [(1 << 20, 1 << 21), (50, 100)])
+def test_quality_scores_equal_brute_force(spark, tmp_path, monkeypatch, gather, block):
+    monkeypatch.setattr(quality, "GATHER", gather)
+    monkeypatch.setattr(quality, "BLOCK", block)
     texts = [prose(i % 5, 60 + i) for i in range(9)]
-    scored = [*texts, prose(77, 300), "never seen words", None, "", prose(3, 50), prose(3, 50)]
-    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"), entries=entries)
-    rows = [(k, "en", False, t) for k, t in enumerate(scored)]
-    got = quality.score(spark.createDataFrame(rows, "doc_id long, lang string, trusted boolean, text string"), model).collect()
-    got = {r.doc_id: r.log_perplexity for r in got}
+    scored = [*texts, prose(77, 300), "never seen words", None, "", prose(3, 50), prose(3, 50), prose(8, 30_000)]
+    model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    spark.createDataFrame([(k, "en", t) for k, t in enumerate(scored)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/d")
+    got = {r.doc_id: r.log_perplexity for r in quality.score(spark.read.parquet(f"{tmp_path}/d"), model).collect()}
     assert len(got) == len(scored)
     for k, want in enumerate(perplexities(texts, scored)):
-        assert got[k] is None if want is None else abs(got[k] - want) < 1e-4
+        assert got[k] is None if want is None else abs(got[k] - want) < 1e-9
 
 
 def test_shingles_do_not_depend_on_segments():
