@@ -1,6 +1,6 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model and perplexity bars by language.
 
-Words are 64-bit hashes, so the vocabulary has no limit; every n-gram of the trusted text is in the
+Words are 40-bit hashes, so the vocabulary has no limit; every n-gram of the trusted text is in the
 model. Counts lie in shards, and so do the scores' lookups: blocks of documents ask the shards for
 their distinct n-grams in sorted, packed lists, and the answers come back in the same order.
 """
@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import release, stage, table
+from .shared import bucketed, release, stage, table
 from .textgrams import mixed, packed, pair, unpacked, word_hashes
 
 _U = np.uint64
@@ -25,9 +25,9 @@ FILTER_BITS = 1 << 28
 #: Labelled ids that are broadcast (9 bytes each); beyond, the rows are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Distinct trigrams that a task gathers before it passes their counts on, and words in a block of documents.
-GATHER, BLOCK = 1 << 20, 1 << 21
-#: Low bits of a key that choose its shard; the others tell the keys of a shard apart.
-SHARD_BITS = _U(20)
+GATHER, BLOCK = 1 << 20, 1 << 22
+#: Bits of a word's hash that are left out; low bits of an n-gram's that choose its shard, while the others tell the keys of a shard apart.
+WORD_BITS, SHARD_BITS = _U(24), _U(28)
 #: Kinds of rows of the counts: tables of the model, parts of counts on their way to a shard, counts of counts.
 TRIGRAMS, CONTEXTS, BIGRAMS, WORDS, PARTS, LEVELS = range(6)
 ROWS = "shard int, kind int, vocabulary binary, data binary"
@@ -38,8 +38,8 @@ class Model(NamedTuple):
     discounts: tuple[tuple[float, float, float], ...]  # of single words, bigrams and trigrams
     ends: float  # distinct bigrams
     spare: float  # p of a word that was never seen
-    filter: np.ndarray | None
-    parts: tuple[DataFrame, ...]  # staged ROWS of the tables
+    filter: np.ndarray
+    tables: DataFrame | None  # shard, kind, data
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -65,9 +65,18 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return own, np.bincount(back, n, len(own)).astype(np.int64), at
 
 
+def _vocabulary(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words, the frequent ones first by powers of two, and the place of each word among them."""
+    own, at, n = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.lexsort((own, -np.floor(np.log2(n))))
+    place = np.empty(len(own), np.int64)
+    place[order] = np.arange(len(own))
+    return own[order], place[at]
+
+
 def _coded(*cols: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
-    """Columns of word hashes as places in their own sorted vocabulary, with counts."""
-    words, at = np.unique(np.concatenate(cols), return_inverse=True)
+    """Columns of word hashes as places in their own vocabulary, with counts."""
+    words, at = _vocabulary(np.concatenate(cols))
     cols = at.reshape(len(cols), -1)
     order = np.lexsort(cols[::-1])
     return packed(words), packed(*cols[:, order], n[order])
@@ -113,6 +122,7 @@ def _count_trigrams(texts: DataFrame, shards: int) -> DataFrame:
         held, waiting = [], 0
         for batch in batches:
             for _, _, c, doc in word_hashes(batch.column(0)):
+                c = c >> WORD_BITS
                 a, b = _before(c, doc)
                 held.append(merged([[pair(pair(a, b), c), a, b, c, np.ones(len(c), np.int64)]]))
                 waiting += len(held[-1][0])
@@ -180,7 +190,7 @@ def _slot(keys: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
     return shard.astype(np.int64) * each + (mixed(keys >> SHARD_BITS) % _U(each)).astype(np.int64)
 
 
-def _filter(parts: tuple[DataFrame, ...], shards: int) -> np.ndarray:
+def _filter(tables: DataFrame, shards: int) -> np.ndarray:
     """FILTER_BITS bits at any number of keys; each row of the tables makes its shard's stretch."""
     each = FILTER_BITS // shards // 8 * 8
 
@@ -194,11 +204,9 @@ def _filter(parts: tuple[DataFrame, ...], shards: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed(at, word[at])], pa.binary())], ["shard", "data"])
 
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part in parts:
-        rows = part.where(F.col("kind").between(TRIGRAMS, WORDS)).select("shard", "data").mapInArrow(marked, "shard int, data binary")
-        for row in rows.toLocalIterator():
-            at, word = unpacked(bytes(row.data))
-            out[row.shard * each // 8 + at.astype(np.int64)] |= word.astype(np.uint8)
+    for row in tables.select("shard", "data").mapInArrow(marked, "shard int, data binary").toLocalIterator():
+        at, word = unpacked(bytes(row.data))
+        out[row.shard * each // 8 + at.astype(np.int64)] |= word.astype(np.uint8)
     return out
 
 
@@ -209,9 +217,11 @@ def train(texts: DataFrame) -> Model:
     goes to the order below, and of single words evenly to all words and one unseen.
     """
     shards = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    three = stage(_count_trigrams(texts, shards), "trigrams")
-    two = stage(_count_bigrams(three, shards), "bigrams")
-    one = stage(_count_words(two), "words")
+    three = stage(_count_trigrams(texts, shards), "trigrams", "kind")
+    two = stage(_count_bigrams(three, shards), "bigrams", "kind")
+    release(three, part=f"kind={PARTS}")
+    one = stage(_count_words(two), "words", "kind")
+    release(two, part=f"kind={PARTS}")
     discounts, totals = [], []
     for part in (one, two, three):
         rows = part.where(F.col("kind") == LEVELS).select("data").collect()  # a row of six numbers for each shard
@@ -222,7 +232,10 @@ def train(texts: DataFrame) -> Model:
     d = discounts[0]
     left = d[0] * n[0] + d[1] * n[1] + d[2] * (n[4] - n[0] - n[1])
     spare = left / max(1, n[5]) / (n[4] + 1) if n[5] else 1.0
-    return Model(shards, tuple(discounts), float(n[5]), float(spare), _filter((one, two, three), shards), (one, two, three))
+    known = [part.where(F.col("kind").between(TRIGRAMS, WORDS)).select("shard", "kind", "data") for part in (one, two, three)]
+    tables = bucketed(known[0].unionByName(known[1]).unionByName(known[2]), "model", "shard", shards)
+    release(one, two, three)
+    return Model(shards, tuple(discounts), float(n[5]), float(spare), _filter(tables, shards), tables)
 
 
 class Asked(NamedTuple):
@@ -259,7 +272,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
     for batch in batches:
         every, tongues = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i, j, w, d in word_hashes(batch.column(2)):
-            words.append(w)
+            words.append(w >> WORD_BITS)
             doc.append(d - i + len(ids))
             ids += every[i:j]
             langs += tongues[i:j]
@@ -291,8 +304,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     docs are read twice, once to ask and once to score, and must be dealt out alike both times, as
     files are; a block that isn't makes the job fail.
     """
-    tables = model.parts
-    shared = docs.sparkSession.sparkContext.broadcast(model._replace(parts=()))  # FILTER_BITS / 8 bytes
+    known = model.tables
+    shared = docs.sparkSession.sparkContext.broadcast(model._replace(tables=None))  # FILTER_BITS / 8 bytes
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -319,11 +332,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, langs, words, doc in _blocks(batches):
-            own, at, n = np.unique(words, return_inverse=True, return_counts=True)
-            rank = np.argsort(-n, kind="stable")  # frequent words have small numbers
-            number = np.empty(len(own), np.int64)
-            number[rank] = np.arange(len(own))
-            row = (block, _mark(words), ids, langs, packed(np.zeros(len(ids)), np.bincount(doc, minlength=len(ids))), packed(own, number), packed(np.zeros(len(words)), number[at]))
+            own, at = _vocabulary(words)
+            row = (block, _mark(words), ids, langs, packed(np.zeros(len(ids)), np.bincount(doc, minlength=len(ids))), packed(own), packed(np.zeros(len(words)), at))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), *[pa.binary()] * 3)
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], ["block", "mark", "ids", "langs", "sizes", "vocabulary", "tokens"])
 
@@ -333,10 +343,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             raise RuntimeError("a block of documents was dealt out in another way")
         ids, langs = texts.column("ids")[0].as_py(), texts.column("langs")[0].as_py()
         size = unpacked(texts.column("sizes")[0].as_py())[1].astype(np.int64)
-        own, number = unpacked(texts.column("vocabulary")[0].as_py())
-        back = np.empty(len(own), np.int64)
-        back[number.astype(np.int64)] = np.arange(len(own))
-        words = own[back[unpacked(texts.column("tokens")[0].as_py())[1].astype(np.int64)]]
+        own = unpacked(texts.column("vocabulary")[0].as_py())[0]
+        words = own[unpacked(texts.column("tokens")[0].as_py())[1].astype(np.int64)]
         doc = np.repeat(np.arange(len(ids)), size)
         if any(mark != texts.column("mark")[0].as_py() for mark in told.column("mark").to_pylist()):
             raise RuntimeError("a block of documents was dealt out in another way")
@@ -362,13 +370,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.table(list(cols), ["doc_id", "lang", "n_words", "log_perplexity"])
 
     answers = "block long, shard int, mark long, words binary, pairs binary, triples binary"
-    known = None
-    for part in tables:
-        rows = part.where(F.col("kind").between(TRIGRAMS, WORDS)).select("shard", "kind", "data")
-        known = rows if known is None else known.unionByName(rows)
     asked = docs.mapInArrow(ask, "shard int, block long, mark long, words binary, pairs binary, triples binary")
     told = stage(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, answers), "answers")
-    release(*tables)
+    release(known)
     coded = docs.mapInArrow(code, "block long, mark long, ids array<long>, langs array<string>, sizes binary, vocabulary binary, tokens binary")
     scored = stage(coded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, "doc_id long, lang string, n_words long, log_perplexity double"), "scored")
     release(told)

@@ -35,21 +35,35 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write `df` as a table in the shared folder and read it back."""
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cut lineage: write `df` as a table in the shared folder, in a folder for each value of `by`, and read it back."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    df.write.parquet(path, partitionBy=by, compression="zstd")
     sweep(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
 
 
-def release(*staged: DataFrame) -> None:
-    """Remove staged tables that nothing reads any more."""
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """`df` as a table of the warehouse, dealt to buckets by `key`, so that grouping it by the key takes no shuffle."""
+    spark = df.sparkSession
+    name = f"tessera_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("compression", "zstd").saveAsTable(name)
+    sweep(spark)
+    out = spark.table(name)
+    out.table_name = name
+    return out
+
+
+def release(*staged: DataFrame, part: str = "") -> None:
+    """Remove staged tables, or the folder `part` of them, that nothing reads any more."""
     for df in staged:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        if hasattr(df, "table_name"):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.table_name}")
+            continue
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{df.staged_at}/{part}")
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
