@@ -46,6 +46,12 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys & ((_U(1) << SHARD_BITS) - _U(1))) % _U(shards)).astype(np.int32)
 
 
+def _triple(context: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of trigrams; the bits that choose the shard are those of the context."""
+    low = (_U(1) << SHARD_BITS) - _U(1)
+    return (pair(context, words) & ~low) | (context & low)
+
+
 def _cut(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order by shard, and where each shard begins in it."""
     return np.argsort(shard, kind="stable"), np.searchsorted(np.sort(shard), np.arange(shards + 1))
@@ -124,7 +130,7 @@ def _count_trigrams(texts: DataFrame, shards: int) -> DataFrame:
             for _, _, c, doc in word_hashes(batch.column(0)):
                 c = c >> WORD_BITS
                 a, b = _before(c, doc)
-                held.append(merged([[pair(pair(a, b), c), a, b, c, np.ones(len(c), np.int64)]]))
+                held.append(merged([[_triple(pair(a, b), c), a, b, c, np.ones(len(c), np.int64)]]))
                 waiting += len(held[-1][0])
                 if waiting > GATHER:
                     held = [merged(held)]
@@ -138,7 +144,7 @@ def _count_trigrams(texts: DataFrame, shards: int) -> DataFrame:
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
         a, b, c, n = _decoded(rows)
         context = pair(a, b)
-        k, n, at = _summed(pair(context, c), n)
+        k, n, at = _summed(_triple(context, c), n)
         own, back = np.unique(context[at], return_inverse=True)
         b, c = b[at], c[at]
         out = [(key[0].as_py(), TRIGRAMS, None, packed(k >> SHARD_BITS, n)), (key[0].as_py(), CONTEXTS, None, packed(own >> SHARD_BITS, *_parts(own, n, back, len(own)))), (0, LEVELS, None, _levels(n))]
@@ -155,7 +161,7 @@ def _count_bigrams(counts: DataFrame, shards: int) -> DataFrame:
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
         b, c, n = _decoded(rows)
         k, n, at = _summed(pair(b, c), n)
-        words, back = np.unique(np.concatenate((b[at], c[at])), return_inverse=True)
+        words, back = np.unique(mixed(np.concatenate((b[at], c[at]))), return_inverse=True)
         cols = [np.bincount(back[len(k) :], minlength=len(words)), *_parts(words, n, back[: len(k)], len(words))]
         order, edges = _cut(_shard(words, shards), shards)
         sent = [(s, PARTS, None, packed(words[p], *(x[p] for x in cols))) for s in range(shards) if len(p := order[edges[s] : edges[s + 1]])]
@@ -238,31 +244,33 @@ def train(texts: DataFrame) -> Model:
     return Model(shards, tuple(discounts), float(n[5]), float(spare), _filter(tables, shards), tables)
 
 
-class Asked(NamedTuple):
-    back: np.ndarray  # each n-gram's place among the distinct ones
-    size: int
-    place: np.ndarray  # places that are asked for, by shard and key
-    keys: np.ndarray  # their keys, without the bits of the shard
-    at: np.ndarray  # where each shard begins
+class Grams(NamedTuple):
+    """Keys in documents that begin with two starts; `at` are the places of words, before which stand contexts."""
+
+    words: np.ndarray
+    pairs: np.ndarray
+    triples: np.ndarray  # of the words only
+    at: np.ndarray
+
 
+def _grams(words: np.ndarray, size: np.ndarray) -> Grams:
+    ends = np.cumsum(size + 2)
+    at = np.delete(np.arange(ends[-1] if len(ends) else 0), np.concatenate((ends - size - 2, ends - size - 1))) if len(ends) else np.zeros(0, np.int64)
+    every = np.zeros(len(words) + 2 * len(size), _U)
+    every[at] = words
+    before = np.concatenate((every[:1], every[:-1]))
+    before[ends - size - 2] = 0
+    both = pair(before, every)
+    return Grams(mixed(every), both, _triple(both[at - 1], words), at)
 
-def _ask(keys: np.ndarray, route: np.ndarray, m: Model) -> Asked:
-    own, first, back = np.unique(keys, return_index=True, return_inverse=True)
-    shard = _shard(route[first], m.shards)
+
+def _wanted(own: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the distinct keys that are asked for, by shard and key, and where each shard begins."""
+    shard = _shard(own, m.shards)
     bit = _slot(own, shard, m.shards)
     wanted = np.flatnonzero(m.filter[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
     order, at = _cut(shard[wanted], m.shards)
-    return Asked(back, len(own), wanted[order], own[wanted[order]] >> SHARD_BITS, at)
-
-
-def _asks(words: np.ndarray, doc: np.ndarray, m: Model) -> tuple[Asked, Asked, Asked]:
-    """What a block of documents asks for: words with the start, bigrams with contexts, trigrams."""
-    a, b = _before(words, doc)
-    left, right = pair(a, b), pair(b, words)
-    both = np.concatenate((right, left))
-    ends = np.concatenate((words, b))
-    three = pair(left, words)
-    return _ask(ends, ends, m), _ask(both, both, m), _ask(three, left, m)
+    return wanted[order], at
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, np.ndarray, np.ndarray]]:
@@ -285,6 +293,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
 
 
 def _mark(words: np.ndarray) -> int:
+    """Tells blocks apart that hold other words, or the same in another order."""
     return int(np.bitwise_xor.reduce(mixed(words + np.arange(len(words), dtype=_U)))) >> 1
 
 
@@ -309,12 +318,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for block, _, _, words, doc in _blocks(batches):
-            mark, asks, rows = _mark(words), _asks(words, doc, m), []
+        for block, ids, _, words, doc in _blocks(batches):
+            asks, rows = [], []
+            for keys in _grams(words, np.bincount(doc, minlength=len(ids)))[:3]:
+                own = np.unique(keys)
+                place, at = _wanted(own, m)
+                asks.append((own[place] >> SHARD_BITS, at))
             for s in range(m.shards):
-                keys = [x.keys[x.at[s] : x.at[s + 1]] for x in asks]
+                keys = [own[at[s] : at[s + 1]] for own, at in asks]
                 if any(map(len, keys)):
-                    rows.append((s, block, mark, *map(packed, keys)))
+                    rows.append((s, block, _mark(words), *map(packed, keys)))
             cols = list(zip(*rows)) or [[]] * 6
             kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["shard", "block", "mark", "words", "pairs", "triples"])
@@ -349,22 +362,24 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if any(mark != texts.column("mark")[0].as_py() for mark in told.column("mark").to_pylist()):
             raise RuntimeError("a block of documents was dealt out in another way")
         order = np.argsort(told.column("shard").to_numpy())
-        values = []
-        for kind, x, width in zip(("words", "pairs", "triples"), _asks(words, doc, m), (5, 5, 1)):
+        grams = _grams(words, size)
+        back, told_of = [], []
+        for kind, keys, width in zip(("words", "pairs", "triples"), grams[:3], (5, 5, 1)):
+            own, at = np.unique(keys, return_inverse=True)
             got = [unpacked(told.column(kind)[int(i)].as_py())[1:] for i in order]
-            full = np.zeros((width, x.size))
-            full[:, x.place] = np.concatenate(got, 1) if got else 0
-            values.append(full[:, x.back])
-        n = len(words)
-        (ends, *_), (_, starts, *by) = values[0][:, :n], values[0][:, n:]
-        tail, (total, *mine) = values[1][0, :n], values[1][1:, n:]
-        seen = values[2][0]
-        less = lambda c, d: np.maximum(c - np.choose(np.minimum(c, 3).astype(np.int64), (0.0, *d)), 0)
+            full = np.zeros((width, len(own)))
+            if got:
+                full[:, _wanted(own, m)[0]] = np.concatenate(got, 1)
+            back.append(at)
+            told_of.append(full)
+        less = lambda c, d: np.maximum(c - np.choose(np.minimum(c, 3).astype(np.int8), (0.0, *d)), 0)
         kept = lambda parts, d: sum(x * y for x, y in zip(parts, d))
-        d1, d2, d3 = m.discounts
-        p = less(ends, d1) / max(1.0, m.ends) + m.spare
-        p = np.where(starts > 0, (less(tail, d2) + kept(by, d2) * p) / np.maximum(starts, 1), p)
-        p = np.where(total > 0, (less(seen, d3) + kept(mine, d3) * p) / np.maximum(total, 1), p)
+        (d1, d2, d3), at = m.discounts, grams.at
+        (ends, starts, *by), (tail, total, *mine), (seen,) = told_of
+        last, first, tails, context = back[0][at], back[0][at - 1], back[1][at], back[1][at - 1]
+        p = (less(ends, d1) / max(1.0, m.ends) + m.spare)[last]
+        p = np.where(starts[first] > 0, (less(tail, d2)[tails] + kept(by, d2)[first] * p) / np.maximum(starts, 1)[first], p)
+        p = np.where(total[context] > 0, (less(seen, d3)[back[2]] + kept(mine, d3)[context] * p) / np.maximum(total, 1)[context], p)
         mean = -np.bincount(doc, np.log(p), len(ids)) / np.maximum(size, 1)
         cols = (pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(size, pa.int64()), pa.array(mean, pa.float64(), mask=size == 0))
         return pa.table(list(cols), ["doc_id", "lang", "n_words", "log_perplexity"])
