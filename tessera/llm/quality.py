@@ -54,7 +54,8 @@ def _triple(context: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def _cut(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order by shard, and where each shard begins in it."""
-    return np.argsort(shard, kind="stable"), np.searchsorted(np.sort(shard), np.arange(shards + 1))
+    small = shard.astype(np.uint16) if shards < 1 << 16 else shard
+    return np.argsort(small, kind="stable"), np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
 
 
 def _before(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +223,7 @@ def train(texts: DataFrame) -> Model:
     Discounts are those of modified Kneser-Ney at all three orders; what they leave of a context
     goes to the order below, and of single words evenly to all words and one unseen.
     """
-    shards = 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     three = stage(_count_trigrams(texts, shards), "trigrams", "kind")
     two = stage(_count_bigrams(three, shards), "bigrams", "kind")
     release(three, part=f"kind={PARTS}")
@@ -321,7 +322,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for block, ids, _, words, doc in _blocks(batches):
             asks, rows = [], []
             for keys in _grams(words, np.bincount(doc, minlength=len(ids)))[:3]:
-                own = np.unique(keys)
+                own = np.sort(keys)
+                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
                 place, at = _wanted(own, m)
                 asks.append((own[place] >> SHARD_BITS, at))
             for s in range(m.shards):
