@@ -10,14 +10,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stage, table
+from .shared import release, stage, table
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
-#: Words that a worker keeps the ids of, about 200 bytes each; the cache starts anew beyond it.
+#: Words that a worker keeps the ids of, about 200 bytes each: the first, and so the frequent ones; others are encoded again.
 CACHED_WORDS = 1_000_000
+#: Text that is tokenized at a time.
+TEXT_BYTES = 8 << 20
+#: A letter, then a mark that is neither a letter nor a digit nor an apostrophe.
+MARKS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%#*&$|()\[\]{}<>/\\+=\-_\"])"
 
 
 def tokenizer_path() -> str:
@@ -27,29 +32,63 @@ def tokenizer_path() -> str:
 
 
 class WordCoder:
-    """Token ids of texts, as little-endian bytes, word by word.
+    """Token ids of texts, word by word.
 
-    The tokenizer's pattern never spans white space and its normalizer works within words, so
-    that the ids of a text are those of its space-separated parts, one after another.
+    The tokenizer's pattern never spans white space and its normalizer works within words, so that
+    the ids of a text are those of its words, one after another. Two more steps change no ids and
+    leave fewer distinct words: A-Z in lower case (so does the normalizer), and a space before
+    marks that follow a letter (there the pattern parts them anyway). Words of letters alone are
+    one piece of the pattern each, whose last token ends a word; many are encoded as one text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        fresh = [w for w in set(words) if w not in known]
-        if len(known) + len(fresh) > CACHED_WORDS:
-            known.clear()
-            fresh = list(set(words))
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def _fresh(self, words: list[str]) -> dict[str, np.ndarray]:
+        """Ids of words that aren't known."""
+        out = {}
+        letters, others = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        for at in range(0, len(groups), 64):
+            part = groups[at : at + 64]
+            for group, e in zip(part, self.tokenizer.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False)):
+                ids = np.asarray(e.ids, "<u4")
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(group):
+                    out.update(zip(group, np.split(ids, ends[:-1])))
+                else:  # a letter that the normalizer changes into more
+                    others += group
+        for at in range(0, len(others), 10_000):
+            part = others[at : at + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+                out[w] = np.asarray(e.ids, "<u4")
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts on end, and where each begins and the last ends."""
+        texts = texts.cast(pa.string()).fill_null("")
+        simple = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS, r"\1 \2")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, simple)  # special tokens are found in the text as it is
+        parted = pc.split_pattern(pc.replace_substring_regex(texts, r"[\n\t\r]", " "), " ")
+        coded = parted.values[parted.offsets[0].as_py() : parted.offsets[-1].as_py()].dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        fresh = self._fresh([w for w in words if w not in self.known])
+        ids = [self.known[w] if w in self.known else fresh[w] for w in words]
+        if len(self.known) + len(fresh) <= CACHED_WORDS:
+            self.known.update(fresh)
+        size = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        at = np.asarray(coded.indices)
+        many = size[at]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        begins = (np.cumsum(size) - size)[at]
+        out = flat[np.repeat(begins - ends[:-1], many) + np.arange(ends[-1])]
+        return out, ends[np.asarray(parted.offsets) - parted.offsets[0].as_py()]
 
 
 @functools.lru_cache(1)
@@ -68,15 +107,19 @@ def tokenize_pieces(docs: DataFrame, *, id_col="doc_id", text_col="text", path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = worker_coder(path, job)
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for doc_id, text in zip(ids, batch.column(1)):
-                data = coder.encode(text.as_py() or "") + last
-                for k, at in enumerate(range(0, len(data), 4 * most)):
-                    part = data[at : at + 4 * most]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, size = batch.column(0).to_pylist(), np.asarray(pc.binary_length(batch.column(1)).fill_null(0))
+            group = (np.cumsum(size) // TEXT_BYTES).tolist()
+            edges = [i for i in range(len(ids)) if not i or group[i] != group[i - 1]] + [len(ids)]
+            for i, j in zip(edges, edges[1:]):
+                flat, at = coder.encode(batch.column(1)[i:j])
+                rows = []
+                for d in range(i, j):
+                    data = flat[at[d - i] : at[d - i + 1]].tobytes() + last
+                    for k, b in enumerate(range(0, len(data), 4 * most)):
+                        part = data[b : b + 4 * most]
+                        rows.append((ids[d], k, b // 4, len(part) // 4, zlib.crc32(part)))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECE)
 
@@ -121,13 +164,15 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
     return best
 
 
-def pack_pieces(pieces: DataFrame, *, most=2048, part_rows=16_384, rounds=3, together=4) -> DataFrame:
+def pack_pieces(pieces: DataFrame, *, most=2048, part_rows=16_384, together=4, patience=2) -> DataFrame:
     """Place pieces in as few sequences as it can: adds sequence_id and offset.
 
     Pieces are dealt to partitions of about `part_rows`; each is packed by best-fit decreasing,
     and a dual-feasible bound certifies its number of bins. Partitions with a gap exchange the
     documents of their bins that aren't full: about `together` of them meet, rerun best-fit
-    decreasing, and keep the new bins if they are fewer, so that no round makes it worse.
+    decreasing, and keep the new bins if they are fewer, so that no round makes it worse. Rounds
+    go on, with other partners, until `patience` in a row have closed nothing. `bins` and `bound`
+    tell how many sequences a piece's partition took, and that none takes fewer than the bound.
     """
     n = pieces.count()
     parts = max(1, -(-n // part_rows))
@@ -160,27 +205,30 @@ def pack_pieces(pieces: DataFrame, *, most=2048, part_rows=16_384, rounds=3, tog
 
     salted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(parts)))
     placed = stage(salted.groupBy("part").applyInPandas(first, schema), "packed-0")
-    for r in range(1, rounds + 1):
+    r, idle, fewest = 0, 0, None
+    while idle < patience:
         open_ = placed.where("gap")
-        gaps = open_.select("part").distinct().count()
+        gaps, used = open_.agg(F.count_distinct("part"), F.count_distinct("part", "bin")).first()
+        closed = fewest is None or (gaps, used) < fewest
+        idle, fewest, r = 0 if closed else idle + 1, (gaps, used), r + 1
         if gaps < 2:
             break
-        meetings = max(1, -(-gaps // together))
-        meet = F.pmod(F.xxhash64(F.lit(r), "part"), F.lit(meetings))
-
+        meet = F.pmod(F.xxhash64(F.lit(r), "part"), F.lit(max(1, -(-gaps // together))))
         moved = open_.withColumn("meet", meet).groupBy("meet").applyInPandas(meeting(r), schema)
-        placed = stage(placed.where("NOT gap").unionByName(moved), f"packed-{r}")
+        after = stage(placed.where("NOT gap").unionByName(moved), f"packed-{r}")
+        release(placed)
+        placed = after
 
     def offsets(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bin", *names], kind="stable", ignore_index=True)
         ends = rows.groupby("bin")["length"].cumsum()
-        return rows[names].assign(sequence_id=rows["bin"], offset=ends - rows["length"], part=key[0])
+        return rows[names].assign(sequence_id=rows["bin"], offset=ends - rows["length"], part=key[0], bins=rows["bin"].nunique(), bound=lower_bound(rows["length"].to_numpy(), most))
 
-    done = placed.groupBy("part").applyInPandas(offsets, f"{PIECE}, sequence_id long, offset long, part long")
+    done = placed.groupBy("part").applyInPandas(offsets, f"{PIECE}, sequence_id long, offset long, part long, bins long, bound long")
     numbers = placed.select("part").distinct().withColumn("number", F.row_number().over(Window.orderBy("part")))
     return done.join(numbers, "part").select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
-        (F.shiftleft(F.col("number").cast("long"), 32) + F.col("sequence_id")).alias("sequence_id"), "offset",
+        (F.shiftleft(F.col("number").cast("long"), 32) + F.col("sequence_id")).alias("sequence_id"), "offset", "bins", "bound",
     )
 
 

@@ -173,6 +173,17 @@ def test_packing(docs, none):
     assert not packing.pack_documents(none).collect()
 
 
+def test_words_have_the_ids_of_their_text():
+    coder = packing.WordCoder(packing.tokenizer_path())
+    rng = np.random.default_rng(8)
+    signs = list("aAbZéÉñßİ'’.,!?-_#19 \n\t\u0301中ﬁ<|>sS$& \x85\x1c")
+    odd = ["THE <|endoftext|> <|EndOfText|>x.y <|startoftext|>", "it's don't 'tis x'y'z a.'s", "Σας ΌΣΟΣ. K Ω", "a" * 300 + ".", "", None]
+    odd += ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(3000)]
+    flat, at = coder.encode(pa.array(odd))
+    for k, text in enumerate(odd):
+        assert flat[at[k] : at[k + 1]].tolist() == coder.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_best_fit_and_bound():
     rng = np.random.default_rng(2)
     for _ in range(50):
