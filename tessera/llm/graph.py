@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import release, stage
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,7 +31,9 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         large = stage(large, "large")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stage(small.unionByName(least.withColumnRenamed("m", "b")).where("a <> b").distinct(), "small")
+        after = stage(small.unionByName(least.withColumnRenamed("m", "b")).where("a <> b").distinct(), "small")
+        release(edges, large)
+        edges = after
         now = _mark(edges)
         if now == seen:
             break

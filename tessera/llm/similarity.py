@@ -1,4 +1,9 @@
-"""N-gram Jaccard join: T-occurrence search with DivideSkip over clusters of sets that share a partition key."""
+"""N-gram Jaccard join: T-occurrence search with DivideSkip.
+
+Sets that can be similar share a partition key. Tasks send such keys to shards in sorted, packed
+lists; what meets there makes clusters, and each cluster has inverted lists of its shingles, in
+which every set looks for those with enough of its own.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +13,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import stage, table
-from .textgrams import mixed, shingle_sets
+from .shared import key_filter, maybe_in, release, stage, table
+from .textgrams import mixed, packed, shingle_sets, unpacked
 
 #: Each level of sizes reaches this much further than the one below it; classes of a level, to the differences it allows.
 LEVEL, CLASSES = 1.3, 1.25
 #: Shingles in one block of a candidate cluster; larger clusters are joined block by block.
 BLOCK_SHINGLES = 2_000_000
+#: Partition keys that a task gathers before it sends them, and bits that it leaves out: more sets may then meet.
+GATHER, KEY_BITS = 1 << 22, np.uint64(20)
+#: The more of it, the fewer long lists are left out of the merge.
+SKIP = 2.0
+#: Columns of the rows that tasks make of documents.
+FIELDS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("key", pa.binary()), ("hash", pa.int64()), ("rid", pa.int64()), ("other", pa.int64()), ("shard", pa.int32()), ("posts", pa.binary())])
 
 
 def needed(n: int, percent: int) -> int:
@@ -56,39 +68,108 @@ def partition_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
+FOUND = "kind int, doc_id long, size long, key binary, hash long, rid long, other long, shard int, posts binary"
+DOCUMENT, POSTS, LINK = range(3)
+
+
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, key (of the whole set) and head: the set's partition keys."""
+    """Rows of three kinds: documents (doc_id, size, key of the set, hash of the text, rid), posts of
+    partition keys (rid of the task's first row, shard, keys and rows) and links between rows (rid, other).
+
+    Within a task only the first set of a key is sent on, and the others are linked to it, so that a
+    key that many sets share reaches its shard once a task.
+    """
+    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def rows(count: int, kind: int, **cols) -> pa.RecordBatch:
+        arrays = []
+        for field in FIELDS:
+            arrays.append(pa.array(cols[field.name], field.type) if field.name in cols else pa.array(np.full(count, kind), field.type) if field.name == "kind" else pa.nulls(count, field.type))
+        return pa.RecordBatch.from_arrays(arrays, schema=FIELDS)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, at = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33, 0
+        held, waiting, seen = [], 0, set()
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            keys, row = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((row, keys))
+            keys, row = keys[order], row[order]
+            new = np.concatenate(([True], keys[1:] != keys[:-1]))
+            first = np.flatnonzero(new)
+            pairs = np.stack((row, row[first][np.cumsum(new) - 1]))[:, ~new]
+            pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+            yield rows(pairs.shape[1], LINK, rid=base + pairs[0], other=base + pairs[1])
+            keys, row = keys[first], row[first]
+            shard = ((keys & np.uint64(0xFFFFF)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            edges = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
+            own = [s for s in range(shards) if edges[s] < edges[s + 1]]
+            posts = [packed(keys[p] >> KEY_BITS, row[p]) for s in own for p in [order[edges[s] : edges[s + 1]]]]
+            yield rows(len(own), POSTS, rid=np.full(len(own), base), shard=own, posts=posts)
+
         for batch in batches:
-            sizes, keys, heads = [], [], []
+            sizes, keys = [], []
             for grams in shingle_sets(batch.column(1), n):
                 sizes.append(len(grams))
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
-                heads.append(partition_keys(grams, percent).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
-                ["doc_id", "size", "key", "head"],
-            )
+                if len(grams) and keys[-1] not in seen:
+                    seen.add(keys[-1])
+                    mine = partition_keys(grams, percent)
+                    held.append((mine, np.full(len(mine), at)))
+                    waiting += len(mine)
+                at += 1
+            yield rows(len(sizes), DOCUMENT, doc_id=batch.column(0), size=sizes, key=keys, hash=batch.column(2), rid=base + np.arange(at - len(sizes), at))
+            if waiting > GATHER:
+                yield from sent()
+                held, waiting, seen = [], 0, set()
+        if held:
+            yield from sent()
+
+    return docs.mapInArrow(sign, FOUND)
+
+
+def meetings(signed: DataFrame) -> DataFrame:
+    """(a, b): rows whose sets share a partition key, each linked to the first of the key."""
+
+    def meet(rows: pa.Table) -> pa.Table:
+        parts = [(unpacked(data.as_py()), base) for data, base in zip(rows.column("posts"), rows.column("rid").to_pylist())]
+        keys, row = np.concatenate([x[0] for x, _ in parts]), np.concatenate([x[1].astype(np.int64) + base for x, base in parts])
+        order = np.lexsort((row, keys))
+        keys, row = keys[order], row[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        pairs = np.unique(np.stack((row, row[np.flatnonzero(new)][np.cumsum(new) - 1]))[:, ~new], axis=1)
+        return pa.table({"a": pairs[0], "b": pairs[1]})
+
+    far = signed.where(F.col("kind") == POSTS).select("shard", "rid", "posts").groupBy("shard").applyInArrow(meet, "a long, b long")
+    return far.unionByName(signed.where(F.col("kind") == LINK).select(F.col("rid").alias("a"), F.col("other").alias("b")))
+
 
-    return docs.mapInArrow(sign, "doc_id long, size long, key binary, head array<long>")
+def probed(lists: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of each value, how many of the sorted stretches of `lists` hold it, by binary search in all of them at once."""
+    low, high = np.tile(begins, (len(values), 1)), np.tile(ends, (len(values), 1))
+    while (going := low < high).any():
+        mid = (low + high) >> 1
+        less = lists[np.minimum(mid, len(lists) - 1)] < values[:, None]
+        low, high = np.where(going & less, mid + 1, low), np.where(going & ~less, mid, high)
+    return ((low < ends) & (lists[np.minimum(low, len(lists) - 1)] == values[:, None])).sum(1)
 
 
 def divide_skip(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of each set, and the smallest position that links lead to, among `sets` by rising size.
 
     sides: 0 joins all; 1 and 2 join only across. A set x asks the sets before it. Sets y with
-    enough overlap have T = ceil(percent * |x|) of x's shingles at least. The L longest lists are
-    left out of the merge: who occurs T - L times in the others is a candidate, whose place in
-    each long list is then found by binary search.
+    enough overlap have T = ceil(percent * |x|) of x's shingles at least. The short inverted lists,
+    each in order, are merged (a stable sort merges sorted runs as a heap does); the L longest are
+    left out: who occurs T - L times in the merge is a candidate, and is then looked for in each
+    long list by binary search.
     """
     count = len(sets)
     links, root = np.zeros(count, np.int64), np.arange(count)
     sizes = np.array([len(s) for s in sets])
     ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    own = np.repeat(np.arange(count), sizes)
-    order = np.lexsort((own, flat))
-    lists, ends = own[order], np.cumsum(np.bincount(flat, minlength=len(ids)))
+    own = np.repeat(np.arange(count), sizes).astype(np.uint16 if count < 1 << 16 else np.int64)
+    lists, ends = own[np.argsort(flat, kind="stable")], np.cumsum(np.bincount(flat, minlength=len(ids)))
     begins = np.concatenate(([0], ends[:-1]))
     edges = np.concatenate(([0], np.cumsum(sizes)))
 
@@ -107,54 +188,52 @@ def divide_skip(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> tupl
             continue
         tokens = tokens[np.argsort(ends[tokens] - begins[tokens], kind="stable")]
         longest = int(ends[tokens[-1]] - begins[tokens[-1]])
-        far = min(t - 1, int(t / (0.0085 * math.log2(max(2, longest)) + 1)))
+        far = min(t - 1, int(t / (SKIP * math.log2(max(2, longest)) + 1)))
         short, long = tokens[: len(tokens) - far], tokens[len(tokens) - far :]
         spans = ends[short] - begins[short]
         at = np.repeat(begins[short] - np.concatenate(([0], np.cumsum(spans[:-1]))), spans) + np.arange(spans.sum())
         hits = lists[at]
-        hits = hits[(hits >= low) & (hits < x)]
-        times = np.bincount(hits - low, minlength=x - low)
-        for y in (np.flatnonzero(times >= t - far) + low).tolist():
-            if sides[x] and sides[x] == sides[y]:
-                continue
-            mine = flat[edges[y] : edges[y + 1]]
-            probe = np.searchsorted(mine, long)
-            both = int(times[y - low]) + int((mine[np.minimum(probe, len(mine) - 1)] == long).sum())
-            if 100 * both >= percent * (sizes[x] + sizes[y] - both):
-                links[x] += 1
-                links[y] += 1
-                a, b = find(x), find(y)
+        hits = np.sort(hits[(hits >= low) & (hits < x)], kind="stable")
+        new = np.flatnonzero(np.concatenate(([True], hits[1:] != hits[:-1]))) if len(hits) else np.zeros(0, np.int64)
+        times = np.diff(np.concatenate((new, [len(hits)])))
+        near, times = hits[new].astype(np.int64)[times >= t - far], times[times >= t - far]
+        if sides[x]:
+            across = sides[near] != sides[x]
+            near, times = near[across], times[across]
+        for i in range(0, len(near), 1024):
+            y = near[i : i + 1024]
+            both = times[i : i + 1024] + (probed(lists, begins[long], ends[long], y) if far else 0)
+            y = y[100 * both >= percent * (sizes[x] + sizes[y] - both)]
+            links[x] += len(y)
+            links[y] += 1
+            for z in np.unique(root[y]).tolist():
+                a, b = find(x), find(z)
                 root[max(a, b)] = min(a, b)
     return links, np.array([find(x) for x in range(count)])
 
 
 def _clusters(signed: DataFrame, percent: int) -> DataFrame:
-    """(rid, cluster, task, side) of the sets that may have links.
+    """(rid, key, hash, task, side) of one row for each set that may have links.
 
-    Linked sets share a partition key. Within a list by size, a set more than the
-    similarity allows above the one before it begins a new run; members of a run go to the run's
-    first. Clusters of that graph hold every link; large ones are cut into blocks by size.
+    Clusters of sets that meet hold every link. A large cluster is cut into blocks, by size and
+    then by hash, and blocks whose sizes allow links are joined in pairs.
     """
-    first = signed.groupBy("key").agg(F.min("rid").alias("rid"))
-    reps = stage(signed.join(first, ["key", "rid"], "left_semi").where("size > 0"), "classes")
-    post = reps.select(F.explode("head").alias("token"), "rid", "size")
-    by = Window.partitionBy("token").orderBy("size", "rid")
-    new = F.lag("size").over(by).isNull() | (F.lag("size").over(by) * 100 < F.col("size") * percent)
-    runs = post.withColumn("mark", F.when(new, F.col("rid")))
-    runs = runs.withColumn("top", F.last("mark", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    edges = runs.where("rid <> top").select(F.col("rid").alias("a"), F.col("top").alias("b"))
-    found = components(edges).withColumnsRenamed({"node": "rid", "root": "cluster"})
-    found = found.join(reps.select("rid", "size", "doc_id", "key"), "rid")
-    upto = Window.partitionBy("cluster").orderBy("size", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    block = F.floor(F.coalesce(F.sum("size").over(upto), F.lit(0)) / BLOCK_SHINGLES)
-    found = stage(found.withColumn("block", block), "clusters")
+    roots = components(meetings(signed)).withColumnsRenamed({"node": "rid", "root": "cluster"})
+    rows = signed.where(F.col("kind") == DOCUMENT).where("size > 0").select("rid", "key", "size", "hash")
+    found = rows.join(roots, "rid").groupBy("key").agg(F.min("cluster").alias("cluster"), F.min(F.struct("rid", "hash")).alias("of"), F.min("size").alias("size"))
+    found = stage(found.select("key", "cluster", "of.*", "size"), "clusters")
+    totals = found.groupBy("cluster").agg(F.sum("size").alias("total"), F.count("*").alias("sets")).where("sets > 1")
+    many = F.ceil(F.col("total") / BLOCK_SHINGLES)
+    band = F.floor(F.log(F.col("size").cast("double")) * (-1 / math.log(percent / 100 - 1e-9) if percent < 100 else 1e6))
+    block = F.when(many > 1, band * (1 << 24) + F.pmod(F.xxhash64("key"), many)).otherwise(F.lit(0)).cast("long")
+    found = found.join(totals, "cluster").select("rid", "key", "hash", "size", "cluster", block.alias("block"))
     blocks = found.groupBy("cluster", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     other = blocks.select("cluster", F.col("block").alias("later"), F.col("low").alias("later_low"))
     pairs = blocks.join(other, "cluster").where("later >= block").where(F.col("later_low") * percent <= F.col("high") * 100)
     task = F.struct("cluster", F.col("block").alias("i"), F.col("later").alias("j"))
     pairs = pairs.select(task.alias("task"), "cluster", F.explode(F.array_distinct(F.array("block", "later"))).alias("block"))
     side = F.when(F.col("task.i") == F.col("task.j"), 0).when(F.col("block") == F.col("task.i"), 1).otherwise(2)
-    return found.join(pairs, ["cluster", "block"]).select("rid", "doc_id", "key", "cluster", "task", side.alias("side"))
+    return found.join(pairs, ["cluster", "block"]).select("rid", "key", "hash", "task", side.alias("side"))
 
 
 def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text", words=4, percent=85) -> DataFrame:
@@ -163,17 +242,21 @@ def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text", wor
     Words are `[^\\x20\\x09-\\x0D]+` after A-Z are lower-cased; with fewer words than a shingle
     has, the whole sequence is one; a text without words, or null, has none and links to
     nothing. Documents with equal sets form one class, so that copies cost nothing; components
-    of links between classes are exact up to collisions of 64-bit shingle hashes.
+    of links between classes are exact up to collisions of 64-bit hashes.
 
     Returns doc_id, n_shingles, component_id (the smallest doc_id reachable) and n_links (other
     classes linked to the document's own). Null ids are kept, and a component of them alone is
     null; repeated rows are copies; an empty table gives no rows; other columns don't matter.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(signatures(docs, words, percent).withColumn("rid", F.monotonically_increasing_id()), "signatures")
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    signed = stage(signatures(docs, words, percent), "signatures", "kind")
     members = stage(_clusters(signed, percent), "members")
-    texts = docs.join(members, docs.doc_id.eqNullSafe(members.doc_id)).select("task", "side", "rid", "key", "cluster", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    release(signed, part=f"kind={POSTS}")
+    # texts of sets in clusters only, each once, however many copies it has
+    texts = docs.where(maybe_in("hash", spark, key_filter(members.select("hash")))).groupBy("hash").agg(F.any_value("text").alias("text"))
+    texts = texts.join(members.hint("merge"), "hash").select("task", "side", "rid", "key", "text")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.repartition(parts, "task").sortWithinPartitions("task", "rid")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +268,7 @@ def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text", wor
         task, rows = None, {}
         for batch in batches:
             cols = [c.to_pylist() for c in batch.columns[:4]]
-            for key, side, rid, mark, grams in zip(*cols, shingle_sets(batch.column(5), words)):
+            for key, side, rid, mark, grams in zip(*cols, shingle_sets(batch.column(4), words)):
                 if key != task:
                     if rows:
                         yield solved(rows)
@@ -198,13 +281,16 @@ def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text", wor
     found = stage(texts.mapInArrow(search, "rid long, links long, root long"), "links")
     totals = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
-    classes = signed.groupBy("key").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("low"))
-    classes = classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    classes = classes.join(totals, "rid", "left")
-    low = classes.groupBy("root").agg(F.min("low").alias("component_low"))
-    classes = classes.join(low, "root").select("key", "component_low", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = signed.where(F.col("kind") == DOCUMENT)
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("low"))
+    keys = members.select("key", "rid").distinct()
+    linked = keys.join(roots.withColumnRenamed("node", "rid"), "rid").join(totals, "rid")
+    linked = linked.join(classes, "key").select("key", "root", "low", "n_links")
+    lowest = linked.groupBy("root").agg(F.min("low").alias("component_low"))
+    linked = linked.join(lowest, "root").select("key", "component_low", "n_links")
+    classes = classes.join(linked, "key", "left").select("key", F.when(F.col("n_links").isNull(), F.col("low")).otherwise(F.col("component_low")).alias("component_low"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     lone = F.col("size") == 0
-    return signed.join(classes, "key").select(
+    return rows.join(classes, "key").select(
         "doc_id", F.col("size").alias("n_shingles"), F.when(lone, F.col("doc_id")).otherwise(F.col("component_low")).alias("component_id"),
         F.when(lone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
