@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +68,16 @@ def release(*staged: DataFrame, part: str = "") -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def rows_of(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Chosen columns of docs and row_key, unique to each row and the same whenever it is read: a file and a place in it, hashed."""
+    key = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row_key")
+    chosen = [column.alias(name) for name, column in columns.items()]
+    try:
+        return docs.select(*chosen, key)
+    except AnalysisException:  # not the rows of a table
+        return stage(docs.select(*chosen), "rows").select(*columns, key)
+
+
 def key_filter(keys: DataFrame, bits: int = 1 << 27) -> np.ndarray:
     """One bit for each long in the only column of `keys`, in an array of fixed size.
 

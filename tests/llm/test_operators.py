@@ -244,7 +244,7 @@ def test_hilbert_neighbours_touch():
 def test_span_dedup(spark, none):
     passage = "Here is a shared passage of some words. It goes on for a while longer. And then it ends after this sentence. Done now, truly."
     data = [(1, f"First start.\n{passage} Own tail one."), (2, f"Other head here. {passage} Own tail two."), (3, passage.upper()), (4, "Of. The. As."), (5, "Of. The. As."), (6, None), (7, ""), (None, passage)]
-    table = spark.createDataFrame(data, "doc_id long, text string")
+    table = spark.createDataFrame([(*r, "x", 1) for r in data], "doc_id long, text string, pos string, row_key int")
     got = {r.doc_id: r for r in spans.dedup_spans(table).collect()}
     assert got[1].n_removed == 0 and got[1].text == data[0][1]
     assert got[2].text == "Other head here. Own tail two." and got[3].text == "" and got[None].text == ""
@@ -252,16 +252,53 @@ def test_span_dedup(spark, none):
     assert not spans.dedup_spans(none).collect()
 
 
-def test_span_dedup_finds_long_and_short_sentences(spark):
-    inside = prose(70, 60).replace(".", "")
-    two = prose(71, 31).replace(".", "") + ". " + prose(72, 31).replace(".", "") + "."
-    bits = ". ".join(prose(73, 40).replace(".", "").split()) + "."
-    data = [(1, f"Head {inside} tail."), (2, f"another begin {inside} other end."), (3, f"A start here. {two} Then this."), (4, f"Yet more words. {two} And that."), (5, f"Left. {bits} Right."), (6, f"Up. {bits} Down."), (7, "word!! " * 150), (8, "word!! " * 150)]
-    got = {r.doc_id: r for r in spans.dedup_spans(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    left = {k: len(r.text.split()) for k, r in got.items()}
-    assert [got[k].text for k in (1, 3, 5)] == [data[k - 1][1] for k in (1, 3, 5)]
-    assert left[2] <= 4 + 30 and got[4].text == "Yet more words. And that." and got[6].text == "Up. Down." and left[8] == 0
-    assert got[2].text.startswith("another begin ") and got[2].text.endswith(" other end.") and got[2].n_sentences == got[2].n_removed == 1
+def pieces(text):
+    """Words of the pieces of a text, from its definition."""
+    out, new = [], True
+    for line in text.split("\n"):
+        for w in line.split():
+            (out.append([w]) if new else out[-1].append(w))
+            h = textgrams.word_hashes(pa.array([w]))
+            new = bool(re.search(r"[.!?][\"')\]]?$", w)) or int(textgrams.mixed(next(h)[2])[0]) % spans.CUT == 0
+        new = True
+    return [p for p in out if p]
+
+
+def test_span_dedup_equals_brute_force(spark):
+    rng = np.random.default_rng(12)
+    shared = [prose(80 + k, 60).replace(".", "" if k % 2 else ".") for k in range(4)]
+    data = [(int(i), " ".join([prose(200 + i, int(rng.integers(0, 40))), shared[i % 4], prose(300 + i, 9), *([shared[0]] if i % 5 == 0 else [])])) for i in rng.permutation(24)]
+    data += [(3, data[0][1]), (None, shared[1]), (50, "word!! " * 90), (51, "x " * 30_000)]
+    parts = [pieces(t) for _, t in data]
+    seen, gone = {}, [set() for _ in data]
+    for k in sorted(range(len(data)), key=lambda k: (data[k][0] is None, data[k][0] or 0, k)):
+        runs = []
+        for i in range(len(parts[k])):
+            for j in range(i + 1, len(parts[k]) + 1):
+                n = [sum(map(len, parts[k][a:b])) for a, b in ((i, j), (i, j - 1), (i + 1, j))]
+                if n[0] >= 24 and min(n[1:]) < 24:
+                    runs.append((i, j))
+                if min(n[1:]) >= 24:
+                    break
+        for i, j in runs:
+            words = tuple(w.lower() for p in parts[k][i:j] for w in p)
+            if seen.setdefault(words, (k, i)) != (k, i):
+                gone[k] |= set(range(i, j))
+    want = sorted((str(d), " ".join(w for i, p in enumerate(parts[k]) if i not in gone[k] for w in p)) for k, (d, _) in enumerate(data))
+    table = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    assert sorted((str(r.doc_id), " ".join(r.text.split())) for r in spans.dedup_spans(table).collect()) == want
+
+
+@pytest.mark.parametrize("length", [2, 8, 15, 30, None])
+def test_span_dedup_finds_passages(spark, length):
+    """Passages of 60 words in two hosts, with sentences of many lengths."""
+    data = []
+    for k in range(40):
+        words = prose(1000 + k, 60).replace(".", "").split()
+        passage = " ".join(w + ("." if length and i % length == length - 1 else "") for i, w in enumerate(words))
+        data += [(2 * k + j, f"{prose(2000 + 2 * k + j, 30)[:-3]} {passage} {prose(3000 + 2 * k + j, 30)}") for j in (0, 1)]
+    got = {r.doc_id: r.n_removed for r in spans.dedup_spans(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] > 0 for k in range(40)) >= 39 and not any(got[2 * k] for k in range(40))
 
 
 def test_media(spark, docs, none):
