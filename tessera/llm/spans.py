@@ -21,7 +21,7 @@ CLOSERS[[ord(c) for c in "\"')]"]] = True
 #: Every sentence is cut into pieces after words whose hash says so, one in CUT, wherever it stands.
 CUT = 4
 #: Runs in a block of documents, and bits of a hash that only choose its shard.
-BLOCK, KEY_BITS = 1 << 20, _U(20)
+BLOCK, KEY_BITS = 1 << 19, _U(20)
 
 
 def sentences(strings: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
