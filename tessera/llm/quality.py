@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import bucketed, release, stage, table
+from .shared import bucketed, release, rows_of, stage, table
 from .textgrams import mixed, packed, pair, unpacked, word_hashes
 
 _U = np.uint64
@@ -25,7 +25,7 @@ FILTER_BITS = 1 << 28
 #: Labelled ids that are broadcast (9 bytes each); beyond, the rows are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Distinct trigrams that a task gathers before it passes their counts on, and words in a block of documents.
-GATHER, BLOCK = 1 << 20, 1 << 22
+GATHER, BLOCK = 1 << 20, 1 << 21
 #: Bits of a word's hash that are left out; low bits of an n-gram's that choose its shard, while the others tell the keys of a shard apart.
 WORD_BITS, SHARD_BITS = _U(24), _U(28)
 #: Kinds of rows of the counts: tables of the model, parts of counts on their way to a shard, counts of counts.
@@ -274,23 +274,24 @@ def _wanted(own: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray]:
     return wanted[order], at
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, np.ndarray, np.ndarray]]:
-    """(number, ids, languages, words, documents) of blocks of rows (doc_id, lang, text)."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list, list, np.ndarray, np.ndarray]]:
+    """(number, ids, languages, row keys, words, documents) of blocks of rows (doc_id, lang, text, row_key)."""
     base, seen = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, 0
-    ids, langs, words, doc, held = [], [], [], [], 0
+    ids, langs, keys, words, doc, held = [], [], [], [], [], 0
     for batch in batches:
-        every, tongues = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        every, tongues, rows = (batch.column(k).to_pylist() for k in (0, 1, 3))
         for i, j, w, d in word_hashes(batch.column(2)):
             words.append(w >> WORD_BITS)
             doc.append(d - i + len(ids))
             ids += every[i:j]
             langs += tongues[i:j]
+            keys += rows[i:j]
             held += len(w)
             if held >= BLOCK:
-                yield base + seen, ids, langs, np.concatenate(words), np.concatenate(doc)
-                ids, langs, words, doc, held, seen = [], [], [], [], 0, seen + 1
+                yield base + seen, ids, langs, keys, np.concatenate(words), np.concatenate(doc)
+                ids, langs, keys, words, doc, held, seen = [], [], [], [], [], 0, seen + 1
     if ids:
-        yield base + seen, ids, langs, np.concatenate(words), np.concatenate(doc)
+        yield base + seen, ids, langs, keys, np.concatenate(words), np.concatenate(doc)
 
 
 def _mark(words: np.ndarray) -> int:
@@ -309,7 +310,7 @@ def _found(tables: dict[int, np.ndarray], kind: int, keys: np.ndarray) -> list[n
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang, n_words, log_perplexity) of docs (doc_id, lang, text); null without words.
+    """(doc_id, lang, n_words, log_perplexity, row_key) of docs (doc_id, lang, text, row_key); null without words.
 
     docs are read twice, once to ask and once to score, and must be dealt out alike both times, as
     files are; a block that isn't makes the job fail.
@@ -319,7 +320,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for block, ids, _, words, doc in _blocks(batches):
+        for block, ids, _, _, words, doc in _blocks(batches):
             asks, rows = [], []
             for keys in _grams(words, np.bincount(doc, minlength=len(ids)))[:3]:
                 own = np.sort(keys)
@@ -346,11 +347,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], ["block", "shard", "mark", "words", "pairs", "triples"])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, langs, words, doc in _blocks(batches):
+        for block, ids, langs, keys, words, doc in _blocks(batches):
             own, at = _vocabulary(words)
-            row = (block, _mark(words), ids, langs, packed(np.zeros(len(ids)), np.bincount(doc, minlength=len(ids))), packed(own), packed(np.zeros(len(words)), at))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), *[pa.binary()] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], ["block", "mark", "ids", "langs", "sizes", "vocabulary", "tokens"])
+            row = (block, _mark(words), ids, langs, keys, packed(np.zeros(len(ids)), np.bincount(doc, minlength=len(ids))), packed(own), packed(np.zeros(len(words)), at))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], ["block", "mark", "ids", "langs", "keys", "sizes", "vocabulary", "tokens"])
 
     def judge(texts: pa.Table, told: pa.Table) -> pa.Table:
         m = shared.value
@@ -383,15 +384,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         p = np.where(starts[first] > 0, (less(tail, d2)[tails] + kept(by, d2)[first] * p) / np.maximum(starts, 1)[first], p)
         p = np.where(total[context] > 0, (less(seen, d3)[back[2]] + kept(mine, d3)[context] * p) / np.maximum(total, 1)[context], p)
         mean = -np.bincount(doc, np.log(p), len(ids)) / np.maximum(size, 1)
-        cols = (pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(size, pa.int64()), pa.array(mean, pa.float64(), mask=size == 0))
-        return pa.table(list(cols), ["doc_id", "lang", "n_words", "log_perplexity"])
+        cols = (pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(size, pa.int64()), pa.array(mean, pa.float64(), mask=size == 0), pa.array(texts.column("keys")[0].as_py(), pa.int64()))
+        return pa.table(list(cols), ["doc_id", "lang", "n_words", "log_perplexity", "row_key"])
 
     answers = "block long, shard int, mark long, words binary, pairs binary, triples binary"
     asked = docs.mapInArrow(ask, "shard int, block long, mark long, words binary, pairs binary, triples binary")
     told = stage(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, answers), "answers")
     release(known)
-    coded = docs.mapInArrow(code, "block long, mark long, ids array<long>, langs array<string>, sizes binary, vocabulary binary, tokens binary")
-    scored = stage(coded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, "doc_id long, lang string, n_words long, log_perplexity double"), "scored")
+    coded = docs.mapInArrow(code, "block long, mark long, ids array<long>, langs array<string>, keys array<long>, sizes binary, vocabulary binary, tokens binary")
+    scored = stage(coded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, "doc_id long, lang string, n_words long, log_perplexity double, row_key long"), "scored")
     release(told)
     return scored
 
@@ -431,17 +432,15 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="t
     few of either, or null, takes the bar of all. Without any good held-out document everything
     with words is kept.
 
-    Returns doc_id, n_words, log_perplexity, bar, keep. Null or wordless text has no perplexity
+    Returns doc_id, row_key (see shared.rows_of), n_words, log_perplexity, bar, keep. Null or wordless text has no perplexity
     and is not kept; labels of null quality or id don't count, an id labelled both ways is
     neither; rows that repeat are judged alike; an empty table gives no rows.
     """
-    if not docs.inputFiles():
-        docs = stage(docs, "documents")
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("quality").alias("most"))
     known = stage(known.where("q = most AND q IN (0, 1)").select("doc_id", (F.col("q") == 1).alias("trusted")), "known")
     if known.count() <= BROADCAST_IDS:
         known = F.broadcast(known)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = rows_of(docs, doc_id=F.col(id_col).cast("long"), lang=F.col(lang_col).cast("string"), text=F.col(text_col).cast("string"))
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(held)) == 0
     model = train(rows.join(known.where("trusted"), "doc_id").where(~aside).select("text"))
     scored = score(rows, model).join(known.where(aside | ~F.col("trusted")), "doc_id", "left")
@@ -449,7 +448,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="t
     whole = bars.where("lang IS NULL").select(F.col("bar").alias("any"), F.lit(1).alias("one"))
     judged = scored.join(F.broadcast(bars.where("lang IS NOT NULL")), "lang", "left").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one", "left")
     bar = F.coalesce("bar", "any", F.lit(float("inf")))
-    return judged.select("doc_id", "n_words", "log_perplexity", bar.alias("bar"), F.coalesce(F.col("log_perplexity") <= bar, F.lit(False)).alias("keep"))
+    return judged.select("doc_id", "row_key", "n_words", "log_perplexity", bar.alias("bar"), F.coalesce(F.col("log_perplexity") <= bar, F.lit(False)).alias("keep"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,14 +68,34 @@ def release(*staged: DataFrame, part: str = "") -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def rows_of(docs: DataFrame, **columns: Column) -> DataFrame:
-    """Chosen columns of docs and row_key, unique to each row and the same whenever it is read: a file and a place in it, hashed."""
-    key = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row_key")
-    chosen = [column.alias(name) for name, column in columns.items()]
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs, written first unless they are the rows of files, so that each row has a place in one."""
     try:
-        return docs.select(*chosen, key)
-    except AnalysisException:  # not the rows of a table
-        return stage(docs.select(*chosen), "rows").select(*columns, key)
+        docs.select(row_key())
+    except AnalysisException:
+        return stage(docs, "rows")
+    return docs
+
+
+def row_key() -> Column:
+    """A long unique to each row of a table of files and the same whenever it is read: a file and a place in it, hashed."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
+def rows_of(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Chosen columns of docs, and row_key."""
+    return keyed(docs).select(*[column.alias(name) for name, column in columns.items()], row_key().alias("row_key"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, a table of files, but for the rows whose row_key is in `gone`; only rows that may be are shuffled."""
+    name = "row_key"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    rows, gone = docs.withColumn(name, row_key()), gone.select(F.col("row_key").alias(name))
+    perhaps = maybe_in(name, docs.sparkSession, key_filter(gone))
+    rest = rows.where(perhaps).join(gone.hint("merge"), name, "left_anti")
+    return rows.where(~perhaps).unionByName(rest.select(*rows.columns)).drop(name)
 
 
 def key_filter(keys: DataFrame, bits: int = 1 << 27) -> np.ndarray:

@@ -405,7 +405,7 @@ def test_quality_scores_equal_brute_force(spark, tmp_path, monkeypatch, gather,
     texts = [prose(i % 5, 60 + i) for i in range(9)]
     scored = [*texts, prose(77, 300), "never seen words", None, "", prose(3, 50), prose(3, 50), prose(8, 30_000)]
     model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    spark.createDataFrame([(k, "en", t) for k, t in enumerate(scored)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([(k, "en", t, k) for k, t in enumerate(scored)], "doc_id long, lang string, text string, row_key long").write.parquet(f"{tmp_path}/d")
     got = {r.doc_id: r.log_perplexity for r in quality.score(spark.read.parquet(f"{tmp_path}/d"), model).collect()}
     assert len(got) == len(scored)
     for k, want in enumerate(perplexities(texts, scored)):
