@@ -9,7 +9,7 @@ from tessera.llm.mixing import mix_sources
 from tessera.llm.packing import pack_documents
 from tessera.llm.pii import redact, train_model
 from tessera.llm.quality import classify
-from tessera.llm.shared import exclusive_sums, spread, stage, table
+from tessera.llm.shared import exclusive_sums, keyed, row_key, rows_of, spread, stage, table, without
 from tessera.llm.similarity import jaccard_components
 
 #: SQL has neither the language model nor the tokenizer.
@@ -18,28 +18,18 @@ ORACLE_SQL = None
 ONE = 1 << 32
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with row_key, unique to each row and the same whenever it is read: a file and a place in it, hashed."""
-    if not docs.inputFiles():
-        docs = stage(docs, "rows")
-    return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row_key"))
-
-
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id, null included, is not in `gone`."""
-    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone_id), "left_anti")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; an id goes with any of its rows."""
-    return _without(docs, classify(docs, table(spark, sf_dir, "labels")).where("NOT keep"))
+    """Rows that the classifier rejects go."""
+    docs = keyed(docs)
+    return without(docs, classify(docs, table(spark, sf_dir, "labels")).where("NOT keep"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents alike in 0.8 of their five-word shingles, that of the smallest id stays."""
-    found = jaccard_components(docs, words=5, percent=80)
-    return _without(docs, found.where("NOT doc_id <=> component_id"))
+    """Of each group of documents alike in 0.8 of their five-word shingles, one row stays; so does every row without words."""
+    docs = keyed(docs)
+    rows = rows_of(docs, text=F.col("text"))
+    found = jaccard_components(rows, id_col="row_key", words=5, percent=80)
+    return without(docs, found.where("doc_id <> component_id").select(F.col("doc_id").alias("row_key")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,10 +54,11 @@ def _copies(documents: DataFrame) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes in whole copies, none to two or three, so that each source's words come near its target."""
-    rows = _keyed(docs)
+    docs = keyed(docs)
+    rows = rows_of(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source"))
     copies = _copies(mix_sources(rows, row_col="row_key").documents)
-    mixed = rows.join(copies, rows.row_key == copies.row).withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return mixed.select(*[rows[c] for c in docs.columns])
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("document"), row_key().alias("row"))
+    return whole.join(copies, "row").select("document", F.explode(F.sequence(F.lit(1), "times"))).select("document.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
