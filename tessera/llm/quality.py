@@ -25,7 +25,7 @@ FILTER_BITS = 1 << 28
 #: Labelled ids that are broadcast (9 bytes each); beyond, the rows are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Distinct trigrams that a task gathers before it passes their counts on, and words in a block of documents.
-GATHER, BLOCK = 1 << 20, 1 << 21
+GATHER, BLOCK = 1 << 19, 1 << 20
 #: Bits of a word's hash that are left out; low bits of an n-gram's that choose its shard, while the others tell the keys of a shard apart.
 WORD_BITS, SHARD_BITS = _U(24), _U(28)
 #: Kinds of rows of the counts: tables of the model, parts of counts on their way to a shard, counts of counts.
