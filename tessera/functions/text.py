@@ -20,6 +20,7 @@ BREAKS = (
     (r"(\p{Nd})([^\p{Nd} ])", "$1 $2"),
     (r"([^\p{Nd} ])(\p{Nd})", "$1 $2"),
 )
+WORD_BREAK = r"[^\p{L}\p{Nd}]+"
 BREAK = r"\p{Ll}\p{Lu}|\p{Lu}\p{Lu}\p{Ll}|\p{Nd}[^\p{Nd}]|[^\p{Nd}]\p{Nd}"
 
 
@@ -32,10 +33,19 @@ def pieces(word: Column) -> Column:
     return F.when(word.rlike(BREAK), parts).otherwise(F.array(F.lower(word)))
 
 
+def _kept(terms: Column) -> Column:
+    return F.filter(terms, lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
+
+
 def tokens(text: Column) -> Column:
     """Index terms in order; repetitions across words stay and count as frequency."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
-    return F.filter(F.flatten(F.transform(words, pieces)), lambda t: (F.length(t) >= 2) & ~t.isin(*STOP_WORDS))
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), lambda w: w != "")
+    return _kept(F.flatten(F.transform(words, pieces)))
+
+
+def word_terms(word: Column) -> Column:
+    """Index terms of one word."""
+    return _kept(pieces(word))
 
 
 def query_tokens(text: Column) -> Column:

@@ -25,7 +25,7 @@ def resolve_names(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     j = e.join(name, "name", "left").join(dir_, ["name", "dir"], "left").join(file_, ["name", "path"], "left")
     target = F.coalesce(F.col("in_file.id"), F.col("in_dir.id"), F.col("anywhere.id"))
     confidence = F.when(F.col("n") == 1, 0.95).when(F.col("n") > 1, F.greatest("confidence", F.lit(0.7))).otherwise(F.col("confidence"))
-    return j.select(*edges.columns[:-1], target.alias("target"), confidence.alias("confidence"))
+    return j.select(*[c for c in edges.columns if c != "confidence"], target.alias("target"), confidence.alias("confidence"))
 
 
 def path_suffixes(files: DataFrame) -> DataFrame:
@@ -44,10 +44,15 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return found.select(*imports.columns, F.col("w.path").alias("path"), F.col("w.id").alias("file_id"), F.when(F.col("w").isNotNull(), 0.9).alias("confidence"))
 
 
-def at_position(points: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The tightest range (path, first, last, id) around each point (path, pos), ties to the smaller id."""
-    hit = points.join(ranges, "path").where("pos >= first AND pos <= last")
-    return hit.groupBy(*points.columns).agg(F.min(F.struct(F.col("last") - F.col("first"), F.col("id"))).alias("m")).select(*points.columns, F.col("m.id").alias("id"))
+def at_position(points: DataFrame, ranges: DataFrame, bin: int = 1024) -> DataFrame:
+    """The tightest range (path, first, last, id) around each point (path, pos), ties to the smaller id.
+
+    Ranges are cut into bins of positions, so that a point of a file with many ranges only meets
+    those near it.
+    """
+    cut = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / bin), F.floor(F.col("last") / bin))))
+    inside = points.withColumn("bin", F.floor(F.col("pos") / bin)).join(cut, ["path", "bin"]).where(F.col("pos").between(F.col("first"), F.col("last")))
+    return inside.groupBy("path", "pos").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "id")).alias("best")).select("path", "pos", F.col("best.id").alias("id"))
 
 
 def primary(occurrences: DataFrame, key: str, *order: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def changes(known: DataFrame, current: DataFrame) -> DataFrame:
     """(path, change) between two tables of (path, content_hash): added, changed or removed."""
-    j = known.withColumnRenamed("content_hash", "old").join(current.withColumnRenamed("content_hash", "new"), "path", "full_outer")
-    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+    old = known.select("path", F.struct("content_hash").alias("old"))
+    j = old.join(current.select("path", F.struct("content_hash").alias("new")), "path", "full_outer")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return j.select("path", change.alias("change")).where("change IS NOT NULL")
 
 
@@ -27,28 +32,59 @@ def relations(evidence: DataFrame, key: list[str]) -> DataFrame:
 def fused_facts(facts: DataFrame, key: list[str], most: int = 32) -> DataFrame:
     """Relations from several sources: support, ranking confidence, conflict and truncation.
 
-    facts: key, fact_id, source, confidence, version_known, conflict. Facts that repeat an id
-    count once; the strongest `most` are kept. Conflicts halve the confidence; an unprovable
-    version caps it at 0.6. The kept ones are the head of a bounded list, not a group's all.
+    facts: key, seq, fact_id, source, method, path, confidence, version_known, document_version,
+    conflict. Of facts that repeat an id the first counts; by source, method, path and id the
+    first `most` are kept, and only these make the confidence. Conflicts halve it; a version
+    that is given but not known caps it at 0.6.
     """
-    once = facts.groupBy(*key, "fact_id").agg(F.max("confidence").alias("confidence"), F.min("version_known").alias("version_known"), F.max("conflict").alias("conflict"))
-    counted = once.groupBy(*key).agg(
-        F.count("*").alias("n"), F.max("confidence").alias("best"), F.max("conflict").alias("conflict"), F.min("version_known").alias("known"),
-    )
+    fields = ("source", "method", "path", "confidence", "version_known", "document_version")
+    once = facts.groupBy(*key, "fact_id").agg(F.min_by(F.struct(*fields), "seq").alias("fact"), F.max("conflict").alias("conflict")).select(*key, "fact_id", "fact.*", "conflict")
+    mine = Window.partitionBy(*key)
+    place = F.row_number().over(mine.orderBy("source", "method", "path", "fact_id"))
+    kept = once.withColumn("n", F.count("*").over(mine)).withColumn("conflict", F.max("conflict").over(mine)).withColumn("place", place).where(F.col("place") <= most)
+    doubtful = F.max(~F.col("version_known") & (F.col("document_version") != 0))
+    found = kept.groupBy(*key).agg(F.count("*").alias("support"), F.max("confidence").alias("best"), doubtful.alias("doubtful"), F.max("conflict").alias("conflict"), F.max("n").alias("n"))
     halved = F.when(F.col("conflict"), F.col("best") * 0.5).otherwise(F.col("best"))
-    ranked = F.when(~F.col("known"), F.least(halved, F.lit(0.6))).otherwise(halved)
-    return counted.select(*key, F.least("n", F.lit(most)).alias("support"), ranked.alias("ranking_confidence"), "conflict", (F.col("n") > most).alias("truncated"))
+    ranked = F.when(F.col("doubtful"), F.least(halved, F.lit(0.6))).otherwise(halved)
+    return found.select(*key, "support", ranked.alias("ranking_confidence"), "conflict", (F.col("n") > most).alias("truncated"))
+
+
+def correlated(relations: DataFrame) -> DataFrame:
+    """Evidence rows of calls, those known by name alone moved to a resolved call of the same subject and name.
+
+    relations: subject, object (null if unresolved), name, evidence. Names are compared without
+    case; of several resolved ones the smallest object takes the evidence.
+    """
+    resolved = relations.where("object IS NOT NULL").groupBy("subject", F.lower("name").alias("low")).agg(F.min("object").alias("found"))
+    joined = relations.withColumn("low", F.lower("name")).join(resolved, ["subject", "low"], "left")
+    return joined.select("subject", F.coalesce("object", "found").alias("object"), F.when(F.col("object").isNull() & F.col("found").isNull(), F.col("name")).alias("external"), "evidence")
 
 
 def bucket_digests(rows: DataFrame, section: str, key: Column, content: Column) -> DataFrame:
     """(bucket, digest, leaves): 256 buckets by the first byte of the key's hash, leaves in order.
 
-    A leaf is the hash of a row; a bucket's digest covers its leaves by key.
+    A leaf is the hash of a row; a bucket's digest covers its sorted leaves. They stream through
+    a running hash, so that a bucket of any size takes no memory.
     """
     leaf = F.sha2(F.concat_ws("\x00", F.lit(section), key, content), 256)
     of = F.substring(F.sha2(F.concat_ws("\x00", F.lit(section), key), 256), 1, 2)
-    leaves = rows.select(of.alias("bucket"), leaf.alias("leaf"))
-    return leaves.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), ""), 256).alias("digest"), F.count("*").alias("leaves"))
+    leaves = rows.select(of.alias("bucket"), leaf.alias("leaf")).repartition(F.col("bucket")).sortWithinPartitions("bucket", "leaf")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = lambda at, digest, n: pa.RecordBatch.from_pydict({"bucket": [at], "digest": [digest.hexdigest()], "leaves": [n]})
+        at, digest, n = None, None, 0
+        for batch in batches:
+            for bucket, leaf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != at:
+                    if at is not None:
+                        yield done(at, digest, n)
+                    at, digest, n = bucket, hashlib.sha256(), 0
+                digest.update(leaf.encode())
+                n += 1
+        if at is not None:
+            yield done(at, digest, n)
+
+    return leaves.mapInArrow(run, "bucket string, digest string, leaves long")
 
 
 def root_digest(buckets: DataFrame) -> DataFrame:

@@ -101,11 +101,11 @@ def reciprocal_rank_fusion(spark, sf_dir):
     return retrieval.reciprocal_ranks(lexical, dense).withColumn("score", F.round("score", 9))
 
 
-@query("SELECT doc_id, substr(text, greatest(least(p1, p2, p3) - 90, 1), 360) AS window FROM (SELECT doc_id, text, " + ", ".join(f"CASE WHEN position('{t}' IN lower(text)) > 0 THEN position('{t}' IN lower(text)) ELSE 9e8::BIGINT END AS p{i}" for i, t in enumerate(TERMS, 1)) + " FROM documents) WHERE least(p1, p2, p3) < 9e8")
+@query("SELECT doc_id, concat(CASE WHEN s > 1 THEN '...' ELSE '' END, substr(text, s, 360), CASE WHEN s + 360 <= length(text) THEN '...' ELSE '' END) AS snippet FROM (SELECT doc_id, text, greatest(least(p1, p2, p3) - 90, 1) AS s FROM (SELECT doc_id, text, " + ", ".join(f"CASE WHEN position('{t}' IN lower(text)) > 0 THEN position('{t}' IN lower(text)) ELSE 9e8::BIGINT END AS p{i}" for i, t in enumerate(TERMS, 1)) + " FROM documents) WHERE least(p1, p2, p3) < 9e8)")
 def snippets(spark, sf_dir):
-    """The window around the first term, without its ellipses."""
+    """The window around the first term, with its ellipses."""
     docs = read(spark, sf_dir, "documents").where(" OR ".join(f"contains(lower(text), '{t}')" for t in TERMS))
-    return docs.select("doc_id", F.regexp_replace(T.snippet(F.col("text"), TERMS), r"^\.\.\.|\.\.\.$", "").alias("window"), F.col("text")).select("doc_id", F.substring(F.col("window"), 1, 360).alias("window"))
+    return docs.select("doc_id", T.snippet(F.col("text"), TERMS).alias("snippet"))
 
 
 @query("SELECT concat(source, '/', doc_id, '.', lang) AS path, sha256(text) AS content_hash, strlen(text)::BIGINT AS size, (strlen(text) + 3) // 4 AS tokens FROM documents")
@@ -198,17 +198,27 @@ def relation_fold(spark, sf_dir):
     return snapshot.relations(rows, ["l_partkey", "l_suppkey", "l_returnflag"])
 
 
-@query("""WITH o AS (SELECT l_partkey, l_orderkey AS fact_id, max(1 - l_discount) AS c, bool_and(l_linestatus = 'F') AS known, bool_or(l_returnflag = 'R') AS conflict FROM lineitem GROUP BY ALL),
-g AS (SELECT l_partkey, count(*) AS n, max(c) AS best, bool_or(conflict) AS conflict, bool_and(known) AS known FROM o GROUP BY ALL),
-h AS (SELECT *, CASE WHEN conflict THEN best * 0.5 ELSE best END AS half FROM g)
-SELECT l_partkey, least(n, 32) AS support, round(CASE WHEN NOT known THEN least(half, 0.6) ELSE half END, 6) AS ranking_confidence, conflict, n > 32 AS truncated FROM h""")
+FACTS = """SELECT l_partkey, l_orderkey * 10 + l_linenumber AS seq, l_orderkey AS fact_id, l_linestatus AS source, l_returnflag AS method, concat('f', l_suppkey % 7) AS path, 1 - l_discount AS confidence, l_tax > 0.01 AS version_known, l_linenumber % 2 AS document_version, l_linenumber = 7 AND l_quantity > 40 AS conflict FROM {lineitem}"""
+
+
+@query(f"""WITH f AS ({FACTS.replace('{lineitem}', 'lineitem')}), o AS (SELECT l_partkey, fact_id, arg_min({{'source': source, 'method': method, 'path': path, 'c': confidence, 'known': version_known, 'v': document_version}}, seq) AS w, bool_or(conflict) AS conflict FROM f GROUP BY ALL),
+k AS (SELECT *, count(*) OVER (PARTITION BY l_partkey) AS n, bool_or(conflict) OVER (PARTITION BY l_partkey) AS any_conflict, row_number() OVER (PARTITION BY l_partkey ORDER BY w.source, w.method, w.path, fact_id) AS place FROM o),
+g AS (SELECT l_partkey, count(*) AS support, max(w.c) AS best, bool_or(NOT w.known AND w.v <> 0) AS doubtful, bool_or(any_conflict) AS conflict, max(n) AS n FROM k WHERE place <= 12 GROUP BY l_partkey)
+SELECT l_partkey, support, round(CASE WHEN doubtful THEN least(CASE WHEN conflict THEN best * 0.5 ELSE best END, 0.6) WHEN conflict THEN best * 0.5 ELSE best END, 6) AS ranking_confidence, conflict, n > 12 AS truncated FROM g""")
 def fact_fusion(spark, sf_dir):
-    """Facts of several sources, fused by key."""
-    rows = read(spark, sf_dir, "lineitem").select(
-        "l_partkey", F.col("l_orderkey").alias("fact_id"), (1 - F.col("l_discount")).alias("confidence"),
-        (F.col("l_linestatus") == "F").alias("version_known"), (F.col("l_returnflag") == "R").alias("conflict"),
-    )
-    return snapshot.fused_facts(rows, ["l_partkey"]).withColumn("ranking_confidence", F.round("ranking_confidence", 6))
+    """Facts of several sources, fused by key; the first 12 in order make the confidence."""
+    rows = spark.sql(FACTS, lineitem=read(spark, sf_dir, "lineitem"))
+    return snapshot.fused_facts(rows, ["l_partkey"], most=12).withColumn("ranking_confidence", F.round("ranking_confidence", 6))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS subject, CASE WHEN l_linenumber > 2 THEN l_partkey END AS object, CASE WHEN l_linenumber % 2 = 0 THEN upper(p_name) ELSE p_name END AS name, l_orderkey * 10 + l_linenumber AS evidence FROM lineitem JOIN part ON l_partkey = p_partkey),
+k AS (SELECT subject, lower(name) AS low, min(object) AS found FROM r WHERE object IS NOT NULL GROUP BY ALL)
+SELECT r.subject, coalesce(object, found) AS object, CASE WHEN object IS NULL AND found IS NULL THEN name END AS external, evidence FROM r LEFT JOIN k ON k.subject = r.subject AND k.low = lower(r.name)""")
+def correlated_calls(spark, sf_dir):
+    """Calls known by name alone join the resolved call of the same subject and name."""
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    name = F.when(F.col("l_linenumber") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
+    return snapshot.correlated(lines.select(F.col("l_suppkey").alias("subject"), F.when(F.col("l_linenumber") > 2, F.col("l_partkey")).alias("object"), name.alias("name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("evidence")))
 
 
 EDGES = """SELECT n_nationkey AS idx, 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 'contains' AS kind FROM nation
@@ -293,10 +303,10 @@ def snapshot_root(spark, sf_dir):
     return snapshot.root_digest(_buckets(spark, sf_dir))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def orphan_identities(spark, sf_dir):
     """Identities without an occurrence."""
-    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = read(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return snapshot.orphans(read(spark, sf_dir, "customer"), orders, "c_custkey").select("c_custkey")
 
 
@@ -328,3 +338,32 @@ def debounced_requests(spark, sf_dir):
     rows = e.select(F.col("user_id").alias("root"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("sequence"), op.cast("long").alias("operations"))
     found = hints.coalesced(hints.meaningful(rows))
     return found.withColumn("mode", hints.scope(F.col("operations"))).withColumn("started", F.col("started").cast("timestamp_ntz"))
+
+
+HINTS = """SELECT user_id % 4 AS root, ts, event_id AS sequence, CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN CASE WHEN event_id % 3 = 0 THEN 8 ELSE 2 END WHEN 'error' THEN CASE WHEN event_id % 50 = 0 THEN 32 ELSE 4 END ELSE 16 END AS operations,
+CASE WHEN event_id % 97 = 0 THEN 'src/.gitignore' ELSE concat(CASE WHEN event_id % 5 = 0 THEN 'lib' ELSE 'src' END, '/', user_id % 3, '/', event_id % 4, '.go') END AS path, CASE WHEN event_id % 11 = 0 THEN 'file' ELSE 'unknown' END AS kind, CASE WHEN event_id % 7 = 0 THEN 'editor' ELSE '' END AS reason FROM {events}"""
+#: Requests in DuckDB: row after row of each root, with the times of its first and last hint.
+NUMBERED_HINTS = f"""h AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY ts, sequence) AS n FROM ({HINTS.replace('{events}', 'events')}) WHERE operations <> 16),
+d AS (SELECT root, n, ts AS first, ts AS last, 1::BIGINT AS request FROM h WHERE n = 1 UNION ALL
+SELECT h.root, h.n, CASE WHEN h.ts >= last + INTERVAL 10 MINUTE OR h.ts >= first + INTERVAL 30 MINUTE THEN h.ts ELSE first END, h.ts, request + CASE WHEN h.ts >= last + INTERVAL 10 MINUTE OR h.ts >= first + INTERVAL 30 MINUTE THEN 1 ELSE 0 END FROM d JOIN h ON h.root = d.root AND h.n = d.n + 1),
+p AS (SELECT h.root, request, path, bit_or(operations) AS operations, coalesce(arg_min(kind, sequence) FILTER (kind <> 'unknown'), 'unknown') AS kind, coalesce(arg_min(reason, sequence) FILTER (reason <> ''), '') AS reason, min(sequence) AS sequence FROM h JOIN d USING (root, n) GROUP BY h.root, request, path)"""
+
+
+def _requests(spark, sf_dir):
+    rows = spark.sql(HINTS, events=read(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    return hints.coalesced_paths(hints.requests(hints.meaningful(rows), 600, 1800))
+
+
+@query(f"WITH RECURSIVE {NUMBERED_HINTS} SELECT root, request, path, operations::BIGINT AS operations, kind, reason, sequence FROM p")
+def coalesced_hints(spark, sf_dir):
+    """Hints by path in requests that a quiet time or the longest delay ends."""
+    return _requests(spark, sf_dir).withColumn("operations", F.col("operations").cast("long"))
+
+
+@query(f"""WITH RECURSIVE {NUMBERED_HINTS}, q AS (SELECT root, request, bool_or(operations & 32 <> 0 OR path = '.gitignore') AS f, bool_or(operations & 8 <> 0 OR kind = 'directory' OR path LIKE '%/.gitignore') AS w, count(DISTINCT split_part(path, '/', 1)) AS tops, min(split_part(path, '/', 1)) AS top,
+count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS dirs, min(regexp_replace(path, '/[^/]*$', '')) AS dir, min(sequence) AS min_sequence, max(sequence) AS max_sequence, count(*) AS paths FROM p GROUP BY root, request),
+m AS (SELECT *, CASE WHEN f OR (w AND tops > 1) THEN 'full' WHEN w THEN 'subtree' ELSE 'paths' END AS mode FROM q)
+SELECT root, request, min_sequence, max_sequence, paths, mode, CASE WHEN mode = 'subtree' THEN CASE WHEN dirs = 1 THEN dir ELSE top END ELSE '' END AS common FROM m""")
+def reconcile_scopes(spark, sf_dir):
+    """Whether a request takes paths, a subtree below their common directory, or everything."""
+    return hints.scopes(_requests(spark, sf_dir))

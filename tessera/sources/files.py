@@ -34,7 +34,7 @@ def scan(spark: SparkSession, root: str, patterns: list[str] = (), most_bytes: i
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= most_bytes)
     base = root.rstrip("/").removeprefix("file://")
-    path = F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})")
+    path = F.substring("path", F.instr("path", f"{base}/") + len(base) + 1, F.length("path"))
     rows = files.select(path.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
     rows = rows.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~ignored(F.col("path"), patterns))
     return rows.select("path", "language", F.sha2("content", 256).alias("content_hash"), "size", "modified_at", "content")

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.functions import symbols as S
 from tessera.functions import text as T
 from tessera.functions.vectors import cosine, is_valid
 from tessera.operators import graph, resolve, retrieval, snapshot
@@ -106,10 +107,76 @@ def test_changes_and_root(spark):
 
 
 def test_fact_fusion(spark):
-    rows = [(1, f"f{i}", 0.5 + i / 100, True, False) for i in range(40)] + [(2, "g", 0.9, False, False), (2, "g", 0.9, False, False), (3, "h", 0.8, True, True)]
-    facts = spark.createDataFrame(rows, "k int, fact_id string, confidence double, version_known boolean, conflict boolean")
+    one = lambda k, i, c, **more: {"k": k, "seq": i, "fact_id": f"f{i:02}", "source": "ast", "method": "", "path": "p", "confidence": c, "version_known": True, "document_version": 1, "conflict": False, **more}
+    rows = [one(1, i, 0.5 + i / 100) for i in range(40)]  # the last eight don't count
+    rows += [one(2, 1, 0.9, version_known=False), one(2, 2, 0.95, fact_id="f01", version_known=False), one(3, 1, 0.8, conflict=True), one(4, 1, 0.9, version_known=False, document_version=0)]
+    facts = spark.createDataFrame(rows)
     got = {r.k: (r.support, round(r.ranking_confidence, 3), r.truncated) for r in snapshot.fused_facts(facts, ["k"]).collect()}
-    assert got == {1: (32, 0.89, True), 2: (1, 0.6, False), 3: (1, 0.4, False)}
+    assert got == {1: (32, 0.81, True), 2: (1, 0.6, False), 3: (1, 0.4, False), 4: (1, 0.9, False)}
+
+
+def test_calls_by_name_join_resolved_ones(spark):
+    rows = [(1, 7, "Save", 10), (1, None, "SAVE", 11), (1, None, "load", 12), (2, None, "save", 13)]
+    got = snapshot.correlated(spark.createDataFrame(rows, "subject int, object int, name string, evidence int")).collect()
+    assert {r.evidence: (r.object, r.external) for r in got} == {10: (7, None), 11: (7, None), 12: (None, "load"), 13: (None, "save")}
+
+
+def hint(ms, sequence, path="a/x.go", operations=2, kind="unknown", reason="", root="r"):
+    from datetime import datetime, timedelta
+
+    return (root, datetime(2024, 1, 1) + timedelta(milliseconds=ms), sequence, path, operations, kind, reason)
+
+
+def requested(spark, rows):
+    table = spark.createDataFrame(rows, "root string, ts timestamp, sequence long, path string, operations int, kind string, reason string")
+    return hints.coalesced_paths(hints.requests(hints.meaningful(table), 0.25, 1.0))
+
+
+def test_requests_end_after_quiet_or_the_longest_delay(spark):
+    rows = [hint(0, 7), hint(200, 8), hint(450, 9), *[hint(200 * i, 20 + i, root="busy") for i in range(8)], hint(0, 1, operations=hints.CHMOD, root="still")]
+    got = sorted((r.root, r.request, r.sequence) for r in requested(spark, rows).collect())
+    assert got == [("busy", 1, 20), ("busy", 2, 25), ("r", 1, 7), ("r", 2, 9)]
+
+
+def test_scopes(spark):
+    cases = {
+        "paths": [hint(0, 1, "a/b/x.go"), hint(0, 2, "a/c/y.go", kind="file")],
+        "subtree": [hint(0, 1, "a/b/x.go"), hint(0, 2, "a/c/d", kind="directory")],
+        "nested": [hint(0, 1, "a/b/.gitignore"), hint(0, 2, "a/b/c/x.go")],
+        "apart": [hint(0, 1, "a/b", operations=hints.RENAME), hint(0, 2, "c/d.go")],
+        "ignore": [hint(0, 1, ".gitignore")],
+        "rescan": [hint(0, 1, "a/x.go", operations=hints.RESCAN)],
+    }
+    rows = [(root, *r[1:]) for root, own in cases.items() for r in own]
+    got = {r.root: (r.mode, r.common, r.paths) for r in hints.scopes(requested(spark, rows)).collect()}
+    assert got == {"paths": ("paths", "", 2), "subtree": ("subtree", "a", 2), "nested": ("subtree", "a/b", 2), "apart": ("full", "", 2), "ignore": ("full", "", 1), "rescan": ("full", "", 1)}
+
+
+def test_symbol_predicates(spark):
+    rows = [("TestX", "function", "go", "a/b.go"), ("test_x", "method", "python", "tests/a.py"), ("run", "function", "go", "a/b_test.go"), ("Test", "function", "rust", "a.rs"), ("testA", "method", "swift", "X/tests/a.swift"), ("main", "import", "go", "x.go")]
+    table = spark.createDataFrame(rows, "name string, kind string, language string, path string")
+    n, k, g, p = (F.col(c) for c in table.columns)
+    got = [tuple(r) for r in table.select(S.is_test_symbol(n, k, g, p), S.is_overview_seed(n, k), S.is_test_path(p), S.is_exported(n)).collect()]
+    assert [r[0] for r in got] == [True, True, True, False, True, False]
+    assert [r[1] for r in got] == [True, False, False, True, False, True]
+    assert [r[2] for r in got] == [False, True, True, False, True, False] and [r[3] for r in got] == [True, False, False, True, False, False]
+    files = spark.createDataFrame([(x,) for x in ("go.mod", "a/README.md", ".env", "b/.env.example", "Dockerfile.x", "c.txt")], "path string")
+    assert [r[0] for r in files.select(S.project_language(F.col("path"))).collect()] == ["gomod", "markdown", None, "dotenv", "dockerfile", None]
+    text = spark.createDataFrame([("a" * 60 + "\n" + "b" * 60,), ("short",), ("c" * 200,)], "t string")
+    assert [len(r[0]) for r in text.select(S.preview(F.col("t"), 100)).collect()] == [61, 5, 100]
+
+
+def test_external_kinds(spark):
+    rows = [("calls", "len", "go", None), ("calls", "fmt.Print", "go", "fmt"), ("calls", "x.Do", "go", "example.com/x"), ("calls", "local", "go", None), ("imports", "os", "go", None), ("imports", "numpy", "python", None), ("calls", " ", "python", None)]
+    table = spark.createDataFrame(rows, "kind string, to_name string, language string, imported string")
+    got = [r[0] for r in table.select(S.external_kind(*[F.col(c) for c in table.columns])).collect()]
+    assert got == ["builtin", "stdlib", "external", None, "stdlib", "external", None]
+
+
+def test_changes_see_files_without_a_hash(spark):
+    make = lambda rows: spark.createDataFrame(rows, "path string, content_hash string")
+    got = snapshot.changes(make([("a", None), ("b", "1"), ("c", "2")]), make([("a", "3"), ("b", "1"), ("d", None)])).collect()
+    assert {r.path: r.change for r in got} == {"a": "changed", "c": "removed", "d": "added"}
 
 
 def test_scan_ignores_and_hashes(spark, tmp_path):
