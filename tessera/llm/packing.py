@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import release, stage, table
+from .textgrams import give_back
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Words that a worker keeps the ids of, about 200 bytes each: the first, and so the frequent ones; others are encoded again.
@@ -71,6 +72,7 @@ class WordCoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and where each begins and the last ends."""
+        give_back()
         texts = texts.cast(pa.string()).fill_null("")
         simple = pc.replace_substring_regex(pc.ascii_lower(texts), MARKS, r"\1 \2")
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, simple)  # special tokens are found in the text as it is

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import bucketed, release, rows_of, stage, table
-from .textgrams import mixed, packed, pair, unpacked, word_hashes
+from .textgrams import give_back, mixed, packed, pair, unpacked, word_hashes
 
 _U = np.uint64
 #: Bits of the filter that spares requests for n-grams that the model doesn't hold; a fuller one only spares fewer.
@@ -143,6 +143,7 @@ def _count_trigrams(texts: DataFrame, shards: int) -> DataFrame:
             yield from _table(sent(*merged(held)[1:])).to_batches()
 
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
+        give_back()
         a, b, c, n = _decoded(rows)
         context = pair(a, b)
         k, n, at = _summed(_triple(context, c), n)
@@ -160,6 +161,7 @@ def _count_bigrams(counts: DataFrame, shards: int) -> DataFrame:
     """Bigrams by distinct left neighbours, with what words begin and end on its way to the words' shards."""
 
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
+        give_back()
         b, c, n = _decoded(rows)
         k, n, at = _summed(pair(b, c), n)
         words, back = np.unique(mixed(np.concatenate((b[at], c[at]))), return_inverse=True)
@@ -173,6 +175,7 @@ def _count_bigrams(counts: DataFrame, shards: int) -> DataFrame:
 
 def _count_words(counts: DataFrame) -> DataFrame:
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
+        give_back()
         parts = np.concatenate([unpacked(x.as_py()) for x in rows.column("data")], 1)
         words, back = np.unique(parts[0], return_inverse=True)
         cols = [np.bincount(back, x.astype(np.int64), len(words)).astype(np.int64) for x in parts[1:]]
@@ -336,6 +339,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["shard", "block", "mark", "words", "pairs", "triples"])
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
+        give_back()
         held = {kind: unpacked(data.as_py()) for kind, data in zip(known.column("kind").to_pylist(), known.column("data"))}
         blocks, marks, out = asked.column("block").to_pylist(), asked.column("mark").to_pylist(), []
         for i in range(asked.num_rows):
@@ -354,6 +358,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], ["block", "mark", "ids", "langs", "keys", "sizes", "vocabulary", "tokens"])
 
     def judge(texts: pa.Table, told: pa.Table) -> pa.Table:
+        give_back()
         m = shared.value
         if not texts.num_rows:
             raise RuntimeError("a block of documents was dealt out in another way")

@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import key_filter, maybe_in, release, stage, table
-from .textgrams import mixed, packed, shingle_sets, unpacked
+from .textgrams import give_back, mixed, packed, shingle_sets, unpacked
 
 #: Each level of sizes reaches this much further than the one below it; classes of a level, to the differences it allows.
 LEVEL, CLASSES = 1.3, 1.25
 #: Shingles in one block of a candidate cluster; larger clusters are joined block by block.
 BLOCK_SHINGLES = 2_000_000
 #: Partition keys that a task gathers before it sends them, and bits that it leaves out: more sets may then meet.
-GATHER, KEY_BITS = 1 << 22, np.uint64(20)
+GATHER, KEY_BITS = 1 << 20, np.uint64(20)
 #: The more of it, the fewer long lists are left out of the merge.
 SKIP = 2.0
 #: Columns of the rows that tasks make of documents.
@@ -133,6 +133,7 @@ def meetings(signed: DataFrame) -> DataFrame:
     """(a, b): rows whose sets share a partition key, each linked to the first of the key."""
 
     def meet(rows: pa.Table) -> pa.Table:
+        give_back()
         parts = [(unpacked(data.as_py()), base) for data, base in zip(rows.column("posts"), rows.column("rid").to_pylist())]
         keys, row = np.concatenate([x[0] for x, _ in parts]), np.concatenate([x[1].astype(np.int64) + base for x, base in parts])
         order = np.lexsort((row, keys))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import key_filter, maybe_in, release, rows_of, stage, table
-from .textgrams import BASE, SEGMENT, SPACE, _tables, binary_view, mixed, packed, unpacked, word_hashes
+from .textgrams import BASE, SEGMENT, SPACE, _tables, binary_view, give_back, mixed, packed, unpacked, word_hashes
 
 _U = np.uint64
 STOPS = np.zeros(256, bool)
@@ -138,6 +138,7 @@ def repeated_runs(docs: DataFrame, least_words: int) -> DataFrame:
             yield sent()
 
     def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        give_back()
         blocks, parts = rows.column("block").to_numpy(), [unpacked(x.as_py()) for x in rows.column("data")]
         size = np.array([x.shape[1] for x in parts])
         (h, own), of = np.concatenate(parts, 1), np.repeat(blocks, size)
@@ -148,6 +149,7 @@ def repeated_runs(docs: DataFrame, least_words: int) -> DataFrame:
         return pa.table({"block": blocks, "shard": pa.array(np.full(len(size), key[0].as_py()), pa.int32()), "size": size, "bits": bits})
 
     def told(runs: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         group, at, pos, size = unpacked(runs.column("data")[0].as_py()).astype(np.int64)
         order = np.argsort(answers.column("shard").to_numpy())
         n, bits = answers.column("size").to_pylist(), answers.column("bits").to_pylist()

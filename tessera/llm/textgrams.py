@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,14 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that workers that live on don't keep what their last task needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def binary_view(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls have no bytes."""
     strings = strings.fill_null("") if strings.null_count else strings
@@ -67,6 +76,7 @@ def binary_view(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(strings: pa.Array, segment: int = SEGMENT) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of documents [i, j) with the hashes of their lower-cased words and each word's document."""
+    give_back()
     data, at = binary_view(strings)
     i = 0
     while i < len(strings):
