@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, exclusive_sums, spread, stage, table
+from .shared import WORD, drawn, exclusive_sums, spread, stage, table
 
 #: Modulus and multipliers of the arithmetic hash inside the index permutation.
 PRIME, MULTIPLIERS, ROUNDS = 2_147_483_647, (48_271, 69_621, 16_807, 39_373), 8
@@ -81,9 +81,9 @@ def draw_slots(spark: SparkSession, sources: DataFrame, total: int, per_shard: i
         "sid", "ticket", (F.col("ticket") + F.col("n_slots")).alias("beyond"),
         F.explode(F.sequence(cell(F.col("ticket")), cell(F.col("ticket") + F.col("n_slots") - 1))).alias("cell"),
     )
-    drawn = (
+    draws = (
         spark.range(total)
-        .select(F.floor(F.col("id") / per_shard).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("hit"))
+        .select(F.floor(F.col("id") / per_shard).alias("shard"), F.pmod(drawn(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), F.lit(total)).alias("hit"))
         .withColumn("cell", cell(F.col("hit")))
         .join(cells, "cell")
         .where("hit >= ticket AND hit < beyond")
@@ -91,23 +91,23 @@ def draw_slots(spark: SparkSession, sources: DataFrame, total: int, per_shard: i
         .agg(F.count("*").alias("drawn"))
     )
     by_shard = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = stage(
-        drawn.join(live.select("sid", "n_slots"), "sid")
+    draws = stage(
+        draws.join(live.select("sid", "n_slots"), "sid")
         .withColumn("before", F.coalesce(F.sum("drawn").over(by_shard), F.lit(0)))
         .withColumn("kept", F.greatest(F.lit(0), F.least(F.col("drawn"), F.col("n_slots") - F.col("before"))))
         .select("shard", "sid", "drawn", "kept"),
         "draws",
     )
-    freed = drawn.groupBy("shard").agg(F.sum(F.col("drawn") - F.col("kept")).alias("free")).where("free > 0")
+    freed = draws.groupBy("shard").agg(F.sum(F.col("drawn") - F.col("kept")).alias("free")).where("free > 0")
     freed = exclusive_sums(freed.withColumn("h", spread(F.col("shard"))), [], ["h", "shard"], F.col("free"), "at")
     freed = freed.select("shard", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("free") - 1)).alias("i"))
-    short = live.join(drawn.groupBy("sid").agg(F.sum("kept").alias("has")), "sid", "left")
+    short = live.join(draws.groupBy("sid").agg(F.sum("kept").alias("has")), "sid", "left")
     short = short.select("sid", (F.col("n_slots") - F.coalesce("has", F.lit(0))).alias("lacks")).where("lacks > 0")
     ahead = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     short = short.withColumn("at", F.coalesce(F.sum("lacks").over(ahead), F.lit(0)))
     short = short.select("sid", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("lacks") - 1)).alias("i"))
     given = freed.join(short, "i").groupBy("shard", "sid").agg(F.count("*").alias("kept"))
-    counts = drawn.select("shard", "sid", "kept").unionByName(given).groupBy("shard", "sid").agg(F.sum("kept").alias("n"))
+    counts = draws.select("shard", "sid", "kept").unionByName(given).groupBy("shard", "sid").agg(F.sum("kept").alias("n"))
     return counts.where("n > 0").withColumn("start", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
 
 
@@ -122,7 +122,8 @@ def mix_sources(
     source takes the block at i's place in a pseudorandom permutation of its blocks, over again
     once all are taken, `cap` times at most. Blocks and slots meet in a join by index.
 
-    Returns documents (doc_id, size, source_size, target, taken) and slots (shard, sid, block).
+    Returns documents (doc_id, size, source_size, target, taken, first_shard: the first output
+    shard that holds a block of it) and slots (shard, sid, block).
     Null text has size 0, and documents of size 0 take 0; a null source is a source of its own,
     the last; rows that repeat are documents of their own; an empty table gives no rows. Other
     columns of `docs` are not looked at. With `row_col`, a column unique to each row, documents
@@ -153,16 +154,16 @@ def mix_sources(
     pieces = placed.withColumn("block", F.explode(F.sequence(first, last))).withColumn(
         "words", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
     )
-    times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    times = slots.groupBy("sid", "block").agg(F.count("*").alias("times"), F.min("shard").alias("first_shard"))
     taken = (
         pieces.select(*row, "sid", "block", "start", "doc_id", "size", "words")
         .join(times, ["sid", "block"], "left")
         .groupBy("sid", "start", "doc_id", "size", *row)
-        .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
+        .agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"), F.min("first_shard").alias("first_shard"))
         .join(sources.select("sid", "source_size", "target"), "sid")
     )
-    out = ["doc_id", "size", "source_size", "target", "taken", *row]
-    empty = known.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    out = ["doc_id", "size", "source_size", "target", "taken", "first_shard", *row]
+    empty = known.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_shard", F.lit(None).cast("long"))
     return Mix(taken.select(*out).unionByName(empty.select(*out)), slots)
 
 
@@ -171,13 +172,13 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(block: int = 64) -> str:
-    """The same mix in DuckDB's SQL: which blocks are taken depends on the slots' numbers alone."""
+    """The same mix in DuckDB's SQL, with the draws of the output shards."""
     a, b, c, d = MULTIPLIERS
     turns = []
     for r in range(ROUNDS):
         turns.append(
-            f"m{r} AS (SELECT sid, n_blocks, x, ((((sid + 1) * {a} + {(r + 1) * b}) % {PRIME} - x) % n_blocks + n_blocks) % n_blocks AS mate FROM x{r}),\n"
-            f"x{r + 1} AS (SELECT sid, n_blocks, CASE WHEN ((((greatest(x, mate) % {PRIME}) * {c} + {(r + 1) * d} + sid * {b}) % {PRIME}) >> 15) % 2 = 1 THEN mate ELSE x END AS x FROM m{r})"
+            f"m{r} AS (SELECT sid, n_blocks, i, x, ((((sid + 1) * {a} + {(r + 1) * b}) % {PRIME} - x) % n_blocks + n_blocks) % n_blocks AS mate FROM x{r}),\n"
+            f"x{r + 1} AS (SELECT sid, n_blocks, i, CASE WHEN ((((greatest(x, mate) % {PRIME}) * {c} + {(r + 1) * d} + sid * {b}) % {PRIME}) >> 15) % 2 = 1 THEN mate ELSE x END AS x FROM m{r})"
         )
     return rf"""
 WITH sizes AS (
@@ -192,18 +193,26 @@ s3 AS (SELECT *, row_number() OVER (ORDER BY cap / weight, sid) AS pos,
 s4 AS (SELECT *, (SELECT min_by(level, pos) FROM s3 WHERE level * weight <= cap) AS lam FROM s3),
 s5 AS (SELECT sid, source, source_size, least(cap, coalesce(lam, 'inf'::DOUBLE) * weight) AS target, (source_size + {block - 1}) // {block} AS n_blocks FROM s4),
 src AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target * n_blocks / source_size + 0.5)::BIGINT, n_blocks * 2) ELSE 0 END AS n_slots FROM s5),
-x0 AS (SELECT sid, n_blocks, i % n_blocks AS x FROM src, unnest(range(n_slots)) AS t(i) WHERE n_slots > 0),
+x0 AS (SELECT sid, n_blocks, i, i % n_blocks AS x FROM src, unnest(range(n_slots)) AS t(i) WHERE n_slots > 0),
 {', '.join(turns)},
-times AS (SELECT sid, x AS block, count(*) AS times FROM x{ROUNDS} GROUP BY ALL),
+live AS (SELECT sid, n_slots, coalesce(sum(n_slots) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ticket FROM src WHERE n_slots > 0),
+hits AS (SELECT i // 8192 AS shard, ('0x' || substr(md5('mix:' || i), 1, 15))::BIGINT % (SELECT sum(n_slots) FROM live) AS hit FROM unnest(range((SELECT sum(n_slots)::BIGINT FROM live))) AS t(i)),
+dr AS (SELECT shard, sid, count(*) AS drawn FROM hits JOIN live ON hit >= ticket AND hit < ticket + n_slots GROUP BY ALL),
+kp AS (SELECT dr.shard, dr.sid, drawn, greatest(0, least(drawn, n_slots - coalesce(sum(drawn) OVER (PARTITION BY dr.sid ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS kept FROM dr JOIN live USING (sid)),
+fr AS (SELECT shard, row_number() OVER (ORDER BY h, shard, k) - 1 AS i FROM (SELECT shard, ('0x' || substr(md5(shard::VARCHAR), 1, 8))::BIGINT AS h, sum(drawn - kept)::BIGINT AS free FROM kp GROUP BY shard), unnest(range(free)) AS t(k)),
+sh AS (SELECT sid, row_number() OVER (ORDER BY sid, k) - 1 AS i FROM (SELECT live.sid, (n_slots - coalesce((SELECT sum(kept) FROM kp WHERE kp.sid = live.sid), 0))::BIGINT AS lacks FROM live), unnest(range(lacks)) AS t(k)),
+ct AS (SELECT shard, sid, sum(n)::BIGINT AS n FROM (SELECT shard, sid, kept AS n FROM kp UNION ALL SELECT shard, sid, 1 FROM fr JOIN sh USING (i)) GROUP BY ALL HAVING sum(n) > 0),
+st AS (SELECT shard, sid, n, coalesce(sum(n) OVER (PARTITION BY sid ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM ct),
+times AS (SELECT x.sid, x.x AS block, count(*) AS times, min(st.shard) AS first_shard FROM x{ROUNDS} x JOIN st ON st.sid = x.sid AND x.i >= st.start AND x.i < st.start + st.n GROUP BY ALL),
 placed AS (
   SELECT s.*, src.sid, src.source_size, src.target,
     coalesce(sum(size) OVER (PARTITION BY sid ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM sizes s JOIN src ON s.source IS NOT DISTINCT FROM src.source WHERE size > 0),
 pieces AS (SELECT *, least(start + size, (block + 1) * {block}) - greatest(start, block * {block}) AS words
   FROM placed, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) AS t(block)),
-taken AS (SELECT p.doc_id, p.size, p.source_size, p.target, sum(p.words * coalesce(t.times, 0))::BIGINT AS taken
+taken AS (SELECT p.doc_id, p.size, p.source_size, p.target, sum(p.words * coalesce(t.times, 0))::BIGINT AS taken, min(t.first_shard) AS first_shard
   FROM pieces p LEFT JOIN times t ON p.sid = t.sid AND p.block = t.block GROUP BY p.sid, p.start, p.doc_id, p.size, p.source_size, p.target)
-SELECT doc_id, size, source_size, target, taken FROM taken
+SELECT doc_id, size, source_size, target, taken, first_shard FROM taken
 UNION ALL
-SELECT s.doc_id, s.size, src.source_size, src.target, 0 FROM sizes s JOIN src ON s.source IS NOT DISTINCT FROM src.source WHERE s.size = 0
+SELECT s.doc_id, s.size, src.source_size, src.target, 0, NULL FROM sizes s JOIN src ON s.source IS NOT DISTINCT FROM src.source WHERE s.size = 0
 """

@@ -19,7 +19,7 @@ from .textgrams import give_back
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Words that a worker keeps the ids of, about 200 bytes each: the first, and so the frequent ones; others are encoded again.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 #: Text that is tokenized at a time.
 TEXT_BYTES = 8 << 20
 #: A letter, then a mark that is neither a letter nor a digit nor an apostrophe.
@@ -50,7 +50,7 @@ class WordCoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
-    def _fresh(self, words: list[str]) -> dict[str, np.ndarray]:
+    def _fresh(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that aren't known."""
         out = {}
         letters, others = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
@@ -61,13 +61,14 @@ class WordCoder:
                 ids = np.asarray(e.ids, "<u4")
                 ends = np.flatnonzero(self.last[ids]) + 1
                 if len(ends) == len(group):
-                    out.update(zip(group, np.split(ids, ends[:-1])))
+                    data, stops = ids.tobytes(), (4 * ends).tolist()
+                    out.update((w, data[a:b]) for w, a, b in zip(group, [0, *stops], stops))
                 else:  # a letter that the normalizer changes into more
                     others += group
         for at in range(0, len(others), 10_000):
             part = others[at : at + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                out[w] = np.asarray(e.ids, "<u4")
+                out[w] = np.asarray(e.ids, "<u4").tobytes()
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +84,8 @@ class WordCoder:
         ids = [self.known[w] if w in self.known else fresh[w] for w in words]
         if len(self.known) + len(fresh) <= CACHED_WORDS:
             self.known.update(fresh)
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
         at = np.asarray(coded.indices)
         many = size[at]
         ends = np.concatenate(([0], np.cumsum(many)))

@@ -136,6 +136,11 @@ def spread(value: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def drawn(value: Column) -> Column:
+    """A pseudorandom long in [0, 2**60) that SQL engines agree on."""
+    return F.conv(F.substring(F.md5(value), 1, 15), 16, 10).cast("long")
+
+
 def exclusive_sums(df: DataFrame, group: list[str], order: list[str], amount: Column, out: str) -> DataFrame:
     """Running total of `amount` before each row, within `group`, by `order`.
 
