@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,6 +23,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NUMBER = re.compile(r"\(?[0-9](?:[\x20().-]{0,3}[0-9])+")
 HANDLE = re.compile(r"[A-Za-z0-9._%+-]+")
+NAME = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z]+(?:[._][A-Za-z]+)*(?:[._]?[0-9]{1,4})(?![A-Za-z0-9._%+@-])|(?<![A-Za-z0-9._%+-])[A-Za-z]{2,}(?:[._][A-Za-z]{2,})+(?![A-Za-z0-9_%+@-])")
+#: Classes of the word before a mention.
+WORDS = 16
 #: Documents whose matches train the model at most, and steps of its fit.
 TRAIN_DOCS, STEPS = 512, 300
 
@@ -81,9 +85,16 @@ class Mention(NamedTuple):
     features: tuple[float, ...]
 
 
-def _features(form: str, email: bool) -> tuple[float, ...]:
+def _features(form: str, email: bool, text: str = "", start: int = 0, end: int = 0) -> tuple[float, ...]:
+    """What a mention looks like, and where it stands: length and check digit, groups, what touches it, the word before."""
     n = 0 if email else len(form)
-    return (1.0, float(email), float(7 <= n <= 9), float(10 <= n <= 13), float(14 <= n <= 19), float(n > 19), float(14 <= n <= 19 and _luhn(form)))
+    shape = (1.0, float(email), float(7 <= n <= 9), float(10 <= n <= 13), float(14 <= n <= 19), float(n > 19), float(14 <= n <= 19 and _luhn(form)))
+    before, after = text[start - 1 : start] if start else "", text[end : end + 1]
+    groups = len(re.findall("[0-9]+", text[start:end])) if not email else 0
+    touched = (float(before.isalnum() or after.isalnum()), float(before in ('"', "=", "'") and before != ""), float(groups >= 3), float("(" in text[start:end]))
+    word = re.search(r"([^\W\d_]+)[^\w\n]{0,3}$", text[max(0, start - 24) : start])
+    bucket = zlib.crc32(word[1].lower().encode()) % WORDS if word else -1
+    return shape + touched + tuple(float(k == bucket) for k in range(WORDS))
 
 
 def _form(text: str, kind: int) -> str:
@@ -91,9 +102,10 @@ def _form(text: str, kind: int) -> str:
 
 
 def mentions(text: str, base: list[Span]) -> list[Mention]:
-    """Pattern matches, and open mentions beside them: numbers of 7 digits or more, and words
-    that equal a matched email's local part."""
-    found = [Mention(s.start, s.end, s.kind, f := _form(text[s.start : s.end], s.kind), _features(f, s.kind == 0)) for s in base]
+    """Pattern matches, and all else that could be an entity: numbers of 7 digits or more, words
+    that equal a matched email's local part, and words built like one, of letters with dots,
+    underscores or digits inside."""
+    found = [Mention(s.start, s.end, s.kind, f := _form(text[s.start : s.end], s.kind), _features(f, s.kind == 0, text, s.start, s.end)) for s in base]
     locals_ = {m.form for m in found if m.label == 0 and len(m.form) >= 5}
     spans = sorted((s.start, s.end) for s in base)
 
@@ -103,12 +115,11 @@ def mentions(text: str, base: list[Span]) -> list[Mention]:
 
     for m in NUMBER.finditer(text):
         if m.end() - m.start() >= 7 and len(d := _digits(m[0])) >= 7 and free(m.start(), m.end()):
-            found.append(Mention(m.start(), m.end(), -1, d, _features(d, False)))
-    if locals_:
-        for m in HANDLE.finditer(text):
-            word = m[0].rstrip(".").lower()
-            if word in locals_ and free(m.start(), m.start() + len(word)):
-                found.append(Mention(m.start(), m.start() + len(word), -1, word, _features(word, True)))
+            found.append(Mention(m.start(), m.end(), -1, d, _features(d, False, text, m.start(), m.end())))
+    for m in HANDLE.finditer(text) if locals_ else NAME.finditer(text):
+        word = m[0].rstrip(".").lower()
+        if (word in locals_ or NAME.fullmatch(word)) and free(m.start(), m.start() + len(word)):
+            found.append(Mention(m.start(), m.start() + len(word), -1, word, _features(word, True, text, m.start(), m.start() + len(word))))
     return sorted(found)
 
 
@@ -160,17 +171,26 @@ def train(texts: list[str], steps: int = STEPS) -> Model:
         pair.append(around)
 
     for text in texts:
-        for s in base_spans(text):
+        base = base_spans(text)
+        given = set()
+        for s in base:
             form = _form(text[s.start : s.end], s.kind)
+            given |= {form, form[-7:]}
             similar = s.kind in (2, 3) and rng.random() < 0.3
             shown = form[-7:] if similar else form
-            add(_features(shown, s.kind == 0), s.kind, [(0, 4), (2 if similar else 1, s.kind)])
-            add(_features(form, s.kind == 0), s.kind, [(0, int(rng.integers(5))), (1, s.kind)])
+            where = (text, s.start, s.start + len(form)) if s.kind == 0 else (text, s.start + (s.kind == 3), s.end)  # without the domain, without the plus
+            add(_features(shown, s.kind == 0, *where), s.kind, [(0, 4), (2 if similar else 1, s.kind)])
+            add(_features(form, s.kind == 0, *where), s.kind, [(0, int(rng.integers(5))), (1, s.kind)])
+        for m in mentions(text, base):
+            if m.label < 0 and m.form not in given and m.form[-7:] not in given:
+                add(m.features, 4, [(0, int(rng.integers(5)))])
+                add(m.features, 4, [(0, 4), (1, 4)])
     for n in list(range(7, 25)) * 20:
         form = "".join(map(str, rng.integers(0, 10, n)))
-        add(_features(form, False), 4, [(0, int(rng.integers(5)))])
-        add(_features(form, False), 4, [(0, 4), (1, 4)])
-    add(_features("none", True), 4, [(0, 4)])
+        add(_features(form, False, f"{form} ", 0, n), 4, [(0, int(rng.integers(5)))])
+        add(_features(form, False, f"{form} ", 0, n), 4, [(0, 4), (1, 4)])
+    for name in ("none", "first.last", "name7"):
+        add(_features(name, True, name, 0, len(name)), 4, [(0, 4)])
     x, y = np.array(node), np.array(gold)
     ctx = np.zeros((len(y), 15))
     for i, around in enumerate(pair):
@@ -188,7 +208,7 @@ def train(texts: list[str], steps: int = STEPS) -> Model:
     return Model(w[:, :k], (both + both.transpose(0, 2, 1)) / 2)
 
 
-def marginals(found: list[Mention], model: Model, rounds: int = 12) -> np.ndarray:
+def marginals(found: list[Mention], model: Model, rounds: int = 40) -> np.ndarray:
     """Labels' probabilities by loopy message passing; given labels are held."""
     n = len(found)
     unary = np.array([m.features for m in found]) @ model.node.T
@@ -218,8 +238,6 @@ def marginals(found: list[Mention], model: Model, rounds: int = 12) -> np.ndarra
 
 def all_spans(text: str, base: list[Span], model: Model) -> list[Span]:
     """Base spans and the open mentions that the model labels, without overlaps among these."""
-    if not base:
-        return base
     found = mentions(text, base)
     if all(m.label >= 0 for m in found):
         return base

@@ -216,6 +216,40 @@ def test_personal_data(spark, docs, none):
     assert not pii.find_personal_data(none, pii.train_model(none)).collect()
 
 
+def test_marginals_equal_enumeration():
+    import itertools
+
+    model = pii.train(["mail jo.doe7@x.org or +1 (456) 555-2186, 10.0.0.1 card 4539578763621486"] * 20)
+    text = "call 14565552186 or name7, or 14565550000, mail a.b@c.de or 4539578763621486"
+    found = pii.mentions(text, pii.base_spans(text))
+    edges = pii.links(found)
+    assert 3 <= len(found) <= 6 and len(edges) == len(found) - 1, found  # a chain
+    unary = np.array([m.features for m in found]) @ model.node.T
+    sums = np.zeros((len(found), 5))
+    for labels in itertools.product(range(5), repeat=len(found)):
+        if all(m.label in (-1, k) for m, k in zip(found, labels)):
+            open_ = sum(unary[i, k] for i, k in enumerate(labels) if found[i].label < 0)
+            sums[range(len(found)), labels] += np.exp(open_ + sum(model.pair[t, labels[i], labels[j]] for i, j, t in edges))
+    assert np.abs(pii.marginals(found, model) - sums / sums.sum(1, keepdims=True)).max() < 1e-6
+
+
+def test_repeats_without_a_cue_are_found_and_decoys_left():
+    rng = np.random.default_rng(11)
+    filler = lambda: " ".join(rng.choice(WORDS, 12))
+    phone = lambda: f"1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
+    train = [f"{filler()} +{phone()} {filler()} ab.c{i}@mail{i % 9}.org {filler()} 4539578763621486 {filler()} {rng.integers(10**15, 10**16)}" for i in range(200)]
+    model = pii.train(train)
+    hit = wrong = 0
+    for i in range(100):
+        p, name, decoy = phone(), f"jo.roe{i}", str(rng.integers(10**6, 10**7))
+        text = f"{filler()} +{p} {filler()} {name}@m.org {filler()} {p} {filler()} {name} {filler()} {decoy}"
+        base = pii.base_spans(text)
+        more = {text[s.start : s.end] for s in pii.all_spans(text, base, model)} - {text[s.start : s.end] for s in base}
+        hit += len(more & {p, name})
+        wrong += len(more - {p, name})
+    assert hit >= 180 and wrong <= 5, (hit, wrong)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 16)).astype(np.float32)
