@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import table
+from .textgrams import give_back
 
 KINDS = ("email", "ip", "card", "phone")
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -277,6 +278,7 @@ def find_personal_data(docs: DataFrame, model: Model, *, id_col="doc_id", text_c
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             rows = []
             for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = cell.as_py() or ""
@@ -297,6 +299,7 @@ def redact(docs: DataFrame, model: Model, *, text_col="text") -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            give_back()
             at, out = batch.schema.get_field_index(text_col), []
             for cell in batch.column(at):
                 text = cell.as_py()

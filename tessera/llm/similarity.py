@@ -278,6 +278,8 @@ def jaccard_components(docs: DataFrame, *, id_col="doc_id", text_col="text", wor
                     rows[rid] = (grams, side)
         if rows:
             yield solved(rows)
+        del rows
+        give_back()
 
     found = stage(texts.mapInArrow(search, "rid long, links long, root long"), "links")
     totals = found.groupBy("rid").agg(F.sum("links").alias("n_links"))
