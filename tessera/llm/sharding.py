@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import exclusive_sums, spread, stage, table
+from .shared import exclusive_sums, release, spread, stage, table
 
 
 def _places(rows: DataFrame, key: str, order: list[str], out: str) -> DataFrame:
@@ -35,6 +35,7 @@ def _round(state: DataFrame) -> tuple[DataFrame, int]:
     moves = stage(asks.where("place < room").select("row", F.col("shard").alias("from"), "to"), "moves")
     n = moves.count()
     if not n:
+        release(moves)
         return state, 0
     net = (
         moves.select(F.col("to").alias("shard"), F.lit(1).alias("n"))
@@ -49,16 +50,20 @@ def _round(state: DataFrame) -> tuple[DataFrame, int]:
     spare = spare.where("place < net").select("row", (F.col("at") + F.col("place")).alias("i")).join(take, "i")
     changed = moves.select("row", F.col("to").alias("new")).unionByName(spare.select("row", "new"))
     after = state.join(changed, "row", "left").withColumn("shard", F.coalesce("new", "shard")).drop("new")
-    return stage(after, "shards"), n
+    after = stage(after, "shards")
+    release(moves, state)
+    return after, n
 
 
-def shard_by_links(docs: DataFrame, *, id_col="doc_id", text_col="text", shards=40, rounds=4, load=0.75) -> DataFrame:
+def shard_by_links(docs: DataFrame, *, id_col="doc_id", text_col="text", shards=40, load=0.75) -> DataFrame:
     """Deal documents to `shards` shards, copies of a text together, counts at most one apart.
 
     Copies of a text are linked. A link node stands for each group of copies, so that links grow
     with the rows; a group larger than `load` of a shard is split by hash over several nodes.
     Documents start in shards by a pseudorandom order; in each round the nodes name the shard
-    with room where most of their members are, members ask to move, and quotas decide.
+    with room where most of their members are, members ask to move, and quotas decide. Rounds go
+    on until nobody moves. They end: members only go where as many of their node or more already
+    are, so each move raises the sum over nodes and shards of the squares of members there.
 
     Returns doc_id, size (UTF-8 bytes plus 16), text_crc32, law ('rows'), shard, slot (gapless
     from 0 in each shard), grown_shard (null), cut (whether a copy of the text is elsewhere).
@@ -80,10 +85,9 @@ def shard_by_links(docs: DataFrame, *, id_col="doc_id", text_col="text", shards=
         "row", F.when(F.col("copies").isNotNull(), F.concat_ws(":", F.col("digest"), part)).alias("node"), (F.col("row") % shards).cast("int").alias("shard")
     )
     state = stage(state, "shards")
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         state, moved = _round(state)
-        if not moved:
-            break
     placed = base.join(state.select("row", "shard"), "row").withColumn("h", spread(F.col("row")))
     placed = _places(placed, "shard", ["h", "row"], "slot")
     homes = placed.groupBy("digest").agg((F.min("shard") < F.max("shard")).alias("cut"))

@@ -85,6 +85,28 @@ def test_shards(docs, none):
     assert len({r.shard for r in got if r.doc_id in (1, *range(200, 212))}) <= 2
 
 
+def test_shards_settle(spark):
+    """No member is left that the rule would move, in a plain recount; links are cut only in groups too large for a shard."""
+    sizes = [200, *[9] * 12, *[3] * 20, *[2] * 30]
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)] + [f"alone {i}" for i in range(200)]
+    got = sharding.shard_by_links(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=10).collect()
+    members, loose = {}, {}
+    for r in got:
+        text = texts[r.doc_id]
+        if text.startswith("alone"):
+            loose[r.shard] = loose.get(r.shard, 0) + 1
+        else:
+            here = members.setdefault(text, {})
+            here[r.shard] = here.get(r.shard, 0) + 1
+    for text, here in members.items():
+        if sum(here.values()) <= 0.75 * len(texts) / 10:
+            best = max((s for s in here if loose.get(s)), key=here.get, default=None)
+            assert best is None or all(n > here[best] for s, n in here.items() if s != best), (text, here)
+    cut = [t for t, here in members.items() if len(here) > 1]
+    assert cut[0] == "group 0" and len(cut) <= 3, cut
+    assert {texts[r.doc_id] for r in got if r.cut} == set(cut)
+
+
 def brute_components(table, n, percent):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
