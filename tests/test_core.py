@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import symbols as S
 from tessera.functions import text as T
 from tessera.functions.vectors import cosine, is_valid
-from tessera.operators import graph, resolve, retrieval, snapshot
+from tessera.operators import graph, lifecycle, resolve, retrieval, snapshot
 from tessera.sources import files
 from tessera.streaming import hints
 
@@ -173,6 +173,38 @@ def test_external_kinds(spark):
     assert got == ["builtin", "stdlib", "external", None, "stdlib", "external", None]
 
 
+def test_own_writes(spark):
+    rows = [(1, "a", "published", 5, 1, "x", "2024-02-01"), (2, "a", "published", 5, 2, "y", "2024-02-01"), (3, "a", "staged", 9, 3, "z", "2024-02-01"), (4, "b", "published", 1, 1, "x", "2024-01-01"), (5, "c", "published", 1, 1, "x", None)]
+    made = spark.createDataFrame(rows, "id long, path string, state string, revision long, published_at long, hash string, expires_at string").withColumn("expires_at", F.to_timestamp("expires_at"))
+    seen = spark.createDataFrame([("a", True, "y", "y", 5), ("a", True, "y", "y", 4), ("a", True, "x", "x", 9), ("b", True, "x", "x", 9), ("c", False, None, None, None), ("d", False, "", "", 0), ("c", True, None, "x", 2)], "path string, present boolean, content_hash string, store_hash string, store_revision long")
+    got = sorted((r.path, r.mutation_id or 0, r.classification) for r in lifecycle.classified(seen, made, "2024-01-15 00:00:00").collect())
+    assert got == [("a", 2, "external_change"), ("a", 2, "external_change"), ("a", 2, "self_write_confirmed"), ("b", 0, "unchanged"), ("c", 5, "external_change"), ("c", 5, "removed"), ("d", 0, "removed")]
+    assert {r.state: r["count"] for r in lifecycle.unexpired(made, "2024-01-15 00:00:00").groupBy("state").count().collect()} == {"published": 3, "staged": 1, "expired": 1}
+
+
+def test_heads_keep_a_version_after_a_failure(spark):
+    rows = [("a", 1, "publish", "a1", "now", "p", ""), ("a", 2, "failure", "", "", "", "late"), ("b", 1, "failure", "", "", "", "first"), ("b", 2, "publish", "b2", "old", "p", ""), ("c", 1, "failure", "", "", "", "x"), ("c", 2, "publish", "c2", "now", "pp", ""), ("d", 1, "publish", "d1", "now", "", ""), ("e", 1, "publish", "e1", "now", "ppp", "")]
+    events = spark.createDataFrame(rows, "key string, seq long, kind string, id string, input_snapshot string, payload string, error string")
+    got = {r.key: (r.latest_revision, r.current, r.status, r.last_error) for r in lifecycle.heads(events, "now", 2).collect()}
+    assert got == {"a": (1, "a1", "current", "late"), "b": (0, None, "failed", "first"), "c": (1, "c2", "current", "")}
+
+
+def test_evaluation_and_surfaces(spark):
+    cases = spark.createDataFrame([(1, "run", 5, 10, 11), (2, "", 0, 0, 9), (3, "x", 1, 10, 10)], "case_id long, symbol string, target long, requested long, used long")
+    pack = spark.createDataFrame([(1, "e1", 5, "a/b.T::run — calls", "web/1.go", "k"), (1, "e1", 6, "x", "vendor/y.go", ""), (3, "e2", 2, "x", "a", "k")], "case_id long, id string, symbol_id long, title string, path string, kind string")
+    relevant = spark.createDataFrame([(1, "run"), (1, "gone")], "case_id long, name string")
+    got = {r.case_id: tuple(r)[1:] for r in lifecycle.case_metrics(cases, pack, relevant, ["vendor/**"]).collect()}
+    assert got == {1: (2, True, 0.5, 1, 0.5, 0.5, 1), 2: (0, True, 1.0, 0, 0.0, 0.0, 0), 3: (1, False, 1.0, 0, 0.0, 0.0, 0)}
+    page = spark.createDataFrame([(1, "# T\n  - [a](b)\r\n* c\n```\nx\n```"), (2, ""), (3, "Possibly so")], "id long, markdown string")
+    scores = {r.id: (r.citation_density, r.structure, r.code_blocks, r.speculation, r.score) for r in lifecycle.surface_scores(page, {"t": "# T", "u": "# U"}, True).collect()}
+    assert scores == {1: (0.5, 0.5, 1, 0, 60.0), 2: (0.0, 0.0, 0, 0, 10.0), 3: (0.0, 0.0, 0, 1, 0.0)}
+
+
+def test_page_paths(spark):
+    pages = spark.createDataFrame([("overview", ""), ("2-b", "overview"), ("1-a", "overview"), ("2.1-c", "2-b"), ("x", "gone"), ("y", "y"), ("z", None)], "slug string, parent string")
+    assert [r.slug for r in lifecycle.page_paths(pages).orderBy("at").collect()] == ["overview", "1-a", "2-b", "2.1-c", "x", "y", "z"]
+
+
 def test_changes_see_files_without_a_hash(spark):
     make = lambda rows: spark.createDataFrame(rows, "path string, content_hash string")
     got = snapshot.changes(make([("a", None), ("b", "1"), ("c", "2")]), make([("a", "3"), ("b", "1"), ("d", None)])).collect()
