@@ -19,6 +19,7 @@ OPERATORS = {
     "op8_personal_data": ("pii", None),
     "op9_nearest_neighbours": ("neighbours", None),
     "op10_sniff_media": ("media", None),
+    "op12_periodic_runs": ("runs", None),
 }
 
 
