@@ -20,6 +20,7 @@ OPERATORS = {
     "op9_nearest_neighbours": ("neighbours", None),
     "op10_sniff_media": ("media", None),
     "op12_periodic_runs": ("runs", None),
+    "op13_minimum_bin_slack": ("slack", None),
 }
 
 
