@@ -19,6 +19,7 @@ OPERATORS = {
     "op8_personal_data": ("pii", None),
     "op9_nearest_neighbours": ("neighbours", None),
     "op10_sniff_media": ("media", None),
+    "op11_phrase_collocations": ("phrases", "oracle"),
     "op12_periodic_runs": ("runs", None),
     "op13_minimum_bin_slack": ("slack", None),
 }
