@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tessera.functions import symbols as S
 from tessera.functions import text as T
 from tessera.operators import codemap, evidence, integrity, navigation, retrieval
+from tessera.operators.index import kept_index
 from tessera.queries import _tokens, query, read
 
 #: The index in SQL that Spark and DuckDB read alike; {t} is where a table's name goes.
 SYMBOLS = """SELECT id, name, concat(split_part(p_name, ' ', 1), '.', name) AS qualified, kind, concat(dir, '/', id % 40, CASE WHEN id % 11 = 0 THEN '_test' ELSE '' END, '.go') AS path, language,
-p_type AS signature, p_name AS summary, p_size AS start_line, p_size + 8 AS end_line, id % 50 AS parent, p_brand AS brand FROM (
+p_type AS signature, p_name AS summary, concat('func ', name, '() return ', replace(p_brand, '#', 'No')) AS code, p_size AS start_line, p_size + 8 AS end_line, id % 50 AS parent, p_brand AS brand FROM (
 SELECT p_partkey AS id, p_name, p_type, p_size, p_brand, CASE WHEN p_size % 3 = 0 THEN concat(upper(substr(split_part(p_name, ' ', 2), 1, 1)), substr(split_part(p_name, ' ', 2), 2)) ELSE split_part(p_name, ' ', 2) END AS name,
 CASE p_size % 7 WHEN 0 THEN 'file' WHEN 1 THEN 'function' WHEN 2 THEN 'method' WHEN 3 THEN 'type' WHEN 4 THEN 'class' WHEN 5 THEN 'interface' ELSE 'import' END AS kind,
 CASE p_partkey % 5 WHEN 0 THEN 'cmd/api' WHEN 1 THEN 'internal/store' WHEN 2 THEN 'web' WHEN 3 THEN 'web/tests' ELSE 'vendor/lib' END AS dir, CASE WHEN p_partkey % 3 = 0 THEN 'python' ELSE 'go' END AS language FROM {part})"""
@@ -93,11 +94,11 @@ def allowed_edges(spark, sf_dir):
     return _numbered(spark, sf_dir).where(F.col("kind").isin("calls", "imports")).orderBy("seq").limit(evidence.POLICIES["base"].edges).select("seq", "src", "dst", "kind")
 
 
-@query(f"SELECT id, name FROM {SYM} WHERE " + " OR ".join(f"contains(lower({f}), '{t}')" for f in ("name", "qualified", "kind", "path", "signature", "summary") for t in ("ring", "promo")))
+@query(f"SELECT id, name FROM {SYM} WHERE " + " OR ".join(f"contains(lower({f}), '{t}')" for f in ("name", "qualified", "kind", "path", "signature", "summary", "code") for t in ("ring", "brandno1")))
 def any_token_match(spark, sf_dir):
     """Symbols with any of the query's words in any field."""
-    fields = ("name", "qualified", "kind", "path", "signature", "summary")
-    return _symbols(spark, sf_dir).where(" OR ".join(f"contains(lower({f}), '{t}')" for f in fields for t in ("ring", "promo"))).select("id", "name")
+    fields = ("name", "qualified", "kind", "path", "signature", "summary", "code")
+    return _symbols(spark, sf_dir).where(" OR ".join(f"contains(lower({f}), '{t}')" for f in fields for t in ("ring", "brandno1"))).select("id", "name")
 
 
 @query(f"""SELECT path, CASE WHEN lower(b) = 'go.mod' THEN 'gomod' WHEN lower(b) = 'go.sum' THEN 'text' WHEN lower(b) = 'package.json' THEN 'json' WHEN lower(b) = 'makefile' THEN 'makefile' WHEN lower(b) LIKE 'dockerfile.%' THEN 'dockerfile' WHEN lower(b) LIKE 'readme.%' THEN 'markdown' END AS language, bytes FROM (
@@ -410,4 +411,6 @@ def fielded_search(spark, sf_dir):
     """Weighted fields, four times the limit, boosts by name, hydrated."""
     question = "red.Ring"
     terms = [r.t for r in spark.range(1).select(F.explode(T.query_tokens(F.lit(question))).alias("t")).collect()]  # a query's few words
-    return retrieval.searched(_symbols(spark, sf_dir), question, terms, 20).select("id", "name", F.round("score", 6).alias("score"))
+    symbols = _symbols(spark, sf_dir)
+    index = kept_index(symbols, read(spark, sf_dir, "part"), f"{sf_dir.rstrip('/')}/symbols", "id", retrieval.FIELD_WEIGHTS)
+    return retrieval.searched(index.bm25(terms), symbols, question, 20).select("id", "name", F.round("score", 6).alias("score"))

@@ -43,11 +43,6 @@ def tokens(text: Column) -> Column:
     return _kept(F.flatten(F.transform(words, pieces)))
 
 
-def word_terms(word: Column) -> Column:
-    """Index terms of one word."""
-    return _kept(pieces(word))
-
-
 def query_tokens(text: Column) -> Column:
     return F.array_distinct(tokens(text))
 

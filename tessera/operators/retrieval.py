@@ -5,74 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import WORD_BREAK, word_terms
 from tessera.functions.vectors import cosine
 
 K1, B, RANK_CONSTANT = 1.5, 0.75, 60.0
 #: How much a word of each field of a symbol counts (fixed values).
-FIELD_WEIGHTS = {"name": 8, "qualified": 4, "kind": 2, "path": 2, "signature": 2, "summary": 1}
+FIELD_WEIGHTS = {"name": 8, "qualified": 4, "kind": 2, "path": 2, "signature": 2, "summary": 1, "code": 1}
 #: Weight of the lexical and of the dense share of a fused score.
 LEXICAL_SHARE, DENSE_SHARE = 0.68, 0.32
 
 
-def indexed(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
-    """(id, word, n): how often a document has each word, a field's words counted by its weight.
+def searched(ranked: DataFrame, symbols: DataFrame, query: str, limit: int) -> DataFrame:
+    """Fielded search: of (id, score) four times the limit, boosts by name, the limit, and the rows' columns.
 
-    Every document has a row of the empty word. Words are split off in the scan; what terms a
-    word stands for is worked out once for each distinct word, not once for each occurrence.
+    Ranks first and joins the rest of the few rows after.
     """
-    split = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), WORD_BREAK)
-    rows = None
-    for c, weight in fields.items():
-        part = docs.select(F.col(id_col).alias("id"), F.explode(split(c)).alias("word"), F.lit(weight).alias("n"))
-        rows = part if rows is None else rows.unionByName(part)
-    empty = docs.select(F.col(id_col).alias("id"), F.lit("").alias("word"), F.lit(0).alias("n"))
-    return rows.where("word <> ''").unionByName(empty).groupBy("id", "word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(index: DataFrame) -> DataFrame:
-    """(word, terms) of the distinct words."""
-    return index.select("word").distinct().withColumn("terms", word_terms(F.col("word")))
-
-
-def postings(index: DataFrame) -> DataFrame:
-    """(term, id, tf): the inverted index; write it once, dealt by term, to serve many queries."""
-    each = index.join(vocabulary(index), "word").select("id", F.explode("terms").alias("term"), "n")
-    return each.groupBy("term", "id").agg(F.sum("n").alias("tf"))
-
-
-def term_statistics(index: DataFrame) -> DataFrame:
-    """Documents and occurrences of each term."""
-    return postings(index).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-
-
-def bm25(index: DataFrame, query: list[str]) -> DataFrame:
-    """(id, score) of documents with a query term.
-
-    Each distinct word is reduced to how many terms it has and how often the query's are among
-    them; documents add these up in one aggregate, from which the totals come too.
-    """
-    hits = [F.size(F.array_remove(F.col("terms"), F.lit(q))) for q in query]
-    hits = [(F.size("terms") - rest).alias(f"hits{i}") for i, rest in enumerate(hits)]
-    words = vocabulary(index).select("word", F.size("terms").alias("terms"), *hits)
-    sums = [F.sum(F.col("n") * F.col(f"hits{i}")).alias(f"tf{i}") for i in range(len(query))]
-    counted = index.join(words, "word").groupBy("id").agg(F.sum(F.col("n") * F.col("terms")).alias("len"), *sums)
-    totals = counted.agg(F.count("*").alias("docs"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
-    rows = counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(query)))).crossJoin(F.broadcast(totals))  # one row, of the same exchange
-    score = F.lit(0.0)
-    for i in range(len(query)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5))
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))).otherwise(0.0)
-    return rows.select("id", score.alias("score"))
-
-
-def searched(symbols: DataFrame, query: str, terms: list[str], limit: int) -> DataFrame:
-    """Fielded search: BM25 over weighted fields, four times the limit, boosts by name, the limit, and the rows' columns.
-
-    symbols: id and the fields of FIELD_WEIGHTS. Ranks first and joins the rest of the few rows after.
-    """
-    ranked = top(bm25(indexed(symbols, "id", FIELD_WEIGHTS), terms).withColumn("score", F.round("score", 9)), 4 * limit)
+    ranked = top(ranked.withColumn("score", F.round("score", 9)), 4 * limit)
     near = F.broadcast(ranked).join(symbols, "id")  # 4 * limit rows
     return top(near.withColumn("score", F.round(F.col("score") + boosted(F.col("name"), F.col("qualified"), query), 9)), limit)
 

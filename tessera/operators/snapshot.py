@@ -60,14 +60,14 @@ def correlated(relations: DataFrame) -> DataFrame:
     return joined.select("subject", F.coalesce("object", "found").alias("object"), F.when(F.col("object").isNull() & F.col("found").isNull(), F.col("name")).alias("external"), "evidence")
 
 
-def bucket_digests(rows: DataFrame, section: str, key: Column, content: Column) -> DataFrame:
-    """(bucket, digest, leaves): 256 buckets by the first byte of the key's hash, leaves in order.
+def bucket_digests(rows: DataFrame, section: str, key: Column, content: Column, digits: int = 2) -> DataFrame:
+    """(bucket, digest, leaves): buckets by the first digits of the key's hash (256 of them), leaves in order.
 
     A leaf is the hash of a row; a bucket's digest covers its sorted leaves. They stream through
     a running hash, so that a bucket of any size takes no memory.
     """
     leaf = F.sha2(F.concat_ws("\x00", F.lit(section), key, content), 256)
-    of = F.substring(F.sha2(F.concat_ws("\x00", F.lit(section), key), 256), 1, 2)
+    of = F.substring(F.sha2(F.concat_ws("\x00", F.lit(section), key), 256), 1, digits)
     leaves = rows.select(of.alias("bucket"), leaf.alias("leaf")).repartition(F.col("bucket")).sortWithinPartitions("bucket", "leaf")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import graph, resolve, retrieval, snapshot
+from tessera.operators.index import kept_index
 from tessera.streaming import hints
 
 QUERIES: dict = {}
@@ -51,9 +52,14 @@ r AS (SELECT doc_id AS id, {" + ".join(f"CASE WHEN tf[{i}] > 0 THEN ln(1 + (n -
   FROM c, s WHERE tf[1] + tf[2] + tf[3] > 0)"""
 
 
+def _index(spark, sf_dir):
+    """The kept index of the documents: made by the first query that asks, brought up to date by later ones."""
+    docs = read(spark, sf_dir, "documents")
+    return kept_index(docs, docs, f"{sf_dir.rstrip('/')}/documents", "doc_id", {"text": 1})
+
+
 def _lexical(spark, sf_dir):
-    index = retrieval.indexed(read(spark, sf_dir, "documents"), "doc_id", {"text": 1})
-    return retrieval.bm25(index, TERMS).withColumn("score", F.round("score", 6))
+    return _index(spark, sf_dir).bm25(TERMS).withColumn("score", F.round("score", 6))
 
 
 def _dense(spark, sf_dir, k):
@@ -74,7 +80,7 @@ def bm25_topk(spark, sf_dir):
 @query(f"WITH ix AS (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM ix GROUP BY term")
 def term_statistics(spark, sf_dir):
     """Documents and occurrences of every term."""
-    return retrieval.term_statistics(retrieval.indexed(read(spark, sf_dir, "documents"), "doc_id", {"text": 1}))
+    return _index(spark, sf_dir).term_statistics()
 
 
 @query(f"WITH {DENSE} SELECT id AS vec_id, round(similarity, 6) AS similarity FROM d ORDER BY d.similarity DESC, id LIMIT 20")

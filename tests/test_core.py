@@ -9,6 +9,7 @@ from tessera.functions import symbols as S
 from tessera.functions import text as T
 from tessera.functions.vectors import cosine, is_valid
 from tessera.operators import graph, lifecycle, resolve, retrieval, snapshot
+from tessera.operators.index import Index
 from tessera.sources import files
 from tessera.streaming import hints
 
@@ -51,10 +52,10 @@ def test_cosine_and_validity(spark):
         assert one(spark, is_valid(F.col("a")), a=v) is ok
 
 
-def test_bm25_prefers_exact(spark):
+def test_bm25_prefers_exact(spark, tmp_path):
     docs = spark.createDataFrame([(1, "SubmitOrder", "saves an order"), (2, "Other", "order order"), (3, "None", "nothing")], "id int, name string, body string")
-    index = retrieval.indexed(docs, "id", {"name": 4, "body": 1})
-    ranked = [r.id for r in retrieval.top(retrieval.bm25(index, ["submit", "order"]), 5).collect()]
+    index = Index(spark, tmp_path.as_uri(), {"name": 4, "body": 1}).refresh(docs)
+    ranked = [r.id for r in retrieval.top(index.bm25(["submit", "order"]), 5).collect()]
     assert ranked == [1, 2]
 
 
