@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.symbols import external_kind
+from tessera.operators import graph
+from tessera.operators.lineage import cut
+
+#: Nodes of a map: as many by default, at least and at most; of them for what lies outside, at most.
+NODES, FEWEST, MOST, OUTSIDE = 36, 8, 60, 4
 
 
 def with_imports(edges: DataFrame, imports: DataFrame) -> DataFrame:
@@ -21,8 +26,7 @@ def flow_roots(nodes: DataFrame, edges: DataFrame, most: int = 4) -> DataFrame:
     nodes: id, label, kind, path, relevance; edges: src, dst, kind. Only calls between nodes that
     have a path count; tests never begin a flow.
     """
-    local = nodes.where("path <> ''").select("id")
-    calls = edges.where("kind = 'calls'").join(local.withColumnRenamed("id", "src"), "src", "left_semi").join(local.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    calls = _local_calls(nodes, edges)
     callers = nodes.where("path <> '' AND kind <> 'test'").join(calls.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
     called = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("incoming"))
     roots = callers.join(called, "id", "left").withColumn("incoming", F.coalesce("incoming", F.lit(0)))
@@ -34,6 +38,93 @@ def flow_roots(nodes: DataFrame, edges: DataFrame, most: int = 4) -> DataFrame:
     return chosen.withColumn("points", points).orderBy(F.desc("points"), F.desc("relevance"), "label", "id").limit(most).drop("any")
 
 
+def _local_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Calls between nodes that have a path."""
+    local = nodes.where("path <> ''").select("id")
+    return edges.where("kind = 'calls'").join(local.withColumnRenamed("id", "src"), "src", "left_semi").join(local.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+def call_flows(roots: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
+    """(flow, step, id): each root's walk over calls, breadth first, `most` nodes at most; root is step 0.
+
+    roots: flow, id; nodes: id, label, path; edges: src, dst, kind, line, seq. All roots walk at
+    once: a round joins the frontiers with the calls; of the nodes that a flow meets for the
+    first time, those come first whose caller did, then by line, label and seq of the call. A
+    frontier has no more than `most` rows for each root, and there are no more rounds than that.
+    """
+    labels = nodes.select(F.col("id").alias("dst"), "label")
+    at = F.min(F.struct("line", "label", "seq")).alias("at")
+    calls = cut(_local_calls(nodes, edges).join(labels, "dst").groupBy("src", "dst").agg(at))
+    frontier = roots.select("flow", "id", F.lit(0).alias("step"))
+    seen = frontier
+    for _ in range(most - 1):
+        met = frontier.join(calls, frontier["id"] == calls["src"]).groupBy("flow", F.col("dst").alias("id")).agg(F.min(F.struct("step", "at")).alias("first"))
+        new = met.join(seen.select("flow", "id"), ["flow", "id"], "left_anti")
+        taken = seen.groupBy("flow").agg(F.count("*").cast("int").alias("taken"))
+        place = F.row_number().over(Window.partitionBy("flow").orderBy("first")) - 1
+        frontier = cut(new.withColumn("place", place).where(F.col("place") < most).join(taken, "flow").select("flow", "id", (F.col("taken") + F.col("place")).alias("step")).where(F.col("step") < most))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def flow_steps(flows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Flows with the path and line of each step: of the call by the nearest step before it, else its own.
+
+    Of several calls between two nodes the most confident counts, then the one of the smallest line.
+    nodes: id, label, path, start_line; edges: src, dst, kind, path, line, confidence.
+    """
+    best = F.min(F.struct((-F.col("confidence")).alias("doubt"), "line", "path"))
+    pairs = edges.where("kind = 'calls' AND src <> dst").groupBy("src", "dst").agg(best.alias("call"))
+    earlier = flows.select("flow", F.col("id").alias("src"), F.col("step").alias("before"))
+    via = earlier.join(flows.select("flow", F.col("id").alias("dst"), "step"), "flow").where("before < step").join(pairs, ["src", "dst"])
+    nearest = via.groupBy("flow", "step").agg(F.max(F.struct("before", "call")).alias("via"))
+    own = flows.join(nodes.select("id", "label", F.col("path").alias("own_path"), "start_line"), "id").join(nearest, ["flow", "step"], "left")
+    return own.select("flow", "step", "id", "label", F.col("via.before").alias("caller_step"), F.coalesce("via.call.path", "own_path").alias("path"), F.coalesce("via.call.line", "start_line").alias("line"))
+
+
+def node_limit(asked: int = 0) -> int:
+    return NODES if not asked else min(max(asked, FEWEST), MOST)
+
+
+def code_map(symbols: DataFrame, edges: DataFrame, imports: DataFrame, seeds: list[tuple], asked: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a map around seeds (id, relevance), their number limited.
+
+    Symbols two steps around the seeds, in order of the edges, leave room for a few nodes outside;
+    edges among them and unresolved ones stay. What an unresolved edge points at is a node too, by
+    its first edge while there is room: packages of imports and receivers, named in their files;
+    builtins are none. nodes: place, id, label, kind, path, relevance; edges: seq, source, target,
+    kind, path, line. Both are a map's few rows. symbols: id, name, kind, path, language; edges:
+    seq, src, dst, to_name, kind, path, line, confidence.
+    """
+    most = node_limit(asked)
+    inside = max(6, most - min(OUTSIDE, most // 6))
+    known = symbols.select(F.col("id").alias("dst"))
+    real = edges.where("dst IS NULL").unionByName(edges.where("dst IS NOT NULL").join(known, "dst", "left_semi").select(*edges.columns))
+    indexed = real.withColumn("idx", F.col("seq"))
+    around = cut(graph.neighbourhood(indexed, [s for s, _ in seeds], 2, inside))
+    kept = graph.induced(indexed, around).select(F.col("idx").alias("seq"))
+    own = real.join(F.broadcast(around.select(F.col("node").alias("src"))), "src", "left_semi").join(kept, "seq", "left_semi")
+    language = F.broadcast(around).join(symbols.select(F.col("id").alias("node"), "language"), "node").select(F.col("node").alias("src"), "language")
+    open_ = with_imports(own.where("dst IS NULL").join(language, "src"), imports)
+    named = F.trim(F.when((F.col("language") == "go") & (F.col("kind") != "imports"), F.col("import_path")).otherwise(F.col("to_name")))
+    outside = open_.where("external IN ('stdlib', 'external')").withColumn("label", named).where("label <> ''")
+    outside = outside.withColumn("target", F.concat(F.lit("external-"), F.substring(F.sha2(F.concat("external", F.lit(":"), "label"), 256), 1, 16)))
+    first = outside.groupBy("target").agg(F.min("seq").alias("first"), F.first("label").alias("label"), F.first("external").alias("kind"))
+    count = around.agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.orderBy("first"))  # what few nodes point at
+    admitted = first.withColumn("r", place).crossJoin(F.broadcast(count)).where(F.col("r") + F.col("n") <= most)
+    relevance = F.broadcast(edges.sparkSession.createDataFrame([(s, float(r)) for s, r in seeds], f"node {symbols.schema['id'].dataType.simpleString()}, relevance double"))
+    local = F.broadcast(around).join(symbols, F.col("node") == F.col("id")).join(relevance, "node", "left")
+    nodes = local.select(F.col("id").cast("string").alias("id"), F.col("name").alias("label"), "kind", "path", F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
+    nodes = nodes.unionByName(admitted.select(F.col("target").alias("id"), "label", "kind", F.lit("").alias("path"), F.when(F.col("kind") == "stdlib", 0.15).otherwise(0.2).alias("relevance")))
+    nodes = nodes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("relevance"), "label", "id")))  # the map's nodes
+    linked = own.where("dst IS NOT NULL").select("seq", F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), "kind", "path", "line")
+    linked = linked.unionByName(outside.join(F.broadcast(admitted.select("target")), "target", "left_semi").select("seq", F.col("src").cast("string").alias("source"), "target", "kind", "path", "line"))
+    return nodes, linked
+
+
 def trace(edges: DataFrame, labels: DataFrame, most: int = 12) -> DataFrame:
     """(seq, step): distinct steps between labelled nodes, calls first, then what contains, then imports."""
     name = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))

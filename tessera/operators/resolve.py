@@ -55,6 +55,40 @@ def at_position(points: DataFrame, ranges: DataFrame, bin: int = 1024) -> DataFr
     return inside.groupBy("path", "pos").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "id")).alias("best")).select("path", "pos", F.col("best.id").alias("id"))
 
 
+def at_line_column(points: DataFrame, ranges: DataFrame, key: list[str], bin: int = 64) -> DataFrame:
+    """The tightest range around each point, by lines and columns: key columns and id.
+
+    points: key, path, line, col; ranges: path, start_line, start_col, end_line, end_col, id.
+    Columns count only on a range's first and last line. A line weighs 100,000 columns; ties go
+    to the smaller id. Ranges are cut into bins of lines, so that a point meets those near it.
+    """
+    cut = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_line") / bin), F.floor(F.greatest("start_line", "end_line") / bin))))
+    met = points.withColumn("bin", F.floor(F.col("line") / bin)).join(cut, ["path", "bin"])
+    after = (F.col("line") > F.col("start_line")) | ((F.col("line") == F.col("start_line")) & (F.col("col") >= F.col("start_col")))
+    before = (F.col("line") < F.col("end_line")) | ((F.col("line") == F.col("end_line")) & (F.col("col") <= F.col("end_col")))
+    span = ((F.col("end_line") - F.col("start_line")).cast("long") * 100_000 + F.col("end_col") - F.col("start_col")).alias("span")
+    return met.where(after & before).groupBy(*key).agg(F.min(F.struct(span, "id")).alias("best")).select(*key, F.col("best.id").alias("id"))
+
+
+def named_keys(symbols: DataFrame) -> DataFrame:
+    """Symbols once for each name they answer to: their own, and what follows the last dot or double colon of the qualified one."""
+    last = F.regexp_extract("qualified", r"(?:\.|::)([\p{L}\p{N}_$]+)$", 1)
+    return symbols.withColumn("key", F.explode(F.array_distinct(F.array("name", last)))).where("key <> ''")
+
+
+def resolve_scoped(requests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(request, target, n): the best symbol for a name seen in a path, and how many answer to it.
+
+    requests: request, name, path. Symbols (id, name, qualified, path, kind) answer to their name
+    and to the last part of the qualified one; 100 points in the same file, 25 in the same
+    directory, 5 for what isn't a file; ties to the smaller id.
+    """
+    named = named_keys(symbols).select("id", F.col("key").alias("name"), "path", (F.col("kind") == "file").alias("is_file"))
+    sole = named.groupBy("name").agg(F.count_distinct("id").alias("n"))
+    found = resolve_names(requests.select("request", "name", "path", F.lit(0.0).alias("confidence")), named)
+    return found.join(sole, "name").select("request", "target", "n")
+
+
 def primary(occurrences: DataFrame, key: str, *order: str) -> DataFrame:
     """The first occurrence of each key, by a grouped minimum instead of a window's sort."""
     return occurrences.groupBy(key).agg(F.min(F.struct(*order)).alias("m")).select(key, "m.*")
