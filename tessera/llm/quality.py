@@ -12,11 +12,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import bucketed, release, rows_of, stage, table
+from .shared import bucketed, keyed, release, rows_of, stage, table
 from .textgrams import give_back, mixed, packed, pair, unpacked, word_hashes
 
 _U = np.uint64
@@ -25,7 +25,11 @@ FILTER_BITS = 1 << 28
 #: Labelled ids that are broadcast (9 bytes each); beyond, the rows are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Distinct trigrams that a task gathers before it passes their counts on, and words in a block of documents.
-GATHER, BLOCK = 1 << 19, 1 << 20
+GATHER, BLOCK = 1 << 19, 1 << 19
+#: Parts of the documents that are asked for, answered and scored one after another, so that only one part's lists are kept at a time.
+ROUNDS = 4
+#: Bytes of files that a shard answers for, at the fewest as many shards as shuffle partitions; and the most shards.
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 16
 #: Bits of a word's hash that are left out; low bits of an n-gram's that choose its shard, while the others tell the keys of a shard apart.
 WORD_BITS, SHARD_BITS = _U(24), _U(28)
 #: Kinds of rows of the counts: tables of the model, parts of counts on their way to a shard, counts of counts.
@@ -118,7 +122,7 @@ def _count_trigrams(texts: DataFrame, shards: int) -> DataFrame:
 
     def sent(a, b, c, n) -> list[tuple]:
         order, at = _cut(_shard(pair(a, b), shards), shards)
-        return [(s, PARTS, *_coded(a[p], b[p], c[p], n=n[p])) for s in range(shards) if len(p := order[at[s] : at[s + 1]])]
+        return [(s, PARTS, *_coded(a[p], b[p], c[p], n=n[p])) for s in np.flatnonzero(np.diff(at)).tolist() if len(p := order[at[s] : at[s + 1]])]
 
     def merged(held: list) -> list:
         k, a, b, c, n = (np.concatenate(x) for x in zip(*held))
@@ -152,7 +156,7 @@ def _count_trigrams(texts: DataFrame, shards: int) -> DataFrame:
         out = [(key[0].as_py(), TRIGRAMS, None, packed(k >> SHARD_BITS, n)), (key[0].as_py(), CONTEXTS, None, packed(own >> SHARD_BITS, *_parts(own, n, back, len(own)))), (0, LEVELS, None, _levels(n))]
         tail, left, at = _summed(pair(b, c), np.ones(len(b), np.int64))
         order, edges = _cut(_shard(tail, shards), shards)
-        return _table(out + [(s, PARTS, *_coded(b[at][p], c[at][p], n=left[p])) for s in range(shards) if len(p := order[edges[s] : edges[s + 1]])])
+        return _table(out + [(s, PARTS, *_coded(b[at][p], c[at][p], n=left[p])) for s in np.flatnonzero(np.diff(edges)).tolist() if len(p := order[edges[s] : edges[s + 1]])])
 
     return texts.mapInArrow(gather, ROWS).groupBy("shard").applyInArrow(finish, ROWS)
 
@@ -167,7 +171,7 @@ def _count_bigrams(counts: DataFrame, shards: int) -> DataFrame:
         words, back = np.unique(mixed(np.concatenate((b[at], c[at]))), return_inverse=True)
         cols = [np.bincount(back[len(k) :], minlength=len(words)), *_parts(words, n, back[: len(k)], len(words))]
         order, edges = _cut(_shard(words, shards), shards)
-        sent = [(s, PARTS, None, packed(words[p], *(x[p] for x in cols))) for s in range(shards) if len(p := order[edges[s] : edges[s + 1]])]
+        sent = [(s, PARTS, None, packed(words[p], *(x[p] for x in cols))) for s in np.flatnonzero(np.diff(edges)).tolist() if len(p := order[edges[s] : edges[s + 1]])]
         return _table([(key[0].as_py(), BIGRAMS, None, packed(k >> SHARD_BITS, n)), (0, LEVELS, None, _levels(n)), *sent])
 
     return counts.where(F.col("kind") == PARTS).groupBy("shard").applyInArrow(finish, ROWS)
@@ -220,13 +224,20 @@ def _filter(tables: DataFrame, shards: int) -> np.ndarray:
     return out
 
 
-def train(texts: DataFrame) -> Model:
+def shards_for(docs: DataFrame) -> int:
+    """Shards for the files that docs lie in."""
+    files = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size")).distinct()
+    size = files.agg(F.sum("size")).first()[0] or 0
+    return min(MOST_SHARDS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES)))
+
+
+def train(texts: DataFrame, shards: int | None = None) -> Model:
     """Fit the model on every text.
 
     Discounts are those of modified Kneser-Ney at all three orders; what they leave of a context
     goes to the order below, and of single words evenly to all words and one unseen.
     """
-    shards = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     three = stage(_count_trigrams(texts, shards), "trigrams", "kind")
     two = stage(_count_bigrams(three, shards), "bigrams", "kind")
     release(three, part=f"kind={PARTS}")
@@ -297,11 +308,6 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield base + seen, ids, langs, keys, np.concatenate(words), np.concatenate(doc)
 
 
-def _mark(words: np.ndarray) -> int:
-    """Tells blocks apart that hold other words, or the same in another order."""
-    return int(np.bitwise_xor.reduce(mixed(words + np.arange(len(words), dtype=_U)))) >> 1
-
-
 def _found(tables: dict[int, np.ndarray], kind: int, keys: np.ndarray) -> list[np.ndarray]:
     """Counts of keys in one table of a shard, 0 where it doesn't hold them."""
     width = {TRIGRAMS: 1, CONTEXTS: 4, BIGRAMS: 1, WORDS: 5}[kind]
@@ -315,90 +321,95 @@ def _found(tables: dict[int, np.ndarray], kind: int, keys: np.ndarray) -> list[n
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang, n_words, log_perplexity, row_key) of docs (doc_id, lang, text, row_key); null without words.
 
-    docs are read twice, once to ask and once to score, and must be dealt out alike both times, as
-    files are; a block that isn't makes the job fail.
+    Documents come in ROUNDS parts by their row_key. Each part is read once: its blocks write what
+    they ask of the shards beside their coded words, the shards answer, and each block scores its
+    own; then what was written for it goes.
     """
-    known = model.tables
     shared = docs.sparkSession.sparkContext.broadcast(model._replace(tables=None))  # FILTER_BITS / 8 bytes
+    parts = [_scored(docs.where(F.pmod("row_key", F.lit(ROUNDS)) == r), model, shared) for r in range(ROUNDS)]
+    release(model.tables)
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _scored(docs: DataFrame, model: Model, shared: Broadcast) -> DataFrame:
+    """The scores of one part of the documents, written."""
+    kinds = {"shard": pa.int32(), "block": pa.int64(), "words": pa.binary(), "pairs": pa.binary(), "triples": pa.binary(), "ids": pa.list_(pa.int64()), "langs": pa.list_(pa.string()), "keys": pa.list_(pa.int64())}
+
+    def frame(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)), kinds.values())], list(kinds))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for block, ids, _, _, words, doc in _blocks(batches):
-            asks, rows = [], []
-            for keys in _grams(words, np.bincount(doc, minlength=len(ids)))[:3]:
-                own = np.sort(keys)
-                own = own[np.concatenate(([True], own[1:] != own[:-1]))]
+        for block, ids, langs, row_keys, words, doc in _blocks(batches):
+            size, asks = np.bincount(doc, minlength=len(ids)), []
+            for keys in _grams(words, size)[:3]:
+                own = np.unique(keys)
                 place, at = _wanted(own, m)
                 asks.append((own[place] >> SHARD_BITS, at))
-            for s in range(m.shards):
-                keys = [own[at[s] : at[s + 1]] for own, at in asks]
-                if any(map(len, keys)):
-                    rows.append((s, block, _mark(words), *map(packed, keys)))
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["shard", "block", "mark", "words", "pairs", "triples"])
+            asked = np.flatnonzero(sum(np.diff(at) for _, at in asks))
+            yield frame([(s, block, *(packed(own[at[s] : at[s + 1]]) for own, at in asks), None, None, None) for s in asked.tolist()]) if len(asked) else frame([(0, block, *[packed(np.zeros(0, _U))] * 3, None, None, None)])
+            own, at = _vocabulary(words)
+            # the block itself has no shard
+            yield frame([(None, block, packed(own), packed(np.zeros(len(words)), at), packed(np.zeros(len(ids)), size), ids, langs, row_keys)])
 
     def answer(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
         give_back()
         held = {kind: unpacked(data.as_py()) for kind, data in zip(known.column("kind").to_pylist(), known.column("data"))}
-        blocks, marks, out = asked.column("block").to_pylist(), asked.column("mark").to_pylist(), []
+        out = []
         for i in range(asked.num_rows):
             words, pairs, triples = (unpacked(asked.column(c)[i].as_py())[0] for c in ("words", "pairs", "triples"))
             told = [np.stack(x) for x in (_found(held, WORDS, words), _found(held, BIGRAMS, pairs) + _found(held, CONTEXTS, pairs), _found(held, TRIGRAMS, triples))]
-            out.append((blocks[i], key[0].as_py(), marks[i], *(packed(np.zeros(x.shape[1]), *x) for x in told)))
-        cols = list(zip(*out)) or [[]] * 6
-        kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], ["block", "shard", "mark", "words", "pairs", "triples"])
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, langs, keys, words, doc in _blocks(batches):
-            own, at = _vocabulary(words)
-            row = (block, _mark(words), ids, langs, keys, packed(np.zeros(len(ids)), np.bincount(doc, minlength=len(ids))), packed(own), packed(np.zeros(len(words)), at))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), *[pa.binary()] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, kinds)], ["block", "mark", "ids", "langs", "keys", "sizes", "vocabulary", "tokens"])
+            out.append((key[0].as_py(), asked.column("block")[i].as_py(), *(packed(np.zeros(x.shape[1]), *x) for x in told)))
+        cols = list(zip(*out)) or [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds.values())], list(kinds)[:5])
 
     def judge(texts: pa.Table, told: pa.Table) -> pa.Table:
         give_back()
         m = shared.value
-        if not texts.num_rows:
-            raise RuntimeError("a block of documents was dealt out in another way")
         ids, langs = texts.column("ids")[0].as_py(), texts.column("langs")[0].as_py()
-        size = unpacked(texts.column("sizes")[0].as_py())[1].astype(np.int64)
-        own = unpacked(texts.column("vocabulary")[0].as_py())[0]
-        words = own[unpacked(texts.column("tokens")[0].as_py())[1].astype(np.int64)]
-        doc = np.repeat(np.arange(len(ids)), size)
-        if any(mark != texts.column("mark")[0].as_py() for mark in told.column("mark").to_pylist()):
-            raise RuntimeError("a block of documents was dealt out in another way")
+        size = unpacked(texts.column("triples")[0].as_py())[1].astype(np.int64)
+        own = unpacked(texts.column("words")[0].as_py())[0]
+        words = own[unpacked(texts.column("pairs")[0].as_py())[1].astype(np.int64)]
         order = np.argsort(told.column("shard").to_numpy())
         grams = _grams(words, size)
-        back, told_of = [], []
-        for kind, keys, width in zip(("words", "pairs", "triples"), grams[:3], (5, 5, 1)):
+
+        def told_of(kind: str, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
             own, at = np.unique(keys, return_inverse=True)
-            got = [unpacked(told.column(kind)[int(i)].as_py())[1:] for i in order]
             full = np.zeros((width, len(own)))
+            got = [unpacked(told.column(kind)[int(i)].as_py())[1:] for i in order]
             if got:
                 full[:, _wanted(own, m)[0]] = np.concatenate(got, 1)
-            back.append(at)
-            told_of.append(full)
+            return full, at
+
         less = lambda c, d: np.maximum(c - np.choose(np.minimum(c, 3).astype(np.int8), (0.0, *d)), 0)
         kept = lambda parts, d: sum(x * y for x, y in zip(parts, d))
         (d1, d2, d3), at = m.discounts, grams.at
-        (ends, starts, *by), (tail, total, *mine), (seen,) = told_of
-        last, first, tails, context = back[0][at], back[0][at - 1], back[1][at], back[1][at - 1]
+        (ends, starts, *by), back = told_of("words", grams.words, 5)
+        last, first = back[at], back[at - 1]
         p = (less(ends, d1) / max(1.0, m.ends) + m.spare)[last]
-        p = np.where(starts[first] > 0, (less(tail, d2)[tails] + kept(by, d2)[first] * p) / np.maximum(starts, 1)[first], p)
-        p = np.where(total[context] > 0, (less(seen, d3)[back[2]] + kept(mine, d3)[context] * p) / np.maximum(total, 1)[context], p)
-        mean = -np.bincount(doc, np.log(p), len(ids)) / np.maximum(size, 1)
+        given, left = starts[first], kept(by, d2)[first]
+        (tail, total, *mine), back = told_of("pairs", grams.pairs, 5)
+        tails, context = back[at], back[at - 1]
+        p = np.where(given > 0, (less(tail, d2)[tails] + left * p) / np.maximum(given, 1), p)
+        given, left = total[context], kept(mine, d3)[context]
+        (seen,), back = told_of("triples", grams.triples, 1)
+        p = np.where(given > 0, (less(seen, d3)[back] + left * p) / np.maximum(given, 1), p)
+        mean = -np.bincount(np.repeat(np.arange(len(ids)), size), np.log(p), len(ids)) / np.maximum(size, 1)
         cols = (pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(size, pa.int64()), pa.array(mean, pa.float64(), mask=size == 0), pa.array(texts.column("keys")[0].as_py(), pa.int64()))
         return pa.table(list(cols), ["doc_id", "lang", "n_words", "log_perplexity", "row_key"])
 
-    answers = "block long, shard int, mark long, words binary, pairs binary, triples binary"
-    asked = docs.mapInArrow(ask, "shard int, block long, mark long, words binary, pairs binary, triples binary")
-    told = stage(asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, answers), "answers")
-    release(known)
-    coded = docs.mapInArrow(code, "block long, mark long, ids array<long>, langs array<string>, keys array<long>, sizes binary, vocabulary binary, tokens binary")
-    scored = stage(coded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, "doc_id long, lang string, n_words long, log_perplexity double, row_key long"), "scored")
-    release(told)
+    answers = "shard int, block long, words binary, pairs binary, triples binary"
+    both = docs.mapInArrow(ask, f"{answers}, ids array<long>, langs array<string>, keys array<long>").withColumn("part", F.when(F.col("shard").isNull(), 0).otherwise(1))
+    written = stage(both, "asked", "part")
+    asked = written.where("part = 1").select("shard", "block", "words", "pairs", "triples")
+    told = stage(asked.groupBy("shard").cogroup(model.tables.groupBy("shard")).applyInArrow(answer, answers), "answers")
+    release(written, part="part=1")
+    texts = written.where("part = 0").drop("part", "shard")
+    scored = stage(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, "doc_id long, lang string, n_words long, log_perplexity double, row_key long"), "scored")
+    release(told, written)
     return scored
 
 
@@ -445,9 +456,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="t
     known = stage(known.where("q = most AND q IN (0, 1)").select("doc_id", (F.col("q") == 1).alias("trusted")), "known")
     if known.count() <= BROADCAST_IDS:
         known = F.broadcast(known)
+    docs = keyed(docs)
     rows = rows_of(docs, doc_id=F.col(id_col).cast("long"), lang=F.col(lang_col).cast("string"), text=F.col(text_col).cast("string"))
     aside = F.pmod(F.xxhash64("doc_id"), F.lit(held)) == 0
-    model = train(rows.join(known.where("trusted"), "doc_id").where(~aside).select("text"))
+    model = train(rows.join(known.where("trusted"), "doc_id").where(~aside).select("text"), shards_for(docs))
     scored = score(rows, model).join(known.where(aside | ~F.col("trusted")), "doc_id", "left")
     bars = stage(bars_by_language(scored, level, least), "bars")
     whole = bars.where("lang IS NULL").select(F.col("bar").alias("any"), F.lit(1).alias("one"))

@@ -48,13 +48,13 @@ def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
-    """`df` as a table of the warehouse, dealt to buckets by `key`, so that grouping it by the key takes no shuffle."""
+    """`df` as a table in the shared folder, dealt to buckets by `key`, so that grouping it by the key takes no shuffle."""
     spark = df.sparkSession
     name = f"tessera_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).option("compression", "zstd").saveAsTable(name)
+    df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", f"{shared_folder(spark)}/tessera/{name}").saveAsTable(name)
     sweep(spark)
     out = spark.table(name)
-    out.table_name = name
+    out.table_name, out.staged_at = name, f"{shared_folder(spark)}/tessera/{name}"
     return out
 
 
@@ -63,7 +63,6 @@ def release(*staged: DataFrame, part: str = "") -> None:
     for df in staged:
         if hasattr(df, "table_name"):
             df.sparkSession.sql(f"DROP TABLE IF EXISTS {df.table_name}")
-            continue
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{df.staged_at}/{part}")
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
