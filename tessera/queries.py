@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import graph, resolve, retrieval, snapshot
 from tessera.operators.index import kept_index
-from tessera.streaming import hints
+from tessera.operators.lineage import Files, cut, shared_folder
+from tessera.streaming import debounce, hints
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -373,3 +376,19 @@ SELECT root, request, min_sequence, max_sequence, paths, mode, CASE WHEN mode =
 def reconcile_scopes(spark, sf_dir):
     """Whether a request takes paths, a subtree below their common directory, or everything."""
     return hints.scopes(_requests(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {NUMBERED_HINTS}, q AS (SELECT root, request, least(max(last) + INTERVAL 10 MINUTE, min(first) + INTERVAL 30 MINUTE) AS close FROM d GROUP BY root, request)
+SELECT root, request, path, operations::INT AS operations, kind, reason, sequence FROM p SEMI JOIN (SELECT root, request FROM q WHERE close <= (SELECT max(ts) FROM h)) USING (root, request)""")
+def streamed_requests(spark, sf_dir):
+    """The requests that a stream of hints has given out once it has read the table."""
+    folder = f"{shared_folder(spark)}/tessera-runs/stream-{uuid.uuid4().hex}"
+    schema = read(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = spark.sql(HINTS, events=events).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = debounce.stream_requests(rows, 600, 1800, settle=0, late=3600, buffer=100_000)
+    writer = found.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    out = cut(spark.read.schema(found.schema).parquet(f"{folder}/out"))
+    Files(spark).remove(folder)
+    return out
