@@ -102,13 +102,13 @@ def any_token_match(spark, sf_dir):
 
 
 @query(f"""SELECT path, CASE WHEN lower(b) = 'go.mod' THEN 'gomod' WHEN lower(b) = 'go.sum' THEN 'text' WHEN lower(b) = 'package.json' THEN 'json' WHEN lower(b) = 'makefile' THEN 'makefile' WHEN lower(b) LIKE 'dockerfile.%' THEN 'dockerfile' WHEN lower(b) LIKE 'readme.%' THEN 'markdown' END AS language, bytes FROM (
-SELECT path, split_part(path, '/', 2) AS b, CASE WHEN length(text) <= 8192 THEN length(text) WHEN length(regexp_extract(substr(text, 1, 8192), '(?s)^(.*\\n)', 1)) > 4097 THEN length(regexp_extract(substr(text, 1, 8192), '(?s)^(.*\\n)', 1)) ELSE 8192 END AS bytes FROM (
-SELECT text, concat(source, '/', CASE doc_id % 8 WHEN 0 THEN 'go.mod' WHEN 1 THEN 'GO.SUM' WHEN 2 THEN 'package.json' WHEN 3 THEN 'Makefile' WHEN 4 THEN 'Dockerfile.dev' WHEN 5 THEN 'README.md' WHEN 6 THEN '.env' ELSE 'a.txt' END) AS path FROM documents WHERE text IS NOT NULL)) WHERE language IS NOT NULL""")
+SELECT path, split_part(path, '/', 2) AS b, CASE WHEN path LIKE '%/GO.SUM' THEN 0 WHEN strlen(text) <= 8192 THEN strlen(text) WHEN strlen(regexp_extract(head, '(?s)^(.*\\n)', 1)) > 4097 THEN strlen(regexp_extract(head, '(?s)^(.*\\n)', 1)) WHEN strlen(head) < 8192 THEN strlen(head) + 3 ELSE 8192 END AS bytes FROM (SELECT path, text, CASE WHEN strlen(text) > 8192 THEN substr(text, 1, list_max(list_filter(range(2700, 8193), lambda k: strlen(substr(text, 1, k)) <= 8192))) ELSE text END AS head FROM (
+SELECT text, concat(source, '/', CASE doc_id % 8 WHEN 0 THEN 'go.mod' WHEN 1 THEN 'GO.SUM' WHEN 2 THEN 'package.json' WHEN 3 THEN 'Makefile' WHEN 4 THEN 'Dockerfile.dev' WHEN 5 THEN 'README.md' WHEN 6 THEN '.env' ELSE 'a.txt' END) AS path FROM documents WHERE text IS NOT NULL))) WHERE language IS NOT NULL""")
 def project_files(spark, sf_dir):
     """Allow-listed project files, and how much of each the preview keeps."""
     names = "CASE doc_id % 8 WHEN 0 THEN 'go.mod' WHEN 1 THEN 'GO.SUM' WHEN 2 THEN 'package.json' WHEN 3 THEN 'Makefile' WHEN 4 THEN 'Dockerfile.dev' WHEN 5 THEN 'README.md' WHEN 6 THEN '.env' ELSE 'a.txt' END"
     docs = read(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.concat("source", F.lit("/"), F.expr(names)).alias("path"), "text")
-    return docs.select("path", S.project_language(F.col("path")).alias("language"), F.length(S.preview(F.col("text"))).cast("long").alias("bytes")).where("language IS NOT NULL")
+    return docs.select("path", S.project_language(F.col("path")).alias("language"), F.when(S.keeps_content(F.col("path")), F.octet_length(S.preview(F.col("text")))).otherwise(0).cast("long").alias("bytes")).where("language IS NOT NULL")
 
 
 @query(f"SELECT e.seq, e.kind, e.line, s.name, s.path AS subject_path FROM {NUM} e JOIN {SYM} s ON e.src = s.id WHERE e.kind <> 'reads'")
@@ -240,7 +240,7 @@ def confirmed_fallbacks(spark, sf_dir):
     return navigation.confirmed(rows.where("relationship = 'definition'").select("target_id", "symbol_id", "path", "first", "last"), semantic).select("target_id", "path", "first", "last").distinct()
 
 
-CANDIDATES = """SELECT l_orderkey % 60 AS request, l_orderkey * 10000 + l_linenumber * 1000 + l_partkey AS seq, concat(l_orderkey % 60, ':', l_suppkey % 40) AS evidence_id, l_suppkey % 40 AS symbol_id, concat('web/', l_suppkey % 9, '.go') AS path, l_linenumber AS line,
+CANDIDATES = """SELECT l_orderkey % 60 AS request, l_orderkey * 10000 + l_linenumber * 1000 + l_partkey AS seq, concat('e', l_suppkey % 40) AS evidence_id, l_suppkey % 40 AS symbol_id, concat('web/', l_suppkey % 9, '.go') AS path, l_linenumber AS line,
 l_linenumber = 7 AND l_quantity > 48 AS is_target, CASE l_linenumber % 4 WHEN 0 THEN 'calls' WHEN 1 THEN 'called_by' WHEN 2 THEN 'imports' ELSE '' END AS relation, l_linenumber % 3 AS distance, round(1 - l_discount * 9, 2) AS confidence,
 'ast_observation' AS kind, CASE WHEN l_tax > 0.06 THEN 'file' ELSE 'function' END AS symbol_kind, CASE WHEN l_tax = 0 THEN 'semantic_candidate' ELSE 'lexical' END AS source, CAST(l_quantity AS INT) % 21 AS lexical_rank, l_suppkey % 11 AS dense_rank, 0 AS package_rank, l_returnflag AS provenance,
 repeat('x', CAST(l_quantity AS INT) * 40) AS content, l_linestatus AS title FROM {lineitem} WHERE l_partkey < 300"""
@@ -261,9 +261,8 @@ def policy_scores(spark, sf_dir):
 
 
 PACK = f"""c AS ({duck(CANDIDATES)}), q AS (SELECT *, greatest(0, least(1, CASE WHEN is_target THEN 1 ELSE 0 END + CASE WHEN lexical_rank > 0 THEN 1 / (60.0::DOUBLE + lexical_rank) ELSE 0 END + CASE WHEN dense_rank > 0 THEN 1 / (60.0::DOUBLE + dense_rank) ELSE 0 END + {_score_sql('hover')})) AS relevance FROM c),
-m AS (SELECT evidence_id, arg_min({{'request': request, 'symbol_id': symbol_id, 'path': path, 'line': line, 'is_target': is_target, 'relevance': round(relevance, 9), 'size': least(length(content), 1400) + length(title)}}, seq) AS w, min(distance) AS distance, string_agg(DISTINCT provenance, ',' ORDER BY provenance) AS provenance FROM q GROUP BY evidence_id),
-k AS (SELECT evidence_id, w.*, distance, provenance FROM (SELECT evidence_id, distance, provenance, w FROM m)),
-r AS (SELECT evidence_id, w.request AS request, w.symbol_id AS symbol_id, w.path AS path, w.line AS line, w.is_target AS is_target, w.relevance AS relevance, w.size AS size, distance, provenance, row_number() OVER (PARTITION BY w.request ORDER BY w.relevance DESC, distance, w.path, w.line, w.symbol_id, evidence_id) AS rank FROM m)"""
+m AS (SELECT request, evidence_id, arg_min({{'symbol_id': symbol_id, 'path': path, 'line': line, 'is_target': is_target, 'relevance': round(relevance, 9), 'size': least(length(content), 1400) + length(title)}}, seq) AS w, min(distance) AS distance, string_agg(DISTINCT provenance, ',' ORDER BY provenance) AS provenance FROM q GROUP BY request, evidence_id),
+r AS (SELECT evidence_id, request, w.symbol_id AS symbol_id, w.path AS path, w.line AS line, w.is_target AS is_target, w.relevance AS relevance, w.size AS size, distance, provenance, row_number() OVER (PARTITION BY request ORDER BY w.relevance DESC, distance, w.path, w.line, w.symbol_id, evidence_id) AS rank FROM m)"""
 
 
 def _pack(spark, sf_dir):
@@ -288,6 +287,15 @@ def pack_report(spark, sf_dir):
     return _pack(spark, sf_dir).groupBy("request").agg(F.count_if("accepted").alias("kept"), F.count_if(~F.col("accepted")).alias("omitted"), used.alias("used")).withColumn("tokens", F.expr("(used + 3) div 4"))
 
 
+@query(f"""WITH RECURSIVE {PACK}, f AS (SELECT request, 0::BIGINT AS rank, 0::BIGINT AS used, 0 AS taken, false AS accepted FROM (SELECT DISTINCT request FROM r)
+UNION ALL SELECT f.request, r.rank, used + CASE WHEN is_target OR (taken < 9 AND used + r.size <= 4000) THEN r.size ELSE 0 END, taken + (is_target OR (taken < 9 AND used + r.size <= 4000))::INT, is_target OR (taken < 9 AND used + r.size <= 4000) FROM f JOIN r ON r.request = f.request AND r.rank = f.rank + 1),
+n AS (SELECT DISTINCT request, symbol_id FROM r JOIN f USING (request, rank) WHERE accepted), e AS (SELECT n.request, e.seq, e.src, e.dst, e.kind, row_number() OVER (PARTITION BY n.request ORDER BY seq) AS place FROM {NUM} e JOIN n ON n.symbol_id = e.src JOIN n m ON m.symbol_id = e.dst AND m.request = n.request)
+SELECT request, seq, src, dst, kind FROM e WHERE place <= {evidence.POLICIES["hover"].edges}""")
+def pack_graph(spark, sf_dir):
+    """The edges of each pack, between admitted symbols only."""
+    return evidence.compact_graph(_pack(spark, sf_dir), _numbered(spark, sf_dir), "hover")
+
+
 @query("""SELECT DISTINCT source, kind, resolved, CASE WHEN source = 'gopls' THEN CASE WHEN kind = 'diagnostic' THEN 1.0 ELSE 0.95 END WHEN source = 'runtime' THEN 1.0 WHEN source = 'tree-sitter' AND kind = 'definition' THEN 1.0 WHEN source = 'tree-sitter' AND kind = 'call_outgoing' THEN CASE WHEN resolved THEN 1.0 ELSE 0.6 END WHEN source = 'tree-sitter' AND kind = 'reference' THEN 0.65 WHEN resolved THEN 0.95 ELSE 0.65 END::DOUBLE AS confidence FROM (
 SELECT CASE l_linenumber % 4 WHEN 0 THEN 'gopls' WHEN 1 THEN 'runtime' WHEN 2 THEN 'tree-sitter' ELSE 'other' END AS source, CASE l_suppkey % 4 WHEN 0 THEN 'diagnostic' WHEN 1 THEN 'definition' WHEN 2 THEN 'call_outgoing' ELSE 'reference' END AS kind, l_linestatus = 'F' AS resolved FROM lineitem)""")
 def confidence_policy(spark, sf_dir):
@@ -385,8 +393,8 @@ def package_api(spark, sf_dir):
 def overloads(spark, sf_dir):
     """Symbols whose key has several signatures take one as their discriminator."""
     rows = _symbols(spark, sf_dir).where(~F.col("kind").isin("file", "import"))
-    size = F.size(F.collect_set("signature").over(Window.partitionBy("qualified", "kind", "brand"))).cast("long")
-    return rows.select("id", "signature", size.alias("size")).select("id", "size", F.when(F.col("size") > 1, F.sha2("signature", 256)).alias("discriminator"))
+    sizes = rows.groupBy("qualified", "kind", "brand").agg(F.count_distinct("signature").alias("size"))
+    return rows.join(sizes, ["qualified", "kind", "brand"]).select("id", "size", F.when(F.col("size") > 1, F.sha2("signature", 256)).alias("discriminator"))
 
 
 @query(f"SELECT e.seq, e.line, trim(string_split(code, ' ')[1 + e.line - 1]) AS snippet FROM {NUM} e JOIN (SELECT id, concat(signature, ' ', summary) AS code FROM {SYM}) s ON s.id = e.src")

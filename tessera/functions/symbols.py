@@ -14,6 +14,8 @@ PROJECT_PREFIXES = {"dockerfile": "dockerfile", "readme": "markdown"}
 BUILTINS = ("append", "cap", "clear", "close", "complex", "copy", "delete", "imag", "len", "make", "max", "min", "new", "panic", "print", "println", "real", "recover")
 LANGUAGE_SERVERS = ("gopls", "typescript-lsp", "sourcekit-lsp", "pyright-langserver", "rust-analyzer")
 #: Bytes of a project file's preview.
+#: Project files of which nothing but size and hash is kept (fixed values).
+METADATA_ONLY = ("go.sum",)
 PREVIEW = 8192
 
 
@@ -31,10 +33,18 @@ def project_language(path: Column) -> Column:
 
 
 def preview(text: Column, limit: int = PREVIEW) -> Column:
-    """The first `limit` characters, cut after the last line break if that leaves more than half."""
-    head = F.substring(text, 1, limit)
+    """The first `limit` bytes, cut after the last line break if that leaves more than half.
+
+    A character that the cut breaks is one replacement character.
+    """
+    head = F.make_valid_utf8(F.substring(text.cast("binary"), 1, limit).cast("string"))
     lines = F.regexp_extract(head, r"(?s)^(.*\n)", 1)
-    return F.when(F.length(text) <= limit, text).when(F.length(lines) > limit // 2 + 1, lines).otherwise(head)
+    return F.when(F.octet_length(text) <= limit, text).when(F.octet_length(lines) > limit // 2 + 1, lines).otherwise(head)
+
+
+def keeps_content(path: Column) -> Column:
+    """Whether a project file's preview is kept; of some only the metadata is."""
+    return ~F.lower(base_name(path)).isin(*METADATA_ONLY)
 
 
 def is_exported(name: Column) -> Column:

@@ -82,12 +82,14 @@ def wiki_status(spark, sf_dir):
 
 
 PAGES = """SELECT CASE WHEN p_partkey = 1 THEN 'overview' ELSE concat('p', p_partkey) END AS slug, CASE WHEN p_partkey = 1 THEN '' WHEN p_partkey % 10 = 3 THEN concat('p', p_partkey) WHEN p_partkey % 10 = 4 THEN 'gone'
-WHEN p_partkey < 8 THEN 'overview' WHEN p_partkey < 500 THEN concat('p', p_partkey % 8) ELSE '' END AS parent FROM {part}"""
+WHEN p_partkey < 8 THEN 'overview' WHEN p_partkey < 500 THEN concat('p', p_partkey % 8) WHEN p_partkey < 600 THEN concat('p', CAST(p_partkey - 490 AS INT)) WHEN p_partkey < 700 THEN concat('p', p_partkey - p_partkey % 5 + (p_partkey + 1) % 5) WHEN p_partkey < 800 THEN concat('p', p_partkey - 95) WHEN p_partkey < 1500 THEN concat('p', p_partkey - 1) ELSE '' END AS parent FROM {part}"""
 
 
 @query(f"""WITH RECURSIVE p AS ({duck(PAGES)}), l AS (SELECT slug, parent FROM p WHERE parent <> slug AND parent IN (SELECT slug FROM p)),
-r AS (SELECT slug, slug AS path, slug AS top FROM p WHERE slug NOT IN (SELECT slug FROM l) UNION ALL SELECT l.slug, concat(r.path, '/', l.slug), r.top FROM l JOIN r ON l.parent = r.slug)
-SELECT slug, concat(CASE WHEN top = 'overview' THEN 0 ELSE 1 END, '/', path) AS path FROM r""")
+u AS (SELECT slug AS q, slug AS a, [slug] AS seen, false AS circles FROM p WHERE slug IN (SELECT concat('p', p_partkey) FROM part WHERE p_partkey BETWEEN 600 AND 799) UNION ALL SELECT u.q, l.parent, list_append(seen, l.parent), list_contains(seen, l.parent) FROM u JOIN l ON l.slug = u.a WHERE NOT circles),
+z AS (SELECT q, list_min(arg_max(seen, len(seen))) AS start, bool_or(circles) AS circles FROM u GROUP BY q), k AS (SELECT l.* FROM l LEFT JOIN z ON z.q = l.slug WHERE NOT coalesce(circles AND start = slug, false)),
+r AS (SELECT slug, slug AS path, CASE WHEN slug = 'overview' THEN 0 WHEN z.circles THEN 2 ELSE 1 END AS top FROM p LEFT JOIN z ON z.q = p.slug WHERE slug NOT IN (SELECT slug FROM k) UNION ALL SELECT k.slug, concat(r.path, '/', k.slug), r.top FROM k JOIN r ON k.parent = r.slug)
+SELECT slug, concat(CASE WHEN z.circles THEN 2 ELSE top END, '/', path) AS path FROM r LEFT JOIN z ON z.q = r.slug""")
 def wiki_page_paths(spark, sf_dir):
     """Where each page stands in depth-first order, the overview first."""
     return L.page_paths(sql(spark, sf_dir, PAGES, "part")).select("slug", F.array_join("at", "/").alias("path"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.symbols import external_kind
 from tessera.operators import graph
 from tessera.operators.lineage import cut
+from tessera.operators.snapshot import running_digests
 
 #: Nodes of a map: as many by default, at least and at most; of them for what lies outside, at most.
 NODES, FEWEST, MOST, OUTSIDE = 36, 8, 60, 4
@@ -155,10 +156,10 @@ def tree(paths: DataFrame) -> DataFrame:
 def source_hashes(parts: DataFrame, by: str) -> DataFrame:
     """(by, hash): the first 12 bytes of the hash over a scope's parts in order, one in a line.
 
-    Scopes are pages, whose parts a page's budget bounds.
+    The parts stream through a running hash, so that a scope of any size takes no memory.
     """
-    lines = F.array_join(F.array_sort(F.collect_list("part")), "\n")
-    return parts.groupBy(by).agg(F.substring(F.sha2(lines, 256), 1, 24).alias("hash"))
+    rows = parts.select(by, "part").repartition(F.col(by)).sortWithinPartitions(by, "part")
+    return running_digests(rows, "parts", b"\n").select(by, F.substring("digest", 1, 24).alias("hash"))
 
 
 def snippets(edges: DataFrame, code: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import within_budget
+
 
 class Policy(NamedTuple):
     """What a surface adds to a candidate's fused rank, and what it may spend."""
@@ -54,17 +54,17 @@ def score(surface: str) -> Column:
     return total
 
 
-def merged(candidates: DataFrame, surface: str) -> DataFrame:
-    """One row for each evidence: the first of its candidates, the least distance, all provenance, its relevance.
+def merged(candidates: DataFrame, surface: str, request: str = "request") -> DataFrame:
+    """One row for each evidence of a request: the first of its candidates, the least distance, all provenance, its relevance.
 
     Relevance is the reciprocal ranks of the lists that hold it, 1 for the target and the
     policy's score, within 0 and 1.
     """
     ranks = sum((F.when(F.col(r) > 0, 1 / (RANK_CONSTANT + F.col(r))).otherwise(0.0) for r in ("lexical_rank", "dense_rank", "package_rank")), F.when(F.col("is_target"), 1.0).otherwise(0.0))
     scored = candidates.withColumn("relevance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), ranks + score(surface))))
-    row = F.struct("seq", *[c for c in scored.columns if c not in ("seq", "evidence_id", "provenance", "distance")])
-    one = scored.groupBy("evidence_id").agg(F.min_by(row, "seq").alias("row"), F.min("distance").alias("distance"), F.array_sort(F.collect_set("provenance")).alias("provenance"))
-    return one.select("evidence_id", "row.*", "distance", "provenance")
+    row = F.struct("seq", *[c for c in scored.columns if c not in ("seq", request, "evidence_id", "provenance", "distance")])
+    one = scored.groupBy(request, "evidence_id").agg(F.min_by(row, "seq").alias("row"), F.min("distance").alias("distance"), F.array_sort(F.collect_set("provenance")).alias("provenance"))
+    return one.select(request, "evidence_id", "row.*", "distance", "provenance")
 
 
 #: More relevant, nearer, then by place and id.
@@ -72,35 +72,18 @@ ORDER = (F.desc, "relevance"), (F.asc, "distance"), (F.asc, "path"), (F.asc, "li
 
 
 def admitted(pack: DataFrame, surface: str, request: str = "request") -> DataFrame:
-    """Adds rank, size and accepted: what the budget of each request admits in order, targets always.
-
-    The rows of a request stream through one task in order, with a running total only.
-    """
+    """Adds rank, size and accepted: what the budget of each request admits in order, targets always."""
     p = POLICIES[surface]
     room, most = p.max_bytes - p.reserve if p.max_bytes > p.reserve else p.max_bytes, p.most
     rank = F.row_number().over(Window.partitionBy(request).orderBy(*[by(c) for by, c in ORDER]))
     size = (F.least(F.octet_length("content"), F.lit(p.each)) + F.octet_length("title")).cast("long")
     rows = pack.withColumn("rank", rank.cast("long")).withColumn("size", size)
-    rows = rows.sortWithinPartitions(request, "rank")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, used, taken = None, 0, 0
-        for batch in batches:
-            out = []
-            for key, size, target in zip(*(batch.column(c).to_pylist() for c in (request, "size", "is_target"))):
-                if key != at:
-                    at, used, taken = key, 0, 0
-                ok = target or (taken < most and used + size <= room)
-                used, taken = used + size * ok, taken + ok
-                out.append(bool(ok))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, "accepted"])
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{fields}, accepted boolean")
-
-
-def compact_graph(kept: DataFrame, edges: DataFrame, surface: str) -> DataFrame:
-    """Edges (seq, src, dst, kind) between admitted symbols only, the first ones in order."""
-    nodes = kept.where("accepted").select("symbol_id").distinct()
-    src, dst = nodes.withColumnRenamed("symbol_id", "src"), nodes.withColumnRenamed("symbol_id", "dst")
-    return edges.join(src, "src", "left_semi").join(dst, "dst", "left_semi").orderBy("seq").limit(POLICIES[surface].edges)
+    return within_budget(rows, request, room, most)
+
+
+def compact_graph(pack: DataFrame, edges: DataFrame, surface: str, request: str = "request") -> DataFrame:
+    """(request, seq, src, dst, kind): edges between the admitted symbols of each pack, the first ones in order."""
+    nodes = pack.where("accepted").select(request, "symbol_id").distinct()
+    ends = edges.join(nodes.select(request, F.col("symbol_id").alias("src")), "src").join(nodes.select(request, F.col("symbol_id").alias("dst")), [request, "dst"])
+    place = F.row_number().over(Window.partitionBy(request).orderBy("seq"))
+    return ends.withColumn("place", place).where(F.col("place") <= POLICIES[surface].edges).select(request, "seq", "src", "dst", "kind")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def neighbourhood(edges: DataFrame, seeds: list, depth: int = 2, most: int = 40) -> DataFrame:
@@ -64,26 +66,25 @@ def seed_relations(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return named.groupBy("node").agg(F.max_by("relation", "idx").alias("relation"))
 
 
-def greedy_budget(rows: DataFrame, request: str, budget: int, most: int) -> DataFrame:
-    """Rows that a budget admits, in rank order: (request, rank, size, is_target) plus accepted.
+def within_budget(rows: DataFrame, request: str, budget: int, most: int) -> DataFrame:
+    """Rows (request, rank, size, is_target) plus accepted: what a budget admits, in rank order.
 
-    A row that doesn't fit is passed over and uses nothing; targets always enter. The fold runs
-    over each request's rows, which a request bounds, in its own group.
+    A row that doesn't fit is passed over and uses nothing; targets always enter. A request's
+    rows stream through one task in order, with running totals only.
     """
-    schema = StructType([*rows.schema.fields, StructField("accepted", BooleanType())])
-
-    def fold(pdf):
-        pdf = pdf.sort_values("rank", ignore_index=True)
-        used, taken, out = 0, 0, []
-        for size, target in zip(pdf["size"], pdf["is_target"]):
-            ok = bool(target) or (taken < most and used + size <= budget)
-            used, taken = used + size * ok, taken + ok
-            out.append(ok)
-        return pdf.assign(accepted=out)
-
-    return rows.groupBy(request).applyInPandas(fold, schema)
-
-
-def first_per_group(rows: DataFrame, group: str, *order) -> DataFrame:
-    """Each row's place in its group, for lists that take one of each group first."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    ordered = rows.repartition(F.col(request)).sortWithinPartitions(request, "rank")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used, taken = None, 0, 0
+        for batch in batches:
+            out = []
+            for key, size, target in zip(*(batch.column(c).to_pylist() for c in (request, "size", "is_target"))):
+                if at is None or key != at[0]:
+                    at, used, taken = (key,), 0, 0
+                ok = bool(target) or (taken < most and used + size <= budget)
+                used, taken = used + size * ok, taken + ok
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, "accepted"])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return ordered.mapInArrow(fold, f"{fields}, accepted boolean")

@@ -54,15 +54,14 @@ def capped(found: DataFrame, most: int = MOST_VIOLATIONS) -> DataFrame:
     return found.orderBy("entity", "code", "ref").limit(most).unionByName(marker)
 
 
-def descendants(parents: DataFrame, seeds: DataFrame, limit: int = 64) -> DataFrame:
-    """Ids reachable from seeds (id) over (id, parent): one join for each level of the hierarchy."""
+def descendants(parents: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Ids reachable from seeds (id) over (id, parent): one join for each level, until one brings nothing new."""
     found = front = seeds.select("id").distinct()
-    for _ in range(limit):
+    while True:
         front = cut(parents.join(front.select(F.col("id").alias("parent")), "parent").select("id").distinct().join(found, "id", "left_anti"))
         if front.isEmpty():
             return found
         found = cut(found.unionByName(front))
-    raise RuntimeError("the hierarchy is deeper than the limit")
 
 
 def touched_relations(edges: DataFrame, symbols: DataFrame, paths: list[str]) -> DataFrame:

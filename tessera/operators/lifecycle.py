@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import cut
+
 from tessera.functions.symbols import base_name
 
 #: Phrases that count as guessing (fixed values).
@@ -139,18 +141,34 @@ def surface_scores(pages: DataFrame, sections: dict[str, str], code_expected: bo
     return out.withColumn("score", F.round(100 * (0.3 * F.col("citation_density") + 0.5 * F.col("structure") + 0.1 * code + 0.1 * F.when(F.col("speculation") > 0, 0.0).otherwise(1.0)), 2))
 
 
-def page_paths(pages: DataFrame, levels: int = 3) -> DataFrame:
+def page_paths(pages: DataFrame) -> DataFrame:
     """pages (slug, parent) with `at`, their slugs from the root down: in its order, each page comes before its children.
 
-    The overview and its children come first. Parents that are missing, or the page itself, count as none.
+    The overview and its children come first, then other roots; parents that are missing, or the
+    page itself, count as none. Pages that are each other's ancestors come last: of such a chain
+    the page with the smallest slug begins, and the link to its own parent is left out. Each round
+    joins every page with what its furthest known ancestor knows, so that a hierarchy of any
+    depth takes as many rounds as its depth has binary digits.
     """
-    links = pages.join(pages.select(F.col("slug").alias("parent")).distinct(), "parent").where("parent <> slug")
-    up = links.select(F.col("slug").alias("top"), F.col("parent").alias("above"))
-    out = pages.withColumn("top", F.col("slug")).withColumn("at", F.array("slug"))
-    for _ in range(levels - 1):
-        at = F.when(F.col("above").isNotNull(), F.concat(F.array("above"), "at")).otherwise(F.col("at"))
-        out = out.join(up, "top", "left").select(*pages.columns, F.coalesce("above", "top").alias("top"), at.alias("at"))
-    return out.withColumn("at", F.concat(F.array((F.col("top") != "overview").cast("int").cast("string")), "at")).drop("top")
+    real = pages.join(pages.select(F.col("slug").alias("parent")).distinct(), "parent", "left_semi").where("parent <> slug").select("slug", F.col("parent").alias("above"))
+    linked = pages.select("slug").join(real, "slug", "left")
+    # the smallest slug among a page and its ancestors; a page whose ancestors never end lies in or under a circle
+    known, span, before = cut(linked.withColumn("least", F.col("slug"))), 1, -1
+    while True:
+        open_ = known.where("above IS NOT NULL").count()
+        if not open_ or (open_ == before and span > open_):
+            break
+        further = known.select(F.col("slug").alias("above"), F.col("above").alias("next"), F.col("least").alias("other"))
+        known = cut(known.join(further, "above", "left").select("slug", F.col("next").alias("above"), F.least("least", "other").alias("least")))
+        span, before = 2 * span, open_
+    circling = known.where("above IS NOT NULL").select("slug", (F.col("least") == F.col("slug")).alias("begins"))
+    tree = cut(linked.join(circling, "slug", "left").select("slug", F.when(~F.coalesce("begins", F.lit(False)), F.col("above")).alias("above"), F.col("begins").isNotNull().alias("late"), F.array("slug").alias("at")))
+    while not tree.where("above IS NOT NULL").isEmpty():
+        further = tree.select(F.col("slug").alias("above"), F.col("above").alias("next"), F.col("at").alias("head"))
+        at = F.when(F.col("head").isNotNull(), F.concat("head", "at")).otherwise(F.col("at"))
+        tree = cut(tree.join(further, "above", "left").select("slug", F.col("next").alias("above"), "late", at.alias("at")))
+    group = F.when(F.col("late"), "2").when(F.col("at")[0] == "overview", "0").otherwise("1")
+    return pages.join(tree.select("slug", F.concat(F.array(group), "at").alias("at")), "slug")
 
 
 def accepted_diagnostics(facts: DataFrame, document: dict) -> DataFrame:

@@ -32,15 +32,19 @@ def relations(evidence: DataFrame, key: list[str]) -> DataFrame:
 def fused_facts(facts: DataFrame, key: list[str], most: int = 32) -> DataFrame:
     """Relations from several sources: support, ranking confidence, conflict and truncation.
 
-    facts: key, seq, fact_id, source, method, path, confidence, version_known, document_version,
-    conflict. Of facts that repeat an id the first counts; by source, method, path and id the
+    facts: key, seq, fact_id, source, method, path, line, col, confidence, version_known,
+    document_version, conflict. Of facts that repeat an id the first counts, and where the id is
+    null or empty, of those of one source and place; by source, method, path and id the
     first `most` are kept, and only these make the confidence. Conflicts halve it; a version
     that is given but not known caps it at 0.6.
     """
     fields = ("source", "method", "path", "confidence", "version_known", "document_version")
-    once = facts.groupBy(*key, "fact_id").agg(F.min_by(F.struct(*fields), "seq").alias("fact"), F.max("conflict").alias("conflict")).select(*key, "fact_id", "fact.*", "conflict")
+    named = F.coalesce(F.col("fact_id").cast("string"), F.lit(""))
+    place = F.concat_ws("\x00", F.coalesce("source", F.lit("")), F.coalesce("path", F.lit("")), "line", "col")
+    facts = facts.withColumn("of", F.when(named != "", F.concat(F.lit("id"), named)).otherwise(F.concat(F.lit("at"), place)))
+    once = facts.groupBy(*key, "of").agg(F.min_by(F.struct(*fields, "fact_id"), "seq").alias("fact"), F.max("conflict").alias("conflict")).select(*key, "of", "fact.*", "conflict")
     mine = Window.partitionBy(*key)
-    place = F.row_number().over(mine.orderBy("source", "method", "path", "fact_id"))
+    place = F.row_number().over(mine.orderBy("source", "method", "path", "fact_id", "of"))
     kept = once.withColumn("n", F.count("*").over(mine)).withColumn("conflict", F.max("conflict").over(mine)).withColumn("place", place).where(F.col("place") <= most)
     doubtful = F.max(~F.col("version_known") & (F.col("document_version") != 0))
     found = kept.groupBy(*key).agg(F.count("*").alias("support"), F.max("confidence").alias("best"), doubtful.alias("doubtful"), F.max("conflict").alias("conflict"), F.max("n").alias("n"))
@@ -70,21 +74,31 @@ def bucket_digests(rows: DataFrame, section: str, key: Column, content: Column,
     of = F.substring(F.sha2(F.concat_ws("\x00", F.lit(section), key), 256), 1, digits)
     leaves = rows.select(of.alias("bucket"), leaf.alias("leaf")).repartition(F.col("bucket")).sortWithinPartitions("bucket", "leaf")
 
+    return running_digests(leaves, "leaves")
+
+
+def running_digests(rows: DataFrame, count: str, between: bytes = b"") -> DataFrame:
+    """(key, digest, count) of rows (key, text) that lie in order, a key in one partition: a hash over each key's texts as they stream by."""
+    key, text = rows.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done = lambda at, digest, n: pa.RecordBatch.from_pydict({"bucket": [at], "digest": [digest.hexdigest()], "leaves": [n]})
-        at, digest, n = None, None, 0
+        done = lambda at, digest, n: pa.RecordBatch.from_arrays([pa.array([at], kind), pa.array([digest.hexdigest()]), pa.array([n])], [key, "digest", count])
+        at, digest, n, kind = None, None, 0, None
         for batch in batches:
-            for bucket, leaf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if bucket != at:
+            kind = batch.column(0).type
+            for own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if at is None or own != at[0]:
                     if at is not None:
-                        yield done(at, digest, n)
-                    at, digest, n = bucket, hashlib.sha256(), 0
-                digest.update(leaf.encode())
+                        yield done(at[0], digest, n)
+                    at, digest, n = (own,), hashlib.sha256(), 0
+                elif between:
+                    digest.update(between)
+                digest.update(value.encode())
                 n += 1
         if at is not None:
-            yield done(at, digest, n)
+            yield done(at[0], digest, n)
 
-    return leaves.mapInArrow(run, "bucket string, digest string, leaves long")
+    return rows.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, digest string, {count} long")
 
 
 def root_digest(buckets: DataFrame) -> DataFrame:

@@ -207,16 +207,16 @@ def relation_fold(spark, sf_dir):
     return snapshot.relations(rows, ["l_partkey", "l_suppkey", "l_returnflag"])
 
 
-FACTS = """SELECT l_partkey, l_orderkey * 10 + l_linenumber AS seq, l_orderkey AS fact_id, l_linestatus AS source, l_returnflag AS method, concat('f', l_suppkey % 7) AS path, 1 - l_discount AS confidence, l_tax > 0.01 AS version_known, l_linenumber % 2 AS document_version, l_linenumber = 7 AND l_quantity > 40 AS conflict FROM {lineitem}"""
+FACTS = """SELECT l_partkey, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_orderkey % 4 > 0 THEN CAST(l_orderkey AS {string}) WHEN l_orderkey % 8 = 0 THEN '' END AS fact_id, l_linestatus AS source, l_returnflag AS method, concat('f', l_suppkey % 7) AS path, l_linenumber % 2 AS line, 0 AS col, 1 - l_discount AS confidence, l_tax > 0.01 AS version_known, l_linenumber % 2 AS document_version, l_linenumber = 7 AND l_quantity > 40 AS conflict FROM {lineitem}"""
 
 
-@query(f"""WITH f AS ({FACTS.replace('{lineitem}', 'lineitem')}), o AS (SELECT l_partkey, fact_id, arg_min({{'source': source, 'method': method, 'path': path, 'c': confidence, 'known': version_known, 'v': document_version}}, seq) AS w, bool_or(conflict) AS conflict FROM f GROUP BY ALL),
-k AS (SELECT *, count(*) OVER (PARTITION BY l_partkey) AS n, bool_or(conflict) OVER (PARTITION BY l_partkey) AS any_conflict, row_number() OVER (PARTITION BY l_partkey ORDER BY w.source, w.method, w.path, fact_id) AS place FROM o),
+@query(f"""WITH f AS ({FACTS.replace('{lineitem}', 'lineitem').replace('{string}', 'VARCHAR')}), o AS (SELECT l_partkey, CASE WHEN coalesce(fact_id, '') <> '' THEN concat('id', fact_id) ELSE concat('at', source, chr(0), path, chr(0), line, chr(0), col) END AS key, arg_min({{'source': source, 'method': method, 'path': path, 'c': confidence, 'known': version_known, 'v': document_version, 'id': fact_id}}, seq) AS w, bool_or(conflict) AS conflict FROM f GROUP BY l_partkey, key),
+k AS (SELECT *, count(*) OVER (PARTITION BY l_partkey) AS n, bool_or(conflict) OVER (PARTITION BY l_partkey) AS any_conflict, row_number() OVER (PARTITION BY l_partkey ORDER BY w.source, w.method, w.path, w.id NULLS FIRST, key) AS place FROM o),
 g AS (SELECT l_partkey, count(*) AS support, max(w.c) AS best, bool_or(NOT w.known AND w.v <> 0) AS doubtful, bool_or(any_conflict) AS conflict, max(n) AS n FROM k WHERE place <= 12 GROUP BY l_partkey)
 SELECT l_partkey, support, round(CASE WHEN doubtful THEN least(CASE WHEN conflict THEN best * 0.5 ELSE best END, 0.6) WHEN conflict THEN best * 0.5 ELSE best END, 6) AS ranking_confidence, conflict, n > 12 AS truncated FROM g""")
 def fact_fusion(spark, sf_dir):
     """Facts of several sources, fused by key; the first 12 in order make the confidence."""
-    rows = spark.sql(FACTS, lineitem=read(spark, sf_dir, "lineitem"))
+    rows = spark.sql(FACTS.replace("{string}", "STRING"), lineitem=read(spark, sf_dir, "lineitem"))
     return snapshot.fused_facts(rows, ["l_partkey"], most=12).withColumn("ranking_confidence", F.round("ranking_confidence", 6))
 
 
@@ -278,7 +278,7 @@ def evidence_budget(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).cast("long")
     rows = turns.select("conv_id", rank.alias("rank"), F.octet_length("text").cast("long").alias("size"), (F.col("turn") == 0).alias("is_target"))
-    return graph.greedy_budget(rows, "conv_id", 600, 4).select("conv_id", "rank", "size", "accepted")
+    return graph.within_budget(rows, "conv_id", 600, 4).select("conv_id", "rank", "size", "accepted")
 
 
 @query("SELECT source AS module, count(*) AS files, sum(n_chars)::BIGINT AS symbols, min_by(lang, doc_id) AS language FROM documents GROUP BY source")

@@ -89,7 +89,7 @@ def test_neighbourhood_stops_at_cap(spark):
 @given(st.lists(st.tuples(st.integers(1, 50), st.booleans()), min_size=1, max_size=12))
 def test_budget_fold(spark, items):
     rows = spark.createDataFrame([(1, i, s, t) for i, (s, t) in enumerate(items)], "req int, rank int, size int, is_target boolean")
-    got = {r.rank: r.accepted for r in graph.greedy_budget(rows, "req", 60, 3).collect()}
+    got = {r.rank: r.accepted for r in graph.within_budget(rows, "req", 60, 3).collect()}
     used = n = 0
     for i, (size, target) in enumerate(items):
         ok = target or (n < 3 and used + size <= 60)
@@ -108,7 +108,7 @@ def test_changes_and_root(spark):
 
 
 def test_fact_fusion(spark):
-    one = lambda k, i, c, **more: {"k": k, "seq": i, "fact_id": f"f{i:02}", "source": "ast", "method": "", "path": "p", "confidence": c, "version_known": True, "document_version": 1, "conflict": False, **more}
+    one = lambda k, i, c, **more: {"k": k, "seq": i, "fact_id": f"f{i:02}", "source": "ast", "method": "", "path": "p", "line": 1, "col": 0, "confidence": c, "version_known": True, "document_version": 1, "conflict": False, **more}
     rows = [one(1, i, 0.5 + i / 100) for i in range(40)]  # the last eight don't count
     rows += [one(2, 1, 0.9, version_known=False), one(2, 2, 0.95, fact_id="f01", version_known=False), one(3, 1, 0.8, conflict=True), one(4, 1, 0.9, version_known=False, document_version=0)]
     facts = spark.createDataFrame(rows)
@@ -204,6 +204,9 @@ def test_evaluation_and_surfaces(spark):
 def test_page_paths(spark):
     pages = spark.createDataFrame([("overview", ""), ("2-b", "overview"), ("1-a", "overview"), ("2.1-c", "2-b"), ("x", "gone"), ("y", "y"), ("z", None)], "slug string, parent string")
     assert [r.slug for r in lifecycle.page_paths(pages).orderBy("at").collect()] == ["overview", "1-a", "2-b", "2.1-c", "x", "y", "z"]
+    deep = [("overview", ""), ("a", "overview"), *[(f"d{i:03}", f"d{i - 1:03}" if i else "a") for i in range(130)], ("p", "q"), ("q", "r"), ("r", "p"), ("o", "q"), ("s", "p"), ("z", "")]
+    got = [r.slug for r in lifecycle.page_paths(spark.createDataFrame(deep, "slug string, parent string")).orderBy("at").collect()]
+    assert got == ["overview", "a", *[f"d{i:03}" for i in range(130)], "z", "o", "p", "r", "q", "s"]
 
 
 def test_changes_see_files_without_a_hash(spark):
