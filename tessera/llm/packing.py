@@ -11,10 +11,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import release, stage, table
+from .shared import keyed, release, stage, table
 from .textgrams import give_back
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -167,72 +167,63 @@ def lower_bound(lengths: np.ndarray, size: int) -> int:
     return best
 
 
-def pack_pieces(pieces: DataFrame, *, most=2048, part_rows=16_384, together=4, patience=2) -> DataFrame:
+def pack_pieces(pieces: DataFrame, *, most=2048, part_rows=16_384, patience=2) -> DataFrame:
     """Place pieces in as few sequences as it can: adds sequence_id and offset.
 
-    Pieces are dealt to partitions of about `part_rows`; each is packed by best-fit decreasing,
-    and a dual-feasible bound certifies its number of bins. Partitions with a gap exchange the
-    documents of their bins that aren't full: about `together` of them meet, rerun best-fit
-    decreasing, and keep the new bins if they are fewer, so that no round makes it worse. Rounds
-    go on, with other partners, until `patience` in a row have closed nothing. `bins` and `bound`
-    tell how many sequences a piece's partition took, and that none takes fewer than the bound.
+    Pieces are dealt to partitions of about `part_rows` by their place in the table, so that no id
+    makes a large one; each is packed by best-fit decreasing, and a dual-feasible bound certifies
+    its number of bins. Where bins and bound differ, the bins that aren't full are dealt anew, again
+    about `part_rows` pieces to a partition; each reruns best-fit decreasing and keeps the new bins
+    if they are fewer, so that no round makes it worse. A full bin stays where it is. Rounds go
+    on until no gap is left or `patience` in a row have closed nothing: gaps that then stay open
+    may be real, as the bound is one. `bins` and `bound` tell how many sequences a piece's
+    partition holds, and that no packing of its pieces has fewer than the bound.
     """
-    n = pieces.count()
-    parts = max(1, -(-n // part_rows))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    schema = f"{PIECE}, part long, bin long, gap boolean"
+    schema = f"{PIECE}, part long, bin long, gap boolean, full boolean"
+
+    def filled(rows: pd.DataFrame, bins: np.ndarray) -> np.ndarray:
+        return np.bincount(bins, rows["length"].to_numpy())[bins] == most
 
     def first(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(names, kind="stable", ignore_index=True)
         lens = rows["length"].to_numpy()
         bins, used = best_fit_decreasing(lens, most)
-        return rows[names].assign(part=key[0], bin=bins, gap=used > lower_bound(lens, most))
-
-    def meeting(r: int):
-        def exchange(key, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(names, kind="stable", ignore_index=True)
-            rows["_bin"] = rows.groupby(["part", "bin"], sort=True).ngroup()
-            fill = rows.groupby("_bin")["length"].transform("sum").to_numpy()
-            moving = np.flatnonzero(fill < most)
-            lens, old = rows["length"].to_numpy(), rows["_bin"].to_numpy()
-            bins, used = best_fit_decreasing(lens[moving], most)
-            before = len(np.unique(old[moving]))
-            out = old.copy()
-            if used < before:
-                out[moving] = old.max() + 1 + bins
-                out = np.unique(out, return_inverse=True)[1]
-            total = len(np.unique(out))
-            return rows[names].assign(part=key[0] + (r << 40), bin=out, gap=total > lower_bound(lens, most))
-
-        return exchange
-
-    salted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(parts)))
-    placed = stage(salted.groupBy("part").applyInPandas(first, schema), "packed-0")
-    r, idle, fewest = 0, 0, None
-    while idle < patience:
-        open_ = placed.where("gap")
-        gaps, used = open_.agg(F.count_distinct("part"), F.count_distinct("part", "bin")).first()
-        closed = fewest is None or (gaps, used) < fewest
-        idle, fewest, r = 0 if closed else idle + 1, (gaps, used), r + 1
-        if gaps < 2:
+        return rows[names].assign(part=key[0], bin=bins, gap=used > lower_bound(lens, most), full=filled(rows, bins))
+
+    def exchange(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(names, kind="stable", ignore_index=True)
+        lens, old = rows["length"].to_numpy(), rows.groupby(["old", "bin"], sort=True).ngroup().to_numpy()
+        bins, used = best_fit_decreasing(lens, most)
+        if used >= old.max() + 1:
+            bins, used = old, old.max() + 1
+        return rows[names].assign(part=key[0], bin=bins, gap=used > lower_bound(lens, most), full=filled(rows, bins))
+
+    pieces = keyed(pieces)
+    parts = max(1, -(-pieces.count() // part_rows))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("_metadata.file_path", "_metadata.row_index"), F.lit(parts)))
+    placed = stage(dealt.groupBy("part").applyInPandas(first, schema), "packed-0")
+    total, r, idle, fewest = parts, 0, 0, None
+    while True:
+        open_ = placed.where("gap AND NOT full")
+        n, gaps, used = open_.agg(F.count("*"), F.count_distinct("part"), F.count_distinct("part", "bin")).first()
+        idle, fewest, r = (0, (gaps, used), r + 1) if fewest is None or (gaps, used) < fewest else (idle + 1, fewest, r + 1)
+        if gaps < 2 or idle >= patience:
             break
-        meet = F.pmod(F.xxhash64(F.lit(r), "part"), F.lit(max(1, -(-gaps // together))))
-        moved = open_.withColumn("meet", meet).groupBy("meet").applyInPandas(meeting(r), schema)
-        after = stage(placed.where("NOT gap").unionByName(moved), f"packed-{r}")
+        groups = max(1, -(-n // part_rows))
+        meet = (F.lit(total) + F.pmod(F.xxhash64(F.lit(r), "part", "bin"), F.lit(groups))).alias("part")
+        moved = open_.select(*names, meet, F.col("part").alias("old"), "bin").groupBy("part").applyInPandas(exchange, schema)
+        after = stage(placed.where("NOT gap OR full").unionByName(moved), f"packed-{r}")
         release(placed)
-        placed = after
+        placed, total = after, total + groups
 
     def offsets(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["bin", *names], kind="stable", ignore_index=True)
         ends = rows.groupby("bin")["length"].cumsum()
-        return rows[names].assign(sequence_id=rows["bin"], offset=ends - rows["length"], part=key[0], bins=rows["bin"].nunique(), bound=lower_bound(rows["length"].to_numpy(), most))
-
-    done = placed.groupBy("part").applyInPandas(offsets, f"{PIECE}, sequence_id long, offset long, part long, bins long, bound long")
-    numbers = placed.select("part").distinct().withColumn("number", F.row_number().over(Window.orderBy("part")))
-    return done.join(numbers, "part").select(
-        "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32",
-        (F.shiftleft(F.col("number").cast("long"), 32) + F.col("sequence_id")).alias("sequence_id"), "offset", "bins", "bound",
-    )
+        return rows[names].assign(sequence_id=(key[0] << 24) + rows["bin"], offset=ends - rows["length"], bins=rows["bin"].nunique(), bound=lower_bound(rows["length"].to_numpy(), most))
+
+    done = placed.groupBy("part").applyInPandas(offsets, f"{PIECE}, sequence_id long, offset long, bins long, bound long")
+    return done.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset", "bins", "bound")
 
 
 def pack_documents(docs: DataFrame, **columns) -> DataFrame:

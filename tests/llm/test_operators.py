@@ -195,6 +195,23 @@ def test_packing(docs, none):
     assert not packing.pack_documents(none).collect()
 
 
+@pytest.mark.parametrize("case", ["null ids", "lasting gaps"])
+def test_packing_keeps_its_partitions_small(spark, case):
+    """A third of null ids lies in no large partition, and gaps that last gather nothing."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 2049, 4096) if case == "null ids" else rng.integers(300, 800, 4096)
+    rows = [(None if i % 3 == 0 else i, 0, 0, int(n), i) for i, n in enumerate(lengths)]
+    got = packing.pack_pieces(spark.createDataFrame(rows, packing.PIECE).repartition(7), part_rows=64).toPandas()
+    assert sorted(got["ids_crc32"]) == list(range(4096))
+    used, size = got["sequence_id"].nunique(), got.groupby(got["sequence_id"] // (1 << 24)).size()
+    assert size.max() <= 3 * 64
+    assert (got.groupby("sequence_id")["length"].sum() <= 2048).all()
+    parts = got.groupby(got["sequence_id"] // (1 << 24)).agg(bins=("bins", "first"), bound=("bound", "first"), n=("sequence_id", "nunique"))
+    assert (parts["bins"] == parts["n"]).all() and (parts["bound"] <= parts["bins"]).all()
+    alone = sum(packing.best_fit_decreasing(lengths[i : i + 64], 2048)[1] for i in range(0, 4096, 64))
+    assert packing.lower_bound(lengths, 2048) <= used <= alone
+
+
 def test_words_have_the_ids_of_their_text():
     coder = packing.WordCoder(packing.tokenizer_path())
     rng = np.random.default_rng(8)
