@@ -45,6 +45,11 @@ class Files:
         p, fs = self._at(folder)
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
+    def children(self, folder: str) -> list[tuple[str, bool]]:
+        """(path, whether it is a folder) of what lies in a folder."""
+        p, fs = self._at(folder)
+        return sorted((x.getPath().toString(), x.isDirectory()) for x in fs.listStatus(p))
+
     def text(self, path: str) -> str:
         p, fs = self._at(path)
         stream = fs.open(p)

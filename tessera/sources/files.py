@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import language
+from tessera.operators.lineage import Files
 
 #: Directories that are never scanned (fixed values).
 IGNORED = (
@@ -27,14 +28,35 @@ def ignored(path: Column, patterns: list[str] = ()) -> Column:
     return hit
 
 
+def listed(spark: SparkSession, root: str, patterns: list[str] = ()) -> list[str]:
+    """Files under `root` of a known kind that nothing ignores, level by level; ignored folders are never opened.
+
+    Names only, as a listing of Spark's own would hold.
+    """
+    files, base, level, found = Files(spark), _plain(root), [root], []
+    while level:
+        each = [(path, folder, _plain(path)[len(base) + 1 :]) for d in level for path, folder in files.children(d)]
+        rows = spark.createDataFrame(each, "at string, folder boolean, path string").where(~ignored(F.col("path"), patterns)).where(F.col("folder") | language(F.col("path")).isNotNull())
+        kept = [(r.at, r.folder) for r in rows.select("at", "folder").collect()]
+        level = sorted(at for at, folder in kept if folder)
+        found += [at for at, folder in kept if not folder]
+    return sorted(found)
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/*", "/", path).rstrip("/")
+
+
 def scan(spark: SparkSession, root: str, patterns: list[str] = (), most_bytes: int = 2 << 20) -> DataFrame:
     """(path, language, content_hash, size, modified_at, content) of indexable files under `root`.
 
-    Length is a column of the file listing, so that the size cap holds before a file is read.
+    Only these are opened. Length is a column of the listing, so that the size cap holds before a file is read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= most_bytes)
-    base = root.rstrip("/").removeprefix("file://")
+    found = listed(spark, root, patterns)
+    if not found:
+        return spark.createDataFrame([], "path string, language string, content_hash string, size long, modified_at timestamp, content binary")
+    files = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?^])", r"\\\1", f) for f in found]).where(F.col("length") <= most_bytes)
+    base = _plain(root)
     path = F.substring("path", F.instr("path", f"{base}/") + len(base) + 1, F.length("path"))
     rows = files.select(path.alias("path"), "content", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
-    rows = rows.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~ignored(F.col("path"), patterns))
-    return rows.select("path", "language", F.sha2("content", 256).alias("content_hash"), "size", "modified_at", "content")
+    return rows.select("path", language(F.col("path")).alias("language"), F.sha2("content", 256).alias("content_hash"), "size", "modified_at", "content")
