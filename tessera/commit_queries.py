@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.code_queries import EDG, FIL, SYM, _edges, _files, _symbols, duck, sql
 from tessera.operators import retrieval
+from tessera.operators import overlay, resolve
 from tessera.operators.commits import Change, Conflict, Store, diagnostics
 from tessera.operators.index import Index
 from tessera.operators.lineage import cut, shared_folder
@@ -132,3 +133,41 @@ def revision_changes(spark, sf_dir):
     found = cut(out.select("path", "symbols_before", "symbols_after", F.coalesce("here", F.lit(True)).alias("gone")))
     store.remove()
     return found
+
+
+#: Symbols by name, edges to names, and three open buffers: one drops its symbols, one renames them, one adds new ones.
+OPEN = ("cmd/api/3.go", "web/7.go", "internal/store/1.go")
+VIEW_SYMBOLS = "SELECT id, concat(name, id % 37) AS name, path, kind = 'file' AS is_file FROM ({SYMBOLS})"
+VIEW_EDGES = "SELECT DISTINCT concat(name, id % 41) AS name, concat(CASE id % 3 WHEN 0 THEN 'cmd/api' WHEN 1 THEN 'web' ELSE 'internal/store' END, '/', id % 40, '.go') AS path, round(0.5 + id % 4 * 0.1, 1) AS given FROM ({SYMBOLS})"
+BUFFERS = "SELECT CASE WHEN path = 'web/7.go' THEN id ELSE id + 900000 END AS id, CASE WHEN path = 'web/7.go' AND id % 2 = 0 THEN concat(name, 'x') ELSE concat(name, id % 37) END AS name, path, kind = 'file' AS is_file FROM ({SYMBOLS}) WHERE path IN ('web/7.go', 'internal/store/1.go')"
+
+
+def _view(name: str) -> str:
+    from tessera.code_queries import SYMBOLS
+
+    return name.replace("{SYMBOLS}", SYMBOLS)
+
+
+@query(f"""WITH s AS ({duck(_view(VIEW_SYMBOLS))}), b AS ({duck(_view(BUFFERS))}), v AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM s WHERE path NOT IN {OPEN} UNION ALL SELECT *, regexp_replace(path, '/[^/]*$', '') FROM b),
+e AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS dir FROM ({duck(_view(VIEW_EDGES))}) WHERE path NOT IN {OPEN} UNION ALL SELECT 'call1', 'web/7.go', 0.6, 'web' UNION ALL SELECT 'ring5x', 'web/7.go', 0.6, 'web'),
+c AS (SELECT e.name, e.path, e.given, v.id, 100 * (v.path = e.path)::INT + 25 * (v.dir = e.dir)::INT + 5 * (NOT is_file)::INT AS score, count(*) OVER (PARTITION BY e.name, e.path, e.given) AS n FROM e JOIN v USING (name)),
+w AS (SELECT *, row_number() OVER (PARTITION BY name, path, given ORDER BY score DESC, id) AS r FROM c)
+SELECT e.name, e.path, e.given::DOUBLE AS given, w.id AS target, CASE WHEN n = 1 THEN 0.95 WHEN n > 1 THEN greatest(e.given, 0.7) ELSE e.given END::DOUBLE AS confidence FROM e LEFT JOIN w ON w.name = e.name AND w.path = e.path AND w.given = e.given AND r = 1""")
+def overlay_edges(spark, sf_dir):
+    """Edges of a view with open buffers, of which only those are resolved again whose names change."""
+    symbols, edges, buffers = (sql(spark, sf_dir, _view(x), "part") for x in (VIEW_SYMBOLS, VIEW_EDGES, BUFFERS))
+    edges = edges.withColumn("given", F.col("given").cast("double"))
+    resolved = cut(resolve.resolve_names(edges.withColumn("confidence", F.col("given")), symbols))
+    paths = spark.createDataFrame([(p,) for p in OPEN], "path string")
+    own = spark.createDataFrame([("call1", "web/7.go", 0.6), ("ring5x", "web/7.go", 0.6)], "name string, path string, given double")
+    return overlay.resolved_view(resolved, symbols, paths, buffers, own)[1].select("name", "path", "given", "target", "confidence")
+
+
+OVERLAYS = "SELECT concat('doc', l_orderkey) AS document, concat(CASE l_linenumber % 2 WHEN 0 THEN 'web' ELSE 'gone' END, '/', l_partkey % 50, '.go') AS path, l_linenumber AS version, l_returnflag AS content_hash, CASE l_suppkey % 3 WHEN 0 THEN 'snap:now' WHEN 1 THEN 'snap:old' ELSE '' END AS base_snapshot, CASE WHEN l_suppkey % 2 = 0 THEN 'other' ELSE '' END AS base_hash FROM {lineitem}"
+
+
+@query(f"""WITH o AS ({duck(OVERLAYS)}), j AS (SELECT o.*, CASE WHEN base_snapshot NOT IN ('', 'snap:now') THEN CASE WHEN coalesce(f.hash, '') <> '' AND base_hash <> '' AND f.hash <> base_hash THEN 'stale' ELSE 'rebased' END ELSE 'current' END AS state FROM o LEFT JOIN {FIL} f USING (path))
+SELECT *, CASE WHEN state <> 'stale' THEN concat('view:', sha256(concat('snap:now', chr(0), document, chr(0), path, chr(0), version, chr(0), content_hash))) END AS view FROM j""")
+def composite_views(spark, sf_dir):
+    """M8: whether buffers still fit the newest snapshot, and the hash of each view."""
+    return overlay.composite_states(sql(spark, sf_dir, OVERLAYS, "lineitem"), _files(spark, sf_dir), "snap:now")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.code_queries import IMPORTS, NUM, SYM, _numbered, _symbols, duck, sql
+from tessera.functions import positions
 from tessera.operators import codemap, navigation, resolve, seeds
 from tessera.operators.lineage import cut
 from tessera.queries import query, read
@@ -196,3 +197,18 @@ def usage_windows(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     sites = docs.select(F.col("doc_id").alias("site"), F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 7 + 1).alias("line"))
     return seeds.usage_windows(sites, docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("code"))).select("site", "first", "last", "hash")
+
+
+#: A point in each text, by its line and byte, and how an editor counts there.
+POINTS = "SELECT doc_id AS id, doc_id % 4 AS point, 1 + doc_id % 4 AS line, 1 + doc_id % 60 AS col FROM {documents}"
+UNITS = r"CASE doc_id % 3 WHEN 0 THEN strlen(h) WHEN 1 THEN length(h) ELSE length(h) + length(regexp_replace(h, '[^\x{10000}-\x{10FFFF}]', '', 'g')) END"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, 1 + doc_id % 4 AS n, 1 + doc_id % 60 AS col, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents), l AS (SELECT *, CASE WHEN n <= len(lines) THEN rtrim(lines[n], chr(13)) END AS line FROM d),
+p AS (SELECT *, least(col - 1, strlen(line)) AS within FROM l), q AS (SELECT *, left(line, list_filter(range(0, 61), lambda k: strlen(left(line, k)) = within)[1]) AS h, len(list_filter(range(0, 61), lambda k: strlen(left(line, k)) = within)) > 0 AS whole FROM p)
+SELECT doc_id AS id, n - 1 AS point, CASE WHEN line IS NULL OR NOT whole THEN -1 ELSE n - 1 END AS line, CASE WHEN line IS NULL OR NOT whole THEN -1 ELSE {UNITS} END AS unit FROM q""")
+def editor_positions(spark, sf_dir):
+    """F Position: byte columns as editors count them, in three encodings."""
+    docs = read(spark, sf_dir, "documents")
+    texts = docs.select(F.col("doc_id").alias("id"), "text", F.expr("CASE doc_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-32' ELSE 'utf-16' END").alias("encoding"))
+    return positions.to_editor(texts, spark.sql(POINTS, documents=docs))
