@@ -70,6 +70,12 @@ def _before(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a, b
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order; a plain sort is many times as fast as numpy's unique here."""
+    own = np.sort(keys)
+    return own[np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1]))]
+
+
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, sums of n, and a place of each."""
     own, at, back = np.unique(keys, return_index=True, return_inverse=True)
@@ -346,7 +352,7 @@ def _scored(docs: DataFrame, model: Model, shared: Broadcast) -> DataFrame:
         for block, ids, langs, row_keys, words, doc in _blocks(batches):
             size, asks = np.bincount(doc, minlength=len(ids)), []
             for keys in _grams(words, size)[:3]:
-                own = np.unique(keys)
+                own = _distinct(keys)
                 place, at = _wanted(own, m)
                 asks.append((own[place] >> SHARD_BITS, at))
             asked = np.flatnonzero(sum(np.diff(at) for _, at in asks))
