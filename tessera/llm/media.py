@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -35,8 +35,37 @@ class Found(NamedTuple):
     end: int
 
 
-def _wav(data: bytes, at: int) -> int:
+class Bytes:
+    """Bytes, and what validators have found out about them, so that many candidates cost no more than one pass."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found, self.ends = data, {}, {}
+
+    def find(self, what: bytes, at: int) -> int:
+        """The first place of `what` from `at` on, or -1; candidates come in rising order."""
+        since, hit = self.found.get(what, (len(self.data) + 1, -1))
+        if not (since <= at and (hit < 0 or hit >= at)):
+            hit = self.data.find(what, at)
+            self.found[what] = at, hit
+        return hit
+
+    def end(self, kind: str, p: int, step: Callable[[int], tuple[int, bool]]) -> int:
+        """Where a chain of parts from p on ends: step gives the next place, or the end and True. Chains that meet go on alike."""
+        known, passed = self.ends.setdefault(kind, {}), []
+        while p not in known:
+            passed.append(p)
+            p, over = step(p)
+            if over:
+                break
+        else:
+            p = known[p]
+        known.update(dict.fromkeys(passed, p))
+        return p
+
+
+def _wav(media: Bytes, at: int) -> int:
     """End of a PCM wave file at `at`, or -1: sizes must agree with the chunks."""
+    data = media.data
     if data[at + 8 : at + 12] != b"WAVE":
         return -1
     end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
@@ -50,73 +79,80 @@ def _wav(data: bytes, at: int) -> int:
     return end if p == end and {b"fmt ", b"data"} <= seen else -1
 
 
-def _png(data: bytes, at: int) -> int:
-    """End of a PNG file: chunks follow one another, each with its CRC, from IHDR to IEND."""
-    p, first = at + 8, True
-    while p + 12 <= len(data):
+def _png(media: Bytes, at: int) -> int:
+    """End of a PNG file: chunks follow one another, each with its CRC, from an IHDR of 13 bytes to IEND."""
+    data = media.data
+
+    def step(p: int) -> tuple[int, bool]:
         size, name = int.from_bytes(data[p : p + 4], "big"), data[p + 4 : p + 8]
-        if p + 12 + size > len(data) or (first and name != b"IHDR"):
-            return -1
-        if zlib.crc32(data[p + 4 : p + 8 + size]) != int.from_bytes(data[p + 8 + size : p + 12 + size], "big"):
-            return -1
-        p, first = p + 12 + size, False
-        if name == b"IEND":
-            return p
-    return -1
+        stop = p + 12 + size
+        if p + 12 > len(data) or stop > len(data) or zlib.crc32(memoryview(data)[p + 4 : stop - 4]) != int.from_bytes(data[stop - 4 : stop], "big"):
+            return -1, True
+        return stop, name == b"IEND"
+
+    return media.end("png", at + 8, step) if data[at + 8 : at + 16] == b"\0\0\0\rIHDR" else -1
 
 
-def _jpeg(data: bytes, at: int) -> int:
+def _jpeg(media: Bytes, at: int) -> int:
     """End of a JPEG file: marker segments with lengths up to a scan, which ends at FFD9."""
-    p = at + 2
-    while p + 4 <= len(data) and data[p] == 0xFF:
+    data = media.data
+
+    def step(p: int) -> tuple[int, bool]:
+        if p + 4 > len(data) or data[p] != 0xFF:
+            return -1, True
         mark, size = data[p + 1], int.from_bytes(data[p + 2 : p + 4], "big")
         if not 0xC0 <= mark <= 0xFE or size < 2:
-            return -1
-        p += 2 + size
+            return -1, True
         if mark == 0xDA:
-            end = data.find(b"\xff\xd9", p)
-            return end + 2 if end >= 0 else -1
-    return -1
+            end = media.find(b"\xff\xd9", p + 2 + size)
+            return (end + 2 if end >= 0 else -1), True
+        return p + 2 + size, False
+
+    return media.end("jpeg", at + 2, step)
 
 
-def _gif(data: bytes, at: int) -> int:
+def _gif(media: Bytes, at: int) -> int:
     """End of a GIF file: colour tables by their flags, then blocks of sub-blocks to the trailer."""
+    data = media.data
     if at + 13 > len(data):
         return -1
-    p = at + 13 + (3 << ((data[at + 10] & 7) + 1) if data[at + 10] & 128 else 0)
-    while p < len(data):
+    after = lambda p: (p + 1 + data[p], False) if p < len(data) and data[p] else (p + 1, True)
+
+    def step(p: int) -> tuple[int, bool]:
+        if p >= len(data):
+            return -1, True
         kind = data[p]
         if kind == 0x3B:
-            return p + 1
+            return p + 1, True
         if kind == 0x21:
             p += 2
         elif kind == 0x2C and p + 10 < len(data):
             p += 11 + (3 << ((data[p + 9] & 7) + 1) if data[p + 9] & 128 else 0)
         else:
-            return -1
-        while p < len(data) and data[p]:
-            p += 1 + data[p]
-        p += 1
-    return -1
+            return -1, True
+        return media.end("sub-blocks", p, after), False
+
+    return media.end("gif", at + 13 + (3 << ((data[at + 10] & 7) + 1) if data[at + 10] & 128 else 0), step)
 
 
-def _pdf(data: bytes, at: int) -> int:
-    if not data[at + 5 : at + 6].isdigit():
+def _pdf(media: Bytes, at: int) -> int:
+    if not media.data[at + 5 : at + 6].isdigit():
         return -1
-    end = data.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and data.find(b"startxref", at, end) >= 0 else -1
+    end = media.find(b"%%EOF", at)
+    return end + 5 if end >= 0 and 0 <= media.find(b"startxref", at) <= end - 9 else -1
 
 
-def _zip(data: bytes, at: int) -> int:
+def _zip(media: Bytes, at: int) -> int:
     """End of a ZIP file: the directory's recorded place and size must lead to its end record."""
-    end = data.find(b"PK\x05\x06", at)
+    data, end = media.data, media.find(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return -1
     size, place = (int.from_bytes(data[end + k : end + k + 4], "little") for k in (12, 16))
     return end + 22 + int.from_bytes(data[end + 20 : end + 22], "little") if at + place + size == end else -1
 
 
-def _bmp(data: bytes, at: int) -> int:
+def _bmp(media: Bytes, at: int) -> int:
+    data = media.data
     size, pixels, head = (int.from_bytes(data[at + k : at + k + 4], "little") for k in (2, 10, 14))
     return at + size if at + size <= len(data) and head in (12, 40, 108, 124) and 14 + head <= pixels <= size and not any(data[at + 6 : at + 10]) else -1
 
@@ -143,10 +179,10 @@ def sniff(data: bytes, search) -> list[Found]:
     One automaton finds every magic string in a pass; a candidate inside confirmed media is
     part of it, and one that its format's validator rejects is chance.
     """
-    found, beyond = [], 0
+    found, beyond, media = [], 0, Bytes(data)
     for last, (kind, size) in search.iter(data.decode("latin-1")):
         at = last + 1 - size
-        if at >= beyond and (end := VALIDATORS[kind](data, at)) > 0:
+        if at >= beyond and (end := VALIDATORS[kind](media, at)) > 0:
             found.append(Found(kind, at, end))
             beyond = end
     return found

@@ -78,7 +78,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def _unpack(row) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row.ids, np.int64)
-    return ids, np.frombuffer(row.data, np.float32).reshape(len(ids), -1).astype(np.float64)
+    return ids, np.frombuffer(row.data, np.float64).reshape(len(ids), -1).astype(np.float64)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -103,7 +103,7 @@ def nearest_neighbours(rows: DataFrame, *, id_col="vec_id", vector_col="embeddin
     spark = rows.sparkSession
     v = F.col(vector_col)
     whole = v.isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    valid = rows.where(whole).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>").alias("v"))
+    valid = rows.where(whole).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v"))
     stats = valid.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.avg(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("sq"))
     top = stats.orderBy(F.desc("n"), "d").first()
     if top is None:
@@ -114,7 +114,7 @@ def nearest_neighbours(rows: DataFrame, *, id_col="vec_id", vector_col="embeddin
         for batch in batches:
             x = np.stack(batch["v"].to_numpy()).astype(np.float64) if len(batch) else np.zeros((0, dims))
             for c in range(curves):
-                yield pd.DataFrame({"curve": np.int32(c), "key": curve_keys(x, c, scale), "vec_id": batch["vec_id"].to_numpy(), "data": [r.astype(np.float32).tobytes() for r in x]})
+                yield pd.DataFrame({"curve": np.int32(c), "key": curve_keys(x, c, scale), "vec_id": batch["vec_id"].to_numpy(), "data": [r.tobytes() for r in x]})
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = valid.where(F.size("v") == dims).mapInPandas(keys, "curve int, key long, vec_id long, data binary")
@@ -127,7 +127,7 @@ def nearest_neighbours(rows: DataFrame, *, id_col="vec_id", vector_col="embeddin
 
     def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("at", ignore_index=True)
-        x = np.frombuffer(b"".join(rows["data"]), np.float32).reshape(len(rows), dims).astype(np.float64)
+        x = np.frombuffer(b"".join(rows["data"]), np.float64).reshape(len(rows), dims).astype(np.float64)
         centre = x.mean(0)
         radius = float(np.sqrt(((x - centre) ** 2).sum(1)).max()) * (1 + 1e-9) + 1e-12
         return pd.DataFrame({
@@ -144,7 +144,7 @@ def nearest_neighbours(rows: DataFrame, *, id_col="vec_id", vector_col="embeddin
                 ids, x = _unpack(row)
                 own = np.frombuffer(row.own_ids, np.int64)
                 pick = np.flatnonzero(own % every == 0)
-                asked = np.frombuffer(row.own_data, np.float32).reshape(len(own), -1)[pick].astype(np.float64)
+                asked = np.frombuffer(row.own_data, np.float64).reshape(len(own), -1)[pick].astype(np.float64)
                 near = asked @ x.T
                 yield _frame([r for i, p in enumerate(pick) for r in top_rows(int(own[p]), asked[i], ids, x, near[i], k)])
 
@@ -169,7 +169,7 @@ def nearest_neighbours(rows: DataFrame, *, id_col="vec_id", vector_col="embeddin
         for batch in batches:
             keep = []
             for row in batch.itertuples():
-                q = np.frombuffer(row.q_data, np.float32).reshape(-1, dims).astype(np.float64)
+                q = np.frombuffer(row.q_data, np.float64).reshape(-1, dims).astype(np.float64)
                 bound = q @ np.frombuffer(row.centre) + np.sqrt((q * q).sum(1)) * row.radius
                 keep.append(bool((bound >= np.frombuffer(row.q_floor)).any()))
             yield batch.loc[keep, ["q", "block"]]
@@ -182,7 +182,7 @@ def nearest_neighbours(rows: DataFrame, *, id_col="vec_id", vector_col="embeddin
             for row in batch.itertuples():
                 ids, x = _unpack(row)
                 q_ids, floor = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_floor)
-                q = np.frombuffer(row.q_data, np.float32).reshape(len(q_ids), -1).astype(np.float64)
+                q = np.frombuffer(row.q_data, np.float64).reshape(len(q_ids), -1).astype(np.float64)
                 near = q @ x.T
                 low = floor - 1e-9 * np.maximum(1.0, np.abs(np.where(np.isfinite(floor), floor, 0)))
                 out = []
