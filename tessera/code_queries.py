@@ -357,12 +357,12 @@ def file_tree(spark, sf_dir):
     return codemap.tree(_symbols(spark, sf_dir).select("path").distinct())
 
 
-@query(f"WITH p AS (SELECT {MODULE} AS module, concat(id, signature) AS part FROM {SYM} UNION ALL SELECT {MODULE}, concat('file:', path, ':', hash) FROM {FIL}) SELECT module, substr(sha256(string_agg(part, chr(10) ORDER BY part)), 1, 24) AS hash FROM p GROUP BY module")
+@query(f"WITH p AS (SELECT {MODULE} AS module, concat(id, signature) AS part FROM {SYM} UNION ALL SELECT {MODULE}, concat('file:', path, ':', hash) FROM {FIL} UNION ALL SELECT module, part FROM (SELECT DISTINCT module, seq, concat(e.src, ':', e.kind, ':', e.to_name) AS part FROM {NUM} e JOIN (SELECT *, {MODULE} AS module FROM {SYM}) m ON m.id = e.src OR m.id = e.dst) UNION ALL SELECT DISTINCT {MODULE}, unnest(['manifest=1', 'prompt=1']) FROM {SYM}) SELECT module, substr(sha256(string_agg(part, chr(10) ORDER BY part)), 1, 24) AS hash FROM p GROUP BY module")
 def page_hashes(spark, sf_dir):
-    """The source hash of each page from its files and symbols."""
+    """The source hash of each page from its files, symbols and edges."""
     key = T.module_key(F.col("path")).alias("module")
-    own = _symbols(spark, sf_dir).select(key, F.concat(F.col("id").cast("string"), "signature").alias("part"))
-    return codemap.source_hashes(own.unionByName(_files(spark, sf_dir).select(key, F.concat(F.lit("file:"), "path", F.lit(":"), "hash").alias("part"))), "module")
+    symbols, files = _symbols(spark, sf_dir).select(key, "id", "signature"), _files(spark, sf_dir).select(key, "path", "hash")
+    return codemap.source_hashes(codemap.page_parts(symbols, files, _numbered(spark, sf_dir), "module", ["manifest=1", "prompt=1"]), "module")
 
 
 @query(f"""WITH g AS (SELECT * FROM {SYM} WHERE kind NOT IN ('file', 'import') AND CASE WHEN language = 'go' THEN regexp_matches(name, '^[A-Z]') ELSE kind IN ('class', 'interface', 'type', 'function') END)

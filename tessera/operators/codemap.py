@@ -153,6 +153,19 @@ def tree(paths: DataFrame) -> DataFrame:
     return nodes.withColumn("seq", F.row_number().over(Window.partitionBy("parent").orderBy("type", "name")))
 
 
+def page_parts(symbols: DataFrame, files: DataFrame, edges: DataFrame, by: str, versions: list[str] = ()) -> DataFrame:
+    """(by, part): what a page's source hash covers: its files, symbols, the edges from or to these, and the versions of whatever makes pages.
+
+    symbols: by, id, signature; files: by, path, hash; edges: seq, src, dst, kind, to_name.
+    """
+    line = F.concat_ws(":", F.col("src").cast("string"), "kind", F.coalesce("to_name", F.lit(""))).alias("part")
+    at = lambda end: edges.join(symbols.select(by, F.col("id").alias(end)), end).select(by, "seq", line)
+    from_symbols = at("src").unionByName(at("dst")).distinct().select(by, "part")
+    rows = symbols.select(by, F.concat(F.col("id").cast("string"), "signature").alias("part")).unionByName(files.select(by, F.concat(F.lit("file:"), "path", F.lit(":"), "hash").alias("part"))).unionByName(from_symbols)
+    scopes = symbols.select(by).unionByName(files.select(by)).distinct()
+    return rows.unionByName(scopes.select(by, F.explode(F.array(*[F.lit(v) for v in versions])).alias("part"))) if versions else rows
+
+
 def source_hashes(parts: DataFrame, by: str) -> DataFrame:
     """(by, hash): the first 12 bytes of the hash over a scope's parts in order, one in a line.
 

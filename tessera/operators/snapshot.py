@@ -43,11 +43,11 @@ def fused_facts(facts: DataFrame, key: list[str], most: int = 32) -> DataFrame:
     place = F.concat_ws("\x00", F.coalesce("source", F.lit("")), F.coalesce("path", F.lit("")), "line", "col")
     facts = facts.withColumn("of", F.when(named != "", F.concat(F.lit("id"), named)).otherwise(F.concat(F.lit("at"), place)))
     once = facts.groupBy(*key, "of").agg(F.min_by(F.struct(*fields, "fact_id"), "seq").alias("fact"), F.max("conflict").alias("conflict")).select(*key, "of", "fact.*", "conflict")
-    mine = Window.partitionBy(*key)
-    place = F.row_number().over(mine.orderBy("source", "method", "path", "fact_id", "of"))
-    kept = once.withColumn("n", F.count("*").over(mine)).withColumn("conflict", F.max("conflict").over(mine)).withColumn("place", place).where(F.col("place") <= most)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("source", "method", "path", "fact_id", "of"))
+    kept = once.withColumn("place", place).where(F.col("place") <= most)
+    every = once.groupBy(*key).agg(F.count("*").alias("n"), F.max("conflict").alias("conflict"))
     doubtful = F.max(~F.col("version_known") & (F.col("document_version") != 0))
-    found = kept.groupBy(*key).agg(F.count("*").alias("support"), F.max("confidence").alias("best"), doubtful.alias("doubtful"), F.max("conflict").alias("conflict"), F.max("n").alias("n"))
+    found = kept.groupBy(*key).agg(F.count("*").alias("support"), F.max("confidence").alias("best"), doubtful.alias("doubtful")).join(every, key)
     halved = F.when(F.col("conflict"), F.col("best") * 0.5).otherwise(F.col("best"))
     ranked = F.when(F.col("doubtful"), F.least(halved, F.lit(0.6))).otherwise(halved)
     return found.select(*key, "support", ranked.alias("ranking_confidence"), "conflict", (F.col("n") > most).alias("truncated"))

@@ -17,14 +17,40 @@ IGNORED = (
 )
 
 
+def _glob(pattern: str) -> str:
+    """A shell pattern as a regular expression: * and ? stay within a segment, brackets hold classes, a backslash quotes."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        close = pattern.find("]", i + 2) if c == "[" else -1
+        if close > 0:
+            inside = pattern[i + 1 : close]
+            out += "[" + ("^/" + inside[1:] if inside[0] == "^" else inside).replace("[", r"\[") + "]"
+            i = close
+        elif c == "\\" and i + 1 < len(pattern):
+            i += 1
+            out += re.escape(pattern[i])
+        else:
+            out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
+        i += 1
+    return out
+
+
 def ignored(path: Column, patterns: list[str] = ()) -> Column:
-    """Whether a default directory or a pattern (name, prefix or glob; '!' lines don't count) covers a path."""
+    """Whether a default directory or a pattern covers a path.
+
+    A pattern fits the whole path from the root, or what lies below a folder of just that name; one
+    without a slash fits any segment too. Comments and lines that begin with '!' say nothing.
+    """
     hit = F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(d) for d in IGNORED]))
     for line in patterns:
-        p = line.strip().strip("/")
-        if p and not p.startswith(("#", "!")):
-            glob = re.escape(p).replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
-            hit = hit | path.rlike(f"(^|/){glob}(/|$)")
+        p = line.strip()
+        if not p or p.startswith(("#", "!")):
+            continue
+        p = p.removeprefix("/").removesuffix("/")
+        if p:
+            ends = ("^", "$") if "/" in p else ("(^|/)", "(/|$)")
+            hit = hit | path.rlike(f"{ends[0]}{_glob(p)}{ends[1]}") | path.startswith(f"{p}/")
     return hit
 
 

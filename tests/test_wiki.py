@@ -80,3 +80,23 @@ def test_ignored_folders_are_never_opened(spark, tmp_path):
         (tmp_path / "node_modules").chmod(0o755)
     (tmp_path / "none").mkdir()
     assert files.scan(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_ignore_rules(spark):
+    """Patterns with a slash fit from the root, others any segment; stars and classes stay within a segment."""
+    cases = {
+        ("gen",): {"gen/a.go": True, "x/gen/a.go": True, "gene/a.go": False, "x/gen": True},
+        ("/build.go",): {"build.go": True, "x/build.go": True},
+        ("a/b",): {"a/b": True, "a/b/c.go": True, "x/a/b": False, "a/bc": False},
+        ("docs/*.go",): {"docs/a.go": True, "docs/x/a.go": False, "x/docs/a.go": False},
+        ("*.py",): {"a.py": True, "x/y/a.py": True, "a.pyc": False},
+        ("[ab]?.go",): {"a1.go": True, "c1.go": False, "x/b2.go": True, "a12.go": False},
+        ("[^a].go",): {"b.go": True, "a.go": False},
+        ("src/**/x.go",): {"src/a/x.go": True, "src/a/b/x.go": False},
+        ("# gen", "!gen", "", " / "): {"gen/a.go": False},
+        (): {"node_modules/a.go": True, "x/vendor/a.go": True, "vendored/a.go": False},
+    }
+    for patterns, paths in cases.items():
+        frame = spark.createDataFrame([(p,) for p in paths], "path string")
+        got = {r.path: r.hit for r in frame.select("path", files.ignored(F.col("path"), list(patterns)).alias("hit")).collect()}
+        assert got == paths, patterns
