@@ -16,7 +16,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import bucketed, keyed, release, rows_of, stage, table
+from .shared import bucketed, keyed, release, rows_of, settle, stage, table
 from .textgrams import give_back, mixed, packed, pair, unpacked, word_hashes
 
 _U = np.uint64
@@ -247,8 +247,10 @@ def train(texts: DataFrame, shards: int | None = None) -> Model:
     three = stage(_count_trigrams(texts, shards), "trigrams", "kind")
     two = stage(_count_bigrams(three, shards), "bigrams", "kind")
     release(three, part=f"kind={PARTS}")
+    settle(texts.sparkSession)
     one = stage(_count_words(two), "words", "kind")
     release(two, part=f"kind={PARTS}")
+    settle(texts.sparkSession)
     discounts, totals = [], []
     for part in (one, two, three):
         rows = part.where(F.col("kind") == LEVELS).select("data").collect()  # a row of six numbers for each shard
@@ -262,6 +264,7 @@ def train(texts: DataFrame, shards: int | None = None) -> Model:
     known = [part.where(F.col("kind").between(TRIGRAMS, WORDS)).select("shard", "kind", "data") for part in (one, two, three)]
     tables = bucketed(known[0].unionByName(known[1]).unionByName(known[2]), "model", "shard", shards)
     release(one, two, three)
+    settle(texts.sparkSession)
     return Model(shards, tuple(discounts), float(n[5]), float(spare), _filter(tables, shards), tables)
 
 
@@ -413,9 +416,12 @@ def _scored(docs: DataFrame, model: Model, shared: Broadcast) -> DataFrame:
     asked = written.where("part = 1").select("shard", "block", "words", "pairs", "triples")
     told = stage(asked.groupBy("shard").cogroup(model.tables.groupBy("shard")).applyInArrow(answer, answers), "answers")
     release(written, part="part=1")
+    settle(docs.sparkSession)
     texts = written.where("part = 0").drop("part", "shard")
     scored = stage(texts.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, "doc_id long, lang string, n_words long, log_perplexity double, row_key long"), "scored")
     release(told, written)
+    del both, asked, told, texts, written
+    settle(docs.sparkSession)
     return scored
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -36,6 +37,13 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def settle(spark: SparkSession, times: int = 2, pause: float = 0.5) -> None:
+    """Sweep, and give the cleaner's thread the time to drop the files, so that they don't add up with the next step's."""
+    for _ in range(times):
+        sweep(spark)
+        time.sleep(pause)
+
+
 def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Cut lineage: write `df` as a table in the shared folder, in a folder for each value of `by`, and read it back."""
     spark = df.sparkSession
