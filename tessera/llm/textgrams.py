@@ -18,6 +18,8 @@ LOWER[65:91] += 32
 BYTES = np.random.Generator(np.random.PCG64(20240601)).integers(1, 2**63, 256, dtype=_U) | _U(1)
 BASE = 0x9E3779B97F4A7C15
 SEGMENT = 1 << 20
+#: Bytes of text that are hashed at once: what each takes stays in the processor's cache, and the powers that a worker keeps stay few.
+STRETCH = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -52,7 +54,7 @@ _powers: tuple[np.ndarray, np.ndarray] = (np.zeros(0, _U), np.zeros(0, _U))
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) <= n:
-        size = max(2 * SEGMENT, n + 1)
+        size = 1 << n.bit_length()
         _powers = tuple(np.cumprod(np.concatenate(([_U(1)], np.full(size - 1, b, _U)))) for b in (BASE, pow(BASE, -1, 2**64)))
     return _powers
 
@@ -74,7 +76,7 @@ def binary_view(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8), at
 
 
-def word_hashes(strings: pa.Array, segment: int = SEGMENT) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def word_hashes(strings: pa.Array, segment: int = STRETCH) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of documents [i, j) with the hashes of their lower-cased words and each word's document."""
     give_back()
     data, at = binary_view(strings)

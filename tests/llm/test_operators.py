@@ -495,3 +495,12 @@ def test_shingles_do_not_depend_on_segments():
     finally:
         textgrams.SEGMENT = old
     assert len(whole) == 23 and whole[-2] == whole[-3] == []
+
+
+def test_workers_keep_small_tables_of_powers(monkeypatch):
+    monkeypatch.setattr(textgrams, "_powers", (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
+    texts = pa.array([prose(i, 400) for i in range(2000)])
+    assert sum(map(len, texts.to_pylist())) > 1 << 21
+    words = np.concatenate([w for _, _, w, _ in textgrams.word_hashes(texts)])
+    assert sum(p.nbytes for p in textgrams._powers) <= 1 << 23  # 32 MB before
+    assert words.tolist() == np.concatenate([w for _, _, w, _ in textgrams.word_hashes(texts, 1 << 22)]).tolist()
