@@ -24,7 +24,7 @@ _U = np.uint64
 FILTER_BITS = 1 << 28
 #: Labelled ids that are broadcast (9 bytes each); beyond, the rows are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Distinct trigrams that a task gathers before it passes their counts on, and words in a block of documents.
+#: Trigrams that a task gathers before it merges them and passes their counts on, and words in a block of documents.
 GATHER, BLOCK = 1 << 19, 1 << 19
 #: Parts of the documents that are asked for, answered and scored one after another, so that only one part's lists are kept at a time.
 ROUNDS = 4
@@ -76,26 +76,43 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
     return own[np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1]))]
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys, and where each distinct one begins in it."""
+    order = np.argsort(keys)
+    own = keys[order]
+    return order, np.flatnonzero(np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1])))
+
+
+def _sums(n: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of whole numbers over the stretches that begin there."""
+    return np.add.reduceat(n, begins, dtype=np.int64) if len(begins) else np.zeros(0, np.int64)
+
+
 def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, sums of n, and a place of each."""
-    own, at, back = np.unique(keys, return_index=True, return_inverse=True)
-    return own, np.bincount(back, n, len(own)).astype(np.int64), at
+    order, begins = _groups(keys)
+    at = order[begins]
+    return keys[at], _sums(n[order], begins), at
 
 
 def _vocabulary(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct words, the frequent ones first by powers of two, and the place of each word among them."""
-    own, at, n = np.unique(words, return_inverse=True, return_counts=True)
-    order = np.lexsort((own, -np.floor(np.log2(n))))
-    place = np.empty(len(own), np.int64)
-    place[order] = np.arange(len(own))
-    return own[order], place[at]
+    sort, begins = _groups(words)
+    n = np.diff(np.concatenate((begins, [len(words)])))
+    order = np.argsort(-np.frexp(n)[1].astype(np.int8), kind="stable")
+    place = np.empty(len(n), np.int64)
+    place[order] = np.arange(len(n))
+    at = np.empty(len(words), np.int64)
+    at[sort] = np.repeat(place, n)
+    return words[sort[begins]][order], at
 
 
 def _coded(*cols: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes]:
     """Columns of word hashes as places in their own vocabulary, with counts."""
     words, at = _vocabulary(np.concatenate(cols))
-    cols = at.reshape(len(cols), -1)
-    order = np.lexsort(cols[::-1])
+    cols, bits = at.reshape(len(cols), -1), len(words).bit_length()
+    # as one number where they fit, which sorts faster than one column after another
+    order = np.argsort(sum(c << bits * k for k, c in enumerate(cols[::-1]))) if bits * len(cols) < 64 else np.lexsort(cols[::-1])
     return packed(words), packed(*cols[:, order], n[order])
 
 
@@ -112,9 +129,9 @@ def _levels(n: np.ndarray) -> bytes:
     return packed(np.arange(1, 7), np.concatenate(((n[:, None] == np.arange(1, 5)).sum(0), [len(n), n.sum()])))
 
 
-def _parts(of: np.ndarray, n: np.ndarray, back: np.ndarray, size: int) -> list[np.ndarray]:
-    """By group: the sum of n, and how many have n of 1, 2 and more."""
-    return [np.bincount(back, n, size).astype(np.int64), *(np.bincount(back[x], minlength=size) for x in (n == 1, n == 2, n > 2))]
+def _parts(n: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
+    """Of each stretch: the sum of n, and how many have n of 1, 2 and more."""
+    return [_sums(x, begins) for x in (n, n == 1, n == 2, n > 2)]
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -131,9 +148,9 @@ def _count_trigrams(texts: DataFrame, shards: int) -> DataFrame:
         return [(s, PARTS, *_coded(a[p], b[p], c[p], n=n[p])) for s in np.flatnonzero(np.diff(at)).tolist() if len(p := order[at[s] : at[s + 1]])]
 
     def merged(held: list) -> list:
-        k, a, b, c, n = (np.concatenate(x) for x in zip(*held))
-        k, n, at = _summed(k, n)
-        return [k, a[at], b[at], c[at], n]
+        a, b, c, n = (np.concatenate(x) for x in zip(*held))
+        _, n, at = _summed(_triple(pair(a, b), c), n)
+        return [a[at], b[at], c[at], n]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, waiting = [], 0
@@ -141,28 +158,29 @@ def _count_trigrams(texts: DataFrame, shards: int) -> DataFrame:
             for _, _, c, doc in word_hashes(batch.column(0)):
                 c = c >> WORD_BITS
                 a, b = _before(c, doc)
-                held.append(merged([[_triple(pair(a, b), c), a, b, c, np.ones(len(c), np.int64)]]))
-                waiting += len(held[-1][0])
+                held.append([a, b, c, np.ones(len(c), np.int64)])
+                waiting += len(c)
                 if waiting > GATHER:
                     held = [merged(held)]
                     waiting = len(held[0][0])
                     if waiting > GATHER // 2:
-                        yield from _table(sent(*held[0][1:])).to_batches()
+                        yield from _table(sent(*held[0])).to_batches()
                         held, waiting = [], 0
         if waiting:
-            yield from _table(sent(*merged(held)[1:])).to_batches()
+            yield from _table(sent(*merged(held))).to_batches()
 
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
         give_back()
         a, b, c, n = _decoded(rows)
         context = pair(a, b)
         k, n, at = _summed(_triple(context, c), n)
-        own, back = np.unique(context[at], return_inverse=True)
-        b, c = b[at], c[at]
-        out = [(key[0].as_py(), TRIGRAMS, None, packed(k >> SHARD_BITS, n)), (key[0].as_py(), CONTEXTS, None, packed(own >> SHARD_BITS, *_parts(own, n, back, len(own)))), (0, LEVELS, None, _levels(n))]
+        context, b, c = context[at], b[at], c[at]
+        order, begins = _groups(context)
+        out = [(key[0].as_py(), TRIGRAMS, None, packed(k >> SHARD_BITS, n)), (key[0].as_py(), CONTEXTS, None, packed(context[order[begins]] >> SHARD_BITS, *_parts(n[order], begins))), (0, LEVELS, None, _levels(n))]
         tail, left, at = _summed(pair(b, c), np.ones(len(b), np.int64))
+        b, c = b[at], c[at]
         order, edges = _cut(_shard(tail, shards), shards)
-        return _table(out + [(s, PARTS, *_coded(b[at][p], c[at][p], n=left[p])) for s in np.flatnonzero(np.diff(edges)).tolist() if len(p := order[edges[s] : edges[s + 1]])])
+        return _table(out + [(s, PARTS, *_coded(b[p], c[p], n=left[p])) for s in np.flatnonzero(np.diff(edges)).tolist() if len(p := order[edges[s] : edges[s + 1]])])
 
     return texts.mapInArrow(gather, ROWS).groupBy("shard").applyInArrow(finish, ROWS)
 
@@ -174,8 +192,11 @@ def _count_bigrams(counts: DataFrame, shards: int) -> DataFrame:
         give_back()
         b, c, n = _decoded(rows)
         k, n, at = _summed(pair(b, c), n)
-        words, back = np.unique(mixed(np.concatenate((b[at], c[at]))), return_inverse=True)
-        cols = [np.bincount(back[len(k) :], minlength=len(words)), *_parts(words, n, back[: len(k)], len(words))]
+        words = mixed(np.concatenate((b[at], c[at])))
+        order, begins = _groups(words)
+        words, starts = words[order[begins]], order < len(k)
+        own = np.where(starts, n[order % max(1, len(k))], 0)
+        cols = [_sums(~starts, begins), *_parts(own, begins)]
         order, edges = _cut(_shard(words, shards), shards)
         sent = [(s, PARTS, None, packed(words[p], *(x[p] for x in cols))) for s in np.flatnonzero(np.diff(edges)).tolist() if len(p := order[edges[s] : edges[s + 1]])]
         return _table([(key[0].as_py(), BIGRAMS, None, packed(k >> SHARD_BITS, n)), (0, LEVELS, None, _levels(n)), *sent])
@@ -187,8 +208,8 @@ def _count_words(counts: DataFrame) -> DataFrame:
     def finish(key: tuple, rows: pa.Table) -> pa.Table:
         give_back()
         parts = np.concatenate([unpacked(x.as_py()) for x in rows.column("data")], 1)
-        words, back = np.unique(parts[0], return_inverse=True)
-        cols = [np.bincount(back, x.astype(np.int64), len(words)).astype(np.int64) for x in parts[1:]]
+        order, begins = _groups(parts[0])
+        words, cols = parts[0][order[begins]], [_sums(x[order].astype(np.int64), begins) for x in parts[1:]]
         ends = cols[0][cols[0] > 0]
         return _table([(key[0].as_py(), WORDS, None, packed(words >> SHARD_BITS, *cols)), (0, LEVELS, None, _levels(ends))])
 

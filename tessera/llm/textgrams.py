@@ -35,15 +35,28 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def packed(*cols: np.ndarray) -> bytes:
-    """Columns of whole numbers of one length, the first in rising order, as bytes: differences, then byte by byte."""
-    rows = np.stack([np.asarray(c).astype(_U) for c in cols])
-    rows[0] = np.diff(rows[0], prepend=_U(0))
-    return len(cols).to_bytes(1, "little") + zstandard.compress(rows.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """Columns of whole numbers of one length, the first in rising order, as bytes: differences, then byte by byte, of each column as many bytes as it needs."""
+    widths, planes = [], []
+    for k, col in enumerate(cols):
+        col = np.ascontiguousarray(np.asarray(col).astype(_U))
+        if not k:
+            col = np.diff(col, prepend=_U(0))
+        widths.append(max(1, -(-int(col.max(initial=0)).bit_length() // 8)))
+        # a plane at a time: a transposed array is copied byte by byte, many times as slowly
+        planes += [col.view(np.uint8)[b::8] for b in range(widths[-1])]
+    return bytes((len(cols), *widths)) + zstandard.compress(np.concatenate(planes), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
     """The columns again, as rows of an array."""
-    rows = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(8, -1).T.copy().view(_U).reshape(data[0], -1)
+    widths = data[1 : 1 + data[0]]
+    planes = iter(np.frombuffer(zstandard.decompress(data[1 + data[0] :]), np.uint8).reshape(sum(widths), -1))
+    rows = None
+    for k, width in enumerate(widths):
+        for b in range(width):
+            plane = next(planes)
+            rows = np.zeros((len(widths), len(plane)), _U) if rows is None else rows
+            rows[k].view(np.uint8)[b::8] = plane
     rows[0] = np.cumsum(rows[0], dtype=_U)
     return rows
 

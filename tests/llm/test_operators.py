@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -497,6 +498,13 @@ def test_shingles_do_not_depend_on_segments():
     assert len(whole) == 23 and whole[-2] == whole[-3] == []
 
 
+def test_packed_columns_take_the_bytes_they_need():
+    for cols in ([[]], [[3]], [[5, 5, 2**63, 2**64 - 1]], [[7, 2, 300]], [[0, 0, 0], [1, 256, 2**40]], [[], []]):
+        assert textgrams.unpacked(textgrams.packed(*(np.array(c, np.uint64) for c in cols))).tolist() == cols
+    told = textgrams.packed(np.arange(1000), np.ones(1000))
+    assert len(zstandard.decompress(told[1 + told[0] :])) == 2000  # 16000 before
+
+
 def test_workers_keep_small_tables_of_powers(monkeypatch):
     monkeypatch.setattr(textgrams, "_powers", (np.zeros(0, np.uint64), np.zeros(0, np.uint64)))
     texts = pa.array([prose(i, 400) for i in range(2000)])
