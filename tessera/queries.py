@@ -384,7 +384,8 @@ def streamed_requests(spark, sf_dir):
     """The requests that a stream of hints has given out once it has read the table."""
     folder = f"{shared_folder(spark)}/tessera-runs/stream-{uuid.uuid4().hex}"
     schema = read(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # a pattern, as a stream takes a single file by one only; a folder of files matches too
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
     rows = spark.sql(HINTS, events=events).withColumn("ts", F.col("ts").cast("timestamp"))
     found = debounce.stream_requests(rows, 600, 1800, settle=0, late=3600, buffer=100_000)
     writer = found.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")

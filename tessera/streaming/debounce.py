@@ -11,8 +11,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.streaming.hints import RESCAN, meaningful
 
-#: Hints that wait for a root at most; one more gives them all up for a rescan (fixed value).
+#: Hints that wait for a root at most, once what has ended is given out; one more gives them all up for a rescan (fixed value).
 BUFFER = 256
+#: Rows of requests that are given out at once.
+ROWS = 10_000
 REQUEST = "root {}, request long, path string, operations int, kind string, reason string, sequence long"
 HINT = "at long, sequence long, path string, operations int, kind string, reason string"
 
@@ -34,11 +36,12 @@ class Debounce(StatefulProcessor):
 
     Two timers for each open request: after its last hint by the quiet time, after its first by the longest
     delay. Event time counts as settled `settle` behind the newest hint, where the stream's
-    watermark is `late` behind; timers stand at the difference.
+    watermark is `late` behind; timers stand at the difference. Where a batch brings more hints than
+    may wait, the requests that its own newest hint settles don't wait for the watermark.
     """
 
     def __init__(self, quiet: float, most: float, settle: float, late: float, buffer: int):
-        self.quiet, self.most, self.behind, self.buffer = round(quiet * 1e6), round(most * 1e6), round((late - settle) * 1e6), buffer
+        self.quiet, self.most, self.settle, self.behind, self.buffer = round(quiet * 1e6), round(most * 1e6), round(settle * 1e6), round((late - settle) * 1e6), buffer
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -53,18 +56,28 @@ class Debounce(StatefulProcessor):
         for at in self.handle.listTimers():
             self.handle.deleteTimer(at)
         if pending:
-            first, last = pending[0][0], self._last(pending)
+            first, last = pending[0][0], pending[self._end(pending, 0) - 1][0]
             for close in {last + self.quiet, first + self.most}:
                 self.handle.registerTimer(max(0, -(-(close - self.behind) // 1000)))
 
-    def _last(self, pending: list[tuple]) -> int:
-        """The time of the last hint of the first open request."""
-        first = last = pending[0][0]
-        for at, *_ in pending:
-            if at >= last + self.quiet or at >= first + self.most:
+    def _end(self, pending: list[tuple], begin: int) -> int:
+        """Where the request that begins at a place ends."""
+        first, end = pending[begin][0], begin + 1
+        while end < len(pending) and pending[end][0] < pending[end - 1][0] + self.quiet and pending[end][0] < first + self.most:
+            end += 1
+        return end
+
+    def _ended(self, pending: list[tuple], settled: int) -> list[tuple[int, int, int]]:
+        """(begin, end, close) of the requests that have ended, in order."""
+        out, begin = [], 0
+        while begin < len(pending):
+            end = self._end(pending, begin)
+            close = min(pending[end - 1][0] + self.quiet, pending[begin][0] + self.most)
+            if close > settled:
                 break
-            last = at
-        return last
+            out.append((begin, end, close))
+            begin = end
+        return out
 
     def _keep(self, pending: list[tuple], requests: int, until: int) -> None:
         if pending:
@@ -74,8 +87,19 @@ class Debounce(StatefulProcessor):
         self.past.update((requests, until))
         self._timers(pending)
 
-    def _rows(self, key: tuple, number: int, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], number, *r) for r in rows], columns=["root", "request", "path", "operations", "kind", "reason", "sequence"])
+    def _rows(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["root", "request", "path", "operations", "kind", "reason", "sequence"])
+
+    def _given(self, key: tuple, pending: list[tuple], ended: list[tuple[int, int, int]], requests: int) -> Iterator[pd.DataFrame]:
+        """Rows of requests that have ended; one of more hints than may wait is a rescan."""
+        rows: list[tuple] = []
+        for number, (begin, end, _) in enumerate(ended, requests + 1):
+            own = pending[begin:end]
+            found = _coalesced(own) if len(own) <= self.buffer else [("", RESCAN, "unknown", "overflow", min(h[1] for h in own))]
+            rows += [(number, *r) for r in found]
+            if len(rows) >= ROWS or end == ended[-1][1]:
+                yield self._rows(key, rows)
+                rows = []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pending, requests, until = self._held()
@@ -84,6 +108,9 @@ class Debounce(StatefulProcessor):
             for h in frame[["at", "sequence", "path", "operations", "kind", "reason"]].itertuples(index=False, name=None):
                 (late if h[0] < until else pending).append((int(h[0]), int(h[1]), h[2], int(h[3]), h[4], h[5]))
         pending.sort()
+        if len(pending) > self.buffer and (ended := self._ended(pending, pending[-1][0] - self.settle)):
+            yield from self._given(key, pending, ended, requests)
+            pending, requests, until = pending[ended[-1][1] :], requests + len(ended), ended[-1][2]
         if len(pending) > self.buffer:
             # the hints are given up; two marks keep the request's times
             lost = min(h[1] for h in pending)
@@ -91,19 +118,14 @@ class Debounce(StatefulProcessor):
         self._keep(pending, requests, until)
         if late:
             # the request that would have held them is gone
-            yield self._rows(key, 0, [("", RESCAN, "unknown", "late", min(h[1] for h in late))])
+            yield self._rows(key, [(0, "", RESCAN, "unknown", "late", min(h[1] for h in late))])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         settled = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000 + self.behind
         pending, requests, until = self._held()
-        while pending:
-            last = self._last(pending)
-            close = min(last + self.quiet, pending[0][0] + self.most)
-            if close > settled:
-                break
-            own = [h for h in pending if h[0] <= last]
-            pending, requests, until = pending[len(own) :], requests + 1, close
-            yield self._rows(key, requests, _coalesced(own))
+        if ended := self._ended(pending, settled):
+            yield from self._given(key, pending, ended, requests)
+            pending, requests, until = pending[ended[-1][1] :], requests + len(ended), ended[-1][2]
         self._keep(pending, requests, until)
 
 
@@ -113,8 +135,9 @@ def stream_requests(hints: DataFrame, quiet: float = 0.25, most: float = 2.0, se
     hints: a stream of root, ts, sequence, path, operations, kind, reason. A request ends when no
     hint has come for `quiet` seconds, `most` seconds after its first at the latest. Hints may come
     `settle` seconds out of order. One that comes later, for a request that was given out, or more
-    than `buffer` at once, makes a rescan (path '', reason `late` and request 0, or `overflow`), so
-    that nothing is lost in silence; only what is over `late` seconds behind the newest hint doesn't
+    than `buffer` that wait or are one request's, makes a rescan (path '', reason `late` and request
+    0, or `overflow`), so that nothing is lost in silence; hints of one batch whose requests have
+    ended by its newest don't wait. Only what is over `late` seconds behind the newest hint doesn't
     arrive here at all, which Spark counts. Needs the RocksDB state store.
     """
     if late < settle:

@@ -76,3 +76,31 @@ def test_too_many_hints_become_a_rescan(spark, tmp_path):
     assert got[0][1:] == (1, "", hints.RESCAN, "unknown", "overflow", 0)
     scoped = hints.scopes(spark.createDataFrame([r for r in got if r[1] == 1], "root string, request long, path string, operations int, kind string, reason string, sequence long"))
     assert scoped.select(F.col("mode")).first()[0] == "full"
+
+
+def test_more_hints_in_a_batch_than_may_wait(spark, tmp_path):
+    # 600 hints of 60 requests in one batch: all but the last have ended by its newest hint
+    rows = [hint(5000 * (i // 10) + i % 10, i, f"p{i % 3}") for i in range(600)]
+    got = streamed(spark, tmp_path, [rows, [END]], quiet=0.25, most=2.0, buffer=256)
+    assert got == batch(spark, rows, 0.25, 2.0) and len({r[1] for r in got}) == 60
+    # what no newer hint settles waits as before
+    waits = streamed(spark, tmp_path / "again", [rows, [END]], quiet=0.25, most=2.0, settle=4000.0, late=4000.0, buffer=256)
+    assert [r[5] for r in waits] == ["overflow"] * 2
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_a_table_of_many_hints_is_read_whole(spark, tmp_path, parts):
+    from tessera.queries import QUERIES, read
+
+    # more than 100,000 hints of a root, in one file or in a folder of files
+    events = read(spark, "/root/testdata/sf0.01", "events").where("event_id < 3000")
+    many = events.crossJoin(spark.range(60)).selectExpr("event_id * 60 + id AS event_id", "ts", "user_id * 4 AS user_id", "'click' AS event_type", "value", "props").coalesce(max(1, parts))
+    if parts:
+        many = many.repartition(parts)
+        many.write.parquet(str(tmp_path / "events.parquet"))
+    else:
+        many.write.parquet(str(tmp_path / "folder"))
+        next((tmp_path / "folder").glob("part-*.parquet")).rename(tmp_path / "events.parquet")
+    got, batched = QUERIES["streamed_requests"](spark, str(tmp_path)), QUERIES["coalesced_hints"](spark, str(tmp_path))
+    closed = batched.where(F.col("request") < batched.agg(F.max("request")).first()[0]).select("root", "request", "path", F.col("operations").cast("int"), "kind", "reason", "sequence")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in closed.collect()) and got.count() > 1000
