@@ -55,19 +55,55 @@ def at_position(points: DataFrame, ranges: DataFrame, bin: int = 1024) -> DataFr
     return inside.groupBy("path", "pos").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "id")).alias("best")).select("path", "pos", F.col("best.id").alias("id"))
 
 
-def at_line_column(points: DataFrame, ranges: DataFrame, key: list[str], bin: int = 64) -> DataFrame:
+def _pieces(ranges: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(path, row, level, node, span, id): what a range holds whole, as nodes of binary trees.
+
+    Each file has a tree over its lines (row -1), for those between a range's first and last one,
+    and each line a tree over its columns, for its first and last line. Numbers count from the
+    least of the points and end with the greatest, so that a tree is no higher than they ask for.
+    """
+    span = ((F.col("end_line") - F.col("start_line")).cast("long") * 100_000 + F.col("end_col") - F.col("start_col")).alias("span")
+    longs = [F.col(c).cast("long").alias(c) for c in ("start_line", "start_col", "end_line", "end_col")]
+    near = ranges.select("path", *longs, span, "id").where("start_line <= end_line").join(bounds, "path").where("start_line <= high_line AND end_line >= low_line")
+    one = "start_line = end_line"
+    between = "IF(start_line < end_line, struct(-1L AS row, greatest(start_line + 1, low_line) - low_line AS begin, least(end_line - 1, high_line) - low_line + 1 AS stop), NULL)"
+    first = f"IF(start_line >= low_line AND start_col IS NOT NULL AND NOT ({one} AND end_col IS NULL), struct(start_line - low_line AS row, greatest(start_col, low_col) - low_col AS begin, IF({one}, least(end_col, high_col), high_col) - low_col + 1 AS stop), NULL)"
+    last = f"IF(end_line <= high_line AND NOT {one} AND end_col IS NOT NULL, struct(end_line - low_line AS row, 0L AS begin, least(end_col, high_col) - low_col + 1 AS stop), NULL)"
+    parts = near.select("path", "span", "id", F.explode(F.array(F.expr(between), F.expr(first), F.expr(last))).alias("p")).select("path", "span", "id", "p.*").where("begin < stop")
+    # of each level, the nodes that lie within and whose parent does not
+    levels = parts.withColumn("level", F.explode(F.expr("sequence(0, length(bin(stop - begin)) - 1)")))
+    levels = levels.withColumn("low", F.expr("shiftright(begin + shiftleft(1L, level) - 1, level)")).withColumn("high", F.expr("shiftright(stop, level)")).where("low < high")
+    ends = F.array(F.when(F.col("low") % 2 == 1, F.col("low")), F.when(F.col("high") % 2 == 1, F.col("high") - 1))
+    return levels.select("path", "row", "level", F.explode(ends).alias("node"), "span", "id").where("node IS NOT NULL")
+
+
+def tightest(places: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(path, line, col, best): the tightest range's span and id around each place that some range is around.
+
+    A range is cut into nodes of trees over lines and columns that it holds whole, a few for each
+    power of two of its length, and the best of each node is kept; a place meets the nodes above
+    it. So ranges, however many lie around a place, never meet it one by one.
+    """
+    places = places.select("path", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col")).where("path IS NOT NULL AND line IS NOT NULL").distinct()
+    bounds = places.groupBy("path").agg(F.min("line").alias("low_line"), F.max("line").alias("high_line"), F.min("col").alias("low_col"), F.max("col").alias("high_col"))
+    best = _pieces(ranges, bounds).groupBy("path", "row", "level", "node").agg(F.min(F.struct("span", "id")).alias("best"))
+    rows = places.join(bounds, "path").withColumn("row", F.explode(F.expr("IF(col IS NULL, array(-1L), array(-1L, line - low_line))")))
+    levels = rows.withColumn("level", F.explode(F.expr("sequence(0, length(bin(IF(row < 0, high_line - low_line, high_col - low_col))))")))
+    above = levels.select("path", "line", "col", "row", "level", F.expr("shiftright(IF(row < 0, line - low_line, col - low_col), level)").alias("node"))
+    return above.join(best, ["path", "row", "level", "node"]).groupBy("path", "line", "col").agg(F.min("best").alias("best"))
+
+
+def at_line_column(points: DataFrame, ranges: DataFrame, key: list[str]) -> DataFrame:
     """The tightest range around each point, by lines and columns: key columns and id.
 
     points: key, path, line, col; ranges: path, start_line, start_col, end_line, end_col, id.
     Columns count only on a range's first and last line. A line weighs 100,000 columns; ties go
-    to the smaller id. Ranges are cut into bins of lines, so that a point meets those near it.
+    to the smaller id. Points in one place are looked up once.
     """
-    cut = ranges.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_line") / bin), F.floor(F.greatest("start_line", "end_line") / bin))))
-    met = points.withColumn("bin", F.floor(F.col("line") / bin)).join(cut, ["path", "bin"])
-    after = (F.col("line") > F.col("start_line")) | ((F.col("line") == F.col("start_line")) & (F.col("col") >= F.col("start_col")))
-    before = (F.col("line") < F.col("end_line")) | ((F.col("line") == F.col("end_line")) & (F.col("col") <= F.col("end_col")))
-    span = ((F.col("end_line") - F.col("start_line")).cast("long") * 100_000 + F.col("end_col") - F.col("start_col")).alias("span")
-    return met.where(after & before).groupBy(*key).agg(F.min(F.struct(span, "id")).alias("best")).select(*key, F.col("best.id").alias("id"))
+    found = tightest(points, ranges).select(F.col("path").alias("_path"), F.col("line").alias("_line"), F.col("col").alias("_col"), "best")
+    at = (F.col("path") == F.col("_path")) & (F.col("line") == F.col("_line")) & F.col("col").eqNullSafe(F.col("_col"))
+    met = points.select(*dict.fromkeys([*key, "path", "line", "col"])).join(found.hint("shuffle_hash"), at)
+    return met.groupBy(*key).agg(F.min("best").alias("best")).select(*key, F.col("best.id").alias("id"))
 
 
 def named_keys(symbols: DataFrame) -> DataFrame:

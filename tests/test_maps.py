@@ -72,6 +72,57 @@ def test_ranges_within_lines(spark):
     assert {tuple(r)[:3]: r.id for r in got.collect()} == want
 
 
+RANGE = "path string, start_line int, start_col int, end_line int, end_col int, id long"
+
+
+def joined_rows(df):
+    """Rows that the joins of a frame's plan gave out."""
+    df.collect()
+    waiting, total = [df._jdf.queryExecution().executedPlan()], 0
+    while waiting:
+        plan = waiting.pop()
+        name = plan.nodeName()
+        if "QueryStage" in name:
+            plan = plan.plan()
+        elif name == "AdaptiveSparkPlan":
+            plan = plan.executedPlan()
+        if "Join" in plan.nodeName():
+            total += plan.metrics().apply("numOutputRows").value()
+        waiting.append(plan) if plan.nodeName() != name else waiting.extend(plan.children().apply(i) for i in range(plan.children().size()))
+    return total
+
+
+def random_ranges(rng, n, lines, cols):
+    some = lambda most: None if rng.random() < 0.03 else rng.randrange(-2, most)
+    out = []
+    for i in range(n):
+        line = rng.randrange(lines)
+        out.append((rng.choice("abc"), line, some(cols), line + rng.choice([0, 0, 1, 2, 5, 40, -1]), some(2**31 - 1) if rng.random() < 0.1 else some(cols), i))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ranges_equal_a_plain_search(spark, seed):
+    rng = random.Random(seed)
+    lines, cols = [(70, 90), (3, 1000), (4000, 6)][seed]
+    held = random_ranges(rng, 300, lines, cols)
+    points = [(k, rng.choice("abcd"), rng.randrange(-1, lines), None if rng.random() < 0.05 else rng.randrange(-3, cols)) for k in range(500)]
+    ranges = spark.createDataFrame(held, RANGE)
+    asked = spark.createDataFrame([*points, *points[:20], (7, "a", None, 3), (8, None, 4, 4)], "request long, path string, line int, col int")
+    asked.createOrReplaceTempView("asked"), ranges.createOrReplaceTempView("held")
+    want = spark.sql("""SELECT request, min(struct((end_line - start_line) * 100000L + end_col - start_col, id)).id FROM asked p JOIN held r ON p.path = r.path
+    WHERE (line > start_line OR (line = start_line AND col >= start_col)) AND (line < end_line OR (line = end_line AND col <= end_col)) GROUP BY request""")
+    got = resolve.at_line_column(asked, ranges, ["request"])
+    assert rows(got) == rows(want) and len(rows(want)) > 50
+
+
+def test_ranges_of_one_file_do_not_multiply(spark):
+    n = 4000
+    ranges = spark.range(n).selectExpr("'a' AS path", "int(id % 50) AS start_line", "int(id % 31) AS start_col", "int(id % 50 + id % 4) AS end_line", "int(id % 31 + id % 41) AS end_col", "id")
+    points = spark.range(n).selectExpr("id AS request", "'a' AS path", "int(id % 55) AS line", "int(id % 60) AS col")
+    assert joined_rows(resolve.at_line_column(points, ranges, ["request"])) < 40 * n  # all pairs of near lines are about n * n
+
+
 def test_subjects_go_step_by_step(spark):
     symbols = spark.createDataFrame([(1, "run", "a.run", "x/a.go", "function", "o1"), (2, "run", "b::run", "y/b.go", "file", None), (3, "sole", "c.other", "x/c.go", "function", "3")], "id long, name string, qualified string, path string, kind string, occurrence string")
     ranges = spark.createDataFrame([("x/a.go", 1, 0, 9, 0, 1)], "path string, start_line int, start_col int, end_line int, end_col int, id long")
