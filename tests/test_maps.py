@@ -137,6 +137,15 @@ def test_subjects_go_step_by_step(spark):
     assert {r.request: tuple(r)[1:] for r in got.collect()} == want
 
 
+def test_subjects_by_position_do_not_multiply(spark):
+    n = 4000
+    symbols = spark.range(n).selectExpr("id", "concat('n', id % 3) AS name", "concat('p.n', id % 3) AS qualified", "'a' AS path", "'function' AS kind", "concat('o', id) AS occurrence")
+    ranges = spark.range(n).selectExpr("'a' AS path", "int(id % 50) AS start_line", "int(id % 31) AS start_col", "int(id % 50 + id % 4) AS end_line", "int(id % 31 + id % 41) AS end_col", "id")
+    asked = spark.range(n).selectExpr("id AS request", "bigint(null) AS symbol_id", "string(null) AS occurrence_id", "'' AS identifier", "'a' AS path", "int(id % 55) AS line", "int(id % 60) AS col")
+    got = navigation.subjects(asked, symbols, ranges)
+    assert joined_rows(got) < 60 * n and {r.step for r in got.collect()} == {"position", "missing"}
+
+
 def test_packages_of_modules(spark):
     files = spark.createDataFrame([("go.mod", "module ex.com/a\r\ngo 1"), ("b/go.mod", "\n module  ex.com/a/b/ \n"), ("c/go.mod", "module ex.com/c extra\nmodules ex.com/c"), ("d/readme", "module ex.com/d"), ("e/go.mod", None)], "path string, content string")
     imports = spark.createDataFrame([("ex.com/a",), ("ex.com/a/b",), ("ex.com/a/b/x",), ("ex.com/a/z",), ("ex.com/ab",), ("ex.com/c",), ("",), (None,), ("ex.com/a",)], "import_path string")
