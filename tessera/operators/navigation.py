@@ -93,10 +93,12 @@ def exact_targets(facts: DataFrame, symbols: DataFrame, ranges: DataFrame) -> Da
     lead nowhere; the others to the tightest range's symbol, if that is named as the identifier
     and is neither a file nor an import. Several symbols are ambiguous.
     """
-    inside = facts.where("path NOT LIKE '%://%' AND line >= 1").withColumn("fact", F.struct("line", "col", "path"))
-    points = inside.select("request", "identifier", "path", "line", "col").distinct()
-    met = resolve.at_line_column(points, ranges, ["request", "identifier", "path", "line", "col"])
-    named = met.join(symbols.select("id", "name", "kind"), "id").where("kind NOT IN ('file', 'import') AND name = identifier")
+    inside = facts.where("path NOT LIKE '%://%' AND line >= 1")
+    met = resolve.tightest(inside, ranges).select("path", "line", "col", F.col("best.id").alias("id"))
+    told = met.join(symbols.select("id", "name", "kind"), "id").where("kind NOT IN ('file', 'import')").select(*[F.col(c).alias(f"_{c}") for c in ("path", "line", "col", "name")], "id")
+    # places are few beside the facts that lie there, which are shuffled once
+    same = (F.col("path") == F.col("_path")) & (F.col("line") == F.col("_line")) & F.col("col").eqNullSafe(F.col("_col")) & (F.col("identifier") == F.col("_name"))
+    named = inside.select("request", "identifier", "path", "line", "col").join(told.hint("shuffle_hash"), same)
     found = named.groupBy("request").agg(F.count_distinct("id").alias("n"), F.min("id").alias("target"))
     each = facts.select("request").distinct().join(found, "request", "left")
     return each.select("request", F.when(F.col("n") == 1, F.col("target")).alias("target"), F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, "ambiguous").otherwise("none").alias("outcome"))

@@ -123,6 +123,25 @@ def test_ranges_of_one_file_do_not_multiply(spark):
     assert joined_rows(resolve.at_line_column(points, ranges, ["request"])) < 40 * n  # all pairs of near lines are about n * n
 
 
+def test_facts_meet_their_places_once(spark):
+    n = 4000
+    ranges = spark.range(n).selectExpr("'a' AS path", "int(id % 50) AS start_line", "int(id % 31) AS start_col", "int(id % 50 + id % 4) AS end_line", "int(id % 31 + id % 41) AS end_col", "id")
+    symbols = spark.range(n).selectExpr("id", "concat('n', id % 3) AS name", "if(id % 6 = 0, 'file', 'function') AS kind")
+    facts = spark.range(n).selectExpr("id div 4 AS request", "concat('n', id % 2) AS identifier", "if(id % 17 = 0, 'jar://x', 'a') AS path", "int(id % 55) AS line", "if(id % 19 = 0, null, int(id % 60)) AS col")
+    facts = facts.unionByName(facts.where("request < 50"))
+    for name, frame in (("f", facts), ("r", ranges), ("s", symbols)):
+        frame.createOrReplaceTempView(name)
+    want = spark.sql("""WITH m AS (SELECT request, identifier, f.path, line, col, min(struct((end_line - start_line) * 100000L + end_col - start_col, id)).id AS id FROM (SELECT DISTINCT * FROM f) f JOIN r ON f.path = r.path
+    WHERE line >= 1 AND (line > start_line OR (line = start_line AND col >= start_col)) AND (line < end_line OR (line = end_line AND col <= end_col)) GROUP BY ALL),
+    t AS (SELECT request, count(DISTINCT m.id) AS n, min(m.id) AS target FROM m JOIN s ON s.id = m.id AND kind <> 'file' AND name = identifier GROUP BY request)
+    SELECT request, if(n = 1, target, NULL), CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'ambiguous' ELSE 'none' END FROM (SELECT DISTINCT request FROM f) LEFT JOIN t USING (request)""")
+    key = lambda r: (r[0], r[2])
+    got = navigation.exact_targets(facts, symbols, ranges)
+    found = sorted((tuple(r) for r in got.collect()), key=key)
+    assert found == sorted((tuple(r) for r in want.collect()), key=key) and {r[2] for r in found} == {"exact", "ambiguous", "none"}
+    assert joined_rows(got) < 60 * n
+
+
 def test_subjects_go_step_by_step(spark):
     symbols = spark.createDataFrame([(1, "run", "a.run", "x/a.go", "function", "o1"), (2, "run", "b::run", "y/b.go", "file", None), (3, "sole", "c.other", "x/c.go", "function", "3")], "id long, name string, qualified string, path string, kind string, occurrence string")
     ranges = spark.createDataFrame([("x/a.go", 1, 0, 9, 0, 1)], "path string, start_line int, start_col int, end_line int, end_col int, id long")
