@@ -63,14 +63,26 @@ def package_seeds(targets: DataFrame, symbols: DataFrame, most: int = SEEDS) ->
 def member_seeds(targets: DataFrame, symbols: DataFrame, most: int = SEEDS) -> DataFrame:
     """(target, place, id): symbols of a type's directory whose qualified name goes through the type's.
 
-    targets: target (an id), name, qualified, path; symbols: id, name, qualified, kind, path.
+    targets: target (an id), name, qualified, path; symbols: id (its own), name, qualified, kind,
+    path. What a qualified name goes through ends before a dot, so symbols meet the names that are
+    asked for in an equi-join, by stretches of their lengths; of each name in a directory the first
+    are kept, one more than a target shows as it may be itself among them.
     """
     n, k = F.col("name"), F.col("kind")
-    own = symbols.select("id", "name", F.col("qualified").alias("full"), "path", directory(F.col("path")).alias("dir"), (definition_priority(n, k) + F.when(_public(n, k), 0).otherwise(10)).alias("priority"))
+    own = symbols.where("id IS NOT NULL AND contains(qualified, '.')").select("id", "name", F.col("qualified").alias("full"), "path", directory(F.col("path")).alias("dir"), (definition_priority(n, k) + F.when(_public(n, k), 0).otherwise(10)).alias("priority"))
     asked = targets.select("target", F.col("name").alias("type"), F.col("qualified").alias("owner"), directory(F.col("path")).alias("dir"))
-    through = ((F.col("owner") != "") & F.contains("full", F.concat("owner", F.lit(".")))) | ((F.col("type") != "") & F.contains("full", F.concat("type", F.lit("."))))
-    met = asked.join(own, "dir").where((F.col("id") != F.col("target")) & through)
-    ranked = met.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy("priority", "path", "name", "id")))
+    names = asked.select("dir", F.explode(F.array("type", "owner")).alias("through")).where("through <> ''").distinct()
+    lengths = names.groupBy("dir").agg(F.collect_set(F.length("through")).alias("lengths"))
+    dots = "filter(sequence(1, length(full)), i -> substring(full, i, 1) = '.')"
+    through = f"array_distinct(flatten(transform({dots}, i -> transform(filter(lengths, n -> n < i), n -> substring(full, i - n, n)))))"
+    met = own.join(lengths, "dir").withColumn("through", F.explode(F.expr(through))).drop("lengths").join(names, ["dir", "through"])
+    order = ["priority", "path", "name", "id"]
+    first = met.withColumn("rank", F.dense_rank().over(Window.partitionBy("dir", "through").orderBy(*order))).where(F.col("rank") <= most + 1).drop("rank")
+    by_type = asked.select("target", "dir", F.col("type").alias("through"), F.lit(None).cast("string").alias("but"))
+    by_owner = asked.select("target", "dir", F.col("owner").alias("through"), F.when(F.col("type") != "", F.concat("type", F.lit("."))).alias("but"))
+    # what an owner has beyond what its type has
+    found = by_type.unionByName(by_owner).join(first, ["dir", "through"]).where("id <> target AND NOT coalesce(contains(full, but), false)")
+    ranked = found.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy(*order)))
     return ranked.where(F.col("place") <= most).select("target", "place", "id")
 
 

@@ -184,3 +184,30 @@ def test_usage_windows_are_cut_at_the_file(spark):
     sites = spark.createDataFrame([("first", "a", 1), ("mid", "a", 3), ("last", "a", 6), ("beyond", "a", 7), ("blank", "b", 1), ("none", "c", 1), ("zero", "a", 0)], "site string, path string, line int")
     got = {r.site: (r.first, r.last, r.content) for r in seeds.usage_windows(sites, files).collect()}
     assert got == {"first": (1, 3, "1\n2\n3"), "mid": (1, 5, "1\n2\n3\n4\n5"), "last": (4, 6, "4\n5\n6")}
+
+
+MEMBERS = """SELECT target, place, id FROM (SELECT target, s.id, row_number() OVER (PARTITION BY target ORDER BY priority, s.path, s.name, s.id) AS place FROM asked t JOIN (SELECT *,
+CASE WHEN kind IN ('test', 'interface') THEN 0 WHEN kind IN ('type', 'class') THEN 1 WHEN kind = 'function' AND startswith(name, 'New') THEN 2 WHEN kind = 'method' THEN 3 ELSE 4 END + CASE WHEN name RLIKE '^[A-Z]' AND kind NOT IN ('file', 'import', 'test') THEN 0 ELSE 10 END AS priority FROM held) s
+ON substring_index(t.path, '/', 1) = substring_index(s.path, '/', 1) AND s.id <> target AND ((t.qualified <> '' AND contains(s.qualified, t.qualified || '.')) OR (t.name <> '' AND contains(s.qualified, t.name || '.')))) WHERE place <= {most}"""
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_members_equal_a_plain_search(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("ab.\u00e9") for _ in range(rng.randrange(5)))
+    held = [(i, rng.choice(["New", "x", "Run"]), None if rng.random() < 0.03 else word() + word(), rng.choice(["type", "method", "function", "file", "test"]), f"{rng.choice('pq')}/{rng.randrange(3)}.go") for i in range(200)]
+    held += held[:9]
+    asked = [(i, None if rng.random() < 0.1 else word()[:2], None if rng.random() < 0.1 else word(), f"{rng.choice('pqr')}/z.go") for i in range(60)]
+    targets, symbols = spark.createDataFrame(asked, "target long, name string, qualified string, path string"), spark.createDataFrame(held, "id long, name string, qualified string, kind string, path string")
+    targets.createOrReplaceTempView("asked"), symbols.createOrReplaceTempView("held")
+    for most in (1, 4, 300):
+        want = rows(spark.sql(MEMBERS.format(most=most)))
+        assert rows(seeds.member_seeds(targets, symbols, most)) == want and len(want) > 20
+
+
+def test_members_of_types_named_alike_do_not_multiply(spark):
+    n = 6000
+    symbols = spark.range(n).selectExpr("id", "concat('n', id) AS name", "concat('Store', id % 6, '.n', id) AS qualified", "if(id % 3 = 0, 'type', 'method') AS kind", "concat('p/', id % 4, '.go') AS path")
+    types = symbols.where("kind = 'type'").selectExpr("id AS target", "concat('Store', id % 6) AS name", "concat('pkg.Store', id % 6) AS qualified", "path")
+    got = seeds.member_seeds(types, symbols)
+    assert joined_rows(got) < 60 * n and got.count() == 19 * n // 3  # all pairs of a directory are n * n / 3
