@@ -1,8 +1,9 @@
 """N-gram Jaccard join: T-occurrence search with DivideSkip.
 
 Sets that can be similar share a partition key. Tasks send such keys to shards in sorted, packed
-lists; what meets there makes clusters, and each cluster has inverted lists of its shingles, in
-which every set looks for those with enough of its own.
+lists; what meets there makes clusters, a large one without what is too far apart by its sketch,
+and each cluster has inverted lists of its shingles, in which every set looks for those with
+enough of its own.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +29,12 @@ LEVEL, CLASSES = 1.3, 1.25
 BLOCK_SHINGLES = 2_000_000
 #: Partition keys that a task gathers before it sends them, and bits that it leaves out: more sets may then meet.
 GATHER, KEY_BITS = 1 << 20, np.uint64(20)
+#: Bits of a set's sketch; sets with one key of up to so many are compared by pairs of sketches, more are taken as near.
+SKETCH, COMPARED = 512, 1 << 15
 #: The more of it, the fewer long lists are left out of the merge.
 SKIP = 2.0
 #: Columns of the rows that tasks make of documents.
-FIELDS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("key", pa.binary()), ("hash", pa.int64()), ("rid", pa.int64()), ("other", pa.int64()), ("shard", pa.int32()), ("posts", pa.binary())])
+FIELDS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("key", pa.binary()), ("hash", pa.int64()), ("rid", pa.int64()), ("other", pa.int64()), ("shard", pa.int32()), ("posts", pa.binary()), ("sketch", pa.binary())])
 
 
 def needed(n: int, percent: int) -> int:
@@ -68,18 +72,29 @@ def partition_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
 
 
-FOUND = "kind int, doc_id long, size long, key binary, hash long, rid long, other long, shard int, posts binary"
-DOCUMENT, POSTS, LINK = range(3)
+FOUND = "kind int, doc_id long, size long, key binary, hash long, rid long, other long, shard int, posts binary, sketch binary"
+DOCUMENT, POSTS, LINK, SHARED = range(4)
+
+
+def _shards(spark: SparkSession) -> int:
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """For each of SKETCH classes whether it has an odd number of the set's shingles: two sets' sketches differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
 
 
 def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Rows of three kinds: documents (doc_id, size, key of the set, hash of the text, rid), posts of
-    partition keys (rid of the task's first row, shard, keys and rows) and links between rows (rid, other).
+    """Rows of four kinds: documents (doc_id, size, key of the set, hash of the text, rid, sketch of a
+    set that is new to its task), posts of partition keys (rid of the task's first row, shard, keys
+    and rows), links between rows (rid, other), and rows with a key that another row of the task has
+    (rid, the key's number as other).
 
     Within a task only the first set of a key is sent on, and the others are linked to it, so that a
     key that many sets share reaches its shard once a task.
     """
-    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = _shards(docs.sparkSession)
 
     def rows(count: int, kind: int, **cols) -> pa.RecordBatch:
         arrays = []
@@ -96,12 +111,13 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             order = np.lexsort((row, keys))
             keys, row = keys[order], row[order]
             new = np.concatenate(([True], keys[1:] != keys[:-1]))
-            first = np.flatnonzero(new)
-            pairs = np.stack((row, row[first][np.cumsum(new) - 1]))[:, ~new]
+            pairs = np.stack((row, row[new][np.cumsum(new) - 1]))[:, ~new]
             pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
             yield rows(pairs.shape[1], LINK, rid=base + pairs[0], other=base + pairs[1])
-            keys, row = keys[first], row[first]
             shard = ((keys & np.uint64(0xFFFFF)) % np.uint64(shards)).astype(np.int64)
+            both = _several(new)
+            yield rows(int(both.sum()), SHARED, rid=base + row[both], other=_met(keys[both] >> KEY_BITS, shard[both], shards))
+            keys, row, shard = keys[new], row[new], shard[new]
             order = np.argsort(shard, kind="stable")
             edges = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards))))
             own = [s for s in range(shards) if edges[s] < edges[s + 1]]
@@ -109,17 +125,19 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
             yield rows(len(own), POSTS, rid=np.full(len(own), base), shard=own, posts=posts)
 
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, sketches = [], [], []
             for grams in shingle_sets(batch.column(1), n):
+                sketches.append(None)
                 sizes.append(len(grams))
                 keys.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest())
                 if len(grams) and keys[-1] not in seen:
                     seen.add(keys[-1])
+                    sketches[-1] = sketch(grams)
                     mine = partition_keys(grams, percent)
                     held.append((mine, np.full(len(mine), at)))
                     waiting += len(mine)
                 at += 1
-            yield rows(len(sizes), DOCUMENT, doc_id=batch.column(0), size=sizes, key=keys, hash=batch.column(2), rid=base + np.arange(at - len(sizes), at))
+            yield rows(len(sizes), DOCUMENT, doc_id=batch.column(0), size=sizes, key=keys, hash=batch.column(2), rid=base + np.arange(at - len(sizes), at), sketch=sketches)
             if waiting > GATHER:
                 yield from sent()
                 held, waiting, seen = [], 0, set()
@@ -129,16 +147,68 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.mapInArrow(sign, FOUND)
 
 
+def _met(keys: np.ndarray, shard, shards: int) -> np.ndarray:
+    """One number for the kept bits of a partition key and its shard."""
+    return (keys * np.uint64(shards) + np.asarray(shard).astype(np.uint64)).astype(np.int64)
+
+
+def _several(new: np.ndarray) -> np.ndarray:
+    """Rows whose key another row has too, by where a new key begins."""
+    return ~new | np.concatenate((~new[1:], [False]))
+
+
+def _near(size: np.ndarray, bits: np.ndarray, x, y, percent: int) -> np.ndarray:
+    """Whether sets may be similar: false only where their sketches differ in more bits than similar sets can in shingles."""
+    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(-1, dtype=np.int64)
+    return apart * (100 + percent) <= (size[x] + size[y]) * (100 - percent)
+
+
+def near_pairs(met: np.ndarray, rid: np.ndarray, size: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (a, b) of rows that lead to all that may be similar among those with one key; `met`, the key's number, is in order.
+
+    Few rows are compared by all pairs. Of more, each is compared with those that nothing has led to
+    yet, so that many sets that are near each other take one comparison each.
+    """
+    begins = np.flatnonzero(np.concatenate(([True], met[1:] != met[:-1]))) if len(met) else np.zeros(0, np.int64)
+    counts, out = np.diff(np.concatenate((begins, [len(met)]))), [np.zeros((2, 0), np.int64)]
+    for m in range(2, 17):
+        own = begins[counts == m]
+        for i, j in combinations(range(m), 2):
+            x, y = own + i, own + j
+            good = _near(size, bits, x, y, percent)
+            out.append(np.stack((rid[x[good]], rid[y[good]])))
+    for begin, m in zip(begins[counts > 16].tolist(), counts[counts > 16].tolist()):
+        rest = np.arange(begin + 1, begin + m)
+        if m > COMPARED:
+            out.append(np.stack((rid[rest], np.full(m - 1, rid[begin]))))
+            continue
+        first, waiting = begin, [begin]
+        while len(rest):
+            if not waiting:
+                first, waiting, rest = rest[0], [rest[0]], rest[1:]
+            good = _near(size, bits, rest, waiting.pop(), percent)
+            out.append(np.stack((rid[rest[good]], np.full(int(good.sum()), rid[first]))))
+            waiting += rest[good].tolist()
+            rest = rest[~good]
+    pairs = np.concatenate(out, axis=1)
+    return np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+
+
+def _gathered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of a shard in order, their rows, and where a new key begins."""
+    give_back()
+    parts = [(unpacked(data.as_py()), base) for data, base in zip(rows.column("posts"), rows.column("rid").to_pylist())]
+    keys, row = np.concatenate([x[0] for x, _ in parts]), np.concatenate([x[1].astype(np.int64) + base for x, base in parts])
+    order = np.lexsort((row, keys))
+    keys, row = keys[order], row[order]
+    return keys, row, np.concatenate(([True], keys[1:] != keys[:-1]))
+
+
 def meetings(signed: DataFrame) -> DataFrame:
     """(a, b): rows whose sets share a partition key, each linked to the first of the key."""
 
     def meet(rows: pa.Table) -> pa.Table:
-        give_back()
-        parts = [(unpacked(data.as_py()), base) for data, base in zip(rows.column("posts"), rows.column("rid").to_pylist())]
-        keys, row = np.concatenate([x[0] for x, _ in parts]), np.concatenate([x[1].astype(np.int64) + base for x, base in parts])
-        order = np.lexsort((row, keys))
-        keys, row = keys[order], row[order]
-        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        _, row, new = _gathered(rows)
         pairs = np.unique(np.stack((row, row[np.flatnonzero(new)][np.cumsum(new) - 1]))[:, ~new], axis=1)
         return pa.table({"a": pairs[0], "b": pairs[1]})
 
@@ -146,6 +216,42 @@ def meetings(signed: DataFrame) -> DataFrame:
     return far.unionByName(signed.where(F.col("kind") == LINK).select(F.col("rid").alias("a"), F.col("other").alias("b")))
 
 
+def near_meetings(signed: DataFrame, among: DataFrame, percent: int) -> DataFrame:
+    """(a, b): rows `among` (rid) whose sets share a partition key and may be similar by their sketches, linked in chains."""
+    spark = signed.sparkSession
+    shards, parts = _shards(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def meet(rows: pa.Table) -> pa.Table:
+        keys, row, new = _gathered(rows)
+        both = _several(new)
+        return pa.table({"met": _met(keys[both], rows.column("shard")[0].as_py(), shards), "rid": row[both]})
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = ()
+
+        def linked(met, rid, size, bits) -> pa.RecordBatch:
+            pairs = near_pairs(met, rid, size, bits, percent)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        for batch in filter(len, batches):
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+            held = tuple(np.concatenate(x) for x in zip(held, (*cols, bits))) if held else (*cols, bits)
+            # the last key's rows may go on
+            at = int(np.searchsorted(held[0], held[0][-1]))
+            if at:
+                yield linked(*[x[:at] for x in held])
+                held = tuple(x[at:] for x in held)
+        if held:
+            yield linked(*held)
+
+    far = signed.where(F.col("kind") == POSTS).select("shard", "rid", "posts").groupBy("shard").applyInArrow(meet, "met long, rid long")
+    both = far.unionByName(signed.where(F.col("kind") == SHARED).select(F.col("other").alias("met"), "rid"))
+    marked = signed.where((F.col("kind") == DOCUMENT) & F.col("sketch").isNotNull()).select("rid", "size", "sketch").join(among, "rid")
+    rows = both.join(marked, "rid").select("met", "rid", "size", "sketch")
+    return rows.repartition(parts, "met").sortWithinPartitions("met", "rid").mapInArrow(link, "a long, b long")
+
+
 def probed(lists: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Of each value, how many of the sorted stretches of `lists` hold it, by binary search in all of them at once."""
     low, high = np.tile(begins, (len(values), 1)), np.tile(ends, (len(values), 1))
@@ -216,18 +322,31 @@ def divide_skip(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> tupl
 def _clusters(signed: DataFrame, percent: int) -> DataFrame:
     """(rid, key, hash, task, side) of one row for each set that may have links.
 
-    Clusters of sets that meet hold every link. A large cluster is cut into blocks, by size and
-    then by hash, and blocks whose sizes allow links are joined in pairs.
+    Clusters of sets that meet hold every link. In a large cluster only sets that may be similar by
+    their sketches stay together; what is still large is cut into blocks, by size and, as each size's
+    own shingles ask for, by hash, and blocks whose sizes allow links are joined in pairs.
     """
-    roots = components(meetings(signed)).withColumnsRenamed({"node": "rid", "root": "cluster"})
     rows = signed.where(F.col("kind") == DOCUMENT).where("size > 0").select("rid", "key", "size", "hash")
-    found = rows.join(roots, "rid").groupBy("key").agg(F.min("cluster").alias("cluster"), F.min(F.struct("rid", "hash")).alias("of"), F.min("size").alias("size"))
-    found = stage(found.select("key", "cluster", "of.*", "size"), "clusters")
-    totals = found.groupBy("cluster").agg(F.sum("size").alias("total"), F.count("*").alias("sets")).where("sets > 1")
-    many = F.ceil(F.col("total") / BLOCK_SHINGLES)
     band = F.floor(F.log(F.col("size").cast("double")) * (-1 / math.log(percent / 100 - 1e-9) if percent < 100 else 1e6))
-    block = F.when(many > 1, band * (1 << 24) + F.pmod(F.xxhash64("key"), many)).otherwise(F.lit(0)).cast("long")
-    found = found.join(totals, "cluster").select("rid", "key", "hash", "size", "cluster", block.alias("block"))
+
+    def sets(roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = rows.join(roots.withColumnsRenamed({"node": "rid", "root": "cluster"}), "rid").groupBy("key").agg(F.min("cluster").alias("cluster"), F.min(F.struct("rid", "hash")).alias("of"), F.min("size").alias("size"))
+        found = stage(found.select("key", "cluster", "of.*", "size", band.alias("band")), "clusters")
+        return found, found.groupBy("cluster").agg(F.sum("size").alias("total"), F.count("*").alias("sets")).where("sets > 1")
+
+    roots = components(meetings(signed))
+    found, totals = sets(roots)
+    large = totals.where(F.col("total") > BLOCK_SHINGLES).select(F.col("cluster").alias("root"))
+    if not large.isEmpty():
+        # keys that unlike sets share by chance tie ever more of a growing table to one cluster
+        among = stage(roots.join(large, "root").select(F.col("node").alias("rid")), "among")
+        near = components(near_meetings(signed, among, percent))
+        wide = found
+        found, totals = sets(roots.join(large, "root", "left_anti").select("node", "root").unionByName(near))
+        release(wide, among)
+    bands = found.groupBy("cluster", "band").agg(F.sum("size").alias("own")).join(totals, "cluster")
+    block = F.when(F.col("total") > BLOCK_SHINGLES, F.col("band") * (1 << 24) + F.pmod(F.xxhash64("key"), F.ceil(F.col("own") / BLOCK_SHINGLES))).otherwise(F.lit(0)).cast("long")
+    found = found.join(bands, ["cluster", "band"]).select("rid", "key", "hash", "size", "cluster", block.alias("block"))
     blocks = found.groupBy("cluster", "block").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     other = blocks.select("cluster", F.col("block").alias("later"), F.col("low").alias("later_low"))
     pairs = blocks.join(other, "cluster").where("later >= block").where(F.col("later_low") * percent <= F.col("high") * 100)

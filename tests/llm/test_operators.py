@@ -135,6 +135,60 @@ def test_jaccard(docs, none):
     assert not similarity.jaccard_components(none).collect()
 
 
+def test_unlike_sets_do_not_make_one_cluster(spark, monkeypatch):
+    # a line that all have, among a few words of their own: keys of the line alone are everyone's
+    rng = np.random.default_rng(7)
+    line = " ".join(f"line{k}" for k in range(30))
+    texts = [" ".join(f"w{rng.integers(10**6)}" for _ in range(16)) + "\n" + line for _ in range(400)]
+    texts += [t + " more" for t in texts[:5]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = sorted(map(tuple, similarity.jaccard_components(docs, words=5, percent=80).collect()))
+    assert {r[:1] + r[2:] for r in whole if r[3]} == {(k, k % 400, 1) for k in [*range(5), *range(400, 405)]}
+    monkeypatch.setattr(similarity, "BLOCK_SHINGLES", 1000)
+    signed = similarity.stage(similarity.signatures(docs.withColumn("hash", F.xxhash64("text")), 5, 80), "signatures", "kind")
+    assert 10 <= similarity._clusters(signed, 80).count() < 100
+    assert sorted(map(tuple, similarity.jaccard_components(docs, words=5, percent=80).collect())) == whole
+
+
+@pytest.mark.parametrize("compared", [1 << 15, 20])
+def test_near_pairs_lead_to_all_that_may_be_similar(compared, monkeypatch):
+    monkeypatch.setattr(similarity, "COMPARED", compared)
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(120):
+        grams = np.unique(rng.integers(0, 2**63, rng.integers(1, 90), dtype=np.uint64))
+        for _ in range(rng.integers(1, 4)):
+            sets.append(np.unique(np.where(rng.random(len(grams)) < 0.04, rng.integers(0, 2**63, len(grams), dtype=np.uint64), grams)))
+    size, bits = np.array([len(s) for s in sets]), np.array([np.frombuffer(similarity.sketch(s), np.uint64) for s in sets])
+    rows, met = [], []
+    for key, m in enumerate([1, 2, 2, 3, 5, 16, 17, 18, 40, len(sets)]):
+        rows += sorted(rng.choice(len(sets), m, replace=False).tolist())
+        met += [key] * m
+    rows, met = np.array(rows), np.array(met)
+    pairs = similarity.near_pairs(met, rows, size[rows], bits[rows], 80)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs.T.tolist():
+        root[find(a)] = find(b)
+    found = 0
+    for key in range(10):
+        own = rows[met == key].tolist()
+        for i, a in enumerate(own):
+            for b in own[:i]:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    found += 1
+                    assert find(a) == find(b)
+    assert found > 20
+    if compared > 20:
+        assert len({find(x) for x in range(len(sets))}) > 60
+
+
 def test_jaccard_in_blocks(docs, monkeypatch):
     whole = sorted(map(str, similarity.jaccard_components(docs).collect()))
     monkeypatch.setattr(similarity, "BLOCK_SHINGLES", 60)
